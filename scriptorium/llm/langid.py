@@ -5,7 +5,7 @@ space) with absolute discounting and continuation counts below the highest order
 sorted arrays of 64-bit n-gram hashes: an n-gram seen in any language holds the interpolated log
 probability of every language, a context the back-off weight of every language. A text gets the language
 of the lowest cross-entropy per character. A text is rejected where that cross-entropy lies far above
-what calibration texts of the same language show at this length.
+what calibration texts of the same language show at this length, by a fixed margin besides.
 
 Learning takes a bounded sample: about `sample_docs` texts a language by hash of the id, whole texts, and
 as many again for calibration; counts are summed on the executors. Every text is scored whole.
@@ -27,6 +27,9 @@ from .kernel import U, importable, mix
 
 ORDER = 4
 SLICE_CHARS = 1 << 20
+#: Bits per character that a text must lie above the calibrated bound of its length to be rejected: texts of
+#: two learned languages, of code or of tables stay, texts of no learned language lie four bits and more above.
+MARGIN_BITS = 1.5
 _CLASS: list[np.ndarray] = []
 
 
@@ -260,7 +263,7 @@ def predict(model: Model, text: Column) -> Column:
         # Posterior over languages; the evidence of a long text counts as that of 64 characters at most.
         odds = np.exp2(-(ce - low[:, None]) * np.minimum(n, 64)[:, None])
         score = 1 / odds.sum(axis=1)
-        far = low > model.mean[best] + model.spread[best] / np.sqrt(np.maximum(n, 1))
+        far = low > model.mean[best] + MARGIN_BITS + model.spread[best] / np.sqrt(np.maximum(n, 1))
         und = n == 0
         names = np.array(model.langs, dtype=object)[best]
         return pd.DataFrame({"lang_pred": np.where(und, "und", names), "score": np.where(und, 0.0, score), "rejected": und | far})
