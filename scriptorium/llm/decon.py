@@ -24,7 +24,7 @@ from .kernel import U, importable, shingles, slices, word_hashes
 
 SEED_WORDS = 4
 MIN_WORDS = 8
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 BLOCK_BYTES = 8 << 20
 
 
@@ -179,18 +179,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("similarity").alias("similarity"))
 
 
+def leaking(items: Items, threshold: float):
+    """A function of a text column: whether an item of the block contaminates the text."""
+
+    @F.pandas_udf("boolean")
+    def leaks(texts: pd.Series) -> pd.Series:
+        out = np.zeros(len(texts), dtype=bool)
+        for d, _, _ in matches(items, texts.tolist(), threshold):
+            out[d] = True
+        return pd.Series(out)
+
+    return leaks
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that no test item contaminates; columns as they come."""
     importable(docs.sparkSession)
     for items in blocks(benchmark):
-        items = seeded(docs, items)
-
-        @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, items: Items = items) -> pd.Series:
-            out = np.zeros(len(texts), dtype=bool)
-            for d, _, _ in matches(items, texts.tolist(), threshold):
-                out[d] = True
-            return pd.Series(out)
-
-        docs = docs.where(~leaks(F.col("text").cast("string")))
+        docs = docs.where(~leaking(seeded(docs, items), threshold)(F.col("text").cast("string")))
     return docs

@@ -2,9 +2,11 @@
 
 A text's set holds the 64-bit hashes of its distinct word shingles. Sets fall into size bands; in a band
 all pairs that reach the threshold differ in at most H elements. `allocate` splits the universe of
-hashes into segments: exact ones cover one difference each, one-deletion ones two; spare segments let a
-set leave out the signatures of its empty segments, which else would meet in ever larger buckets.
-Some segment signature is then shared by every qualifying pair. Candidates are verified on whole sets.
+hashes into segments: exact ones cover one difference each, one-deletion ones two. Light segments, of few
+elements, meet in ever larger buckets; a set leaves their signatures out as long as it has no more of them
+than there are spare segments (two sets that agree in a segment find it equally light, and a qualifying
+pair agrees in more segments than there are spare ones). Every qualifying pair then shares a signature.
+Candidates are verified on whole sets.
 
 Equal sets are one class by fingerprint, so copies never meet in pairs. In each bucket all members are
 held against one pivot; members still apart afterwards are held against all others of the bucket, so
@@ -28,6 +30,10 @@ from pyspark.sql import functions as F
 from .kernel import U, components, importable, mix, shingles, slices, stage, word_hashes
 
 
+#: What meeting by a signature of no element costs, in signatures.
+PRICE = 256.0
+
+
 @lru_cache(maxsize=4096)
 def bands(percent: int, upto: int) -> tuple[tuple[int, int], ...]:
     """Size ranges (low, high), each wider than the sizes that one set can link with."""
@@ -44,31 +50,49 @@ def differences(percent: int, high: int) -> int:
     return (100 - percent) * 2 * high // (100 + percent)
 
 
+def _poisson(mean: float, k: int) -> float:
+    return math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) if mean > 0 else float(k == 0)
+
+
 @lru_cache(maxsize=65536)
-def allocate(percent: int, low: int, high: int) -> tuple[int, int, int]:
-    """(exact segments, one-deletion segments, empty ones that may be left out) of least expected cost.
+def allocate(percent: int, low: int, high: int) -> tuple[int, int, int, int]:
+    """(exact segments, one-deletion segments, spare ones, light size) of least expected cost.
 
-    Cost: signatures a set emits, plus a price for those that unrelated sets share (tiny segments)."""
+    A segment of fewer than `light` elements is light; a set of at most `spare` light segments leaves their
+    signatures out. Cost: the signatures that a set emits, and for each a price for the unrelated sets it
+    meets, ten times less with each element more, since few elements may all stem from a common passage."""
     need, best = differences(percent, high) + 1, None
-    price = 64.0
-    for ones in range(0, min(4, (need + 1) // 2) + 1):
-        for spare in range(0, 1 if ones else need + 12):
-            exact = max(0, need + spare - 2 * ones)
-            parts = exact + ones
-            if not parts:
-                continue
-            m = low / parts
-            empties = exact * math.exp(-m)
-            term = tail = math.exp(-empties)
-            for k in range(1, spare + 1):
-                term *= empties / k
-                tail += term
-            cost = exact + ones * (1 + m) + price * max(0.0, 1 - tail) + price * ones * math.exp(-m) * (1 + m)
-            if best is None or cost < best[0]:
-                best = (cost, exact, ones, spare)
-            if tail > 1 - 1e-7:
-                break  # more spare segments only add signatures
-    return best[1:]
+
+    def price(size: float) -> float:
+        return PRICE * 0.1**size
+
+    for ones in range(1, min(4, (need + 1) // 2) + 1):
+        exact = max(0, need - 2 * ones)
+        m = low / (exact + ones)
+        tiny = sum(_poisson(m, k) * price(k) for k in range(8))
+        deleted = sum(_poisson(m, k) * max(k, 1) * price(max(k - 1, 0)) for k in range(8))
+        cost = exact * (1 + tiny) + ones * (1 + m + tiny + deleted)
+        if best is None or cost < best[0]:
+            best = (cost, exact, ones, 0, 0)
+    for light in range(1, 6):
+        spare = 0
+        for _ in range(30):
+            parts = need + spare
+            mean = parts * sum(_poisson(low / parts, k) for k in range(light))
+            now = math.ceil(mean + 3 * math.sqrt(mean))
+            if now <= spare:
+                break
+            spare = now
+        else:
+            continue  # more segments only make more light ones
+        parts = need + spare
+        m = low / parts
+        cost = sum(parts * _poisson(m, k) * (1 + price(k)) for k in range(light, 64)) if m < 40 else parts
+        cost += 0.002 * parts * sum(_poisson(m, k) * price(k) for k in range(light))
+        if best is None or cost < best[0]:
+            best = (cost, parts, 0, spare, light)
+    exact, ones, spare, light = best[1:]
+    return exact, ones, spare, light
 
 
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
@@ -82,7 +106,7 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
         if k > own and 100 * n < percent * low:
             continue
         least = max(1, -(-percent * low // 100))
-        exact, ones, spare = allocate(percent, least, high)
+        exact, ones, spare, light = allocate(percent, least, high)
         if differences(percent, high) == 0:
             continue  # only equal sets link, and those are one class already
         parts = exact + ones
@@ -93,8 +117,8 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
         np.add.at(total, seg, m)
         size = np.bincount(seg, minlength=parts)
         tag = mix(np.arange(parts, dtype=U) + U((k + 1) << 32))
-        if spare and int((size == 0).sum()) <= spare:
-            own_keys = mix(total + tag)[size > 0]
+        if light and int((size < light).sum()) <= spare:
+            own_keys = mix(total + tag)[size >= light]
         else:
             own_keys = mix(total + tag)
         out.append(own_keys)
@@ -116,15 +140,32 @@ def fingerprint(s: np.ndarray) -> int:
     return int(mix(np.array([(mix(s + U(0xA0761D6478BD642F))).sum(dtype=U) + U(len(s))], dtype=U)).view(np.int64)[0])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of hash buckets, two to four bits for each element: two sets differ in at least as many elements as their sketches in bits."""
+    bits = 1 << max(6, (2 * len(s)).bit_length())
+    at = (mix(s + U(0x2545F4914F6CDD1D)) & U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def apart_at_least(x: bytes, y: bytes) -> int:
+    """How many elements two sketched sets differ in at the least; a longer sketch folds onto a shorter one."""
+    a, b = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def profiles(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, fp): size and fingerprint of each text's set."""
+    """(doc_id, n, fp, sketch): size, fingerprint and sketch of each text's set."""
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            got = [(len(s), fingerprint(s) if len(s) else 0) for s in text_sets(f["text"].tolist(), words)]
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "n": [x for x, _ in got], "fp": [x for _, x in got]})
+            got = [(len(s), fingerprint(s) if len(s) else 0, sketch(s) if len(s) else None) for s in text_sets(f["text"].tolist(), words)]
+            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "n": [x[0] for x in got], "fp": [x[1] for x in got], "sketch": [x[2] for x in got]})
 
-    return docs.select("doc_id", "text").mapInPandas(of, "doc_id long, n long, fp long")
+    return docs.select("doc_id", "text").mapInPandas(of, "doc_id long, n long, fp long, sketch binary")
 
 
 def postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -163,15 +204,26 @@ def _verify(percent: int):
     return common
 
 
+def hopeful(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of fingerprints that sizes and sketches do not rule out."""
+
+    @F.pandas_udf("int")
+    def least(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([apart_at_least(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+    left = reps.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    right = reps.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    both = pairs.join(left, "b").join(right, "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return both.withColumn("d", least("s_a", "s_b")).where(F.col("d") * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of fingerprints with the number of common elements and both sizes; those of hopeless sizes are left out."""
+    """Pairs (a, b) of fingerprints whose whole sets reach the threshold, with the number of elements they differ in."""
     left = sets.select(F.col("fp").alias("b"), F.col("items").alias("items_b"), F.col("n").alias("n_b"))
     right = sets.select(F.col("fp").alias("a"), F.col("items").alias("items_a"), F.col("n").alias("n_a"))
-    both = pairs.join(left, "b").join(right, "a")
-    both = both.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    return both.withColumn("both", _verify(percent)("items_a", "items_b")).select(
-        "a", "b", "n_a", "n_b", "both", (100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("linked")
-    )
+    both = pairs.join(left, "b").join(right, "a").withColumn("both", _verify(percent)("items_a", "items_b"))
+    both = both.select("a", "b", (F.col("n_a") + F.col("n_b") - 2 * F.col("both")).alias("d"), (100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("linked"))
+    return both
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -188,34 +240,45 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         comp = rep.select("fp", F.col("rep").alias("component_id"))
     else:
         reps = stage(rep, "jaccard-reps")
-        wanted = met.select("fp").distinct().join(reps, "fp").select("fp", F.col("rep").alias("doc_id"))
+        drawn = prof.join(reps.join(met.select("fp").distinct(), "fp").select(F.col("rep").alias("doc_id"), F.col("fp").alias("of")), "doc_id")
+        known = stage(drawn.where("fp = of").select("fp", "doc_id", "n", "sketch").dropDuplicates(["fp"]), "jaccard-sketches")
+
+        def sets_of(pairs: DataFrame) -> DataFrame:
+            """Whole sets of the fingerprints in pairs, from the texts that stand for them."""
+            ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(known, "fp").select("doc_id")
+
+            def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for f in frames:
+                    items = list(text_sets(f["text"].tolist(), words))
+                    yield pd.DataFrame({"fp": [fingerprint(s) for s in items], "n": [len(s) for s in items], "items": [s.tobytes() for s in items]})
 
-        def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                items = list(text_sets(f["text"].tolist(), words))
-                yield pd.DataFrame({"fp": [fingerprint(s) for s in items], "n": [len(s) for s in items], "items": [s.tobytes() for s in items]})
+            return docs.join(ids, "doc_id", "left_semi").mapInPandas(of, "fp long, n long, items binary")
 
-        texts = docs.join(wanted.select("doc_id"), "doc_id", "left_semi")
-        sets = stage(texts.mapInPandas(sets_of, "fp long, n long, items binary"), "jaccard-sets")
+        # First each set against its buckets' pivots: that joins most of what belongs together.
         first = met.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
+        first = stage(hopeful(first, known, percent), "jaccard-first")
+        sets = stage(sets_of(first), "jaccard-sets")
         seen = stage(links(first, sets, percent), "jaccard-links")
         edges = seen.where("linked").select("a", "b")
         label = components(edges)
+        # Then, in buckets that still hold members of several components, those outside the most frequent
+        # component against all others; pairs whose distances to a common pivot rule a link out are left out.
         placed = met.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-        # Buckets that still hold members of several components: all members against those outside the most frequent component.
         tops = placed.groupBy("sig", "comp").count().groupBy("sig").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1")
-        apart = placed.join(tops, "sig")
-        dist = seen.select(F.col("a").alias("pivot"), F.col("b").alias("fp"), (F.col("n_a") + F.col("n_b") - 2 * F.col("both")).alias("d"), F.col("n_b").alias("n"))
-        apart = stage(apart.join(dist, ["pivot", "fp"], "left").select("sig", "fp", "pivot", "comp", "main", "n", F.when(F.col("fp") == F.col("pivot"), F.lit(0)).otherwise(F.col("d")).alias("d")), "jaccard-apart")
-        x, y = apart.where("comp <> main").alias("x"), apart.alias("y")
-        gap = F.abs(F.col("x.d") - F.col("y.d"))
-        able = F.coalesce(gap * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n")), F.lit(True))
-        more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & able & (F.col("x.fp") != F.col("x.pivot")) & (F.col("y.fp") != F.col("y.pivot")))
-        more = more.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
-        more = stage(more.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-more")
+        dist = seen.select(F.col("a").alias("pivot"), F.col("b").alias("fp"), "d")
+        apart = placed.join(tops, "sig").join(known.select("fp", "n"), "fp").join(dist, ["pivot", "fp"], "left")
+        apart = stage(apart.select("sig", "fp", "pivot", "comp", "main", "n", F.when(F.col("fp") == F.col("pivot"), 0).otherwise(F.col("d")).alias("d")), "jaccard-apart")
+        x, y = apart.where("comp <> main and fp <> pivot").alias("x"), apart.where("fp <> pivot").alias("y")
+        far = F.abs(F.col("x.d") - F.col("y.d")) * (100 + percent) > (100 - percent) * (F.col("x.n") + F.col("y.n"))
+        alike = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+        more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & alike & ~F.coalesce(far, F.lit(False)))
+        more = more.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+        more = stage(hopeful(more, known, percent), "jaccard-more")
         if not more.isEmpty():
-            late = links(more, sets, percent).where("linked").select("a", "b")
-            edges = stage(edges.unionByName(late), "jaccard-edges")
+            lacking = more.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(sets.select("fp"), "fp", "left_anti")
+            if not lacking.isEmpty():
+                sets = sets.unionByName(stage(sets_of(lacking.select(F.col("fp").alias("a"), F.col("fp").alias("b"))), "jaccard-sets"))
+            edges = stage(edges.unionByName(links(more, sets, percent).where("linked").select("a", "b")), "jaccard-edges")
             label = components(edges)
         named = reps.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
         lowest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
