@@ -3,9 +3,10 @@
 A text's set holds the 64-bit hashes of its distinct word shingles. Sets fall into size bands; in a band
 all pairs that reach the threshold differ in at most H elements. `allocate` splits the universe of
 hashes into segments: exact ones cover one difference each, one-deletion ones two. Light segments, of few
-elements, meet in ever larger buckets; a set leaves their signatures out as long as it has no more of them
-than there are spare segments (two sets that agree in a segment find it equally light, and a qualifying
-pair agrees in more segments than there are spare ones). Every qualifying pair then shares a signature.
+elements, and frequent ones, of elements that many texts share, meet in ever larger buckets; a set leaves
+them out as long as it has no more of them than there are spare segments (two sets that agree in a segment
+find it equally light and frequent, and a qualifying pair agrees in more segments than there are spare
+ones). Every qualifying pair then shares a signature.
 Candidates are verified on whole sets.
 
 Equal sets are one class by fingerprint, so copies never meet in pairs. In each bucket all members are
@@ -32,6 +33,10 @@ from .kernel import U, components, importable, mix, shingles, slices, stage, wor
 
 #: What meeting by a signature of no element costs, in signatures.
 PRICE = 256.0
+#: Keys of more rows than this are frequent.
+FREQUENT = 16
+#: Sets in a block of a large bucket.
+BLOCK = 512
 
 
 @lru_cache(maxsize=4096)
@@ -50,6 +55,16 @@ def differences(percent: int, high: int) -> int:
     return (100 - percent) * 2 * high // (100 + percent)
 
 
+def _sizes(n: int, parts: int, upto: int) -> list[float]:
+    """The probabilities that a segment of `parts` holds 0, 1, ... of a set's n elements."""
+    if parts == 1:
+        return [float(k == n) for k in range(upto)]
+    out = [math.exp(n * math.log1p(-1 / parts))]
+    for k in range(1, upto):
+        out.append(out[-1] * (n - k + 1) / k / (parts - 1) if k <= n else 0.0)
+    return out
+
+
 def _poisson(mean: float, k: int) -> float:
     return math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) if mean > 0 else float(k == 0)
 
@@ -66,41 +81,40 @@ def allocate(percent: int, low: int, high: int) -> tuple[int, int, int, int]:
     def price(size: float) -> float:
         return PRICE * 0.1**size
 
-    for ones in range(1, min(4, (need + 1) // 2) + 1):
+    # One-deletion segments suit small sets: with them no segment is spare.
+    for ones in range(1, (need + 1) // 2 + 1 if need <= 5 else 1):
         exact = max(0, need - 2 * ones)
-        m = low / (exact + ones)
-        tiny = sum(_poisson(m, k) * price(k) for k in range(8))
-        deleted = sum(_poisson(m, k) * max(k, 1) * price(max(k - 1, 0)) for k in range(8))
+        m, sizes = low / (exact + ones), _sizes(low, exact + ones, 8)
+        tiny = sum(p * price(k) for k, p in enumerate(sizes))
+        deleted = sum(p * max(k, 1) * price(max(k - 1, 0)) for k, p in enumerate(sizes))
         cost = exact * (1 + tiny) + ones * (1 + m + tiny + deleted)
         if best is None or cost < best[0]:
             best = (cost, exact, ones, 0, 0)
-    for light in range(1, 6):
-        spare = 0
-        for _ in range(30):
+    for light in range(1, 5):
+        for spare in sorted({*range(2, 9), *(need * k // 8 for k in range(1, 13))}):
             parts = need + spare
-            mean = parts * sum(_poisson(low / parts, k) for k in range(light))
-            now = math.ceil(mean + 3 * math.sqrt(mean))
-            if now <= spare:
-                break
-            spare = now
-        else:
-            continue  # more segments only make more light ones
-        parts = need + spare
-        m = low / parts
-        cost = sum(parts * _poisson(m, k) * (1 + price(k)) for k in range(light, 64)) if m < 40 else parts
-        cost += 0.002 * parts * sum(_poisson(m, k) * price(k) for k in range(light))
-        if best is None or cost < best[0]:
-            best = (cost, parts, 0, spare, light)
+            sizes = _sizes(low, parts, 8)
+            share = sum(sizes[:light])
+            mean = parts * share
+            over = max(0.0, 1 - sum(_poisson(mean, k) for k in range(spare + 1)))
+            cost = parts * (1 - share) + parts * sum(sizes[k] * price(k) for k in range(light, 8))
+            # Sets of too many light segments send these as well; what is spare beside them holds off frequent keys.
+            cost += over * parts * sum(sizes[k] * price(k) for k in range(light)) + 2.0 * need / (1 + max(0.0, spare - mean))
+            if best is None or cost < best[0]:
+                best = (cost, parts, 0, spare, light)
     exact, ones, spare, light = best[1:]
     return exact, ones, spare, light
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """The bucket keys of a set (sorted distinct hashes) in its own band and the next, where smaller partners of that band's sets lie."""
+def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket keys of a set (sorted distinct hashes) in its own band and the next, where smaller partners of that band's sets lie.
+
+    With each key comes its band and, in the last twelve bits, one more than the number of further segments
+    that the set may leave out there; zero: none."""
     n = len(s)
     ranges = bands(percent, 1 << (8 * n + 64).bit_length())
     own = next(i for i, (a, b) in enumerate(ranges) if a <= n <= b)
-    out = []
+    keys, tags = [], []
     for k in (own, own + 1):
         low, high = ranges[k]
         if k > own and 100 * n < percent * low:
@@ -111,21 +125,24 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
             continue  # only equal sets link, and those are one class already
         parts = exact + ones
         m = mix(s + U(0xD1342543DE82EF95))
-        seg = (m >> U(33)) % U(parts)
-        seg = seg.astype(np.int64)
+        seg = ((m >> U(33)) % U(parts)).astype(np.int64)
         total = np.zeros(parts, dtype=U)
         np.add.at(total, seg, m)
         size = np.bincount(seg, minlength=parts)
         tag = mix(np.arange(parts, dtype=U) + U((k + 1) << 32))
-        if light and int((size < light).sum()) <= spare:
-            own_keys = mix(total + tag)[size >= light]
-        else:
-            own_keys = mix(total + tag)
-        out.append(own_keys)
+        n_light, left = int((size < light).sum()), 0
+        got = mix(total + tag)
+        if light and n_light <= spare:
+            got, left = got[size >= light], min(spare - n_light, 4000) + 1
         if ones:
             cut = seg >= exact
-            out.append(mix(total[seg[cut]] - m[cut] + tag[seg[cut]]))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=U)
+            got = np.concatenate((got, mix(total[seg[cut]] - m[cut] + tag[seg[cut]])))
+        keys.append(got)
+        tags.append(np.full(len(got), (k << 12) + left, dtype=np.int32))
+    if not keys:
+        return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int32)
+    keys, at = np.unique(np.concatenate(keys), return_index=True)
+    return keys, np.concatenate(tags)[at]
 
 
 def text_sets(texts: list, words: int) -> Iterator[np.ndarray]:
@@ -147,6 +164,17 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of `size` bytes; halves of longer ones are added up."""
+    out = np.empty((len(sketches), size), dtype=np.uint8)
+    for i, x in enumerate(sketches):
+        a = np.frombuffer(x, dtype=np.uint8)
+        while len(a) > size:
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        out[i] = a
+    return out
+
+
 def apart_at_least(x: bytes, y: bytes) -> int:
     """How many elements two sketched sets differ in at the least; a longer sketch folds onto a shorter one."""
     a, b = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
@@ -169,25 +197,26 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
 
 
 def postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(sig, fp): the bucket keys of every set; a set met before in the same task brings none again."""
+    """(sig, fp, tag): the bucket keys of every set; a set met before in the same task brings none again."""
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for f in frames:
-            keys, fps, held = [], [], 0
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            size = 0
             for s in text_sets(f["text"].tolist(), words):
                 if len(s) and (fp := fingerprint(s)) not in seen:
                     seen.add(fp)
-                    keys.append(signatures(s, percent).view(np.int64))
-                    fps.append(np.full(len(keys[-1]), fp, dtype=np.int64))
-                    held += len(keys[-1])
-                    if held > 200_000:
-                        yield pd.DataFrame({"sig": np.concatenate(keys), "fp": np.concatenate(fps)})
-                        keys, fps, held = [], [], 0
-            if keys:
-                yield pd.DataFrame({"sig": np.concatenate(keys), "fp": np.concatenate(fps)})
+                    keys, tags = signatures(s, percent)
+                    held.append((keys.view(np.int64), np.full(len(keys), fp, dtype=np.int64), tags))
+                    size += len(keys)
+                    if size > 200_000:
+                        yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("sig", "fp", "tag"), zip(*held, strict=True), strict=True)})
+                        held, size = [], 0
+            if held:
+                yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("sig", "fp", "tag"), zip(*held, strict=True), strict=True)})
 
-    return docs.select("text").mapInPandas(of, "sig long, fp long")
+    return docs.select("text").mapInPandas(of, "sig long, fp long, tag int")
 
 
 def _verify(percent: int):
@@ -217,6 +246,41 @@ def hopeful(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("d", least("s_a", "s_b")).where(F.col("d") * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
+def across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket, of different components, that sizes and sketches do not rule out.
+
+    members(sig, fp, comp, main, n, sketch, size): those outside the main component are held against all, in blocks
+    of some BLOCK sets, so that no task holds a whole bucket."""
+    salt = F.pmod(F.xxhash64("fp"), F.ceil(F.col("size") / BLOCK))
+    parts = ("fp", "comp", "n", "sketch")
+
+    def blocks(rows: DataFrame, mark: str) -> DataFrame:
+        got = rows.groupBy("sig", salt.alias("salt")).agg(F.collect_list(F.struct(*parts)).alias("l"))
+        return got.select("sig", *[F.col(f"l.{c}").alias(f"{mark}_{c}") for c in parts])
+
+    both = blocks(members.where("comp <> main"), "x").join(blocks(members, "y"), "sig").drop("sig")
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            left, right = [], []
+            for r in f.itertuples():
+                x_fp, y_fp = np.asarray(r.x_fp), np.asarray(r.y_fp)
+                x_n, y_n, y_comp = np.asarray(r.x_n), np.asarray(r.y_n), np.asarray(r.y_comp)
+                short = min(min(map(len, r.x_sketch)), min(map(len, r.y_sketch)))
+                x_s, y_s = folded(r.x_sketch, short), folded(r.y_sketch, short)
+                for i in range(len(x_fp)):
+                    at = np.flatnonzero((y_comp != r.x_comp[i]) & (100 * np.minimum(y_n, x_n[i]) >= percent * np.maximum(y_n, x_n[i])))
+                    if len(at):
+                        d = np.bitwise_count(y_s[at] ^ x_s[i]).sum(axis=1, dtype=np.int64)
+                        at = at[d * (100 + percent) <= (100 - percent) * (y_n[at] + x_n[i])]
+                        left.append(np.minimum(y_fp[at], x_fp[i]))
+                        right.append(np.maximum(y_fp[at], x_fp[i]))
+            if left:
+                yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
+
+    return both.mapInPandas(of, "a long, b long")
+
+
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of fingerprints whose whole sets reach the threshold, with the number of elements they differ in."""
     left = sets.select(F.col("fp").alias("b"), F.col("items").alias("items_b"), F.col("n").alias("n_b"))
@@ -226,14 +290,33 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both
 
 
+def buckets(met: DataFrame) -> DataFrame:
+    """(sig, fp, pivot): the buckets of two sets and more that are to be looked at, and the set that the others are held against first.
+
+    A frequent key is one of more than FREQUENT rows. Of its frequent keys in a band a set leaves out the most
+    frequent ones, as many as spare segments are left beside its light ones. Two qualifying sets agree in more
+    segments than there are spare ones; if all of these are light or frequent, the least frequent of them is
+    left out by neither. The pivot is the set whose keys most others share: near copies of one text stand
+    closest to it."""
+    seldom = met.where(F.col("m") <= FREQUENT).select("sig", "fp")
+    often = met.where(F.col("m") > FREQUENT).withColumns({"band": F.shiftright("tag", 12), "left": F.col("tag").bitwiseAND(4095) - 1})
+    by_count = Window.partitionBy("fp", "band").orderBy(F.desc("m"), "sig")
+    kept = seldom.unionByName(often.withColumn("r", F.row_number().over(by_count)).where("r > left").select("sig", "fp"))
+    centre = met.groupBy("fp").agg(F.sum("m").alias("w"))
+    best = kept.join(centre, "fp").groupBy("sig").agg(F.max(F.struct("w", "fp")).alias("p"), F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("sig", F.col("p.fp").alias("pivot"))
+    return kept.join(best, "sig").select("sig", "fp", "pivot")
+
+
 def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs(doc_id, text)`: doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard >= percent/100)."""
     importable(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prof = stage(profiles(docs, words), "jaccard-profiles")
     bucket = Window.partitionBy("sig")
-    pivot = postings(docs, words, percent).withColumns({"pivot": F.min("fp").over(bucket), "far": F.max("fp").over(bucket)})
-    met = stage(pivot.where("pivot <> far").select("sig", "fp", "pivot").distinct(), "jaccard-buckets")
+    pivot = postings(docs, words, percent).withColumns({"pivot": F.min("fp").over(bucket), "far": F.max("fp").over(bucket), "m": F.count("*").over(bucket)})
+    met = stage(pivot.where("pivot <> far").groupBy("sig", "fp").agg(F.first("pivot").alias("pivot"), F.first("m").alias("m"), F.min("tag").alias("tag")), "jaccard-met")
+    # Keys that many sets share are left out by sets that still may leave out as many segments; see `buckets`.
+    met = stage(buckets(met), "jaccard-buckets")
     rep = prof.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     base = prof.select("doc_id", F.col("n").alias("n_shingles"), "fp")
     if met.isEmpty():
@@ -262,18 +345,12 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         edges = seen.where("linked").select("a", "b")
         label = components(edges)
         # Then, in buckets that still hold members of several components, those outside the most frequent
-        # component against all others; pairs whose distances to a common pivot rule a link out are left out.
+        # component against all others; pairs that their sketches rule out are left out.
         placed = met.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-        tops = placed.groupBy("sig", "comp").count().groupBy("sig").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1")
-        dist = seen.select(F.col("a").alias("pivot"), F.col("b").alias("fp"), "d")
-        apart = placed.join(tops, "sig").join(known.select("fp", "n"), "fp").join(dist, ["pivot", "fp"], "left")
-        apart = stage(apart.select("sig", "fp", "pivot", "comp", "main", "n", F.when(F.col("fp") == F.col("pivot"), 0).otherwise(F.col("d")).alias("d")), "jaccard-apart")
-        x, y = apart.where("comp <> main and fp <> pivot").alias("x"), apart.where("fp <> pivot").alias("y")
-        far = F.abs(F.col("x.d") - F.col("y.d")) * (100 + percent) > (100 - percent) * (F.col("x.n") + F.col("y.n"))
-        alike = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-        more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & alike & ~F.coalesce(far, F.lit(False)))
-        more = more.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-        more = stage(hopeful(more, known, percent), "jaccard-more")
+        tops = placed.groupBy("sig", "comp").count().groupBy("sig").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("size"), F.count("*").alias("k")).where("k > 1")
+        apart = placed.join(tops, "sig").join(known.select("fp", "n", "sketch"), "fp").select("sig", "fp", "comp", "main", "n", "sketch", "size")
+        more = across(stage(apart, "jaccard-apart"), percent).distinct().join(first, ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        more = stage(more, "jaccard-more")
         if not more.isEmpty():
             lacking = more.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(sets.select("fp"), "fp", "left_anti")
             if not lacking.isEmpty():
