@@ -310,7 +310,7 @@ def minutes_zh(seconds: Column) -> Column:
 def rate_to_speed(rate: Column) -> Column:
     """`+20%` -> 1.2, within 0.5 and 2; anything else 1."""
     r = F.regexp_replace(F.trim(rate), "%$", "").try_cast("double")
-    return F.coalesce(F.greatest(F.lit(0.5), F.least(F.lit(2.0), 1 + r / 100)), F.lit(1.0))
+    return F.when(r.isNull(), 1.0).otherwise(F.greatest(F.lit(0.5), F.least(F.lit(2.0), 1 + r / 100)))
 
 
 def mp3_seconds(size: Column) -> Column:

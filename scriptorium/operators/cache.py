@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from scriptorium.functions import text as T
 from scriptorium.operators import glossary as G
@@ -83,7 +84,7 @@ def complete(rows: DataFrame, prompt: str, call: Callable[[list[str]], list[str]
                     errors.append(error)
             yield f.assign(value=values, error=errors)
 
-    schema = rows.schema.add("value", "string").add("error", "string")
+    schema = StructType([*rows.schema.fields, StructField("value", StringType()), StructField("error", StringType())])
     return rows.mapInPandas(of, schema)
 
 
