@@ -26,6 +26,11 @@ def digest_key(model: str, version: str, src_hash: Column) -> Column:
     return T.content_key(F.lit("D"), F.lit(model), F.lit(version), src_hash)
 
 
+def audio_key(provider: str, model: str, voice: str, rate: str, pitch: str, spoken: Column) -> Column:
+    """What a segment's speech depends on, the model included."""
+    return T.content_key(*[F.lit(x) for x in ("T", provider, model, voice, rate, pitch)], spoken)
+
+
 def keyed(segments: DataFrame, terms: DataFrame, model: str, version: str) -> DataFrame:
     """Segments with the cache key of their translation."""
     hits = G.hits(segments.select("sid", "src_text"), terms.where(F.col("mode") == G.HINT))

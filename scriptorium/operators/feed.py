@@ -13,10 +13,11 @@ ITEM = (
     "pmid string, doi string, doc_id string, journal string, journal_abbr string, title_en string, abstract string, pub_date string, entrez_date string, "
     "pmc string, term_field string, ptypes array<string>, status string, first_seen string, shown_in array<string>, title_zh string, brief string, detail string"
 )
-# Characters a message may have and messages a push may have, per channel.
+# Characters a message may have and messages a push may have, per channel; texts of messages and commands.
 POLICY = {"wechat": (3500, 1), "telegram": (3800, 6), "discord": (1900, 10)}
 NOTE_RESERVE = 180
 HTML_LIMIT = 19_000
+RUN_COMMAND = "python tools/run_pipeline.py "
 TAIL = "挑好后在电脑上运行：python tools/build_digest.py --pick 1 5 9"
 
 
@@ -95,7 +96,7 @@ def with_urls(items: DataFrame) -> DataFrame:
         "has_abstract": F.coalesce(F.length(F.trim("abstract")) > 0, F.lit(False)),
         "url_pubmed": F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), "pmid", F.lit("/")),
         "url_doi": F.when(some, F.concat(F.lit("https://doi.org/"), "doi")).otherwise(""),
-        "run_command": F.concat(F.lit("python tools/run_pipeline.py "), "doc_id", F.lit(" --field "), "term_field"),
+        "run_command": F.concat(F.lit(RUN_COMMAND), "doc_id", F.lit(" --field "), "term_field"),
     })
 
 
