@@ -80,6 +80,27 @@ SQL: dict[str, str] = {
               FROM d JOIN t ON t.prefix = d.k >> (60 - t.depth) WHERE t.bytes <= {shard.BYTE_LIMIT})
         SELECT doc_id, 'r' || CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, depth,
                CAST(bytes AS BIGINT) AS shard_bytes, n AS shard_rows, false AS oversized FROM c WHERE r = 1""",
+    "op3_mixing": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS k, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+        p AS (SELECT k, CAST(CASE k {" ".join(f"WHEN 's{k}' THEN {v}" for k, v in mixing.TARGET_PARTS.items())} ELSE {mixing.DEFAULT_PARTS} END AS BIGINT) AS parts FROM (SELECT DISTINCT k FROM d)),
+        w AS (SELECT k, parts, CAST(sum(parts) OVER () AS BIGINT) AS total FROM p),
+        s AS (SELECT CAST(0 AS BIGINT) AS slot, k, parts, total, CAST(0 AS BIGINT) AS done, row_number() OVER (ORDER BY (total + parts - 1) // parts, k) = 1 AS pick FROM w
+              UNION ALL
+              SELECT slot + 1, k, parts, total, done2, row_number() OVER (ORDER BY CASE WHEN done2 * total // parts <= slot + 1 THEN 0 ELSE 1 END, ((done2 + 1) * total + parts - 1) // parts, k) = 1
+              FROM (SELECT *, done + CASE WHEN pick THEN 1 ELSE 0 END AS done2 FROM s) WHERE slot + 1 < total),
+        o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY h, doc_id) - 1 AS ordinal FROM d),
+        b AS (SELECT *, ordinal // {mixing.BLOCK_ROWS} AS block FROM o)
+        SELECT b.doc_id, b.source, b.block, (b.block // s.parts) * s.total + s.slot AS slot, b.ordinal FROM b JOIN s ON s.k = b.k AND s.pick AND s.done = b.block % s.parts""",
+    "op4_line_dedup": rf"""
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
+        w AS (SELECT *, [CASE WHEN regexp_matches(x, '[0-9]') THEN '' ELSE x END FOR x IN regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+')] AS w FROM l),
+        k AS (SELECT doc_id, no, v || '|' || array_to_string(CASE WHEN v = 0 THEN w ELSE list_transform(w, lambda x, i: CASE WHEN i > {linededup.LEADING} AND (i - 1 - {linededup.LEADING}) * {linededup.BLOCKS} // (len(w) - {linededup.LEADING}) = v - 1 THEN '' ELSE x END) END, ' ') AS key
+              FROM w, range(0, {linededup.BLOCKS + 1}) r(v) WHERE len(w) > 0 AND (v = 0 OR len(w) >= {linededup.BLOCK_TOKENS})),
+        f AS (SELECT key FROM k GROUP BY 1 HAVING count(DISTINCT doc_id) >= {linededup.MIN_DOCS}),
+        g AS (SELECT DISTINCT doc_id, no FROM k WHERE key IN (SELECT key FROM f)),
+        c AS (SELECT l.doc_id, count(*) AS n_lines, count(g.no) AS n_dropped, coalesce(string_agg(CAST(g.no AS VARCHAR), ',' ORDER BY l.no) FILTER (WHERE g.no IS NOT NULL), '') AS dropped,
+                     coalesce(string_agg(l.line, chr(10) ORDER BY l.no) FILTER (WHERE g.no IS NULL), '') AS kept FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.no = l.no GROUP BY 1)
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped, '') AS dropped, length(kept) AS kept_chars, md5(kept) AS kept_md5 FROM documents d LEFT JOIN c USING (doc_id)""",
     "op5_ngram_jaccard": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
