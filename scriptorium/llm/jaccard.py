@@ -35,8 +35,8 @@ from .kernel import U, components, importable, mix, shingles, slices, stage, wor
 PRICE = 256.0
 #: Keys of more rows than this are frequent.
 FREQUENT = 16
-#: Sets in a block of a large bucket.
-BLOCK = 512
+#: Buckets of up to so many sets are joined pair by pair, larger ones in blocks of so many sets.
+SMALL, BLOCK = 32, 512
 
 
 @lru_cache(maxsize=4096)
@@ -348,8 +348,13 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         # component against all others; pairs that their sketches rule out are left out.
         placed = met.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
         tops = placed.groupBy("sig", "comp").count().groupBy("sig").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("size"), F.count("*").alias("k")).where("k > 1")
-        apart = placed.join(tops, "sig").join(known.select("fp", "n", "sketch"), "fp").select("sig", "fp", "comp", "main", "n", "sketch", "size")
-        more = across(stage(apart, "jaccard-apart"), percent).distinct().join(first, ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        apart = stage(placed.join(tops, "sig").select("sig", "fp", "comp", "main", "size"), "jaccard-apart")
+        x, y = apart.where(F.col("size") <= SMALL).where("comp <> main").alias("x"), apart.where(F.col("size") <= SMALL).alias("y")
+        few = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")))
+        few = hopeful(few.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct(), known, percent)
+        many = across(apart.where(F.col("size") > SMALL).join(known.select("fp", "n", "sketch"), "fp"), percent)
+        both_ways = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        more = few.unionByName(many).distinct().join(both_ways, ["a", "b"], "left_anti")
         more = stage(more, "jaccard-more")
         if not more.isEmpty():
             lacking = more.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(sets.select("fp"), "fp", "left_anti")
