@@ -1,10 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The test items are a stated query set, taken in blocks of bounded size; each block is held against all
-passages. A first pass counts in how many documents each of the block's word n-grams occurs; an item keeps
-as seeds those that are rare by the standard of its own n-grams. A second pass finds the seeds in every
-document and aligns the item with the passage around them, word by word (match 1, mismatch and gap -1).
+passages. Every word n-gram of an item is a seed, however many documents hold it: copies of one passage
+make its n-grams frequent, so that frequency can't tell a copy from a common phrase. The seeds are found in
+every document, and the item is aligned with the passage around them, word by word (match 1, mismatch and
+gap -1); a bound by common words leaves out passages that can't reach the threshold.
 A document is contaminated by an item where the best local score reaches `threshold` of the item's words.
+A passage that shares no `SEED_WORDS` words in a row with the item has no seed and is not found.
 
 Items of fewer than `min_words` words can't be told from chance and take no part. Null and empty texts
 match nothing; null ids are kept as they are. Repeated rows are each reported once per item. Extra columns
@@ -26,6 +28,8 @@ SEED_WORDS = 4
 MIN_WORDS = 8
 THRESHOLD = 0.4
 BLOCK_BYTES = 8 << 20
+#: Meetings of seeds and items that are looked at in one go, but for those of a single document.
+MEETINGS = 1 << 20
 
 
 class Items:
@@ -46,15 +50,6 @@ class Items:
         at = np.argsort(self.gram, kind="stable")
         self.gram, self.item, self.place = self.gram[at], self.item[at], self.place[at]
 
-    def rare(self, counts: dict[int, int]) -> None:
-        """Keep as seeds those n-grams of an item that at most four times as many documents hold as its median one."""
-        n = np.array([counts.get(int(g), 0) for g in self.gram.view(np.int64)], dtype=np.int64)
-        keep = np.zeros(len(n), dtype=bool)
-        for k in range(len(self.ids)):
-            own = self.item == k
-            keep[own] = n[own] <= 4 * np.median(n[own]) + 4
-        self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
-
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """The best Smith-Waterman score of two word sequences and its end in `b` (linear gaps; one vector step for each word of `a`)."""
@@ -71,6 +66,47 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def passages(items: Items, h: np.ndarray, offs: np.ndarray, at: np.ndarray, hits: np.ndarray, low: np.ndarray, count: np.ndarray, threshold: float, known: dict[tuple[int, bytes], int]) -> Iterator[tuple[int, int, int]]:
+    """(text number, item number, score) where `hits`, places of seeds, each of `count` items from `low` on, lead to a passage that reaches the threshold."""
+    seed = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    where = np.repeat(hits, count)
+    doc = np.searchsorted(at, where, side="right") - 1
+    begin = where - at[doc] - items.place[seed]
+    item = items.item[seed]
+    order = np.lexsort((begin, item, doc))
+    doc, item, begin = doc[order], item[order], begin[order]
+    size = np.array([len(w) for w in items.words])[item]
+    # Seeds of one item whose diagonals lie within half its length belong to one passage.
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > size[1:] // 2)
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(doc)) - 1
+    best: dict[tuple[int, int], int] = {}
+    for s, e in zip(starts, ends, strict=True):
+        d, k = int(doc[s]), int(item[s])
+        n = len(items.words[k])
+        need = int(np.ceil(threshold * n))
+        if best.get((d, k), 0) >= n:
+            continue
+        left = max(offs[d], offs[d] + begin[s] - n // 2)
+        right = min(offs[d + 1], offs[d] + begin[e] + n + n // 2)
+        part = h[left:right]
+        if len(part) < need:
+            continue
+        # A score needs as many words in common; a cheap bound before the alignment.
+        if int(np.isin(items.words[k], part).sum()) < need:
+            continue
+        mark = (k, part.tobytes())
+        if mark not in known:
+            if len(known) > 20_000:
+                known.clear()
+            known[mark] = align(items.words[k], part)[0]
+        best[d, k] = max(best.get((d, k), 0), known[mark])
+    for (d, k), score in best.items():
+        if score >= threshold * len(items.words[k]):
+            yield d, k, score
+
+
 def matches(items: Items, texts: list, threshold: float) -> Iterator[tuple[int, int, int]]:
     """(text number, item number, score) for each contaminated text."""
     if not len(items.gram):
@@ -84,44 +120,11 @@ def matches(items: Items, texts: list, threshold: float) -> Iterator[tuple[int,
         hits = np.flatnonzero(items.gram[lo] == g)
         if not len(hits):
             continue
-        last = np.searchsorted(items.gram, g[hits], side="right")
-        count = last - lo[hits]
-        seed = np.repeat(lo[hits], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        where = np.repeat(hits, count)
-        doc = np.searchsorted(at, where, side="right") - 1
-        begin = where - at[doc] - items.place[seed]
-        item = items.item[seed]
-        order = np.lexsort((begin, item, doc))
-        doc, item, begin = doc[order], item[order], begin[order]
-        size = np.array([len(w) for w in items.words])[item]
-        # Seeds of one item whose diagonals lie within half its length belong to one passage.
-        new = np.ones(len(doc), dtype=bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > size[1:] // 2)
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(doc)) - 1
-        best: dict[tuple[int, int], int] = {}
-        for s, e in zip(starts, ends, strict=True):
-            d, k = int(doc[s]), int(item[s])
-            n = len(items.words[k])
-            need = int(np.ceil(threshold * n))
-            if best.get((d, k), 0) >= n:
-                continue
-            left = max(offs[d], offs[d] + begin[s] - n // 2)
-            right = min(offs[d + 1], offs[d] + begin[e] + n + n // 2)
-            part = h[left:right]
-            if len(part) < need:
-                continue
-            # A score needs as many words in common; a cheap bound before the alignment.
-            if int(np.isin(items.words[k], part).sum()) < need:
-                continue
-            mark = (k, part.tobytes())
-            if mark not in known:
-                if len(known) > 20_000:
-                    known.clear()
-                known[mark] = align(items.words[k], part)[0]
-            best[d, k] = max(best.get((d, k), 0), known[mark])
-        for (d, k), score in best.items():
-            if score >= threshold * len(items.words[k]):
+        count = np.searchsorted(items.gram, g[hits], side="right") - lo[hits]
+        begun = np.flatnonzero(np.diff(np.searchsorted(at, hits, side="right"), prepend=-1))
+        cuts = begun[np.flatnonzero(np.diff((np.cumsum(count) - count)[begun] // MEETINGS, prepend=-1))]
+        for x, y in zip(cuts, np.append(cuts[1:], len(hits)), strict=True):
+            for d, k, score in passages(items, h, offs, at, hits[x:y], lo[hits[x:y]], count[x:y], threshold, known):
                 yield first + d, k, score
 
 
@@ -135,38 +138,12 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
         yield Items([r["item_id"] for r in part], [r["text"] for r in part])
 
 
-def seeded(docs: DataFrame, items: Items) -> Items:
-    """Count the documents that hold each n-gram of the block, and keep the rare ones as seeds."""
-    grams = np.unique(items.gram)
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(len(grams), dtype=np.int64)
-        for f in frames:
-            for _, run in slices(f["text"].tolist()):
-                h, offs, _ = word_hashes(run)
-                g, at = shingles(h, offs, SEED_WORDS)
-                lo = np.searchsorted(grams, g)
-                lo[lo == len(grams)] = 0
-                hit = np.flatnonzero(grams[lo] == g)
-                doc = np.searchsorted(at, hit, side="right") - 1
-                pair = np.unique(doc * len(grams) + lo[hit])
-                n += np.bincount(pair % len(grams), minlength=len(grams))
-        yield pd.DataFrame({"gram": grams.view(np.int64)[n > 0], "n": n[n > 0]})
-
-    if len(grams):
-        got = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-        items.rare({r["gram"]: r["n"] for r in got})
-    return items
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, similarity (score by item length) of each contaminated document and item."""
     importable(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for items in blocks(benchmark):
-        items = seeded(rows, items)
-
         def of(frames: Iterator[pd.DataFrame], items: Items = items) -> Iterator[pd.DataFrame]:
             for f in frames:
                 got = list(matches(items, f["text"].tolist(), threshold))
@@ -196,5 +173,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """The documents that no test item contaminates; columns as they come."""
     importable(docs.sparkSession)
     for items in blocks(benchmark):
-        docs = docs.where(~leaking(seeded(docs, items), threshold)(F.col("text").cast("string")))
+        docs = docs.where(~leaking(items, threshold)(F.col("text").cast("string")))
     return docs

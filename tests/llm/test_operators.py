@@ -317,6 +317,20 @@ def test_edited_passages_are_found_and_others_left(spark):
     assert {x["doc_id"] for x in decon.keep_clean(d, b).collect()} == set(range(200)) - {i for i, _ in want}
 
 
+@pytest.mark.parametrize("copies", [5, 50, 1000])
+def test_an_edited_passage_is_found_however_often_it_occurs(spark, copies):
+    r, words = random.Random(13), vocabulary(13, 3000)
+    item = text_of(words, 40, r)
+    p = item.split(" ")
+    for i in (0, 4, 8, 12, 16, 20, 24, 35):
+        p[i] = f"other{i}"
+    assert naive_alignment(item.split(" "), p) >= 0.4 * 40
+    docs = [(i, " ".join([text_of(words, 30, r), *(p if i < copies else []), text_of(words, 30, r)])) for i in range(copies + 20)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {x["doc_id"] for x in decon.contaminated(d, b).collect()} == set(range(copies))
+    assert {x["doc_id"] for x in decon.keep_clean(d, b).collect()} == set(range(copies, copies + 20))
+
+
 def test_every_operator_is_registered():
     names = list(registry.queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
