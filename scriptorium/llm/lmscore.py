@@ -1,11 +1,14 @@
 """LM scoring by cross-entropy difference.
 
 Two matched bigram models, one of the target texts and one of the background (all documents), share one
-vocabulary: the words of the corpus, hashed into a fixed number of slots, and pairs of words likewise.
-Counts cover every word of every document; they are summed per task, sent as packed blocks of slots and
-added up in two steps, so that no task holds more than its blocks. A word's loss under a model is
--log2 of the bigram estimate interpolated with the smoothed unigram; a text's score is the mean over its
-words of target loss less background loss (lower: closer to the target).
+vocabulary: all words of the corpus. Words and pairs of words are counted exactly, by hashes of 63 bits,
+so what is gathered grows with the corpus. The documents are cut into batches; each batch asks for the
+counts of its distinct words and pairs and gives its own along with it, dealt by ranges of the hash. A
+range adds up what the batches gave and answers each of them in the order of its hashes; a batch and its
+answers meet again for the scores. No task holds more than a batch or a range, and the number of both
+follows the text. A word's loss under a model is -log2 of the bigram estimate interpolated with the
+smoothed unigram; a text's score is the mean over its words of target loss less background loss (lower:
+closer to the target).
 
 Target texts are the documents that labels mark as good. Null, empty and blank texts have no words and a
 score of 0. Null ids belong to the background only. An id that labels repeat is one target. Extra columns
@@ -14,149 +17,169 @@ are ignored. Without targets the target model is uniform.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U, importable, mix, slices, word_hashes
+from .kernel import U, importable, mix, slices, stage, word_hashes
 
-#: The size of the shared vocabulary (slots of words) and of the table of word pairs; both bound the model.
-WORD_BITS, PAIR_BITS = 18, 20
-PACK = 1 << 10
-SALTS = 16
+#: Bytes of text in a batch of documents, and for each range of hashes.
+BATCH_BYTES, RANGE_BYTES = 16 << 20, 16 << 20
 PAIR_SHARE = 0.6
+#: The slots of words and pairs in the overview that fit() gives; scores don't use it.
+WORD_BITS, PAIR_BITS = 18, 20
+BATCH = "batch long, range int, keys binary, n binary, t binary, ids array<long>, sizes binary, words binary, pairs binary, starts long, t_starts long"
+ANSWER = "batch long, range int, n binary, t binary"
 
 
-def tokens(run: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word slot and pair slot of each word (the first of a text pairs with the text's start), and the texts' offsets."""
+def hashes(run: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word and of each pair (the first of a text pairs with the text's start), and the texts' offsets."""
     h, offs, _ = word_hashes(run)
     before = np.zeros(len(h), dtype=U)
     before[1:] = h[:-1]
     before[offs[:-1][np.diff(offs) > 0]] = U(0)
-    pair = mix(h + mix(before + U(0x9E3779B97F4A7C15)))
-    return (h >> U(64 - WORD_BITS)).astype(np.int64), (pair >> U(64 - PAIR_BITS)).astype(np.int64), offs
+    return h, mix(h + mix(before + U(0x9E3779B97F4A7C15))), offs
 
 
-def before_slots(word: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """The slot of the word before, -1 at a text's start."""
-    out = np.full(len(word), -1, dtype=np.int64)
-    out[1:] = word[:-1]
-    out[offs[:-1][np.diff(offs) > 0]] = -1
-    return out
+def tokens(run: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word slot and pair slot of each word, and the texts' offsets."""
+    word, pair, offs = hashes(run)
+    return (word >> U(64 - WORD_BITS)).astype(np.int64), (pair >> U(64 - PAIR_BITS)).astype(np.int64), offs
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes: small ones take little room."""
+    return zlib.compress(a.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
 
+def unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(b), dtype=np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
 
-def counted(rows: DataFrame) -> DataFrame:
-    """(model, block, n): packed int32 counts of `rows(text, target)`, blocks of PACK slots; words first, then pairs."""
+
+def batch(number: int, parts: int, ids: list, goal: np.ndarray, word: np.ndarray, pair: np.ndarray, size: np.ndarray) -> pd.DataFrame:
+    """A batch as rows: one (range -1) of its documents, words and pairs as numbers in its sorted keys; one per range of its keys and their counts."""
+    n = len(word)
+    # The lowest bit tells words from pairs.
+    keys, at = np.unique(np.concatenate((word & ~U(1), pair | U(1))), return_inverse=True)
+    own = np.repeat(goal, size)
+    total, target = np.bincount(at, minlength=len(keys)), np.bincount(at[np.concatenate((own, own))], minlength=len(keys))
+    cuts = np.searchsorted(keys, np.array([(r << 64) // parts for r in range(parts)], dtype=U)).tolist() + [len(keys)]
+    some = size > 0
+    none = dict.fromkeys(("keys", "n", "t", "ids", "sizes", "words", "pairs"))
+    rows = [none | {"batch": number, "range": -1, "ids": ids, "sizes": pack(size), "words": pack(at[:n]), "pairs": pack(at[n:]), "starts": int(some.sum()), "t_starts": int((some & goal).sum())}]
+    for r in range(parts):
+        x, y = cuts[r], cuts[r + 1]
+        if y > x:
+            rows.append(none | {"batch": number, "range": r, "keys": pack(np.diff(keys[x:y], prepend=U(0))), "n": pack(total[x:y]), "t": pack(target[x:y]), "starts": 0, "t_starts": 0})
+    return pd.DataFrame(rows)
+
+
+def batches(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The batches of all of `docs(doc_id, text)`, targets by `labels(doc_id, quality)`, in the shared folder."""
+    importable(docs.sparkSession)
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__good")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = int(rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // RANGE_BYTES + 1
+    # The same plan at every size: a broadcast of small label tables would make costs jump where they stop being small.
+    rows = rows.join(good.hint("merge"), rows["doc_id"] == good["__good"], "left").select("doc_id", "text", F.col("__good").isNotNull().alias("target"))
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros((2, (1 << WORD_BITS) + (1 << PAIR_BITS)), dtype=np.int64)
-        starts = np.zeros(2, dtype=np.int64)
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def whole() -> pd.DataFrame:
+            ids, goal, word, pair, n = zip(*held, strict=True)
+            return batch(number, parts, [i for x in ids for i in x], *(np.concatenate(x) for x in (goal, word, pair, n)))
+
         for f in frames:
-            goal = f["target"].to_numpy(dtype=bool)
+            ids, goal = [None if pd.isna(i) else int(i) for i in f["doc_id"]], f["target"].to_numpy(dtype=bool)
             for first, run in slices(f["text"].tolist()):
-                word, pair, offs = tokens(run)
-                n = np.diff(offs)
-                own = np.repeat(goal[first : first + len(run)], n)
-                for m, at in ((0, slice(None)), (1, own)):
-                    table[m, : 1 << WORD_BITS] += np.bincount(word[at], minlength=1 << WORD_BITS)
-                    table[m, 1 << WORD_BITS :] += np.bincount(pair[at], minlength=1 << PAIR_BITS)
-                starts += [(n > 0).sum(), (n[goal[first : first + len(run)]] > 0).sum()]
-        for m in range(2):
-            packs = table[m].reshape(-1, PACK)
-            some = np.flatnonzero(packs.any(axis=1))
-            for part in np.array_split(some, max(1, len(some) // 256)):
-                yield pd.DataFrame({"model": np.full(len(part), m, dtype=np.int32), "block": part.astype(np.int32), "n": [packs[k].astype(np.int64).tobytes() for k in part]})
-            yield pd.DataFrame({"model": np.array([m], dtype=np.int32), "block": np.array([-1], dtype=np.int32), "n": [starts[m : m + 1].tobytes()]})
-
-    return rows.mapInPandas(of, "model int, block int, n binary")
-
-
-def added(packs: DataFrame, parts: int, *keys: str) -> DataFrame:
-    """Adds up packed counts per (model, block) in each partition of the given keys, as they stream by."""
+                word, pair, offs = hashes(run)
+                held.append((ids[first : first + len(run)], goal[first : first + len(run)], word, pair, np.diff(offs)))
+                size += sum(len(b) for b in run)
+                if size >= BATCH_BYTES:
+                    yield whole()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield whole()
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], np.ndarray] = {}
-        for f in frames:
-            for m, b, n in zip(f["model"], f["block"], f["n"], strict=True):
-                got = np.frombuffer(n, dtype=np.int64)
-                if (m, b) in held:
-                    held[m, b] += got
-                else:
-                    held[m, b] = got.copy()
-        items = list(held.items())
-        for i in range(0, len(items), 256):
-            part = items[i : i + 256]
-            yield pd.DataFrame({"model": [k[0] for k, _ in part], "block": [k[1] for k, _ in part], "n": [v.tobytes() for _, v in part]})
-
-    return packs.repartition(parts, *keys).select("model", "block", "n").mapInPandas(of, "model int, block int, n binary")
-
-
-class Models:
-    """Counts of both models; row 0 is the background, row 1 the target."""
-
-    def __init__(self, word: np.ndarray, pair: np.ndarray, starts: np.ndarray):
-        self.word, self.pair, self.starts = word, pair, starts
-        self.total = word.sum(axis=1)
-
-    def loss(self, word: np.ndarray, pair: np.ndarray, prior: np.ndarray) -> np.ndarray:
-        """(2, words): -log2 probability under each model."""
-        out = np.empty((2, len(word)))
-        for m in range(2):
-            single = (self.word[m][word] + 1.0) / (self.total[m] + (1 << WORD_BITS))
-            both = self.pair[m][pair]
-            context = np.where(prior >= 0, self.word[m][prior], self.starts[m])
-            # Slots that several words share can hold more pairs than contexts: then the pair's own count stands below.
-            seen = both / np.maximum(np.maximum(context, both), 1)
-            out[m] = -np.log2(PAIR_SHARE * seen + (1 - PAIR_SHARE) * single)
-        return out
+    return stage(rows.mapInPandas(of, BATCH), "lm-batches")
+
+
+def answered(asked: DataFrame) -> DataFrame:
+    """Each batch's keys' counts over the whole corpus, in the order of the keys; as batch -1, each range's number of words, and of their occurrences."""
+
+    def of(f: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.cumsum(unpack(b), dtype=U) for b in f["keys"]]
+        whole, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n, t = (np.bincount(at, weights=np.concatenate([unpack(b) for b in f[c]]).astype(np.float64)).astype(np.int64) for c in ("n", "t"))
+        words = whole & U(1) == 0
+        r, ends = int(f["range"].iloc[0]), np.cumsum([len(k) for k in keys])
+        rows = [(int(b), r, pack(n[at[e - len(k) : e]]), pack(t[at[e - len(k) : e]])) for b, k, e in zip(f["batch"], keys, ends, strict=True)]
+        rows.append((-1, r, pack(np.array([words.sum(), n[words].sum()])), pack(np.array([t[words].sum()]))))
+        return pd.DataFrame(rows, columns=["batch", "range", "n", "t"])
+
+    rows = asked.where("range >= 0").select("batch", "range", "keys", "n", "t").groupBy("range").applyInPandas(of, ANSWER)
+    return stage(rows, "lm-counts")
+
+
+class Models(NamedTuple):
+    """Counts of both models by slot; row 0 is the background, row 1 the target."""
+
+    word: np.ndarray
+    pair: np.ndarray
+    starts: np.ndarray
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Models:
-    """Count target and background over all of `docs(doc_id, text)`; targets by `labels(doc_id, quality)`."""
-    spark = docs.sparkSession
-    importable(spark)
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__good")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # The same plan at every size: a broadcast of small label tables would make costs jump where they stop being small.
-    rows = rows.join(good.hint("merge"), rows["doc_id"] == good["__good"], "left").select("text", F.col("__good").isNotNull().alias("target"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packs = counted(rows).withColumn("salt", F.spark_partition_id() % SALTS)
-    packs = added(packs, parts, "model", "block", "salt")
-    packs = added(packs, parts, "model", "block")
-    table, starts = np.zeros((2, (1 << WORD_BITS) + (1 << PAIR_BITS))), np.zeros(2)
-    for r in packs.toLocalIterator():
-        n = np.frombuffer(bytes(r["n"]), dtype=np.int64)
-        if r["block"] < 0:
-            starts[r["model"]] += n[0]
-        else:
-            table[r["model"], r["block"] * PACK : (r["block"] + 1) * PACK] += n
-    table = table.astype(np.float32)
-    return Models(table[:, : 1 << WORD_BITS], table[:, 1 << WORD_BITS :], starts)
-
-
-def losses(models: Models, text: Column) -> Column:
-    """struct(n_tokens, ce_target, ce_background) of a text column."""
-
-    @F.pandas_udf("n_tokens long, ce_target double, ce_background double")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        out = np.zeros((3, len(texts)))
-        for first, run in slices(texts.tolist()):
-            word, pair, offs = tokens(run)
-            n = np.diff(offs)
-            loss = models.loss(word, pair, before_slots(word, offs))
-            sums = np.concatenate((np.zeros((2, 1)), np.cumsum(loss, axis=1)), axis=1)
-            mean = (sums[:, offs[1:]] - sums[:, offs[:-1]]) / np.maximum(n, 1)
-            out[:, first : first + len(run)] = n, mean[1], mean[0]
-        return pd.DataFrame({"n_tokens": out[0].astype(np.int64), "ce_target": out[1], "ce_background": out[2]})
-
-    return of(text)
+    """An overview of the counts, added up in slots on the driver: for looking at small tables."""
+    out = Models(np.zeros((2, 1 << WORD_BITS)), np.zeros((2, 1 << PAIR_BITS)), np.zeros(2))
+    for r in batches(docs, labels).toLocalIterator():
+        if r["range"] < 0:
+            out.starts[:] += r["starts"], r["t_starts"]
+            continue
+        keys = np.cumsum(unpack(bytes(r["keys"])), dtype=U)
+        word = keys & U(1) == 0
+        for m, n in enumerate((unpack(bytes(r["n"])), unpack(bytes(r["t"])))):
+            np.add.at(out.word[m], (keys[word] >> U(64 - WORD_BITS)).astype(np.int64), n[word])
+            np.add.at(out.pair[m], (keys[~word] >> U(64 - PAIR_BITS)).astype(np.int64), n[~word])
+    return out
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ce_target, ce_background, score for every row of `docs(doc_id, text)`."""
-    models = fit(docs, labels)
-    rows = docs.select("doc_id", losses(models, F.col("text").cast("string")).alias("l"))
-    return rows.select("doc_id", "l.n_tokens", "l.ce_target", "l.ce_background", (F.col("l.ce_target") - F.col("l.ce_background")).alias("score"))
+    asked = batches(docs, labels)
+    answers = answered(asked)
+    every = [(unpack(bytes(r["n"])), unpack(bytes(r["t"]))) for r in answers.where("batch = -1").collect()]
+    vocabulary = int(sum(n[0] for n, _ in every))
+    totals = [int(sum(n[1] for n, _ in every)), int(sum(t[0] for _, t in every))]
+    got = asked.where("range = -1").agg(F.sum("starts").alias("n"), F.sum("t_starts").alias("t")).first()
+    starts = [got["n"] or 0, got["t"] or 0]
+
+    def of(f: pd.DataFrame) -> pd.DataFrame:
+        own = f[f["range"] < 0].iloc[0]
+        rest = f[f["range"] >= 0].sort_values("range")
+        word, pair, size = (unpack(own[c]).astype(np.int64) for c in ("words", "pairs", "sizes"))
+        offs = np.concatenate(([0], np.cumsum(size)))
+        first = np.zeros(len(word), dtype=bool)
+        first[offs[:-1][size > 0]] = True
+        mean = []
+        for m, c in enumerate(("n", "t")):
+            count = np.concatenate([unpack(b) for b in rest[c]] or [np.zeros(0, dtype=U)]).astype(np.float64)
+            single = (count[word] + 1) / (totals[m] + vocabulary)
+            context = np.where(first, starts[m], count[np.roll(word, 1)])
+            loss = -np.log2(PAIR_SHARE * count[pair] / np.maximum(context, 1) + (1 - PAIR_SHARE) * single)
+            sums = np.concatenate(([0.0], np.cumsum(loss)))
+            mean.append((sums[offs[1:]] - sums[offs[:-1]]) / np.maximum(size, 1))
+        return pd.DataFrame({"doc_id": pd.array([None if pd.isna(i) else int(i) for i in own["ids"]], dtype="Int64"), "n_tokens": size, "ce_target": mean[1], "ce_background": mean[0]})
+
+    cols = ["batch", "range", "n", "t", "ids", "sizes", "words", "pairs"]
+    both = asked.where("range = -1").select(*cols).unionByName(answers.where("batch >= 0"), allowMissingColumns=True)
+    rows = both.groupBy("batch").applyInPandas(of, "doc_id long, n_tokens long, ce_target double, ce_background double")
+    rows = rows.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_tokens", "ce_target", "ce_background")
+    return rows.withColumn("score", F.col("ce_target") - F.col("ce_background"))

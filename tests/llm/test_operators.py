@@ -1,9 +1,11 @@
 """The operators against brute force and planted cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -252,6 +254,32 @@ def test_lm_scores_prefer_the_target(spark):
     assert np.array_equal(models.word[1], np.bincount(word[goal], minlength=1 << lmscore.WORD_BITS)) and models.starts.tolist() == [400, 100]
 
 
+def test_lm_counts_are_exact_beyond_any_table_of_slots(spark, monkeypatch):
+    # More distinct words than the 2^18 slots there once were, in several batches and ranges.
+    monkeypatch.setattr(lmscore, "RANGE_BYTES", 1 << 20)
+    monkeypatch.setattr(lmscore, "BATCH_BYTES", 1 << 20)
+    r = random.Random(21)
+    rows = [(i, " ".join(f"w{r.randrange(10**9)}" if r.random() < 0.8 else f"c{r.randrange(50)}" for _ in range(1000))) for i in range(400)] + [(None, "c1 c2"), (7000, "")]
+    labels = [(i, 1, 0) for i in range(0, 400, 3)]
+    got = {x["doc_id"]: x for x in lmscore.scored(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    single, double, start = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
+    for i, t in rows:
+        w = t.split()
+        for m in range(1 + (i is not None and i < 400 and i % 3 == 0)):
+            single[m].update(w)
+            double[m].update(zip([None, *w], w))
+            start[m] += bool(w)
+    assert len(single[0]) > 1 << 18 and len(got) == len(rows)
+
+    def loss(m, w):
+        each = [0.6 * double[m][a, b] / max(1, start[m] if a is None else single[m][a]) + 0.4 * (single[m][b] + 1) / (sum(single[m].values()) + len(single[0])) for a, b in zip([None, *w], w)]
+        return -sum(map(math.log2, each)) / len(each)
+
+    for i in (0, 1, 57, 200, 399, None):
+        w = dict(rows)[i].split()
+        assert got[i]["ce_background"] == pytest.approx(loss(0, w), abs=1e-6) and got[i]["ce_target"] == pytest.approx(loss(1, w), abs=1e-6) and got[i]["n_tokens"] == len(w)
+
+
 def test_language_id_on_held_out_rows(spark):
     r, langs = random.Random(9), {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnop"}
     rows = []
