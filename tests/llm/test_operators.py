@@ -143,6 +143,20 @@ def test_pii_boosting_adds_spans_and_leaves_clean_text(spark):
     assert set(red.values()) == {"my phone is [PHONE] thanks"}
 
 
+def test_pii_finds_common_formats_that_the_base_patterns_miss(spark):
+    r, rows, want = random.Random(15), [], {}
+    for i in range(200):
+        n, host = f"{r.randint(200, 999)}", f"host{r.randint(1, 99)}"
+        for kind, lead, span in (("phone", "my phone is ", f"+1 ({n}) 555-{r.randint(1000, 9999)}"), ("phone", "my phone is ", f"({n}) 555-{r.randint(1000, 9999)}"), ("email", "mail to ", f"jo{n}@{host}.com"), ("email", "mail to ", f"jo{n} at {host} dot com"), ("email", "mail to ", f"jo{n} @ {host}.com")):
+            want[len(rows)] = (kind, len(lead), len(lead) + len(span))
+            rows.append((len(rows), f"{lead}{span} thanks"))
+        for clean in (f"version {r.randint(1, 9)} of items 10 20 30 40 50 60", f"they met at noon{n}. Then all left", f"they write at noon{n}. Then all left"):
+            rows.append((len(rows), clean))
+    for x in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got = [(k, s["s"], s["e"]) for k in ("email", "phone") for s in x[f"all_{k}"]]
+        assert got == ([want[x["doc_id"]]] if x["doc_id"] in want else []), dict(rows)[x["doc_id"]]
+
+
 def test_shards_fit_and_split_only_where_needed(spark):
     r = random.Random(1)
     rows = [(i, "x" * r.randint(0, 400)) for i in range(3000)] + [(9999, "y" * 9000)]
