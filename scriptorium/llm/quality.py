@@ -4,10 +4,13 @@ Bytes have learned embeddings; learned filters of 16 bytes run over the whole te
 responses are max-pooled over overlapping chunks of 512 bytes (steps of 256) that cover every byte; each
 chunk gives one logit, and the mean over a text's chunks, through a logistic function, is its probability
 of good quality. Training (Adam, back-propagation through the chunk maxima) runs on the driver over a
-bounded sample of labelled rows, about `sample_rows` of each label by hash of the id, whole texts. Every
-text is scored whole, in slices of bounded memory.
+bounded sample of labelled rows: about `sample_rows` of each label by hash of the id, whole texts, none of
+more than `sample_bytes`. Every text is scored whole, in slices of bounded memory.
 
-Null and empty texts are one chunk of zero bytes. Null ids are held in neither fold and never learnt from.
+For scoring the trained weights are rounded to whole numbers of 8 bits, so that all sums of a window and of a
+chunk are exact and a text's score is a function of its bytes alone, to the bit, whatever stands beside it.
+
+Null and empty texts are one chunk of zero bytes. Rows that repeat are scored each, equal texts alike. Null ids are held in neither fold and never learnt from.
 Labels that repeat for an id count each; null labels are left out. Without labels of both kinds every
 score is 0.5. Extra columns are ignored. An empty table gives an empty result.
 """
@@ -28,11 +31,17 @@ PER_BLOCK = BLOCK // STRIDE
 SLICE = 1 << 19
 
 
-def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts, each filled with zeros to whole blocks, and the number of blocks of each."""
+def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, the number of blocks of each, and the windows that belong to a text.
+
+    Each text is filled with zeros to whole blocks and then by what its last window needs beyond them, so that no
+    window reaches into another text; the windows that start in this rest belong to none."""
     blocks = np.array([max(1, -(-len(t) // BLOCK)) for t in texts])
-    out = b"".join(t + b"\0" * (n * BLOCK - len(t)) for t, n in zip(texts, blocks, strict=True)) + b"\0" * (WIDTH - STRIDE)
-    return np.frombuffer(out, dtype=np.uint8), blocks
+    rest = WIDTH - STRIDE
+    out = b"".join(t + b"\0" * (n * BLOCK + rest - len(t)) for t, n in zip(texts, blocks, strict=True))
+    per = blocks * PER_BLOCK
+    own = np.arange(per.sum()) + np.repeat(np.arange(len(texts)) * (rest // STRIDE), per)
+    return np.frombuffer(out, dtype=np.uint8), blocks, own
 
 
 class Network:
@@ -53,13 +62,12 @@ class Network:
         n = (len(raw) - (WIDTH - STRIDE)) // STRIDE
         return np.lib.stride_tricks.as_strided(e, (n, WIDTH * EMBED), (STRIDE * EMBED * 4, 4))
 
-    def pooled(self, raw: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per chunk: the largest response of each filter, and the window it came from; the text of each chunk."""
-        x = self.windows(raw)
-        resp = (x @ self.filters).reshape(-1, PER_BLOCK, FILTERS)
+    def pooled(self, raw: np.ndarray, blocks: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per block: the largest response of each filter, and the window it came from; the text of each block."""
+        resp = (self.windows(raw) @ self.filters)[own].reshape(-1, PER_BLOCK, FILTERS)
         at = resp.argmax(axis=1)
         top = np.take_along_axis(resp, at[:, None, :], axis=1)[:, 0, :] + self.bias
-        at = at + (np.arange(len(top)) * PER_BLOCK)[:, None]
+        at = own[at + (np.arange(len(top)) * PER_BLOCK)[:, None]]
         return top, at, np.repeat(np.arange(len(blocks)), blocks)
 
     def chunks(self, top: np.ndarray, at: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,16 +79,29 @@ class Network:
         swap = top[second] > top[first]
         return np.where(swap, top[second], top[first]), np.where(swap, at[second], at[first]), text[first]
 
+    def freeze(self) -> None:
+        """Round the weights to whole numbers: products and sums of a window stay below 2^24, those of a chunk below 2^53."""
+        unit = np.abs(self.embed).max() / 127
+        cuts = np.abs(self.filters).max(axis=0) / 127
+        last = self.out * cuts * unit
+        scale = max(float(np.abs(last).max()), 1e-30) / (1 << 14)
+        frozen = Network()
+        frozen.embed, frozen.filters = np.rint(self.embed / unit).astype(np.float32), np.rint(self.filters / cuts).astype(np.float32)
+        frozen.bias = np.rint(np.clip(self.bias / (cuts * unit), -(2.0**22), 2.0**22)).astype(np.float32)
+        frozen.out, frozen.shift = np.rint(last / scale).astype(np.float64), np.rint(self.shift / scale).astype(np.float64)
+        self.frozen, self.scale, self.trained = frozen, scale, True
+
     def logits(self, texts: list[bytes]) -> np.ndarray:
-        raw, blocks = padded(texts)
-        top, _, text = self.chunks(*self.pooled(raw, blocks))
-        chunk = np.maximum(top, 0) @ self.out + self.shift[0]
+        raw, blocks, own = padded(texts)
+        net = self.frozen
+        top, _, text = net.chunks(*net.pooled(raw, blocks, own))
+        chunk = np.maximum(top, 0).astype(np.float64) @ net.out + net.shift[0]
         n = np.bincount(text, minlength=len(texts))
-        return np.bincount(text, weights=chunk, minlength=len(texts)) / n
+        return np.bincount(text, weights=chunk, minlength=len(texts)) * self.scale / n
 
     def gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-        raw, blocks = padded(texts)
-        top, at, text = self.chunks(*self.pooled(raw, blocks))
+        raw, blocks, own = padded(texts)
+        top, at, text = self.chunks(*self.pooled(raw, blocks, own))
         act = np.maximum(top, 0)
         n = np.bincount(text, minlength=len(texts))
         z = np.bincount(text, weights=act @ self.out + self.shift[0], minlength=len(texts)) / n
@@ -115,7 +136,7 @@ class Network:
                     a += 0.1 * (g - a)
                     b += 0.001 * (g * g - b)
                     p -= now * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-        self.trained = True
+        self.freeze()
 
     def scores(self, texts: list) -> np.ndarray:
         out = np.full(len(texts), 0.5)
@@ -133,24 +154,24 @@ class Network:
         return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int) -> list[tuple[str, int]]:
-    """Whole texts and labels, some `rows` of each label by hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int, text_bytes: int) -> list[tuple[str, int]]:
+    """Whole texts of up to `text_bytes` and their labels, some `rows` of each label by hash of the id."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
     at = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30))
     known = labels.where("quality is not null and doc_id is not null").where(fold).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
-    size = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    cut = {y: min(1 << 30, int((1 << 30) * rows / n) + 1) for y, n in size.items() if y in (0, 1)}
-    if len(cut) < 2:
+    size = {r["y"]: r["n"] for r in known.where("y in (0, 1)").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(size) < 2:
         return []
-    keep = F.when(F.col("y") == 1, cut[1]).otherwise(cut[0])
-    known = known.where(F.col("y").isin(0, 1) & (at < keep))
-    texts = docs.where(at < max(cut.values())).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return [(r["text"] or "", r["y"]) for r in texts.join(known, "doc_id").orderBy("doc_id").collect()]
+    cut = {y: min(1 << 30, int((1 << 30) * rows / n) + 1) for y, n in size.items()}
+    known = known.where(F.col("y").isin(0, 1) & (at < F.when(F.col("y") == 1, cut[1]).otherwise(cut[0])))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.where(at < max(cut.values())).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.octet_length("text") <= text_bytes)
+    return [(r["text"], r["y"]) for r in texts.join(known, "doc_id").orderBy("doc_id", "y", "text").collect()]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 1500) -> Network:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 1500, sample_bytes: int = 1 << 18) -> Network:
     net = Network()
-    got = sample(docs, labels, sample_rows)
+    got = sample(docs, labels, sample_rows, sample_bytes)
     y = np.array([y for _, y in got], dtype=np.float64)
     if len(set(y.tolist())) == 2:
         net.fit([t.encode("utf-8", "surrogatepass") for t, _ in got], y)
@@ -166,9 +187,9 @@ def score(net: Network, text: Column) -> Column:
     return of(text)
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 1500) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 1500, sample_bytes: int = 1 << 18) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs(doc_id, text)`."""
     importable(docs.sparkSession)
-    net = train(docs, labels, sample_rows)
+    net = train(docs, labels, sample_rows, sample_bytes)
     rows = docs.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), score(net, F.col("text").cast("string")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
