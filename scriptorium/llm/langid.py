@@ -10,8 +10,11 @@ what calibration texts of the same language show at this length, by a fixed marg
 Learning takes a bounded sample: about `sample_docs` texts a language by hash of the id, whole texts, and
 as many again for calibration; counts are summed on the executors. Every text is scored whole.
 
+A text's score is a function of the text alone: what stands beside it in a batch changes no bit.
+
 Null, empty or letterless texts: `und`, score 0, rejected. Null ids are never learnt from. No labelled
-rows: every text is `und`. Extra columns are ignored; rows that repeat are scored each.
+rows: every text is `und`. Languages of equal cross-entropy: the first by name. Extra columns are ignored;
+rows that repeat are scored each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,23 +50,21 @@ def char_class() -> np.ndarray:
 
 
 def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Normalised code points of all texts and each one's offsets; a text starts and ends with one space."""
+    """Normalised code points of all texts and each one's offsets; a text ends with a space and starts with none."""
     joined = " ".join(texts) + " "
     cp = char_class()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     ends = np.cumsum([len(t) + 1 for t in texts])
     keep = np.ones(len(cp), dtype=bool)
-    keep[1:] = (cp[1:] != 32) | (cp[:-1] != 32)
+    keep[0], keep[1:] = cp[0] != 32, (cp[1:] != 32) | (cp[:-1] != 32)
     keep[ends - 1] = True  # each text's closing space
     count = np.concatenate(([0], np.cumsum(keep)))
     offs = np.concatenate(([0], count[ends]))
     return cp[keep], offs
 
 
-def grams(cp: np.ndarray, offs: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n characters that end at each position; before a text's start stand spaces."""
-    first = np.repeat(offs[:-1], np.diff(offs))
-    here = np.arange(len(cp))
-    h = np.full(len(cp), n, dtype=U)
+def grams(cp: np.ndarray, first: np.ndarray, here: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n characters that end at each position `here`; before `first`, the start of its text, stand spaces."""
+    h = np.full(len(here), n, dtype=U)
     for back in range(n - 1, -1, -1):
         at = here - back
         c = np.where(at >= first, cp[np.maximum(at, 0)], 32).astype(U)
@@ -92,37 +93,39 @@ class Model:
         self.mean, self.spread = np.zeros(len(langs)), np.full(len(langs), np.inf)
 
     def loss(self, cp: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """(texts, languages): summed -log2 probability."""
-        todo = np.arange(len(cp))
+        """(texts, languages): summed -log2 probability; no text may be without a character."""
+        todo, first = np.arange(len(cp)), np.repeat(offs[:-1], np.diff(offs))
         total = np.zeros((len(cp), len(self.langs)), dtype=np.float32)
-        all_g = {k: grams(cp, offs, k) for k in range(1, ORDER + 1)}
         for n in range(ORDER, 0, -1):
-            g = all_g[n][todo]
-            at = np.searchsorted(self.keys[n], g)
-            at[at == len(self.keys[n])] = 0
-            hit = self.keys[n][at] == g if len(self.keys[n]) else np.zeros(len(g), dtype=bool)
+            at, hit = _found(self.keys[n], grams(cp, first, todo, n))
             total[todo[hit]] += self.logp[n][at[hit]]
-            todo = todo[~hit]
+            todo, first = todo[~hit], first[~hit]
             if not len(todo):
                 break
             if n == 1:
                 total[todo] += self.floor
                 break
-            # The context of a missing n-gram: the n-1 characters before.
-            ctx = all_g[n - 1][np.maximum(todo - 1, 0)]
-            at = np.searchsorted(self.bow_keys[n - 1], ctx)
-            at[at == len(self.bow_keys[n - 1])] = 0
-            known = self.bow_keys[n - 1][at] == ctx
-            known &= todo > 0
+            # The context of a missing n-gram: the n-1 characters before, spaces before the text's start.
+            at, known = _found(self.bow_keys[n - 1], grams(cp, first, todo - 1, n - 1))
             total[todo[known]] += self.bow[n - 1][at[known]]
-        sums = np.concatenate((np.zeros((1, len(self.langs))), np.cumsum(total, axis=0, dtype=np.float64)))
-        return -(sums[offs[1:]] - sums[offs[:-1]])
+        # Summed within each text, so that no rounding comes from the texts before it.
+        return -np.add.reduceat(total, offs[:-1], axis=0, dtype=np.float64)
+
+
+def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the asked hashes stand among sorted keys, and whether they do."""
+    if not len(keys):
+        return np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked), dtype=bool)
+    at = np.searchsorted(keys, asked)
+    at[at == len(keys)] = 0
+    return at, keys[at] == asked
 
 
 def gram_counts(cp: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray]:
     """The distinct ORDER-character strings and how often each occurs."""
-    _, at, n = np.unique(grams(cp, offs, ORDER), return_index=True, return_counts=True)
-    first = np.repeat(offs[:-1], np.diff(offs))[at]
+    first = np.repeat(offs[:-1], np.diff(offs))
+    _, at, n = np.unique(grams(cp, first, np.arange(len(cp)), ORDER), return_index=True, return_counts=True)
+    first = first[at]
     cols = [np.where(at - back >= first, cp[np.maximum(at - back, 0)], 32).astype(np.uint32) for back in range(ORDER - 1, -1, -1)]
     flat = np.stack(cols, axis=1).tobytes().decode("utf-32-le", "surrogatepass")
     return [flat[i : i + ORDER] for i in range(0, len(flat), ORDER)], n
