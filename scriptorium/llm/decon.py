@@ -8,9 +8,11 @@ gap -1); a bound by common words leaves out passages that can't reach the thresh
 A document is contaminated by an item where the best local score reaches `threshold` of the item's words.
 A passage that shares no `SEED_WORDS` words in a row with the item has no seed and is not found.
 
-Items of fewer than `min_words` words can't be told from chance and take no part. Null and empty texts
-match nothing; null ids are kept as they are. Repeated rows are each reported once per item. Extra columns
-pass through. Without benchmark rows nothing is contaminated.
+An item of fewer than `MIN_WORDS` words must stand in the document word for word; one of fewer than
+`SEED_WORDS` words, which any text may hold by chance, must be all of the document's words. Null, empty and
+blank texts and items match nothing; null ids are kept as they are. Documents are read whole, in slices of
+bounded memory. Rows of one document id are reported once per item, with the best score. Extra columns pass
+through. Without benchmark rows nothing is contaminated; an empty table of documents gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,18 +37,21 @@ MEETINGS = 1 << 20
 class Items:
     """A block of test items: word hashes, and where each seed stands in them."""
 
-    def __init__(self, ids: list[int], texts: list):
+    def __init__(self, ids: list[int], texts: list, threshold: float = THRESHOLD):
         self.ids, self.words = [], []
         for first, run in slices(texts):
             h, offs, _ = word_hashes(run)
             for d in range(len(run)):
-                if offs[d + 1] - offs[d] >= MIN_WORDS:
+                if offs[d + 1] > offs[d]:
                     self.ids.append(ids[first + d])
                     self.words.append(h[offs[d] : offs[d + 1]])
         parts = [shingles(w, np.array([0, len(w)]), SEED_WORDS)[0] for w in self.words]
         self.gram = np.concatenate(parts) if parts else np.zeros(0, dtype=U)
         self.item = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         self.place = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.zeros(0, dtype=np.int64)
+        self.size = np.array([len(w) for w in self.words], dtype=np.int64)
+        # The score that an item asks for; a short one stands in a document word for word.
+        self.need = np.where(self.size < MIN_WORDS, self.size, np.ceil(threshold * self.size).astype(np.int64))
         at = np.argsort(self.gram, kind="stable")
         self.gram, self.item, self.place = self.gram[at], self.item[at], self.place[at]
 
@@ -66,7 +71,7 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def passages(items: Items, h: np.ndarray, offs: np.ndarray, at: np.ndarray, hits: np.ndarray, low: np.ndarray, count: np.ndarray, threshold: float, known: dict[tuple[int, bytes], int]) -> Iterator[tuple[int, int, int]]:
+def passages(items: Items, h: np.ndarray, offs: np.ndarray, at: np.ndarray, hits: np.ndarray, low: np.ndarray, count: np.ndarray, known: dict[tuple[int, bytes], int]) -> Iterator[tuple[int, int, int]]:
     """(text number, item number, score) where `hits`, places of seeds, each of `count` items from `low` on, lead to a passage that reaches the threshold."""
     seed = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     where = np.repeat(hits, count)
@@ -75,7 +80,7 @@ def passages(items: Items, h: np.ndarray, offs: np.ndarray, at: np.ndarray, hits
     item = items.item[seed]
     order = np.lexsort((begin, item, doc))
     doc, item, begin = doc[order], item[order], begin[order]
-    size = np.array([len(w) for w in items.words])[item]
+    size = items.size[item]
     # Seeds of one item whose diagonals lie within half its length belong to one passage.
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > size[1:] // 2)
@@ -85,7 +90,7 @@ def passages(items: Items, h: np.ndarray, offs: np.ndarray, at: np.ndarray, hits
     for s, e in zip(starts, ends, strict=True):
         d, k = int(doc[s]), int(item[s])
         n = len(items.words[k])
-        need = int(np.ceil(threshold * n))
+        need = int(items.need[k])
         if best.get((d, k), 0) >= n:
             continue
         left = max(offs[d], offs[d] + begin[s] - n // 2)
@@ -103,11 +108,11 @@ def passages(items: Items, h: np.ndarray, offs: np.ndarray, at: np.ndarray, hits
             known[mark] = align(items.words[k], part)[0]
         best[d, k] = max(best.get((d, k), 0), known[mark])
     for (d, k), score in best.items():
-        if score >= threshold * len(items.words[k]):
+        if score >= items.need[k]:
             yield d, k, score
 
 
-def matches(items: Items, texts: list, threshold: float) -> Iterator[tuple[int, int, int]]:
+def matches(items: Items, texts: list) -> Iterator[tuple[int, int, int]]:
     """(text number, item number, score) for each contaminated text."""
     if not len(items.gram):
         return
@@ -124,18 +129,18 @@ def matches(items: Items, texts: list, threshold: float) -> Iterator[tuple[int,
         begun = np.flatnonzero(np.diff(np.searchsorted(at, hits, side="right"), prepend=-1))
         cuts = begun[np.flatnonzero(np.diff((np.cumsum(count) - count)[begun] // MEETINGS, prepend=-1))]
         for x, y in zip(cuts, np.append(cuts[1:], len(hits)), strict=True):
-            for d, k, score in passages(items, h, offs, at, hits[x:y], lo[hits[x:y]], count[x:y], threshold, known):
+            for d, k, score in passages(items, h, offs, at, hits[x:y], lo[hits[x:y]], count[x:y], known):
                 yield first + d, k, score
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Items]:
+def blocks(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[Items]:
     """The items in blocks of some BLOCK_BYTES; a block is dealt by hash of the item's id."""
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     count = int(size // BLOCK_BYTES) + 1
     for k in range(count):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).orderBy("item_id", "text").collect()
-        yield Items([r["item_id"] for r in part], [r["text"] for r in part])
+        yield Items([r["item_id"] for r in part], [r["text"] for r in part], threshold)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -143,26 +148,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     importable(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for items in blocks(benchmark):
+    for items in blocks(benchmark, threshold):
         def of(frames: Iterator[pd.DataFrame], items: Items = items) -> Iterator[pd.DataFrame]:
             for f in frames:
-                got = list(matches(items, f["text"].tolist(), threshold))
+                got = list(matches(items, f["text"].tolist()))
                 if got:
                     ids = f["doc_id"].astype("Int64")
-                    yield pd.DataFrame({"doc_id": ids.iloc[[d for d, _, _ in got]].to_numpy(), "item_id": [items.ids[k] for _, k, _ in got], "score": [s for _, _, s in got], "similarity": [s / len(items.words[k]) for _, k, s in got]})
+                    yield pd.DataFrame({"doc_id": ids.iloc[[d for d, _, _ in got]].to_numpy(), "item_id": [items.ids[k] for _, k, _ in got], "score": [s for _, _, s in got], "similarity": [s / int(items.size[k]) for _, k, s in got]})
 
         part = rows.mapInPandas(of, "doc_id long, item_id long, score long, similarity double")
         out = part if out is None else out.unionByName(part)
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("similarity").alias("similarity"))
 
 
-def leaking(items: Items, threshold: float):
+def leaking(items: Items):
     """A function of a text column: whether an item of the block contaminates the text."""
 
     @F.pandas_udf("boolean")
     def leaks(texts: pd.Series) -> pd.Series:
         out = np.zeros(len(texts), dtype=bool)
-        for d, _, _ in matches(items, texts.tolist(), threshold):
+        for d, _, _ in matches(items, texts.tolist()):
             out[d] = True
         return pd.Series(out)
 
@@ -172,6 +177,6 @@ def leaking(items: Items, threshold: float):
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that no test item contaminates; columns as they come."""
     importable(docs.sparkSession)
-    for items in blocks(benchmark):
-        docs = docs.where(~leaking(items, threshold)(F.col("text").cast("string")))
+    for items in blocks(benchmark, threshold):
+        docs = docs.where(~leaking(items)(F.col("text").cast("string")))
     return docs
