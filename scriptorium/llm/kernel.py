@@ -104,9 +104,11 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where it is unset, a local one."""
+    """The folder that all executors share: spark.checkpoint.dir; a session inside one process may do without the setting."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         top = f"file://{tempfile.mkdtemp(prefix='stages-')}"
@@ -125,17 +127,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, comp): the smallest node reachable, for nodes of `edges(a, b)`; min-label rounds with pointer jumping."""
+def dropped(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp): the smallest node reachable, for nodes of `edges(a, b)`; min-label rounds with pointer jumping, until nothing changes."""
     both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     label = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "label")
-    for _ in range(rounds):
+    while True:
         near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("comp").alias("near"))
         step = label.join(near, label.node == near.a, "left").select("node", "comp", F.least("comp", "near").alias("low"))
         hop = label.select(F.col("node").alias("via"), F.col("comp").alias("far"))
         after = step.join(hop, step.low == hop.via, "left").select("node", "comp", F.least("low", "far").alias("next"))
         after = stage(after, "label")
+        dropped(label)
         label = after.select("node", F.col("next").alias("comp"))
         if after.where("next <> comp").isEmpty():
+            dropped(both)
             return label
-    raise RuntimeError("components did not settle")

@@ -34,7 +34,7 @@ def labels(spark):
 
 @pytest.fixture(scope="module")
 def bench(spark):
-    return spark.createDataFrame([(1, SAME), (2, None), (3, "too short"), (4, "")], "item_id long, text string")
+    return spark.createDataFrame([(1, SAME), (2, None), (3, "too short"), (4, ""), (5, "퟿ 中文 é")], "item_id long, text string")
 
 
 RUNS = {
@@ -69,7 +69,7 @@ def test_filters_keep_columns(spark, docs, empty, bench):
 
 def test_contamination(docs, empty, bench, spark):
     got = {(r["doc_id"], r["item_id"], r["similarity"]) for r in decon.contaminated(docs, bench).collect()}
-    assert got == {(1, 1, 1.0), (5, 1, 1.0), (None, 1, 1.0)}
+    assert got == {(1, 1, 1.0), (5, 1, 1.0), (None, 1, 1.0), (9, 5, 1.0)}
     assert decon.contaminated(empty, bench).count() == 0
     assert decon.contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 

@@ -240,6 +240,26 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.5) for x in got)
 
 
+def test_quality_of_a_text_does_not_depend_on_its_neighbours():
+    r, words = random.Random(31), vocabulary(31)
+    texts = [text_of(words, n, r).encode() for n in (0, 1, 3, 40, 41, 43, 200, 2000)] * 8
+    net = quality.Network()
+    net.fit([t + b"!!" * (i % 2) for i, t in enumerate(texts)], np.arange(len(texts)) % 2.0, epochs=1)
+    mixed = [t.decode() for t in texts] + [None, "é" * 300, "x" * (quality.SLICE + 5), "a"]
+    alone = [net.scores([t])[0] for t in mixed]
+    assert net.scores(mixed).tolist() == alone and net.scores(mixed[::-1]).tolist() == alone[::-1]
+    # The whole-number network against a plain reading of the definition.
+    f = net.frozen
+    for t in (texts[3], texts[6]):
+        n = max(1, -(-len(t) // quality.BLOCK))
+        raw = t + b"\0" * (n * quality.BLOCK + quality.WIDTH - quality.STRIDE - len(t))
+        resp = [[sum(float(f.embed[raw[w * quality.STRIDE + b], e]) * float(f.filters[b * quality.EMBED + e, k]) for b in range(quality.WIDTH) for e in range(quality.EMBED)) for k in range(quality.FILTERS)] for w in range(n * quality.PER_BLOCK)]
+        tops = [[max(row[k] for row in resp[b * quality.PER_BLOCK : (b + 1) * quality.PER_BLOCK]) + float(f.bias[k]) for k in range(quality.FILTERS)] for b in range(n)]
+        chunk = [sum(max(0.0, *(x[k] for x in tops[b : b + 2])) * f.out[k] for k in range(quality.FILTERS)) + f.shift[0] for b in range(max(1, n - 1))]
+        want = 1 / (1 + math.exp(-sum(chunk) / len(chunk) * net.scale))
+        assert net.scores([t.decode()])[0] == pytest.approx(want, abs=1e-12)
+
+
 def test_top_k_equals_brute_force(spark):
     r = np.random.default_rng(3)
     v = r.normal(0, 0.2, (700, 24)).astype(np.float32)
@@ -310,16 +330,47 @@ def test_language_id_on_held_out_rows(spark):
     assert {x["doc_id"] for x in langid.keep_identified(docs).collect()} == set(range(600))
 
 
-def test_kneser_ney_sums_to_one():
-    model = langid.kneser_ney({"x": {"abab": 5, "baba": 4, "ab c": 2, "  ab": 3, " abc": 1}, "y": {"cdcd": 3, "dcdc": 3, " cd ": 1}})
-    letters = sorted({c for g in ("abab", "baba", "ab c", "  ab", " abc", "cdcd", "dcdc", " cd ") for c in g} - {" "}) + [" "]
-    for before in ("aba", "  a", "zzz"):
+KN = {"x": {"abab": 5, "baba": 4, "ab c": 2, "  ab": 3, " abc": 1}, "y": {"cdcd": 3, "dcdc": 3, " cd ": 1}}
+
+
+def naive_kneser_ney(counts, alphabet, before, c):
+    """The interpolated probability of a character by the recursion itself."""
+    uniform, levels = 1 / (alphabet + 1), {4: counts}
+    for n in (3, 2, 1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+
+    def p(n, before, c):
+        if n == 0:
+            return uniform
+        level, own = levels[n], {g: v for g, v in levels[n].items() if g[:-1] == before}
+        n1, n2 = sum(v == 1 for v in level.values()), sum(v == 2 for v in level.values())
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        low = p(n - 1, before[1:], c)
+        if not own:
+            return low
+        return (max(own.get(before + c, 0) - d, 0) + d * len(own) * low) / sum(own.values())
+
+    return p(4, before, c)
+
+
+def test_kneser_ney_sums_to_one_and_equals_the_recursion():
+    model = langid.kneser_ney(KN)
+    for before in ("aba", "  a", "zzz", "dcd", "b c"):
         total = np.zeros(2)
-        for c in [*letters, "q"]:
+        for c in "abcd q":  # the five that were seen at an end, and one for all others
             cp = np.array([ord(x) for x in before + c], dtype=np.uint32)
             n = model.loss(cp, np.array([0, 4])) - model.loss(cp[:3], np.array([0, 3]))
             total += 2.0 ** -n[0]
-        assert np.all(total <= 1 + 1e-4) and np.all(total > 0.6)
+            assert 2.0 ** -n[0] == pytest.approx([naive_kneser_ney(KN[k], 5, before, c) for k in "xy"], rel=1e-4)
+        assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_language_of_a_text_does_not_depend_on_its_neighbours():
+    model = langid.kneser_ney(KN)
+    texts = ["abab", "cdcd baba", "", " ab", "...ab!", "1", None, "d", "ab c" * 500, "zz", "cd"]
+    alone = [langid.cross_entropy(model, [t])[0][0].tolist() for t in texts]
+    for order in (list(range(len(texts))), list(range(len(texts)))[::-1], [3, 0, 3, 10, 5, 1]):
+        assert langid.cross_entropy(model, [texts[i] for i in order])[0].tolist() == [alone[i] for i in order]
 
 
 def naive_alignment(a, b):
@@ -359,6 +410,32 @@ def test_edited_passages_are_found_and_others_left(spark):
     assert {x["doc_id"] for x in decon.keep_clean(d, b).collect()} == set(range(200)) - {i for i, _ in want}
 
 
+def test_short_items_match_word_for_word(spark):
+    items = [(1, "five words of one item"), (2, "The  answer"), (3, "one two three four"), (4, "x")]
+    docs = [(1, "here are five WORDS of one item indeed"), (2, "five words of another item"), (3, "the\nanswer"), (4, "the answer is x"), (5, "zero one two three four five"), (6, "one two three for"), (7, "x"), (8, "x x")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"], x["score"]) for x in decon.contaminated(d, b).collect()} == {(1, 1, 5), (3, 2, 2), (5, 3, 4), (7, 4, 1)}
+    assert {x["doc_id"] for x in decon.keep_clean(d, b).collect()} == {2, 4, 6, 8}
+
+
+def test_contaminated_equals_brute_force(spark):
+    r, words = random.Random(41), vocabulary(41, 60)
+    items = [(k, text_of(words, r.randint(1, 14), r)) for k in range(25)]
+    docs = [(i, text_of(words, r.randint(0, 40), r)) for i in range(150)] + [(200 + k, items[k][1]) for k in range(10)]
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decon.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for i, t in docs:
+        for k, item in items:
+            a, b = item.split(), t.split()
+            n = min(len(a), 4)
+            seeded = any(a[x : x + n] == b[y : y + n] for x in range(len(a) - n + 1) for y in range(len(b) - n + 1)) and (len(a) > 3 or a == b)
+            score = naive_alignment(a, b)
+            if seeded and score >= (len(a) if len(a) < 8 else math.ceil(0.4 * len(a))):
+                want[i, k] = score
+    assert got.keys() <= want.keys()
+    assert all(s <= want[k] for k, s in got.items()) and len(got) >= 0.95 * len(want)
+
+
 @pytest.mark.parametrize("copies", [5, 50, 1000])
 def test_an_edited_passage_is_found_however_often_it_occurs(spark, copies):
     r, words = random.Random(13), vocabulary(13, 3000)
