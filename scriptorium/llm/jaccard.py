@@ -13,8 +13,11 @@ Equal sets are one class by fingerprint, so copies never meet in pairs. In each
 held against one pivot; members still apart afterwards are held against all others of the bucket, so
 that no link which joins two components is lost.
 
+The texts meet the ids of the sets that are to be verified once, by the same plan at every size.
+
 Nulls, empty texts and texts without words have an empty set and link with nothing. Repeated rows of an
-id are one text each. Extra columns are ignored. An empty table gives an empty result.
+id are one text each. Rows without an id have the class of their text. Extra columns are ignored. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -255,10 +258,13 @@ def across(members: DataFrame, percent: int) -> DataFrame:
     parts = ("fp", "comp", "n", "sketch")
 
     def blocks(rows: DataFrame, mark: str) -> DataFrame:
-        got = rows.groupBy("sig", salt.alias("salt")).agg(F.collect_list(F.struct(*parts)).alias("l"))
-        return got.select("sig", *[F.col(f"l.{c}").alias(f"{mark}_{c}") for c in parts])
+        got = rows.groupBy("sig", "size", salt.alias("salt")).agg(F.collect_list(F.struct(*parts)).alias("l"))
+        return got.select("sig", "size", "salt", *[F.col(f"l.{c}").alias(f"{mark}_{c}") for c in parts])
 
-    both = blocks(members.where("comp <> main"), "x").join(blocks(members, "y"), "sig").drop("sig")
+    # Each block of the others goes to every block of its bucket: the pairs of blocks are dealt, not the buckets.
+    every = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK).cast("long") - 1)
+    asked = blocks(members.where("comp <> main"), "x").withColumn("salt", F.explode(every)).drop("size")
+    both = asked.join(blocks(members, "y").drop("size"), ["sig", "salt"]).drop("sig", "salt")
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -309,6 +315,11 @@ def buckets(met: DataFrame) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs(doc_id, text)`: doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard >= percent/100)."""
+    return classes(docs, words, percent).drop("fp")
+
+
+def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """As jaccard_classes(), with the fingerprint of each row's set besides."""
     importable(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prof = stage(profiles(docs, words), "jaccard-profiles")
@@ -326,21 +337,18 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         drawn = prof.join(reps.join(met.select("fp").distinct(), "fp").select(F.col("rep").alias("doc_id"), F.col("fp").alias("of")), "doc_id")
         known = stage(drawn.where("fp = of").select("fp", "doc_id", "n", "sketch").dropDuplicates(["fp"]), "jaccard-sketches")
 
-        def sets_of(pairs: DataFrame) -> DataFrame:
-            """Whole sets of the fingerprints in pairs, from the texts that stand for them."""
-            ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(known, "fp").select("doc_id")
-
-            def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for f in frames:
-                    items = list(text_sets(f["text"].tolist(), words))
-                    yield pd.DataFrame({"fp": [fingerprint(s) for s in items], "n": [len(s) for s in items], "items": [s.tobytes() for s in items]})
-
-            return docs.join(ids, "doc_id", "left_semi").mapInPandas(of, "fp long, n long, items binary")
+        def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for t in f["text"]:  # a row at a time: what is held follows the longest text, not the batch
+                    s = next(text_sets([t], words))
+                    yield pd.DataFrame({"fp": [fingerprint(s)], "n": [len(s)], "items": [s.tobytes()]})
 
+        # Merged at every size: small tables of ids would else be broadcast, and costs jump where they stop being small.
+        drawn = docs.join(known.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+        sets = stage(drawn.mapInPandas(of, "fp long, n long, items binary"), "jaccard-sets")
         # First each set against its buckets' pivots: that joins most of what belongs together.
         first = met.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
         first = stage(hopeful(first, known, percent), "jaccard-first")
-        sets = stage(sets_of(first), "jaccard-sets")
         seen = stage(links(first, sets, percent), "jaccard-links")
         edges = seen.where("linked").select("a", "b")
         label = components(edges)
@@ -357,9 +365,6 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         more = few.unionByName(many).distinct().join(both_ways, ["a", "b"], "left_anti")
         more = stage(more, "jaccard-more")
         if not more.isEmpty():
-            lacking = more.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(sets.select("fp"), "fp", "left_anti")
-            if not lacking.isEmpty():
-                sets = sets.unionByName(stage(sets_of(lacking.select(F.col("fp").alias("a"), F.col("fp").alias("b"))), "jaccard-sets"))
             edges = stage(edges.unionByName(links(more, sets, percent).where("linked").select("a", "b")), "jaccard-edges")
             label = components(edges)
         named = reps.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
@@ -367,11 +372,31 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         comp = named.select("fp", "comp").join(lowest, "comp").select("fp", "component_id")
     out = base.join(stage(comp, "jaccard-classes"), "fp", "left")
     # A text without words has no class; it stands alone.
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "fp", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose id is the smallest of their class (all rows of a null id stay); columns as they come."""
-    cls = jaccard_classes(docs, words, percent)
-    gone = cls.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """One row of each class, of its smallest id; columns as they come.
+
+    Rows whose set is empty and rows without an id stay. Where an id stands on several rows, each row is judged by
+    its own text: of a class's rows of the smallest id, the one of the smallest fingerprint stays, and of rows of
+    equal sets any one."""
+    cls = stage(classes(docs, words, percent).where("doc_id is not null"), "jaccard-verdicts")
+    verdict = cls.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("component_id") < F.col("doc_id")).alias("gone"))
+    verdict = verdict.where("rows > 1 or gone").select(F.col("doc_id").alias("__id"), (F.col("rows") > 1).alias("__several"))
+    judged = docs.join(verdict, docs["doc_id"].cast("long") == verdict["__id"], "left")
+    kept = judged.where("__id is null").drop("__id", "__several")
+    if verdict.where("__several").isEmpty():
+        return kept
+
+    @F.pandas_udf("long")
+    def mark(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(s) if len(s) else 0 for s in text_sets(texts.tolist(), words)], dtype="int64")
+
+    chosen = cls.where("n_shingles > 0 and component_id = doc_id").groupBy("doc_id").agg(F.min("fp").alias("__fp"))
+    chosen = chosen.unionByName(cls.where("n_shingles = 0").select("doc_id", F.lit(0).cast("long").alias("__fp")).distinct()).withColumnRenamed("doc_id", "__own")
+    several = judged.where("__several").withColumn("__mark", mark(F.col("text").cast("string")))
+    several = several.join(chosen, (several["__id"] == chosen["__own"]) & (several["__mark"] == chosen["__fp"]))
+    first = F.row_number().over(Window.partitionBy("__id", "__mark").orderBy(F.lit(0)))
+    several = several.withColumn("__first", first).where("__mark = 0 or __first = 1")
+    return kept.unionByName(several.drop("__id", "__several", "__mark", "__own", "__fp", "__first"))
