@@ -40,6 +40,8 @@ PRICE = 256.0
 FREQUENT = 16
 #: Buckets of up to so many sets are joined pair by pair, larger ones in blocks of so many sets.
 SMALL, BLOCK = 32, 512
+#: Blocks of a bucket that stand in one task.
+GROUP = 8
 
 
 @lru_cache(maxsize=4096)
@@ -261,10 +263,11 @@ def across(members: DataFrame, percent: int) -> DataFrame:
         got = rows.groupBy("sig", "size", salt.alias("salt")).agg(F.collect_list(F.struct(*parts)).alias("l"))
         return got.select("sig", "size", "salt", *[F.col(f"l.{c}").alias(f"{mark}_{c}") for c in parts])
 
-    # Each block of the others goes to every block of its bucket: the pairs of blocks are dealt, not the buckets.
-    every = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK).cast("long") - 1)
-    asked = blocks(members.where("comp <> main"), "x").withColumn("salt", F.explode(every)).drop("size")
-    both = asked.join(blocks(members, "y").drop("size"), ["sig", "salt"]).drop("sig", "salt")
+    # A bucket's blocks are dealt by groups of GROUP, and each block of the others goes to every group: no task has all pairs of a bucket.
+    groups = F.sequence(F.lit(0).cast("long"), F.floor((F.ceil(F.col("size") / BLOCK) - 1) / GROUP))
+    asked = blocks(members.where("comp <> main"), "x").withColumn("group", F.explode(groups)).drop("size", "salt")
+    held = blocks(members, "y").withColumn("group", F.floor(F.col("salt") / GROUP)).drop("size", "salt")
+    both = asked.join(held, ["sig", "group"]).drop("sig", "group")
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
