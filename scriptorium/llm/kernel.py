@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import os
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +97,45 @@ def shingles(h: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return got, out
 
 
+def pack(a: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes: small ones take little room."""
+    return zlib.compress(a.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(b), dtype=np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+
+
+#: What a batch gives to a range of hashes: its sorted distinct keys there and a count of each; what it gets back: their sums.
+GIVEN = "batch long, range int, keys binary, n binary"
+SUMMED = "batch long, range int, n binary"
+
+
+def spans(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(range, from, to) of sorted keys in each of `parts` equal ranges of hashes that holds any."""
+    cuts = [*np.searchsorted(keys, np.array([(k << 64) // parts for k in range(parts)], dtype=U)).tolist(), len(keys)]
+    return [(k, x, y) for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+
+
+def gives(batch: int, keys: np.ndarray, n: np.ndarray, parts: int) -> pd.DataFrame:
+    """A batch's keys and counts, dealt by ranges."""
+    return pd.DataFrame([(batch, k, pack(np.diff(keys[x:y], prepend=U(0))), pack(n[x:y])) for k, x, y in spans(keys, parts)], columns=["batch", "range", "keys", "n"])
+
+
+def summed(given: DataFrame, name: str) -> DataFrame:
+    """For each batch and range the sums over all batches of its keys' counts, in the order of its keys."""
+
+    def of(f: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.cumsum(unpack(b), dtype=U) for b in f["keys"]]
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([unpack(b) for b in f["n"]]).astype(np.float64)).astype(np.int64)
+        ends = np.cumsum([len(k) for k in keys])
+        rows = [(int(b), int(f["range"].iloc[0]), pack(n[at[e - len(k) : e]])) for b, k, e in zip(f["batch"], keys, ends, strict=True)]
+        return pd.DataFrame(rows, columns=["batch", "range", "n"])
+
+    return stage(given.groupBy("range").applyInPandas(of, SUMMED), name)
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers find this package where the session's own path does not hold it."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

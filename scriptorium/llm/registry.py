@@ -93,14 +93,28 @@ SQL: dict[str, str] = {
         SELECT b.doc_id, b.source, b.block, (b.block // s.parts) * s.total + s.slot AS slot, b.ordinal FROM b JOIN s ON s.k = b.k AND s.pick AND s.done = b.block % s.parts""",
     "op4_line_dedup": rf"""
         WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
-        w AS (SELECT *, [CASE WHEN regexp_matches(x, '[0-9]') THEN '' ELSE x END FOR x IN regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+')] AS w FROM l),
-        k AS (SELECT doc_id, no, v || '|' || array_to_string(CASE WHEN v = 0 THEN w ELSE list_transform(w, lambda x, i: CASE WHEN i > {linededup.LEADING} AND (i - 1 - {linededup.LEADING}) * {linededup.BLOCKS} // (len(w) - {linededup.LEADING}) = v - 1 THEN '' ELSE x END) END, ' ') AS key
-              FROM w, range(0, {linededup.BLOCKS + 1}) r(v) WHERE len(w) > 0 AND (v = 0 OR len(w) >= {linededup.BLOCK_TOKENS})),
-        f AS (SELECT key FROM k GROUP BY 1 HAVING count(DISTINCT doc_id) >= {linededup.MIN_DOCS}),
-        g AS (SELECT DISTINCT doc_id, no FROM k WHERE key IN (SELECT key FROM f)),
-        c AS (SELECT l.doc_id, count(*) AS n_lines, count(g.no) AS n_dropped, coalesce(string_agg(CAST(g.no AS VARCHAR), ',' ORDER BY l.no) FILTER (WHERE g.no IS NOT NULL), '') AS dropped,
-                     coalesce(string_agg(l.line, chr(10) ORDER BY l.no) FILTER (WHERE g.no IS NULL), '') AS kept FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.no = l.no GROUP BY 1)
-        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped, '') AS dropped, length(kept) AS kept_chars, md5(kept) AS kept_md5 FROM documents d LEFT JOIN c USING (doc_id)""",
+        w AS (SELECT *, len(w) AS n FROM (SELECT *, [CASE WHEN regexp_matches(x, '[0-9]') THEN '' ELSE x END FOR x IN
+              regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')] AS w FROM l) WHERE len(w) > 0),
+        t AS (SELECT doc_id, no, n, unnest(w) AS tok, generate_subscripts(w, 1) AS p FROM w WHERE n < {linededup.LONG_TOKENS}),
+        lead AS (SELECT n, p, tok FROM t WHERE p <= {linededup.LEADING} AND tok <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= {linededup.MIN_DOCS}),
+        f AS (SELECT t.*, lead.tok IS NOT NULL AS fixed FROM t LEFT JOIN lead USING (n, p, tok)),
+        g AS (SELECT *, string_agg(CASE WHEN fixed THEN tok ELSE '' END, ' ' ORDER BY p) FILTER (WHERE p <= {linededup.LEADING}) OVER (PARTITION BY doc_id, no) AS leaf FROM f),
+        whole AS (SELECT n, leaf, count(DISTINCT doc_id) AS docs FROM g GROUP BY ALL),
+        rest AS (SELECT n, leaf, p, tok, count(DISTINCT doc_id) AS c FROM g WHERE p > {linededup.LEADING} AND tok <> '' GROUP BY ALL),
+        m AS (SELECT g.*, whole.docs, coalesce(rest.c, 0) AS c FROM g JOIN whole USING (n, leaf) LEFT JOIN rest USING (n, leaf, p, tok)),
+        r AS (SELECT doc_id, no, n, tok, p, v, fixed OR (c >= {linededup.MIN_DOCS} AND (v = 0 OR 2 * c >= docs)) AS keep FROM m, (VALUES (0), (1)) x(v)),
+        k AS (SELECT doc_id, no, {linededup.MIN_DOCS} AS least, n || '|' || string_agg(CASE WHEN keep THEN tok ELSE '' END, ' ' ORDER BY p) AS key FROM r GROUP BY doc_id, no, n, v
+              HAVING count_if(keep OR tok = '') = n OR (count_if(keep) >= {linededup.AGREE_TOKENS} AND count_if(keep) >= {linededup.AGREE} * n)
+              UNION ALL
+              SELECT doc_id, no, {linededup.LONG_DOCS}, n || '|' || v || '|' || array_to_string(list_transform(w, lambda x, i: CASE WHEN v > 0 AND i > {linededup.LEADING}
+                     AND (i - 1 - {linededup.LEADING}) * {linededup.BLOCKS} // (n - {linededup.LEADING}) = v - 1 THEN '' ELSE x END), ' ')
+              FROM w, range(0, {linededup.BLOCKS + 1}) y(v) WHERE n >= {linededup.LONG_TOKENS}),
+        o AS (SELECT key FROM k GROUP BY key, least HAVING count(DISTINCT doc_id) >= least),
+        d AS (SELECT DISTINCT doc_id, no FROM k WHERE key IN (SELECT key FROM o)),
+        c AS (SELECT l.doc_id, count(*) AS n_lines, count(d.no) AS n_dropped, coalesce(string_agg(CAST(d.no AS VARCHAR), ',' ORDER BY l.no) FILTER (WHERE d.no IS NOT NULL), '') AS dropped,
+                     coalesce(string_agg(l.line, chr(10) ORDER BY l.no) FILTER (WHERE d.no IS NULL), '') AS kept FROM l LEFT JOIN d ON d.doc_id = l.doc_id AND d.no = l.no GROUP BY 1)
+        SELECT x.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped, '') AS dropped, length(kept) AS kept_chars, md5(kept) AS kept_md5
+        FROM documents x LEFT JOIN c USING (doc_id)""",
     "op5_ngram_jaccard": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]

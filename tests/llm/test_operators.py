@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -69,6 +70,36 @@ def test_jaccard_classes_equal_brute_force(spark, n, percent, seed):
     assert {tuple(x) for x in got.collect()} == brute_classes(rows, n, percent)
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    r, words = random.Random(51), vocabulary(51)
+    a, b, c = (text_of(words, 40, r) for _ in range(3))
+    near = a + " more"
+    rows = [(1, a, "x"), (1, a, "x"), (2, near, "x"), (2, b, "y"), (3, c, "z"), (3, c.upper(), "w"), (4, "", "e"), (4, None, "n"), (5, "", "e"), (6, b, "y"), (None, a, "q"), (7, near, "x")]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    left = sorted((str(x["doc_id"]), x["text"] or "", x["source"]) for x in got)
+    three = [x for x in left if x[0] == "3"]
+    assert len(three) == 1 and three[0][1].lower() == c
+    assert [x for x in left if x[0] != "3"] == sorted([("1", a, "x"), ("2", b, "y"), ("4", "", "e"), ("4", "", "n"), ("5", "", "e"), ("None", a, "q")])
+
+
+def test_large_buckets_are_joined_in_blocks(spark, monkeypatch):
+    # A chain of near copies in one bucket, held against each other in blocks of four.
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "GROUP", 3)
+    r, words = random.Random(52), vocabulary(52)
+    base = text_of(words, 40, r).split()
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in range(i % 12):
+            w[3 * k] = f"v{k}" if i % 2 else f"u{k}"
+        rows.append((i, " ".join(w)))
+    for n, percent in ((1, 85), (3, 80)):
+        got = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), n, percent)
+        assert {tuple(x) for x in got.collect()} == brute_classes(rows, n, percent)
+
+
 def test_light_segments_lose_no_link():
     r = np.random.default_rng(5)
     for percent in (80, 90):
@@ -225,6 +256,37 @@ def test_recurring_templates_go(spark):
     assert all(x["dropped"] == [] for x in few)
 
 
+def test_fields_of_any_place_become_fields(spark):
+    r, words = random.Random(61), vocabulary(61)
+    names, towns = [f"na{w}" for w in words[:200]], [f"to{w}" for w in words[200:]]
+    passage = [text_of(words, 60, r).split()] * 2
+    passage[1] = list(passage[0])
+    passage[1][40] = "edited"
+    rows = []
+    for i in range(200):
+        lines = [
+            f"Posted by {names[i]} in {towns[i]}",  # short, two rare fields, one of them among the leading tokens
+            f"Posted in {towns[i % 4]} by {names[i % 7]} for {names[7 + i % 9]} and all friends",  # fields of common values
+            f"{names[i]} wrote this long line for the {names[-i - 1]} {towns[i]} and for nobody else",  # fields at both ends, one of two words
+            text_of(words, 9, r),
+            " ".join(passage[0] if i == 3 else passage[1] if i == 77 else [text_of(words, 60, r)]),  # a passage in two documents, one of them edited
+        ]
+        rows.append((i, "\n".join(lines)))
+    for x in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert x["dropped"] == ([0, 1, 2, 4] if x["doc_id"] in (3, 77) else [0, 1, 2])
+
+
+def test_lines_are_dropped_by_row_not_by_id(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "BATCH_BYTES", 400)
+    monkeypatch.setattr(linededup, "RANGE_TOKENS", 50)
+    licence = "All of this is licensed to you"
+    rows = [(i, f"own{i} line{'a' * i}\n{licence}", "c") for i in range(10)]
+    rows += [(100, "keep me alpha\nkeep me beta", "x"), (100, licence + "\nsecond", "y"), (None, "keep me gamma\nkeep me delta", "x"), (None, "first\n" + licence, "y"), (200, licence, "z"), (200, licence, "z"), (300, None, "n"), (301, "", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, dropped string").repartition(3)
+    got = sorted((str(x["doc_id"]), x["text"], x["dropped"]) for x in linededup.dedup_lines(docs).collect() if x["text"] is not None and (x["doc_id"] is None or x["doc_id"] >= 100))
+    assert got == [("100", "keep me alpha\nkeep me beta", []), ("100", "second", [0]), ("200", "", [0]), ("200", "", [0]), ("301", "", []), ("None", "first", [1]), ("None", "keep me gamma\nkeep me delta", [])]
+
+
 def test_quality_on_held_out_rows(spark):
     r, words = random.Random(2), vocabulary(2)
     rows, labels = [], []
@@ -273,6 +335,38 @@ def test_top_k_equals_brute_force(spark):
         assert [got[i, k + 1] for k in range(5)] == [(j, -n) for n, j in best]
 
 
+def test_top_k_of_wide_vectors_equals_brute_force(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(260):
+        high = [1.0, 2.0**12, 2.0**20, 2.0**40, 2.0**52][i % 5] if i < 200 else 0.01
+        rows.append((i, [float(x) for x in r.normal(0, high, int(r.integers(1, 9)))]))
+    for i in range(260, 290):  # apart by less than a double holds
+        rows.append((i, [2.0**27 + i, 2.0**27 - i, 1.0, float(i % 3)]))
+    rows += [(i, [1e308, 1e-300]) for i in range(300, 303)] + [(350, [-1e308, 3.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in topk.top_k(frame, frame.where("vec_id % 50 = 0 or vec_id > 255"), 5).collect()}
+    whole = {i: [math.floor(Fraction(v) * 256) for v in x] for i, x in rows}
+    most = 2**63 - 1
+    for i in [i for i, _ in rows if i % 50 == 0 or i > 255]:
+        best = sorted((-max(-most - 1, min(most, sum(a * b for a, b in zip(whole[i], whole[j])))), j) for j, _ in rows if j != i)
+        if abs(best[4][0]) < most:
+            assert [got[i, n + 1] for n in range(5)] == [(j, -s) for s, j in best[:5]], i
+
+
+def test_bounds_are_carried_and_hold_back_candidates():
+    r = np.random.default_rng(9)
+    q, ids = r.integers(-200, 200, (40, 16)), np.arange(3000)
+    rows = np.floor(r.normal(0, 60, (3000, 16))).astype(np.int64)
+    bar = np.full(40, -np.inf)
+    found = [topk.search(q, np.arange(9000, 9040), rows[a : a + 500], ids[a : a + 500], 5, bar) for a in range(0, 3000, 500)]
+    assert len(found[-1][0]) < len(found[0][0])
+    i, j, s = (np.concatenate([f[n] for f in found]) for n in range(3))
+    for k in range(40):
+        best = sorted(zip((-s[i == k]).tolist(), j[i == k].tolist()))[:5]
+        assert best == sorted(zip((-(rows @ q[k])).tolist(), ids.tolist()))[:5]
+
+
 def test_lm_scores_prefer_the_target(spark):
     r, good, bad = random.Random(5), vocabulary(5), vocabulary(6)
     rows = [(i, text_of(good if i % 2 else bad, 80, r)) for i in range(400)] + [(1000, ""), (1001, None)]
@@ -280,38 +374,47 @@ def test_lm_scores_prefer_the_target(spark):
     got = {x["doc_id"]: x for x in lmscore.scored(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert max(got[i]["score"] for i in range(201, 400, 2)) < min(got[i]["score"] for i in range(200, 400, 2))
     assert got[1000]["score"] == got[1001]["score"] == 0 and got[1]["n_tokens"] == 80
-    # Against counts made in plain Python over the same slots.
-    models = lmscore.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    word, pair, offs = lmscore.tokens([(t or "").encode() for _, t in rows])
-    assert np.array_equal(models.word[0], np.bincount(word, minlength=1 << lmscore.WORD_BITS)) and np.array_equal(models.pair[0], np.bincount(pair, minlength=1 << lmscore.PAIR_BITS))
-    goal = np.repeat([i < 200 and i % 2 == 1 for i, _ in rows], np.diff(offs))
-    assert np.array_equal(models.word[1], np.bincount(word[goal], minlength=1 << lmscore.WORD_BITS)) and models.starts.tolist() == [400, 100]
 
 
-def test_lm_counts_are_exact_beyond_any_table_of_slots(spark, monkeypatch):
-    # More distinct words than the 2^18 slots there once were, in several batches and ranges.
-    monkeypatch.setattr(lmscore, "RANGE_BYTES", 1 << 20)
+def test_lm_scores_equal_brute_force_beyond_any_table_of_slots(spark, monkeypatch):
+    # Hundreds of thousands of distinct words, several batches and ranges.
+    monkeypatch.setattr(lmscore, "RANGE_WORDS", 1 << 17)
     monkeypatch.setattr(lmscore, "BATCH_BYTES", 1 << 20)
     r = random.Random(21)
-    rows = [(i, " ".join(f"w{r.randrange(10**9)}" if r.random() < 0.8 else f"c{r.randrange(50)}" for _ in range(1000))) for i in range(400)] + [(None, "c1 c2"), (7000, "")]
-    labels = [(i, 1, 0) for i in range(0, 400, 3)]
-    got = {x["doc_id"]: x for x in lmscore.scored(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
-    single, double, start = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
+    rows = [(i, " ".join(f"w{r.randrange(10**9)}" if r.random() < 0.8 else f"c{r.randrange(50)}" for _ in range(1000))) for i in range(400)]
+    rows += [(None, "c1 c2"), (7000, ""), (7001, "c1"), (7002, "c7 c7 c7 c7"), (399, "c1 c2 c1 c2 c9"), (8000, "the copy of a text"), (8001, "the copy of a text")]
+    labels = [(i, 1, 0) for i in range(0, 400, 3)] + [(7002, 1, 0), (7002, 1, 0), (7001, 0, 1)]
+    goal = {i for i, q, _ in labels if q}
+    got = lmscore.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    single, double = [Counter(), Counter()], [Counter(), Counter()]
+    start = [0, 0]
     for i, t in rows:
         w = t.split()
-        for m in range(1 + (i is not None and i < 400 and i % 3 == 0)):
+        for m in range(1 + (i in goal)):
             single[m].update(w)
             double[m].update(zip([None, *w], w))
             start[m] += bool(w)
-    assert len(single[0]) > 1 << 18 and len(got) == len(rows)
-
-    def loss(m, w):
-        each = [0.6 * double[m][a, b] / max(1, start[m] if a is None else single[m][a]) + 0.4 * (single[m][b] + 1) / (sum(single[m].values()) + len(single[0])) for a, b in zip([None, *w], w)]
-        return -sum(map(math.log2, each)) / len(each)
-
-    for i in (0, 1, 57, 200, 399, None):
-        w = dict(rows)[i].split()
-        assert got[i]["ce_background"] == pytest.approx(loss(0, w), abs=1e-6) and got[i]["ce_target"] == pytest.approx(loss(1, w), abs=1e-6) and got[i]["n_tokens"] == len(w)
+    total, size = [sum(c.values()) for c in single], len(single[0])
+    assert size > 250_000 and len(got) == len(rows)
+
+    def loss(m, w, held):
+        one, two = Counter(w if held else []), Counter(zip([None, *w], w) if held else [])
+        scale = total[1] / total[0] if m == 0 else 1
+        out = 0.0
+        for a, b in zip([None, *w], w):
+            before = start[m] - held if a is None else single[m][a] - one[a]
+            alone = ((single[m][b] - one[b]) * scale + 1) / ((total[m] - held * len(w)) * scale + size + 1)
+            out -= math.log2(0.6 * (double[m][a, b] - two[a, b]) / max(1, before) + 0.4 * alone)
+        return out / len(w)
+
+    text = {i: t for i, t in rows if i != 399}
+    for x in got:
+        if x["doc_id"] in (0, 1, 57, 200, 7001, 7002, 8000, 8001, None):
+            w = text[x["doc_id"]].split()
+            assert x["ce_background"] == pytest.approx(loss(0, w, 1), abs=1e-6) and x["n_tokens"] == len(w)
+            assert x["ce_target"] == pytest.approx(loss(1, w, int(x["doc_id"] in goal)), abs=1e-6) and x["score"] == x["ce_target"] - x["ce_background"]
+    scores = {x["doc_id"]: x for x in got}
+    assert scores[7000]["score"] == 0 and scores[8000]["ce_background"] < scores[1]["ce_background"] / 2
 
 
 def test_language_id_on_held_out_rows(spark):
