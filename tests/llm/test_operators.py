@@ -170,6 +170,7 @@ def test_pii_boosting_adds_spans_and_leaves_clean_text(spark):
     extra = [(5000, "my phone is (555) 555-1234 thanks")]
     got = {x["doc_id"]: x["all_phone"] for x in pii.detect(spark.createDataFrame(good + clean + extra, "doc_id long, text string")).collect()}
     assert all(got[i] for i, _ in good) and not any(got[i] for i, _ in clean)
+    assert [(x["s"], x["e"]) for x in got[5000]] == [(12, 26)]
     red = {x["doc_id"]: x["text"] for x in pii.redact(pii.detect(spark.createDataFrame(good, "doc_id long, text string"))).collect()}
     assert set(red.values()) == {"my phone is [PHONE] thanks"}
 
