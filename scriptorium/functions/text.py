@@ -6,6 +6,7 @@ Patterns go through F.lit, since a SQL string literal would eat their backslashe
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -23,7 +24,7 @@ LATIN_RUN = r"[A-Za-z0-9][A-Za-z0-9\-.]*"
 JOURNAL_PREFIXES = ["Nature reviews. ", "Nature reviews ", "Nature Reviews. ", "Nature Reviews "]
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 ENGLISH_DOTTED = ["Fig", "Figure", "Ref", "et al", "vs", "dr", "mr", "mrs", "prof"]
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&shy;": "­", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&deg;": "°", "&micro;": "µ", "&alpha;": "α", "&beta;": "β", "&gamma;": "γ", "&times;": "×", "&plusmn;": "±"}
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&shy;": "­", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&deg;": "°", "&micro;": "µ", "&alpha;": "α", "&beta;": "β", "&gamma;": "γ", "&times;": "×", "&plusmn;": "±"}
 
 
 def lit(x) -> Column:
@@ -112,10 +113,23 @@ def word_count(text: Column, dialect: str = "html") -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});"
+
+
 def unescape(text: Column) -> Column:
-    """HTML entities: the named ones of ENTITIES and decimal ASCII ones natively; `&amp;` last, so nothing is read twice."""
-    out = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), ENTITIES.items(), text)
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    """HTML entities in one pass: the named ones of ENTITIES, `&amp;`, decimal and hexadecimal ones; others stay."""
+    named = F.create_map(*[F.lit(x) for kv in {**ENTITIES, "&amp;": "&"}.items() for x in kv])
+
+    def one(e: Column) -> Column:
+        digits = F.regexp_extract(e, r"^&#[xX]?([0-9A-Fa-f]+);$", 1)
+        code = F.when(e.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        known = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(e.rlike("^&#"), F.when(known, char).otherwise("�")).otherwise(F.coalesce(F.try_element_at(named, e), e))
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), one)
+    pieces = F.transform(F.split(text, ENTITY, -1), lambda g, i: F.concat(g, F.coalesce(F.get(found, i), F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
 def unescape_all(text: Column) -> Column:
@@ -271,17 +285,22 @@ def doc_id_of_doi(doi: Column, fallback: Column | None = None, dialect: str = "h
     return got if fallback is None else F.when(F.length(got) > 0, got).otherwise(fallback)
 
 
+def without_prefix(journal: Column) -> Column:
+    """A journal's name without the first of JOURNAL_PREFIXES that it starts with."""
+    return reduce(lambda c, p: F.when(journal.startswith(p), F.substr(journal, F.lit(len(p) + 1))).otherwise(c), reversed(JOURNAL_PREFIXES), journal)
+
+
 def field_of_journal(journal: Column) -> Column:
     """A glossary field from a journal's name."""
-    j = F.trim(F.coalesce(journal, F.lit("")))
-    bare = F.regexp_replace(j, "^Nature [rR]eviews[.]? ", "")
+    bare = without_prefix(F.trim(F.coalesce(journal, F.lit(""))))
     s = F.regexp_replace(F.regexp_replace(F.lower(bare), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(F.length(s) > 0, s).otherwise(F.lit("unknown"))
 
 
 def short_journal(journal: Column, abbr: Column | None = None, prefixed: bool = False) -> Column:
-    bare = F.regexp_replace(F.coalesce(journal, F.lit("")), "^Nature [rR]eviews[.]? ", "")
-    had = F.coalesce(journal, F.lit("")).rlike("^Nature [rR]eviews[.]? ")
+    name = F.coalesce(journal, F.lit(""))
+    bare = without_prefix(name)
+    had = bare != name
     if prefixed:
         return F.when(had, F.concat(F.lit("Nature Reviews "), bare)).otherwise(F.coalesce(journal, F.lit("")))
     return bare if abbr is None else F.when(F.coalesce(F.length(abbr), F.lit(0)) > 0, abbr).otherwise(bare)
@@ -365,6 +384,12 @@ def rewrite(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return reduce(lambda c, r: F.regexp_replace(c, f"(?i){r[0]}", r[1]), rules, text)
 
 
+def filled(template: str, slots: dict[str, Column]) -> Column:
+    """A template with named slots in braces, each filled once; what a slot brings in is not read again."""
+    parts = re.split(r"\{([a-z_]+)\}", template)
+    return F.concat(*[F.lit(x) if i % 2 == 0 else F.coalesce(slots[x].cast("string"), F.lit("")) for i, x in enumerate(parts)])
+
+
 def occurrences(text: Column, needle: Column) -> Column:
     """How often a literal occurs without overlaps."""
     n = F.length(needle)

@@ -84,6 +84,14 @@ def audit(defs: DataFrame, prose: DataFrame, glossary: DataFrame, min_count: int
     return got.select("doc_id", "abbr", "n", F.array_join("fulls", " / ").alias("full_names"), F.col("glossary_zh").isNotNull().alias("in_glossary"), "glossary_zh", (F.size("fulls") > 1).alias("ambiguous"), rank.alias("rank")).where(F.col("rank") <= top)
 
 
+def unused(defs: DataFrame, prose: DataFrame) -> DataFrame:
+    """(doc_id, abbr): defined abbreviations that the document's prose(doc_id, text) never uses between letters."""
+    names = defs.select("doc_id", "abbr").distinct()
+    rx = F.concat(F.lit("(?<![A-Za-z])"), F.col("abbr"), F.lit("(?![A-Za-z])"))
+    used = prose.join(names, "doc_id").where(F.regexp_like("text", rx)).select("doc_id", "abbr")
+    return names.join(used, ["doc_id", "abbr"], "left_anti")
+
+
 def undefined(glossary: DataFrame, defs: DataFrame) -> DataFrame:
     """Glossary entries that look like abbreviations and that no document defines."""
     return glossary.where(F.trim("term").rlike(f"^{ABBR}$")).join(defs.select(F.col("abbr").alias("__a")).distinct(), F.trim("term") == F.col("__a"), "left_anti")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -68,7 +69,34 @@ def mock_answer(user: Column, model: str = "mock", script: list[tuple[str, str]]
     return out
 
 
-def complete(rows: DataFrame, prompt: str, call: Callable[[list[str]], list[str]], attempts: int = 3) -> DataFrame:
+# Answers that no retry mends, and those that one may.
+FINAL_STATUS = (400, 401, 403)
+RETRY_STATUS = (429, 500, 502, 503, 504)
+
+
+class ProviderError(RuntimeError):
+    """A provider's refusal, with its HTTP status."""
+
+    def __init__(self, status: int, detail: str = ""):
+        super().__init__(f"HTTP {status}: {detail}")
+        self.status = status
+
+
+def retried(call: Callable[[], str], attempts: int = 3, wait: Callable[[float], None] = time.sleep) -> str:
+    """A call's answer: refusals of RETRY_STATUS and network errors are tried again after 1, 2, 4 ... seconds, other refusals are not."""
+    for n in range(attempts):
+        try:
+            return call()
+        except Exception as e:
+            if n + 1 == attempts or (isinstance(e, ProviderError) and e.status not in RETRY_STATUS):
+                raise
+            wait(2.0**n)
+    raise ValueError("no attempt")
+
+
+def complete(
+    rows: DataFrame, prompt: str, call: Callable[[list[str]], list[str]], attempts: int = 3, wait: Callable[[float], None] = time.sleep
+) -> DataFrame:
     """Rows with `value` and `error` of a provider, called once a batch; a failed batch is tried row by row and never stops the job."""
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,13 +106,10 @@ def complete(rows: DataFrame, prompt: str, call: Callable[[list[str]], list[str]
                 values, errors = list(call(f[prompt].tolist())), [None] * len(f)
             except Exception:  # noqa: BLE001
                 for p in f[prompt]:
-                    value, error = None, None
-                    for _ in range(attempts):
-                        try:
-                            value, error = call([p])[0], None
-                            break
-                        except Exception as e:  # noqa: BLE001
-                            error = f"{type(e).__name__}: {e}"
+                    try:
+                        value, error = retried(lambda p=p: call([p])[0], attempts, wait), None
+                    except Exception as e:  # noqa: BLE001
+                        value, error = None, f"{type(e).__name__}: {e}"
                     values.append(value)
                     errors.append(error)
             yield f.assign(value=values, error=errors)
@@ -93,6 +118,32 @@ def complete(rows: DataFrame, prompt: str, call: Callable[[list[str]], list[str]
     return rows.mapInPandas(of, schema)
 
 
+# What a segment's prompt looks like.
+TRANSLATE_USER = "【术语对照（必须遵守）】\n{term_block}\n\n【待翻译的原文段落】\n{src}\n"
+SCRIPT_USER = "【段落位置】第 {seg_idx}/{total_segs} 段 ({stage})\n【所在章节】{section}\n【术语对照（保持译名一致）】\n{term_block}\n\n【待改写的译文】\n{translated}\n"
+
+
+def prompted(segments: DataFrame, terms: DataFrame) -> DataFrame:
+    """Segments with the prompt of their translation: the lines of the terms that they hold, and the source."""
+    found = G.hits(segments.select("sid", "src_text"), terms)
+    block = G.prompt_block(found, keys=("sid",))
+    rows = segments.join(block, "sid", "left")
+    return rows.withColumn("prompt", T.filled(TRANSLATE_USER, {"term_block": F.coalesce("block", F.lit("")), "src": F.col("src_text")})).drop("block")
+
+
+def staged(segments: DataFrame, first: str, rest: str) -> DataFrame:
+    """seg_idx, total_segs and stage: a document's first segment has another text in its prompt than those behind it."""
+    own = Window.partitionBy("doc_id")
+    rows = segments.withColumns({"seg_idx": F.row_number().over(own.orderBy("seg_pos")), "total_segs": F.count("*").over(own)})
+    return rows.withColumn("stage", F.when(F.col("seg_idx") == 1, first).otherwise(rest))
+
+
+def stage_stats(checkpoints: DataFrame) -> DataFrame:
+    """Valid results of checkpoints(doc_id, stage, value) per document and stage."""
+    valid = (F.length(F.trim("value")) > 0) & ~F.col("value").startswith("[翻译失败:") & ~F.col("value").startswith("[改写失败:")
+    return checkpoints.groupBy("doc_id", "stage").agg(F.count_if(valid).alias("n_valid"), F.count("*").alias("n"))
+
+
 def translate(segments: DataFrame, terms: DataFrame, cache: DataFrame, terms_list: list[dict], model: str = "mock", version: str = "v1", script: list[tuple[str, str]] | None = None) -> DataFrame:
     """Track A with the mock provider: key, cache, answer, hard terms and number format; the raw answer is kept."""
     prompt = F.concat(F.lit("【待翻译】\n"), "src_text")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.operators import cache as C
+from scriptorium.operators import glossary as G
 
 FACTS = ["doi", "doc_id", "journal", "journal_abbr", "title_en", "abstract", "pub_date", "entrez_date", "pmc", "term_field", "ptypes"]
 GENERATED = ["title_zh", "brief", "detail"]
@@ -27,6 +31,12 @@ def split_kept(items: DataFrame, keep_no_abstract: bool = False, least: int = 1)
     return items.where(has), items.where(~has)
 
 
+def dropped_report(dropped: DataFrame, limit: int = 15) -> DataFrame:
+    """The first of the dropped items, and how many more there are."""
+    rows = newest(dropped, limit).select(F.coalesce(F.nullif("pub_date", F.lit("")), "entrez_date").alias("date"), "journal", "title_en")
+    return rows.crossJoin(dropped.agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("n_more")))
+
+
 def newest(items: DataFrame, limit: int | None = None) -> DataFrame:
     out = items.orderBy(F.desc("entrez_date"), F.desc("pmid"))
     return out if limit is None else out.limit(limit)
@@ -53,14 +63,22 @@ def search(items: DataFrame, query: str, columns: tuple[str, ...] = ("title_en",
 
 
 def upsert(store: DataFrame, incoming: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
-    """(store after, inserted): new ids come in as `new`; known ids get new facts and keep their state and generated text."""
-    inc = incoming.dropDuplicates(["pmid"])
-    fresh = inc.join(store.select("pmid"), "pmid", "left_anti").withColumns({"status": F.lit("new"), "first_seen": F.lit(today), "shown_in": F.array().cast("array<string>")})
-    s, i = store.alias("s"), inc.select("pmid", *FACTS, F.lit(True).alias("__there")).alias("i")
-    there = F.col("i.__there").isNotNull()
-    cols = [F.when(there, F.col(f"i.{c}")).otherwise(F.col(f"s.{c}")).alias(c) if c in FACTS else F.col(f"s.{c}").alias(c) for c in store.columns]
-    kept = s.join(i, F.col("s.pmid") == F.col("i.pmid"), "left").select(*cols)
-    return kept.unionByName(fresh.select(*store.columns)), fresh.select(*store.columns)
+    """(store after, inserted): new ids come in as `new`; known ids get new facts and keep their state and generated text.
+
+    Of several incoming rows of an id that of the latest entry counts, then the greatest facts. Both sides meet in one full join."""
+    rest = [c for c in incoming.columns if c not in ("pmid", "entrez_date")]
+    inc = incoming.groupBy("pmid").agg(F.max(F.struct("entrez_date", *[c for c in FACTS if c in rest], *[c for c in rest if c not in FACTS])).alias("r"))
+    i = inc.select(F.col("pmid").alias("__pmid"), "r")
+    both = store.join(i, store["pmid"] == i["__pmid"], "full")
+    known, there = F.col("pmid").isNotNull(), F.col("__pmid").isNotNull()
+    first = {"pmid": F.col("__pmid"), "status": F.lit("new"), "first_seen": F.lit(today), "shown_in": F.array().cast("array<string>")}
+
+    def column(c: str) -> Column:
+        own = F.when(there, F.col(f"r.{c}")).otherwise(F.col(c)) if c in FACTS else F.col(c)
+        return F.when(known, own).otherwise(first.get(c, F.col(f"r.{c}"))).alias(c)
+
+    after = both.select(*[column(c) for c in store.columns], (~known).alias("__fresh"))
+    return after.drop("__fresh"), after.where("__fresh").drop("__fresh")
 
 
 def write_back(store: DataFrame, generated: DataFrame) -> DataFrame:
@@ -153,6 +171,34 @@ def brief_verdict(brief: Column) -> Column:
     )
 
 
+# What an item's prompt looks like.
+DIGEST_USER = "【期刊】{journal}\n【原标题】{title}\n【摘要】\n{abstract}\n"
+
+
+def digest_prompt(journal: Column, title: Column, abstract: Column) -> Column:
+    return T.filled(DIGEST_USER, {"journal": journal, "title": title, "abstract": abstract})
+
+
+def triage(items: DataFrame, cache: DataFrame, resolved: DataFrame, answer: Callable[[DataFrame], DataFrame], model: str, version: str) -> DataFrame:
+    """Items with title_zh, brief and detail from a provider's answers, cached by the abstract's hash; hit, error, mark and why besides.
+
+    `answer` gives rows with `prompt` a `value` and an `error`; it is asked once for each key that the cache lacks. An item
+    without an answer keeps what it had. Hard terms of resolved(doc_id, ...) and the number format are applied afterwards,
+    so that changed terms take effect on cached answers."""
+    keyed = items.withColumn("key", C.digest_key(model, version, F.sha1("abstract")))
+    asked = keyed.join(cache.select("key"), "key", "left_anti").groupBy("key").agg(F.min(F.struct("pmid", "journal", "title_en", "abstract")).alias("i"))
+    prompt = digest_prompt(F.col("i.journal"), F.col("i.title_en"), F.col("i.abstract"))
+    fresh = answer(asked.select("key", prompt.alias("prompt"))).select("key", F.col("value").alias("__new"), F.col("error").alias("error"))
+    rows = C.lookup(keyed, cache).join(fresh, "key", "left").withColumn("__p", payload(F.coalesce("cached_value", "__new")))
+    made = F.col("hit") | F.col("__new").isNotNull()
+    for c in GENERATED:
+        rows = rows.withColumn(f"__{c}", F.col(f"__p.{c}"))
+        rows = G.replaced_by_document(rows, resolved, f"__{c}").withColumn(f"__{c}", T.normalize_zh(F.col(f"__{c}")))
+        rows = rows.withColumn(c, F.when(made, F.col(f"__{c}")).otherwise(F.col(c)))
+    verdict = brief_verdict(F.col("brief"))
+    return rows.select(*items.columns, "key", "hit", "error", verdict["mark"].alias("mark"), verdict["why"].alias("why"))
+
+
 def build_item(raw: DataFrame) -> DataFrame:
     """Feed items from fetched records (pmid, doi, journal, journal_abbr, title, abstract, year, month, day, medline, entrez_date, pmc, ptypes)."""
     return raw.select(

@@ -1,13 +1,13 @@
 """Glossaries: scoped resolution, hits in text, context-protected rewriting, upserts and audits.
 
 Terms are a table of (ord, term, zh, mode, note, aliases, pattern, prefix_variants, status, scope, full_en).
-A resolved glossary is small by nature (terms that a person has approved); it is broadcast only where its
-row count is below `BROADCAST_TERMS`, and left to the optimizer beyond.
+A resolved glossary is small by nature (terms that a person has approved); it is broadcast only where a count
+shows at most `BROADCAST_TERMS` rows, and joined as the optimizer decides beyond. Terms meet texts by the letter runs of
+a term's first word: an equi-join; only terms without any letter, or with a pattern of their own, are tried on all.
 """
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +18,7 @@ from scriptorium.functions import text as T
 # Fixed values.
 PREFIX_ZH = {"a": "前部", "p": "后部", "r": "右侧", "l": "左侧", "d": "背侧", "v": "腹侧", "m": "内侧", "c": "尾侧", "s": "上"}
 HARD, HINT = "hard_replace", "prompt_hint"
+# The alternatives of the words that introduce an abbreviation, without inner captures, for a look-behind.
 ABBR_INTRO = "(?:(?:英文)?(?:缩写|简写|简称)(?:为|是|成)?|代号|代称为|命名为|称作|称为|写作|标记为|即|或称)"
 BROADCAST_TERMS = 20_000
 
@@ -54,13 +55,23 @@ def active(terms: DataFrame) -> DataFrame:
 
 
 def ranked(terms: DataFrame, docs: DataFrame) -> DataFrame:
-    """The active terms that apply to each (doc_id, field), those of the highest rank per lower-cased term; n_zh counts their translations."""
-    keyed = active(terms).crossJoin(docs.select("doc_id", "field").distinct()) if terms is not docs else terms
-    at = keyed.withColumn("rank", scope_rank(F.col("scope"), F.col("doc_id"), F.col("field"))).where("rank >= 0")
-    at = at.withColumn("key", F.lower(F.trim("term")))
+    """The active terms that apply to each (doc_id, field), those of the highest rank per lower-cased term; n_zh counts their translations.
+
+    A document asks for three scopes, the global one, its field's and its own: one equi-join."""
+    s = F.coalesce("scope", F.lit(""))
+    known = (s == "") | (s == "global") | s.startswith("field:") | s.startswith("doc:")
+    at = F.when((s == "") | (s == "global"), "").when(known, s).otherwise(F.raise_error(F.concat(F.lit("unknown scope "), s)).cast("string"))
+    asked = F.array(
+        F.struct(F.lit("").alias("__scope"), F.lit(0).alias("rank")),
+        F.struct(F.concat(F.lit("field:"), F.coalesce("field", F.lit(""))).alias("__scope"), F.lit(1).alias("rank")),
+        F.struct(F.concat(F.lit("doc:"), "doc_id").alias("__scope"), F.lit(2).alias("rank")),
+    )
+    wants = docs.select("doc_id", "field").distinct().select("doc_id", "field", F.inline(asked))
+    rows = wants.join(sized(active(terms).withColumn("__scope", at)), "__scope").drop("__scope")
+    rows = rows.withColumn("key", F.lower(F.trim("term")))
     per = Window.partitionBy("doc_id", "field", "key")
-    at = at.withColumn("top", F.max("rank").over(per)).where("rank = top")
-    return at.withColumn("n_zh", F.size(F.collect_set("zh").over(per))).withColumn("at", F.row_number().over(per.orderBy("ord")))
+    rows = rows.withColumn("top", F.max("rank").over(per)).where("rank = top")
+    return rows.withColumn("n_zh", F.size(F.collect_set("zh").over(per))).withColumn("at", F.row_number().over(per.orderBy("ord")))
 
 
 def resolve(terms: DataFrame, docs: DataFrame, strict: bool = False) -> DataFrame:
@@ -122,20 +133,44 @@ def term_regex(term: Column, pattern: Column, prefix_variants: Column) -> Column
     return F.when(F.coalesce(F.length(pattern), F.lit(0)) > 0, F.concat(F.lit("(?i)"), pattern)).when(T.is_abbreviation(term), abbr).otherwise(phrase)
 
 
+def lead_runs(term: Column, pattern: Column, prefix_variants: Column) -> Column:
+    """The lower-case letter runs of which a text must hold one for term_regex() to match: the term's first run of letters, with
+    what may stand before it (one letter, for abbreviations) or behind it (an ending). Empty where the term has none, or its own pattern."""
+    run = F.lower(F.regexp_extract(term, "[A-Za-z]+", 0))
+    begins, ends = term.rlike(r"^\s*[A-Za-z]"), term.rlike(r"^[^A-Za-z]*[A-Za-z]+\s*$")
+    letters = F.array(F.lit(""), *[F.lit(x) for x in "abcdefghijklmnopqrstuvwxyz"])
+    before = F.when(begins & T.is_abbreviation(term) & prefix_variants, letters).otherwise(F.array(F.lit("")))
+    behind = F.when(ends, F.array(F.lit(""), F.lit("s"), F.lit("es"))).otherwise(F.array(F.lit("")))
+    runs = F.flatten(F.transform(before, lambda b: F.transform(behind, lambda e: F.concat(b, run, e))))
+    return F.when((F.length(run) > 0) & (F.coalesce(F.length(pattern), F.lit(0)) == 0), runs).otherwise(F.array().cast("array<string>"))
+
+
 def hits(segments: DataFrame, terms: DataFrame, text: str = "src_text") -> DataFrame:
-    """Segments and the active terms that their text holds: a theta join on the term's pattern.
+    """Segments and the active terms that their text holds, by the term's pattern.
 
-    A term without a pattern of its own must have its first word in the text, which is checked before the pattern."""
+    Terms meet segments by equality of letter runs, once for each pair; then the pattern decides."""
     rx = active(terms).withColumns({
-        "rx": term_regex(F.col("term"), F.col("pattern"), F.col("prefix_variants")),
-        "lead": F.when(F.coalesce(F.length("pattern"), F.lit(0)) > 0, "").otherwise(F.lower(F.get(F.split(F.trim("term"), r"[\s\-/]+"), F.lit(0)))),
+        "__rx": term_regex(F.col("term"), F.col("pattern"), F.col("prefix_variants")),
+        "__runs": lead_runs(F.col("term"), F.col("pattern"), F.col("prefix_variants")),
     })
     shared = [c for c in terms.columns if c in segments.columns]
-    s, t = segments.alias("s"), sized(rx).alias("t")
-    test = F.contains(F.lower(F.col(f"s.{text}")), F.col("t.lead")) & F.regexp_like(F.col(f"s.{text}"), F.col("t.rx"))
+    own = [c for c in terms.columns if c not in shared]
+    test = F.regexp_like(F.col(f"s.{text}"), F.col("t.__rx"))
     for c in shared:
         test = test & F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}"))
-    return s.join(t, test).select("s.*", *[F.col(f"t.{c}") for c in terms.columns if c not in shared])
+    size = rx.agg(F.count("*").alias("n"), F.count_if(F.size("__runs") == 0).alias("loose")).first()
+    small = F.broadcast if size["n"] <= BROADCAST_TERMS else (lambda d: d)
+    runs = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), F.lower))
+    asked = segments.withColumn("__all", runs).withColumn("__run", F.explode("__all")).alias("s")
+    given = small(rx.withColumn("__key", F.explode("__runs"))).alias("t")
+    # A pair that several runs join counts by the first of them.
+    first = F.get(F.array_intersect("s.__all", "t.__runs"), F.lit(0)) == F.col("s.__run")
+    found = asked.join(given, (F.col("s.__run") == F.col("t.__key")) & first & test)
+    found = found.select(*[F.col(f"s.{c}") for c in segments.columns], *[F.col(f"t.{c}") for c in own])
+    if not size["loose"]:
+        return found
+    tried = segments.alias("s").join(small(rx.where("size(__runs) = 0")).alias("t"), test)
+    return found.unionByName(tried.select(*[F.col(f"s.{c}") for c in segments.columns], *[F.col(f"t.{c}") for c in own]))
 
 
 def web_hits(segments: DataFrame, terms: DataFrame, text: str = "src_text") -> DataFrame:
@@ -161,37 +196,97 @@ def prompt_block(terms: DataFrame, include_hard: bool = True, keys: tuple[str, .
     return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("block"))
 
 
-def protected_replace(text: Column, term: str, zh: str, prefix_variants: bool = True, aliases: tuple[str, ...] = ()) -> Column:
+#: A pattern that never matches.
+NEVER = "(?!)"
+
+
+def protected(text: Column, term: Column, zh: Column, variants: Column, aliases: Column) -> Column:
     """One hard term on a translation: brackets, prefixed forms, the term itself, then its aliases (long first).
 
     A bracketed term stays where its translation stands within 40 characters before it, and is named in full
-    where it does not; a term that a text introduces as an abbreviation stays."""
-    t, z = re.escape(term), re.escape(zh)
-    put = lambda x: x.replace("\\", "\\\\").replace("$", r"\$")
-    out = text
-    # Guards stand behind what they guard, so that the engine looks back only from a hit.
-    if zh:
-        near = f".{{0,{max(0, 40 - len(zh))}}}"
-        out = F.regexp_replace(out, rf"(?s)[（(](?<!{z}{near}[（(])\s*[a-z]?{t}\s*[）)]", put(f"（{zh}）"))
-        out = F.regexp_replace(out, rf"(?s)[（(](?<={z}{near}[（(])\s*[a-z]?{t}\s*[）)]", put(f"（{term}）"))
-    if prefix_variants and re.fullmatch(r"[A-Z][A-Za-z0-9]{0,7}", term) and re.search("[一-鿿]", zh):
-        for letter, word in PREFIX_ZH.items():
-            out = F.regexp_replace(out, rf"(?<![A-Za-z]){letter}{t}(?![A-Za-z])", put(word + zh))
-        out = F.regexp_replace(out, rf"(?<![A-Za-z])([a-z]){t}(?![A-Za-z])", "$1" + put(zh))
+    where it does not; a term that a text introduces as an abbreviation stays. Guards stand behind what they guard,
+    so that the engine looks back only from a hit. Of literal terms all patterns are folded at plan time."""
+    t, z = quoted(term), quoted(zh)
+    put = lambda *c: F.regexp_replace(F.concat(*c), r"([\\$])", r"\\$1")
+    rx = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in c])
+    near = rx(".{0,", F.greatest(40 - F.length(zh), F.lit(0)).cast("string"), "}")
+    far = rx(".{0,", F.greatest(49 - F.length(zh), F.lit(0)).cast("string"), "}")
+    some, prefixed = F.length(zh) > 0, variants & term.rlike("^[A-Z][A-Za-z0-9]{0,7}$") & T.has_cjk(zh)
+    steps = [
+        (some, rx("(?s)[（(](?<!", z, near, r"[（(])\s*[a-z]?", t, r"\s*[）)]"), put(F.lit("（"), zh, F.lit("）"))),
+        (some, rx("(?s)[（(](?<=", z, near, r"[（(])\s*[a-z]?", t, r"\s*[）)]"), put(F.lit("（"), term, F.lit("）"))),
+        *[(prefixed, rx(f"(?<![A-Za-z]){letter}", t, "(?![A-Za-z])"), put(F.lit(word), zh)) for letter, word in PREFIX_ZH.items()],
+        (prefixed, rx("(?<![A-Za-z])([a-z])", t, "(?![A-Za-z])"), F.concat(F.lit("$1"), put(zh))),
+    ]
     # An introduced abbreviation stays; so does a closed bracket behind its translation.
-    noted = rf"(?!(?<={z}.{{0,{max(0, 49 - len(zh))}}}[（(]{t})[）)])" if zh else ""
-    out = F.regexp_replace(out, rf"(?s)(?<![A-Za-z]){t}(?![A-Za-z])(?<!{ABBR_INTRO}\s{{0,8}}{t}){noted}", put(zh))
-    out = F.when(F.contains(text, F.lit(term)), out).otherwise(text)
-    for alias in sorted(aliases, key=lambda a: -len(a)):
-        if alias and alias != zh and alias != term:
-            out = F.replace(out, F.lit(alias), F.lit(zh))
-    return out
+    noted = F.when(some, rx("(?!(?<=", z, far, "[（(]", t, ")[）)])")).otherwise("")
+    steps.append((F.lit(True), rx("(?s)(?<![A-Za-z])", t, rf"(?![A-Za-z])(?<!{ABBR_INTRO}\s{{0,8}}", t, ")", noted), put(zh)))
+    ordered = F.transform(F.array_sort(F.transform(aliases, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("a")))), lambda x: x["a"])
+    usable = F.filter(ordered, lambda x: (F.length(x) > 0) & (x != zh) & (x != term))
+
+    def replaced(v: Column) -> Column:
+        # Each step names its input once: a chain of terms stays linear in their number.
+        out = reduce(lambda c, x: F.regexp_replace(c, F.when(x[0], x[1]).otherwise(NEVER), x[2]), steps, v)
+        return F.aggregate(usable, F.when(F.contains(v, term), out).otherwise(v), lambda acc, x: F.replace(acc, x, zh))
+
+    return F.get(F.transform(F.array(text), replaced), F.lit(0))
 
 
 def hard_replace(text: Column, terms: list[dict]) -> Column:
-    """All hard terms of a resolved glossary on a translation, the longest term first: one expression, folded at plan time."""
+    """All hard terms of one resolved glossary on a translation, the longest term first: one expression, folded at plan time."""
     own = [t for t in terms if t.get("mode", HINT) == HARD and t.get("status", "suggested") != "rejected"]
-    return reduce(lambda c, t: protected_replace(c, t["term"], t["zh"], t.get("prefix_variants", True), tuple(t.get("aliases") or ())), sorted(own, key=lambda t: -len(t["term"])), text)
+
+    def one(c: Column, t: dict) -> Column:
+        aliases = F.array(*[F.lit(a) for a in t.get("aliases") or ()]).cast("array<string>")
+        return protected(c, F.lit(t["term"]), F.lit(t["zh"]), F.lit(bool(t.get("prefix_variants", True))), aliases)
+
+    return reduce(one, sorted(own, key=lambda t: -len(t["term"])), text)
+
+
+def replaced_by_document(rows: DataFrame, resolved: DataFrame, text: str = "zh") -> DataFrame:
+    """Rows(doc_id, ...) with the hard terms of their own document's glossary applied to a text column, the longest term first.
+
+    resolved(doc_id, term, zh, mode, ...) comes from resolve(). A document's terms travel with it as one array, of
+    the terms that were approved for it."""
+    cols = resolved.columns
+    variants = F.col("prefix_variants") if "prefix_variants" in cols else F.lit(True)
+    aliases = F.coalesce(F.col("aliases") if "aliases" in cols else F.lit(None), F.array()).cast("array<string>")
+    entry = F.struct((-F.length("term")).alias("n"), *(["ord"] if "ord" in cols else []), "term", "zh", variants.alias("variants"), aliases.alias("aliases"))
+    own = resolved.where(F.col("mode") == HARD).groupBy(F.col("doc_id").alias("__doc")).agg(F.array_sort(F.collect_list(entry)).alias("__terms"))
+    both = rows.join(own, rows["doc_id"] == own["__doc"], "left")
+    out = F.aggregate("__terms", F.col(text), lambda acc, t: protected(acc, t["term"], t["zh"], t["variants"], t["aliases"]))
+    return both.withColumn(text, F.when(F.col("__terms").isNull(), F.col(text)).otherwise(out)).drop("__doc", "__terms")
+
+
+MINED = "array<struct<term:string,zh:string,mode:string,note:string,aliases:array<string>,full_en:string>>"
+
+
+def mined(answers: DataFrame) -> DataFrame:
+    """Terms from a provider's answers(doc_id, text): the JSON array in each, whatever stands around it, as suggested terms of the document.
+
+    Entries without term or translation go; an unknown mode is a hard one; an alias equal to the translation goes.
+    An answer that holds no array gives no row."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim("text"), r"^```[a-zA-Z]*\n?", ""), r"\n?```$", "")
+    rows = answers.select("doc_id", F.posexplode(F.from_json(F.regexp_extract(bare, r"(?s)\[.*\]", 0), MINED)).alias("ord", "t"))
+    tidy = lambda c: F.trim(F.coalesce(F.col(f"t.{c}"), F.lit("")))
+    aliases = F.filter(F.coalesce("t.aliases", F.array().cast("array<string>")), lambda a: (F.length(F.trim(a)) > 0) & (F.trim(a) != F.col("t.zh")))
+    rows = rows.where((F.length(tidy("term")) > 0) & (F.length(tidy("zh")) > 0))
+    return rows.select(
+        "doc_id", "ord", tidy("term").alias("term"), tidy("zh").alias("zh"), F.when(F.col("t.mode").isin(HARD, HINT), F.col("t.mode")).otherwise(HARD).alias("mode"),
+        F.nullif(tidy("note"), F.lit("")).alias("note"), F.transform(aliases, F.trim).alias("aliases"), F.concat(F.lit("doc:"), "doc_id").alias("scope"), F.lit("suggested").alias("status"),
+    )
+
+
+def pending_terms(definitions: DataFrame) -> DataFrame:
+    """What stands for mined terms where no answer came: each definition(doc_id, abbr, full), its translation still to be approved."""
+    one = definitions.groupBy("doc_id", F.col("abbr").alias("term")).agg(F.min("full").alias("full_en"))
+    return one.select("doc_id", "term", "full_en", F.concat(F.lit("【待审核: "), "full_en", F.lit("】")).alias("zh"))
+
+
+def documents_with_glossaries(glossaries: DataFrame, library: DataFrame) -> DataFrame:
+    """(doc_id, title, n_terms): documents that have a glossary(doc_id, title, terms), and the library's(doc_id, title) others, with none."""
+    own = glossaries.select("doc_id", F.coalesce(F.nullif("title", F.lit("")), "doc_id").alias("title"), F.coalesce(F.size("terms"), F.lit(0)).alias("n_terms"))
+    return own.unionByName(library.join(own, "doc_id", "left_anti").select("doc_id", "title", F.lit(0).alias("n_terms")))
 
 
 def landing(segments: DataFrame, terms: DataFrame, accept_aliases: bool = False) -> DataFrame:

@@ -118,6 +118,11 @@ def layout(lines: DataFrame, page_width: DataFrame) -> DataFrame:
     return got.withColumn("bases", base).drop("by_col", "centres", "page_width")
 
 
+def page_widths(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_width): the widest of a document's pages(doc_id, width)."""
+    return pages.groupBy("doc_id").agg(F.max("width").cast("double").alias("page_width"))
+
+
 def column_of(x: Column) -> Column:
     return F.when((F.col("n_columns") < 2) | (x < F.col("split_x")), 0).otherwise(1)
 

@@ -74,3 +74,13 @@ def visual_density(pairs: DataFrame) -> DataFrame:
 
 def absent(requested: DataFrame, available: DataFrame) -> DataFrame:
     return requested.join(available.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def char_totals(pairs: DataFrame) -> DataFrame:
+    """Characters of source and translation per document."""
+    return pairs.groupBy("doc_id").agg(F.sum(F.length("src")).cast("long").alias("src_chars"), F.sum(F.length("zh")).cast("long").alias("zh_chars"))
+
+
+def audio_totals(audio: DataFrame) -> DataFrame:
+    """Seconds of speech and failed segments of audio(doc_id, duration_sec, error) per document."""
+    return audio.groupBy("doc_id").agg(F.round(F.sum("duration_sec"), 3).alias("total_sec"), F.count_if(F.col("error").isNotNull()).alias("n_failed"))

@@ -12,19 +12,32 @@ SKIP_SECTIONS = ["inline recommendations", "references", "author information", "
 WEB_SKIP_SECTIONS = [*SKIP_SECTIONS, "acknowledgements", "supplementary information", "related links", "change history", "data availability"]
 
 
+#: What opens or closes a paragraph.
+PARAGRAPH = r"<p\b[^>]*>|</p>"
+
+
+def article(html: Column) -> Column:
+    """A page's article, else its body, else all of it."""
+    inner = F.regexp_extract(html, r"(?s)<article\b[^>]*>(.*)</article>", 1)
+    body = F.regexp_extract(html, r"(?s)<body\b[^>]*>(.*)</body>", 1)
+    return F.when(F.length(inner) > 0, inner).when(F.length(body) > 0, body).otherwise(html)
+
+
+def numbered(pieces: Column) -> Column:
+    """(seg_pos, src_text) of the pieces that stay, numbered from 1 in the row: no shuffle, no sort."""
+    return F.transform(pieces, lambda t, i: F.struct((i + 1).alias("seg_pos"), t.alias("src_text")))
+
+
 def flat_html(pages: DataFrame) -> DataFrame:
     """(page_id, seg_pos, src_text, n_words, src_hash): paragraphs of pages without sections.
 
     A paragraph runs from a paragraph tag to the next one or the article's end; short ones go."""
-    body = F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1)
-    parts = F.split(body, "<p>|</p>", -1)
-    rows = pages.select("page_id", F.posexplode(parts).alias("piece", "raw")).where("piece > 0")
-    bare = F.regexp_replace("raw", "<[^>]+>", "")
-    bare = F.replace(F.replace(bare, F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
-    rows = rows.withColumn("src_text", F.trim(F.regexp_replace(bare, "[ \\t\\n\\r]+", " ")))
-    rows = rows.withColumn("n_words", F.size(F.split("src_text", " "))).where("n_words >= 3")
-    pos = F.row_number().over(Window.partitionBy("page_id").orderBy("piece"))
-    return rows.select("page_id", pos.alias("seg_pos"), "src_text", "n_words", F.sha1("src_text").alias("src_hash"))
+    parts = F.split(article(F.col("html")), PARAGRAPH, -1)
+    tidy = lambda p: F.trim(F.regexp_replace(T.unescape(F.regexp_replace(p, "<[^>]+>", "")), "[ \\t\\n\\r]+", " "))
+    texts = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), tidy)
+    kept = F.filter(texts, lambda t: F.size(F.split(t, " ")) >= 3)
+    rows = pages.select("page_id", F.inline(numbered(kept)))
+    return rows.select("page_id", "seg_pos", "src_text", F.size(F.split("src_text", " ")).alias("n_words"), F.sha1("src_text").alias("src_hash"))
 
 
 def html_title(html: Column, fallback: Column) -> Column:
@@ -35,10 +48,39 @@ def html_title(html: Column, fallback: Column) -> Column:
     return F.when(F.length(tidy(h1)) > 0, tidy(h1)).when(F.length(F.trim(title)) > 0, F.trim(T.unescape(title))).otherwise(fallback)
 
 
-def _stripped(body: Column) -> Column:
-    s = F.regexp_replace(body, r"(?s)<figure\b[^>]*>.*?</figure>", "")
-    s = F.regexp_replace(s, r'(?s)<div\b[^>]*class="[^"]*c-article-section__figure[^"]*"[^>]*>.*?</div>', "")
-    return F.regexp_replace(s, r"(?s)<table\b[^>]*>.*?</table>", "")
+def balanced(text: Column, tags: str, opens: str) -> Column:
+    """struct(out: array<struct<open, body>>, rest): the blocks whose opening tag matches `opens`, whole however `tags` nest in them, and the text outside of them."""
+    token = rf"(?is)</?(?:{tags})\b[^>]*>"
+    found, gaps = F.regexp_extract_all(text, F.lit(token), F.lit(0)), F.split(text, token, -1)
+    none = F.array().cast("array<struct<open:string,body:string>>")
+
+    def step(acc: Column, i: Column) -> Column:
+        t, g, inside = F.get(found, i), F.get(gaps, i + 1), acc["depth"] > 0
+        closing = t.startswith("</")
+        starts, ends = ~inside & t.rlike(opens), (acc["depth"] == 1) & closing
+        depth = F.when(starts, 1).when(inside & closing, acc["depth"] - 1).when(inside, acc["depth"] + 1).otherwise(0)
+        return F.struct(
+            depth.alias("depth"),
+            F.when(starts, t).otherwise(acc["open"]).alias("open"),
+            F.when(starts, g).when(inside & ~ends, F.concat(acc["body"], t, g)).otherwise("").alias("body"),
+            F.when(ends, F.concat(acc["rest"], g)).when(inside | starts, acc["rest"]).otherwise(F.concat(acc["rest"], t, g)).alias("rest"),
+            F.when(ends, F.concat(acc["out"], F.array(F.struct(acc["open"].alias("open"), acc["body"].alias("body"))))).otherwise(acc["out"]).alias("out"),
+        )
+
+    zero = F.struct(F.lit(0).alias("depth"), F.lit("").alias("open"), F.lit("").alias("body"), F.get(gaps, F.lit(0)).alias("rest"), none.alias("out"))
+    steps = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def close(acc: Column) -> Column:
+        last = F.when(acc["depth"] > 0, F.concat(acc["out"], F.array(F.struct(acc["open"].alias("open"), acc["body"].alias("body"))))).otherwise(acc["out"])
+        return F.struct(last.alias("out"), acc["rest"].alias("rest"))
+
+    return F.aggregate(steps, zero, step, close)
+
+
+TITLED = r'(?i)^<section\b[^>]*data-title="[^"]+"'
+FIGURE = r'(?i)^<(?:figure\b|div\b[^>]*class="[^"]*c-article-section__figure)'
+#: Tables and empty figures are no text.
+TABLE = r"(?i)^<table\b"
 
 
 LISTED = r"(?s)<p\b[^>]*>[^<]*?:\s*</p>\s*<(?:ol|ul)\b[^>]*>.*?</(?:ol|ul)>"
@@ -63,17 +105,15 @@ def section_html(pages: DataFrame, dialect: str = "html") -> DataFrame:
 
     Repeated sub-headings of a section get paths of their own, so ids stay unique."""
     skip = SKIP_SECTIONS if dialect == "html" else WEB_SKIP_SECTIONS
-    pattern = r'(?s)<section\b[^>]*data-title="([^"]+)"[^>]*>(.*?)</section>'
-    secs = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)).alias("t"), F.regexp_extract_all("html", F.lit(pattern), F.lit(2)).alias("b"))
-    secs = pages.select("doc_id", F.posexplode(secs).alias("sec_no", "s")).select("doc_id", "sec_no", F.trim("s.t").alias("main"), F.col("s.b").alias("body"))
-    secs = secs.where(~F.lower("main").isin(skip))
-    blocks = F.regexp_extract_all("body", F.lit(r'(?s)<(?:div\b[^>]*class="[^"]*c-article-section__figure[^"]*"|figure\b)[^>]*>(.*?)</(?:div|figure)>'), F.lit(1))
-    figs = secs.select("doc_id", "sec_no", "main", F.posexplode(blocks).alias("fig", "block"))
+    secs = pages.select("doc_id", F.posexplode(balanced(F.col("html"), "section", TITLED)["out"]).alias("sec_no", "s"))
+    title = F.regexp_extract("s.open", r'(?i)data-title="([^"]+)"', 1)
+    secs = secs.select("doc_id", "sec_no", F.trim(title).alias("main"), balanced(F.col("s.body"), "figure|div", FIGURE).alias("b")).where(~F.lower("main").isin(skip))
+    figs = secs.select("doc_id", "sec_no", "main", F.posexplode(F.transform("b.out", lambda x: x["body"])).alias("fig", "block"))
     label = F.regexp_extract("block", r'(?s)<(?:figcaption|b\b[^>]*class="[^"]*c-article-section__figure-caption[^"]*")[^>]*>(.*?)</(?:figcaption|b)>', 1)
     figs = figs.select("doc_id", "sec_no", "main", "fig", F.when(F.length(label) > 0, T.clean_paragraph(label)).otherwise("Fig 说明").alias("fig_label"), F.posexplode(F.regexp_extract_all("block", F.lit(r"(?s)<p\b[^>]*>(.*?)</p>"), F.lit(1))).alias("at", "raw"))
     figs = figs.select("doc_id", "sec_no", "main", (F.col("fig") * 10_000 + F.col("at") - 1_000_000_000).alias("at"), F.lit("p").alias("tag"), "raw", F.lit(True).alias("is_figure"), "fig_label")
     token = r"(?s)<(h[3-4]|p)\b[^>]*>(.*?)</\1>"
-    flow = with_lists(_stripped(F.col("body")))
+    flow = with_lists(balanced(F.col("b.rest"), "table", TABLE)["rest"])
     zipped = F.arrays_zip(F.regexp_extract_all(flow, F.lit(token), F.lit(1)).alias("tag"), F.regexp_extract_all(flow, F.lit(token), F.lit(2)).alias("raw"))
     body = secs.select("doc_id", "sec_no", "main", F.posexplode(zipped).alias("at", "t")).select("doc_id", "sec_no", "main", "at", "t.tag", "t.raw", F.lit(False).alias("is_figure"), F.lit("").alias("fig_label"))
     rows = figs.unionByName(body).withColumn("text", F.when(F.col("tag") == "p", T.clean_paragraph(F.col("raw"), dialect)).otherwise(F.trim(T.unescape(F.regexp_replace("raw", "<[^>]+>", "")))))
@@ -87,7 +127,11 @@ def section_html(pages: DataFrame, dialect: str = "html") -> DataFrame:
         "base_path": F.when(F.col("head").isNull(), T.slug(F.col("main"))).otherwise(F.concat(T.slug(F.col("main")), F.lit("/"), T.slug(F.col("head.text")))),
         "head_at": F.coalesce("head.at", F.lit(-1)),
     })
-    rows = unique_paths(rows, ["doc_id"], "base_path", ["sec_no", "head_at"])
+    if dialect == "web":
+        place = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("sec_no", "head_at")) - 1
+        rows = rows.withColumn("sec_path", F.format_string("s%03d-%s", place, T.web_slug(F.col("sec_heading"))))
+    else:
+        rows = unique_paths(rows, ["doc_id"], "base_path", ["sec_no", "head_at"])
     return with_ids(rows, ["sec_no", "at"], dialect).withColumn("src_text", F.col("text")).select(
         "doc_id", "sid", F.col("sec_path"), "sec_heading", "sec_level", "index", "seg_pos", "src_text", T.word_count(F.col("text"), "html" if dialect == "html" else "web").alias("n_words"), "is_figure", "fig_label", F.sha1("text").alias("src_hash")
     )
@@ -105,8 +149,9 @@ def with_ids(rows: DataFrame, order: list[str], dialect: str = "html") -> DataFr
     pos = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
     rows = rows.withColumns({"index": index, "seg_pos": pos})
     if dialect == "web":
-        rows = rows.withColumn("index", F.col("seg_pos") - 1)
         sid = F.format_string("%s:%s:p%02d", F.col("doc_id").cast("string"), "sec_path", F.col("index"))
+        rows = rows.withColumn("sid", sid).withColumn("index", F.col("seg_pos") - 1)
+        sid = F.col("sid")
     elif "is_figure" in rows.columns:
         sid = F.when(F.col("is_figure"), F.format_string("%s#%s#fig%02d", F.col("doc_id").cast("string"), "sec_path", F.col("index"))).otherwise(T.segment_id(F.col("doc_id"), F.col("sec_path"), F.col("index")))
     else:
@@ -120,12 +165,14 @@ def deduplicated(rows: DataFrame, sid: str, order: list[str]) -> DataFrame:
 
 
 def text_segments(docs: DataFrame) -> DataFrame:
-    """Segments of `docs(doc_id, text, ...)`: its non-blank lines, as one section `body`."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw")).withColumn("src_text", F.trim("raw")).where("length(src_text) > 0")
-    rows = rows.withColumn("sec_path", F.lit("body"))
-    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
-    rows = rows.withColumn("seg_pos", pos)
-    return rows.select("doc_id", T.segment_id(F.col("doc_id"), F.col("sec_path"), F.col("seg_pos")).alias("sid"), "sec_path", F.col("seg_pos").alias("index"), "seg_pos", "src_text", T.word_count(F.col("src_text"), "pdf").alias("n_words"), F.sha1("src_text").alias("src_hash"))
+    """Segments of `docs(doc_id, text, ...)`: its non-blank lines, as one section `body`; numbered in the row, without a shuffle."""
+    lines = F.filter(F.transform(F.split("text", "\n", -1), F.trim), lambda t: F.length(t) > 0)
+    rows = docs.select("doc_id", F.inline(numbered(lines))).withColumn("sec_path", F.lit("body"))
+    sid = T.segment_id(F.col("doc_id"), F.col("sec_path"), F.col("seg_pos"))
+    n_words = T.word_count(F.col("src_text"), "pdf")
+    return rows.select(
+        "doc_id", sid.alias("sid"), "sec_path", F.col("seg_pos").alias("index"), "seg_pos", "src_text", n_words.alias("n_words"), F.sha1("src_text").alias("src_hash")
+    )
 
 
 def web_flat(pages: DataFrame) -> DataFrame:

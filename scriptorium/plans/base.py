@@ -47,7 +47,7 @@ SEGMENTS = """seg AS (SELECT doc_id, doc_id || '#body#' || printf('%02d', seg_po
 PAGES = r"""flat AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY piece) AS seg_pos, src_text, len(string_split(src_text, ' ')) AS n_words FROM (
     SELECT page_id, piece, trim(regexp_replace(replace(replace(regexp_replace(raw, '<[^>]+>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) AS src_text FROM (
         SELECT page_id, unnest(s[2:]) AS raw, generate_subscripts(s[2:], 1) AS piece FROM (
-            SELECT page_id, string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>|</p>') AS s FROM pages)))
+            SELECT page_id, string_split_regex(coalesce(nullif(regexp_extract(html, '(?s)<article\b[^>]*>(.*)</article>', 1), ''), nullif(regexp_extract(html, '(?s)<body\b[^>]*>(.*)</body>', 1), ''), html), '<p\b[^>]*>|</p>') AS s FROM pages)))
     WHERE len(string_split(src_text, ' ')) >= 3)"""
 
 #: A glossary over the words of the tables.
@@ -95,3 +95,97 @@ ANSWERS = [
 ]
 RECTS = [("p1", 0, 0.0, 0.0, 300.0, 200.0), ("p1", 1, 50.0, 50.0, 250.0, 150.0)]
 BOX_LINES = [("p1", 0, 10.0, 20.0, 100.0, "a"), ("p1", 0, 250.0, 20.0, 100.0, "b"), ("p1", 1, 60.0, 40.0, 80.0, "c"), ("p1", 1, 160.0, 240.0, 268.0, "d"), ("p1", 1, 151.5, 240.0, 262.0, "e"), ("p2", 0, 10.0, 20.0, 100.0, "f")]
+
+
+#: Pages whose sections, figures and tables nest; and their segments, by hand.
+NESTED_PAGES = [
+    ("n", """<section data-title="Intro"><p>First text one two.</p><section data-title="Inner"><h3>Sub head</h3><p>Nested text here now.</p></section>
+<div class="c-article-section__figure"><div><figcaption>Fig. 1 | x</figcaption><p>Caption words are here.</p></div><p>More caption words follow.</p></div>
+<p>After the nested parts.</p><table><tr><td><p>in a table cell</p></td></tr></table><p>Criteria are these:</p><ol><li>alpha</li><li>beta</li></ol></section>
+<section><section data-title="Methods"><p>We did this &#8217;well&#x2019; and R&amp;D [1].</p></section></section><section data-title="References"><p>Skip this one please.</p></section>"""),
+    ("d", """<html><h1 class="c-article-title x">The <i>Title</i></h1>
+<section data-title="Introduction"><figure><figcaption>Fig. 1: A thing</figcaption><p>The caption text is here.</p></figure>
+<p>First paragraph with words.</p><p>Too short</p><h3>Sub one</h3><p>Criteria are the following:</p><ol><li>alpha one</li><li>beta two</li></ol>
+<h3>Sub one</h3><p>Under the second heading.</p><h4>Deep one</h4><p>Deep words are here.</p><table><p>no table text here</p></table></section>
+<section data-title="References"><p>A reference goes right here.</p></section><section data-title="Empty"><h3>Nothing</h3></section></html>"""),
+    ("e", "<html><body><p>No section holds this text.</p></body></html>"),
+]
+NESTED_ROWS = [
+    ("n", "n#intro#fig01", "Intro", 1, "Caption words are here.", True), ("n", "n#intro#fig02", "Intro", 1, "More caption words follow.", True),
+    ("n", "n#intro#03", "Intro", 1, "First text one two.", False), ("n", "n#intro/sub-head#01", "Sub head", 2, "Nested text here now.", False),
+    ("n", "n#intro/sub-head#02", "Sub head", 2, "After the nested parts.", False), ("n", "n#intro/sub-head#03", "Sub head", 2, "Criteria are these: 1. alpha; 2. beta", False),
+    ("n", "n#methods#01", "Methods", 1, "We did this ’well’ and R&D[1].", False),
+    ("d", "d#introduction#fig01", "Introduction", 1, "The caption text is here.", True), ("d", "d#introduction#02", "Introduction", 1, "First paragraph with words.", False),
+    ("d", "d#introduction/sub-one#01", "Sub one", 2, "Criteria are the following: 1. alpha one; 2. beta two", False),
+    ("d", "d#introduction/sub-one-2#01", "Sub one", 2, "Under the second heading.", False), ("d", "d#introduction/deep-one#01", "Deep one", 3, "Deep words are here.", False),
+]
+#: The browser's ids of the same segments.
+WEB_ROWS = [
+    ("n", "n:s000-intro:p01", 0), ("n", "n:s000-intro:p02", 1), ("n", "n:s000-intro:p03", 2), ("n", "n:s001-sub-head:p01", 3), ("n", "n:s001-sub-head:p02", 4), ("n", "n:s001-sub-head:p03", 5), ("n", "n:s002-methods:p01", 6),
+    ("d", "d:s000-introduction:p01", 0), ("d", "d:s000-introduction:p02", 1), ("d", "d:s001-sub-one:p01", 2), ("d", "d:s002-sub-one:p01", 3), ("d", "d:s003-deep-one:p01", 4),
+]
+
+
+def line(page, y, x0, x1, text, size=9.0, font="Serif", bold=False, all_bold=False, head="", rest=""):
+    return ("p", page, float(y), float(x0), float(x1), text, text, [size], {font: len(text)}, bold, all_bold, head, rest)
+
+
+#: Laid-out lines of a small paper, the kind of each, and the segments that they make.
+LINES = [
+    line(0, 50, 40, 300, "A Title of the Paper", 20.0, bold=True, all_bold=True),
+    line(0, 100, 40, 500, "The abstract of this paper is set in larger type than the rest", 10.5),
+    line(1, 50, 40, 200, "Methods of study", 12.0, bold=True, all_bold=True),
+    *[line(1, 70 + 10 * i, 40, 290, f"body words number {i} run on and on through the whole column width") for i in range(8)],
+    line(1, 150, 40, 120, "last words end here."),
+    line(1, 160, 55, 290, "Indented paragraph opens here and fills the line up to its right end"),
+    line(1, 170, 40, 150, "and closes here."),
+    line(1, 300, 40, 290, "Fig. 1 | A caption that stands below the picture", 7.0, "Sans"),
+    line(1, 308, 40, 200, "goes on in a second line", 7.0, "Sans"),
+    *[line(1, 70 + 10 * i, 320, 570, f"right column {i} carries on with words that fill the width of it all") for i in range(6)],
+    line(1, 130, 320, 560, "Effects of fasting on inflammation and oxi-", 9.0, bold=True, all_bold=True),
+    line(1, 140, 320, 570, "dative stress. What follows is plain text", 9.0, bold=True, head="dative stress.", rest="What follows is plain text of the run-in section"),
+    line(1, 150, 320, 400, "and it ends soon."),
+    line(2, 100, 60, 200, "boxed words in another font here", 9.0, "Sans"),
+]
+LINE_SCHEMA = "doc_id string, page int, y0 double, x0 double, x1 double, text string, raw string, sizes array<double>, font_chars map<string,int>, bold boolean, all_bold boolean, head_text string, rest_text string"
+_KINDS = {0: "title", 1: "abstract", 2: "h1", 14: "figure", 15: "figure", 22: "other", 23: "runin", 25: "region"}
+LINE_KINDS = [(r[1], r[2], r[3], _KINDS.get(i, "body")) for i, r in enumerate(LINES)]
+_TEXTS = [r[5] for r in LINES]
+LINE_SEGMENTS = [
+    ("p#abstract#01", "Abstract", 1, 1, _TEXTS[1]),
+    ("p#methods-of-study#01", "Methods of study", 1, 2, " ".join(_TEXTS[3:12])),
+    ("p#methods-of-study#02", "Methods of study", 1, 2, " ".join(_TEXTS[12:14])),
+    ("p#methods-of-study#03", "Methods of study", 1, 2, " ".join(_TEXTS[16:22])),
+    ("p#methods-of-study/effects-of-fasting-on-inflammation-and#01", "Effects of fasting on inflammation and oxidative stress.", 3, 2, "What follows is plain text of the run-in section and it ends soon."),
+]
+
+
+def laid_out(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lines, their one rectangle and the page's width."""
+    rects = spark.createDataFrame([("p", 2, 50.0, 50.0, 300.0, 300.0)], "doc_id string, page int, x0 double, y0 double, x1 double, y1 double")
+    return spark.createDataFrame(LINES, LINE_SCHEMA), rects, spark.createDataFrame([("p", 600.0)], "doc_id string, page_width double")
+
+
+MODELS = ["gpt-4o", "gpt-4o-realtime", "o1-mini", "o3", "o4", "chatgpt-4o-latest", "gpt-4o-transcription", "gpt-audio", "text-embedding-3", "dall-e-3"]
+#: Translations of the readers' documents, and what their own glossaries make of them.
+TRANSLATED = [
+    ("paper-A", 1, "MSN 投射到 MTL。", "内侧隔核 投射到 内侧颞叶。"), ("paper-B", 2, "aMSN 与 MSN（MSN）", "前部中型棘状神经元 与 中型棘状神经元（中型棘状神经元）"),
+    ("paper-C", 3, "MTL 与 LAR", "膜转运实验室 与 LAR"), ("paper-D", 4, "MTL 与 IBS 和 ibs", "MTL 与 肠易激综合征 和 ibs"),
+    ("paper-D", 5, "肠易激综合征（IBS）很常见", "肠易激综合征（IBS）很常见"), ("paper-D", 6, "", ""),
+]
+ENTITIES = [(1, "a &amp;#39; &#39;b&#x2019;c", "a &#39; 'b’c"), (2, "&lt;p&gt; &quot;&#8217;&#128512;", "<p> \"’😀"), (3, "&foo; & x", "&foo; & x"), (4, "none", "none")]
+MINED = [
+    ("d1", '```json\n[{"term": " MSN ", "zh": "内侧隔核", "mode": "prompt_hint", "note": "n", "aliases": ["内侧隔核", "隔核"]}, {"term": "X", "zh": ""}]\n```'),
+    ("d2", 'Sure: [{"term": "SIF", "zh": "抑制性遗忘", "mode": "what"}] done'), ("d3", "no list"),
+]
+SLUGS = [(1, "non-antibiotic-drugs"), (2, "dna-or-rna-synthesis"), (3, "colon-rectal-and-anal-cancer"), (4, "a" * 40), (5, "x" * 39), (6, "the-quoted-title"), (7, "results-and-discussion-of-the-long"), (8, "sec")]
+SPLIT = [
+    (1, 0, "See Fig. 3 for this."), (1, 1, "Values of 1.5 rose, e.g. in mice."), (1, 2, "Done!"), (2, 0, "One sentence"), (3, 0, "Smith et al. found it."), (3, 1, "Why?"), (3, 2, "Because."),
+    (4, 0, "A vs. B."), (4, 1, "Ref. 3 says 2.25 to 3.5."),
+]
+DATES = [(1, "2026-09-18"), (2, "2026-09-00"), (3, "2026"), (4, "2026-09"), (5, "2026-00"), (6, "Winter 2026"), (7, "2026-12-05")]
+PAYLOADS = [(1, "铁", "短句", "细节"), (2, "题", "句", ""), (3, "", "", ""), (4, "", "只有提要", ""), (5, "", "", "")]
+VERDICTS = [
+    (1, "✅", "3字"), (2, "✅", "15字"), (3, "⚠️", "2个逗号"), (4, "✅", "8字"), (5, "⚠️", "5个逗号"), (6, "⚠️", f"{len(BRIEFS[5][1])}字超标"), (7, "❌", "空"),
+    (8, "⚠️", f"{len(BRIEFS[7][1])}字偏长"),
+]

@@ -15,6 +15,7 @@ from scriptorium.operators import qa as Q
 from scriptorium.operators import segments as S
 from scriptorium.operators import timeline as M
 from scriptorium.plans import base as B
+from scriptorium.sources import readers as R
 from scriptorium.plans.base import segments, table
 
 Frame = DataFrame
@@ -95,7 +96,7 @@ def reading_len(spark: SparkSession, sf_dir: str) -> Frame:
 
 
 def normalize_numbers(spark: SparkSession, sf_dir: str) -> Frame:
-    return spark.createDataFrame(B.BRIEFS, "id int, text string").where("id not in (4)").select("id", T.normalize_zh(F.col("text")).alias("text"))
+    return spark.createDataFrame(B.BRIEFS, "id int, text string").select("id", T.normalize_zh(F.col("text")).alias("text"))
 
 
 def sentence_split_zh(spark: SparkSession, sf_dir: str) -> Frame:
@@ -495,5 +496,106 @@ def stage_resume(spark: SparkSession, sf_dir: str) -> Frame:
     return C.resume(segs, done).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+def html_sections(spark: SparkSession, sf_dir: str) -> Frame:
+    """Segments of pages with nested sections, figures, lists and tables."""
+    pages = spark.createDataFrame(B.NESTED_PAGES, "doc_id string, html string")
+    return S.section_html(pages).select("doc_id", "sid", "sec_heading", "sec_level", "src_text", "is_figure")
+
+
+def html_sections_web(spark: SparkSession, sf_dir: str) -> Frame:
+    pages = spark.createDataFrame(B.NESTED_PAGES, "doc_id string, html string")
+    return S.section_html(pages, "web").select("doc_id", "sid", F.col("index").cast("int").alias("index"))
+
+
+def html_entities(spark: SparkSession, sf_dir: str) -> Frame:
+    return spark.createDataFrame([(i, t) for i, t, _ in B.ENTITIES], "id int, text string").select("id", T.unescape(F.col("text")).alias("text"))
+
+
+def line_layout(spark: SparkSession, sf_dir: str) -> Frame:
+    """Body size and font, columns and their left edges of laid-out lines."""
+    lines, rects, width = B.laid_out(spark)
+    got = L.layout(L.in_rects(lines, rects), width)
+    return got.select("doc_id", "body_size", "body_font", "n_columns", "split_x", F.array_join(F.col("bases").cast("array<int>").cast("array<string>"), ",").alias("bases"))
+
+
+def line_kinds(spark: SparkSession, sf_dir: str) -> Frame:
+    lines, rects, width = B.laid_out(spark)
+    return L.classify(L.in_rects(lines, rects), L.layout(lines, width)).select("page", "y0", "x0", "kind")
+
+
+def line_segments(spark: SparkSession, sf_dir: str) -> Frame:
+    """Segments of laid-out lines: columns, headings, run-in headings, captions, paragraphs."""
+    got = L.segment_lines(*B.laid_out(spark))
+    return got.select("sid", "sec_heading", "sec_level", F.col("page").cast("int").alias("page"), "src_text")
+
+
+def line_title(spark: SparkSession, sf_dir: str) -> Frame:
+    lines, rects, width = B.laid_out(spark)
+    return L.title(L.reading_order(L.classify(L.in_rects(lines, rects), L.layout(lines, width))))
+
+
+def chat_models(spark: SparkSession, sf_dir: str) -> Frame:
+    return R.models(spark.createDataFrame([(m,) for m in B.MODELS], "name string"))
+
+
+def hard_replace_by_document(spark: SparkSession, sf_dir: str) -> Frame:
+    """Each translation by its own document's resolved glossary."""
+    rows = spark.createDataFrame([r[:3] for r in B.TRANSLATED], "doc_id string, id int, zh string")
+    return G.replaced_by_document(rows, G.resolve(*_scoped(spark))).select("doc_id", "id", "zh")
+
+
+def mined_terms(spark: SparkSession, sf_dir: str) -> Frame:
+    got = G.mined(spark.createDataFrame(B.MINED, "doc_id string, text string"))
+    return got.select("doc_id", "term", "zh", "mode", "note", F.array_join("aliases", ",").alias("aliases"), "scope", "status")
+
+
+def pending_terms(spark: SparkSession, sf_dir: str) -> Frame:
+    return G.pending_terms(_defs(spark)[0])
+
+
+def abbr_unused(spark: SparkSession, sf_dir: str) -> Frame:
+    """Names of nations as abbreviations that a document defines and never uses."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    names = docs.select("doc_id", F.explode(F.array(F.lit("The"), F.lit("Und"), F.lit("Que"))).alias("abbr"))
+    return A.unused(names, docs.where("text is not null"))
+
+
+def library_documents(spark: SparkSession, sf_dir: str) -> Frame:
+    """Nations' glossaries by region, and the library's documents that have none."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    own = n.where("n_nationkey < 9").groupBy(F.col("n_regionkey").cast("string").alias("doc_id")).agg(F.lit("").alias("title"), F.collect_list("n_name").alias("terms"))
+    return G.documents_with_glossaries(own, r.select(F.col("r_regionkey").cast("string").alias("doc_id"), F.col("r_name").alias("title")))
+
+
+def qa_char_totals(spark: SparkSession, sf_dir: str) -> Frame:
+    return Q.char_totals(_pairs(spark, sf_dir))
+
+
+def audio_totals(spark: SparkSession, sf_dir: str) -> Frame:
+    rows = B.scripts(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), "duration_sec", F.when(F.col("turn") % 5 == 0, "failed").alias("error"))
+    return Q.audio_totals(rows).select("doc_id", F.round("total_sec", 2).alias("total_sec"), "n_failed")
+
+
+def feed_dropped_report(spark: SparkSession, sf_dir: str) -> Frame:
+    return E.dropped_report(E.split_kept(_items(spark, sf_dir))[1])
+
+
+def stage_stats(spark: SparkSession, sf_dir: str) -> Frame:
+    k = F.col("seg_pos") + F.col("doc_id")
+    rows = segments(spark, sf_dir).select("doc_id", F.when(k % 2 == 0, "a").otherwise("b").alias("stage"), F.when(k % 7 == 0, "[翻译失败: x]").when(k % 5 == 0, " ").otherwise("ok").alias("value"))
+    return C.stage_stats(rows)
+
+
+def script_positions(spark: SparkSession, sf_dir: str) -> Frame:
+    """Where a turn stands in its conversation, for its prompt."""
+    rows = B.scripts(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seg_pos"))
+    return C.staged(rows, "first", "rest").select("doc_id", "seg_pos", F.col("seg_idx").cast("int").alias("seg_idx"), "total_segs", "stage")
+
+
+def page_widths(spark: SparkSession, sf_dir: str) -> Frame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_quantity").alias("width"))
+    return L.page_widths(rows)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k != "queries"}

@@ -75,7 +75,7 @@ SQL = {
     "word_count_variants": """SELECT doc_id, CAST(len(regexp_extract_all(t, '[A-Za-z][A-Za-z''\\-]*')) AS INTEGER) AS n_pdf, CAST(len(regexp_extract_all(t, '[^ \\n]+')) AS INTEGER) AS n_html,
         CAST(len(regexp_extract_all(t, '[A-Za-z0-9\\-'']+')) AS INTEGER) AS n_web FROM (SELECT doc_id, regexp_replace(text, '[^ -~\\n]', 'x', 'g') AS t FROM documents)""",
     "reading_len": f"SELECT id, CAST(length(regexp_replace(regexp_replace(text, '[A-Za-z0-9][A-Za-z0-9\\-.]*', 'X', 'g'), '\\s+', '', 'g')) AS INTEGER) AS n FROM {BRIEFS}",
-    "normalize_numbers": f"""SELECT id, regexp_replace(translate(text, '０１２３４５６７８９', '0123456789'), '([0-9])[，､．]([0-9]{{3}})([^0-9]|$)', '\\1,\\2\\3', 'g') AS text FROM {BRIEFS} WHERE id NOT IN (4)""",
+    "normalize_numbers": f"""SELECT id, regexp_replace(translate(text, '０１２３４５６７８９', '0123456789'), '([0-9])[，､．]([0-9]{{3}})([^0-9]|$)', '\\1,\\2\\3', 'g') AS text FROM (SELECT id, CASE WHEN id = 4 THEN '另一项任务 里' ELSE text END AS text FROM {BRIEFS})""",
     "sentence_split_zh": f"""SELECT id, CAST(ord - 1 AS INTEGER) AS ord, sentence FROM (SELECT id, unnest(s) AS sentence, generate_subscripts(s, 1) AS ord FROM (
         SELECT id, regexp_extract_all(text, '[^。！？；\\n]+[。！？；\\n]*') AS s FROM {B.values(B.ZH_TEXTS, 'id, text, total')}))""",
     "term_hits_theta": f"WITH {SEG}, {HITS} SELECT sid, term, zh, mode FROM hits",
@@ -182,4 +182,49 @@ SQL = {
         b AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS b FROM d),
         e AS (SELECT *, CASE WHEN ord = k - 1 THEN greatest(0.05, t - b) ELSE d END AS dd FROM b)
         SELECT id, ord, sentence, round(b, 3) AS start, round(b + dd, 3) AS "end", round(dd, 3) AS duration FROM e""",
+    # Expected rows by hand.
+    "html_sections": f"SELECT * FROM {B.values(B.NESTED_ROWS, 'doc_id, sid, sec_heading, sec_level, src_text, is_figure')}",
+    "html_sections_web": f"SELECT * FROM {B.values(B.WEB_ROWS, 'doc_id, sid, index')}",
+    "html_entities": f"SELECT id, text FROM {B.values([(i, t) for i, _, t in B.ENTITIES], 'id, text')}",
+    "line_layout": "SELECT 'p' AS doc_id, 9.0::DOUBLE AS body_size, 'Serif' AS body_font, 2 AS n_columns, 180.0::DOUBLE AS split_x, '40,320' AS bases",
+    "line_kinds": f"SELECT page, CAST(y0 AS DOUBLE) AS y0, CAST(x0 AS DOUBLE) AS x0, kind FROM {B.values(B.LINE_KINDS, 'page, y0, x0, kind')}",
+    "line_segments": f"SELECT * FROM {B.values(B.LINE_SEGMENTS, 'sid, sec_heading, sec_level, page, src_text')}",
+    "line_title": "SELECT 'p' AS doc_id, 'A Title of the Paper' AS title",
+    "chat_models": "SELECT unnest(['chatgpt-4o-latest', 'gpt-4o', 'o1-mini', 'o3']) AS name",
+    "hard_replace_by_document": f"SELECT doc_id, id, zh FROM {B.values([(d, i, z) for d, i, _, z in B.TRANSLATED], 'doc_id, id, zh')}",
+    "mined_terms": "SELECT * FROM (VALUES ('d1', 'MSN', '内侧隔核', 'prompt_hint', 'n', '隔核', 'doc:d1', 'suggested'), ('d2', 'SIF', '抑制性遗忘', 'hard_replace', NULL, '', 'doc:d2', 'suggested')) AS t(doc_id, term, zh, mode, note, aliases, scope, status)",
+    "slug_ascii": f"SELECT * FROM {B.values(B.SLUGS, 'id, slug')}",
+    "sentence_split_en": f"SELECT * FROM {B.values(B.SPLIT, 'id, ord, sentence')}",
+    "feed_dates": f"SELECT * FROM {B.values(B.DATES, 'id, date')}",
+    "digest_payload_json": f"SELECT * FROM {B.values(B.PAYLOADS, 'id, title_zh, brief, detail')}",
+    "digest_brief_verdict": f"SELECT * FROM {B.values(B.VERDICTS, 'id, mark, why')}",
+    # The same by queries.
+    "pending_terms": f"SELECT doc_id, abbr AS term, min(fname) AS full_en, '【待审核: ' || min(fname) || '】' AS zh FROM {DEFS} GROUP BY 1, 2",
+    "abbr_unused": """SELECT CAST(doc_id AS VARCHAR) AS doc_id, abbr FROM documents, (VALUES ('The'), ('Und'), ('Que')) AS a(abbr)
+        WHERE NOT coalesce(regexp_matches(text, '(^|[^A-Za-z])' || abbr || '([^A-Za-z]|$)'), false)""",
+    "library_documents": """WITH g AS (SELECT CAST(n_regionkey AS VARCHAR) AS doc_id, CAST(count(*) AS INTEGER) AS n_terms FROM nation WHERE n_nationkey < 9 GROUP BY 1)
+        SELECT doc_id, doc_id AS title, n_terms FROM g UNION ALL SELECT CAST(r_regionkey AS VARCHAR), r_name, 0 FROM region WHERE CAST(r_regionkey AS VARCHAR) NOT IN (SELECT doc_id FROM g)""",
+    "qa_char_totals": f"WITH {PAIRS} SELECT doc_id, CAST(sum(length(src)) AS BIGINT) AS src_chars, CAST(sum(length(zh)) AS BIGINT) AS zh_chars FROM pairs GROUP BY 1",
+    "audio_totals": f"WITH {CONV} SELECT conv_id AS doc_id, round(round(sum(dur), 3), 2) AS total_sec, count(*) FILTER (WHERE turn % 5 = 0) AS n_failed FROM conv GROUP BY 1",
+    "feed_dropped_report": f"""WITH {ITEMS}, d AS (SELECT * FROM items WHERE length(trim(abstract)) = 0)
+        SELECT pub_date AS date, journal, title_en, greatest((SELECT count(*) FROM d) - 15, 0) AS n_more FROM (SELECT * FROM d ORDER BY entrez_date DESC, pmid DESC LIMIT 15)""",
+    "stage_stats": f"""WITH {SEG}, k AS (SELECT doc_id, seg_pos + doc_id AS k FROM seg)
+        SELECT doc_id, CASE WHEN k % 2 = 0 THEN 'a' ELSE 'b' END AS stage, count(*) FILTER (WHERE k % 7 <> 0 AND k % 5 <> 0) AS n_valid, count(*) AS n FROM k GROUP BY 1, 2""",
+    "script_positions": f"""WITH {CONV} SELECT conv_id AS doc_id, turn AS seg_pos, CAST(row_number() OVER w AS INTEGER) AS seg_idx, count(*) OVER (PARTITION BY conv_id) AS total_segs,
+        CASE WHEN row_number() OVER w = 1 THEN 'first' ELSE 'rest' END AS stage FROM conv WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    "page_widths": "SELECT l_suppkey AS doc_id, CAST(max(l_quantity) AS DOUBLE) AS page_width FROM lineitem GROUP BY 1",
+    "doc_sentences": r"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(e|i)\.(g|e)\.', '\1__DOT__\2__DOT__', 'g'),
+            '(?i)\b(Fig|Figure|Ref|et al|vs|dr|mr|mrs|prof)\.', '\1__DOT__', 'g'), '([0-9]+)\.([0-9]+)', '\1__DOT__\2', 'g') AS t FROM documents WHERE length(text) > 0),
+        s AS (SELECT m.doc_id, [trim(replace(x, '__DOT__', '.'), ' ' || chr(9) || chr(10) || chr(13)) FOR x IN regexp_extract_all(t, '[^.!?]+[.!?]+(?:\s+|$)|[^.!?]+$')] AS a, text FROM m JOIN documents d ON d.doc_id = m.doc_id),
+        f AS (SELECT doc_id, CASE WHEN len(a) = 0 THEN [text] ELSE [x FOR x IN a IF length(x) > 0] END AS a FROM s)
+        SELECT doc_id, CAST(len(a) AS INTEGER) AS n, CAST(list_max([length(x) FOR x IN a]) AS INTEGER) AS longest FROM f""",
+    # Runs of letters stand alone: no look-around is needed.
+    "hard_replace": f"""WITH {SEG}, d AS (SELECT sid, src_text, regexp_replace(regexp_replace(src_text, '(^|[^A-Za-z])de la([^A-Za-z]|$)', '\\1之\\2', 'g'), '(^|[^A-Za-z])de la([^A-Za-z]|$)', '\\1之\\2', 'g') AS t FROM seg),
+        r AS (SELECT sid, src_text, array_to_string([CASE WHEN x = 'the' THEN '此' WHEN x = 'IN' THEN '内' WHEN regexp_full_match(x, '[a-z]IN') THEN coalesce(map {{'a': '前部', 'p': '后部', 'r': '右侧', 'l': '左侧', 'd': '背侧', 'v': '腹侧', 'm': '内侧', 'c': '尾侧', 's': '上'}}[x[1]], '') || '内' ELSE x END
+            FOR x IN regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]+')], '') AS o FROM d)
+        SELECT sid, md5(replace(o, '彼', '此')) AS md5, CAST(length(o) AS INTEGER) AS n FROM r WHERE o <> src_text""",
+    "spoken_length": f"""WITH {CONV}, s AS (SELECT conv_id, turn, array_to_string([CASE WHEN regexp_full_match(x, '[A-Z]{{2,6}}') THEN array_to_string(string_split(x, ''), '-') ELSE x END
+            FOR x IN regexp_extract_all(text, '[A-Za-z0-9\\-]+|[^A-Za-z0-9\\-]+')], '') AS t FROM conv),
+        p AS (SELECT conv_id, turn, regexp_replace(replace(replace(t, 'the', 'thee'), 'and', 'annd'), '[ \\t]+', ' ', 'g') AS t FROM s)
+        SELECT conv_id, turn, md5(regexp_replace(replace(replace(t, '——', '，'), '……', '。'), '^\\s+|\\s+$', '', 'g')) AS md5 FROM p""",
 }

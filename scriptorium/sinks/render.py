@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
@@ -96,11 +94,26 @@ def write_snapshot(items: DataFrame, root: str, stem: str) -> str:
     return path
 
 
-def write_store(rows: DataFrame, root: str, key: str) -> str:
-    """A keyed store as a new version folder, sorted by key; a reader takes the newest complete one."""
-    version = f"{root}/version={uuid.uuid4().hex}"
-    rows.repartitionByRange(key).sortWithinPartitions(key).write.mode("errorifexists").parquet(version)
-    return version
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of a store's complete versions."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
+def write_store(rows: DataFrame, root: str, key: str, version: int) -> str:
+    """A keyed store as version `version`, sorted by key. The marker that a finished job leaves publishes it; to write a version again replaces it."""
+    path = f"{root}/version={version:012d}"
+    rows.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+    return path
+
+
+def load_store(spark: SparkSession, root: str, schema: str, below: int | None = None) -> DataFrame:
+    """The newest complete version of a store (of those below a number); empty where there is none. A file that can't be read is an error."""
+    known = [v for v in _versions(spark, root) if below is None or v < below]
+    if not known:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/version={known[-1]:012d}")
 
 
 def append_cache(entries: DataFrame, path: str) -> None:

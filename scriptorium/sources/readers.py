@@ -225,9 +225,16 @@ def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def models(catalogue: DataFrame, allow: str = r"^(gpt|o[0-9]|gemini|deepseek|claude|qwen)", deny: str = "embed|tts|image|audio|vision-preview") -> DataFrame:
-    """Chat models of a catalogue by name."""
-    return catalogue.where(F.col("name").rlike(allow) & ~F.col("name").rlike(deny)).orderBy("name")
+# What a chat model's name begins with, and what it must not hold.
+CHAT_PREFIXES = ["gpt-", "o1", "o3", "chatgpt-"]
+NO_CHAT = ["realtime", "audio", "transcription"]
+
+
+def models(catalogue: DataFrame) -> DataFrame:
+    """Chat models of a catalogue(name), by name."""
+    begins = reduce(lambda a, p: a | F.startswith("name", F.lit(p)), CHAT_PREFIXES, F.lit(False))
+    other = reduce(lambda a, p: a | F.contains("name", F.lit(p)), NO_CHAT, F.lit(False))
+    return catalogue.where(begins & ~other).orderBy("name")
 
 
 def ordered_text(segments: DataFrame) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scriptorium.operators import feed
+from scriptorium.sinks import render
 
 
 def unseen(stream: DataFrame, key: str, event_time: str, lateness: str = "30 days") -> DataFrame:
@@ -16,14 +17,18 @@ def unseen(stream: DataFrame, key: str, event_time: str, lateness: str = "30 day
     return stream.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark([key])
 
 
-def merge_into(stream: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], emit: Callable[[DataFrame, int], None], checkpoint: str, today: str) -> StreamingQuery:
-    """Each micro-batch is merged into a keyed store and its new rows are emitted. `write` gets the batch's number and
-    replaces the store as of that number, so that a batch that runs again changes nothing."""
+def merge_into(stream: DataFrame, root: str, emit: Callable[[DataFrame, int], None], checkpoint: str, today: str) -> StreamingQuery:
+    """Each micro-batch is merged into the keyed store at `root` as the version of its number; then its new rows are emitted.
+
+    What is emitted is read from the versions on disk: rows that this one has and the one before has not. A batch that runs
+    again after a crash replaces its own version and emits the same rows under the same number."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        after, fresh = feed.upsert(read(), rows, today)
-        emit(fresh, number)
-        write(after, number)
+        spark = rows.sparkSession
+        before = render.load_store(spark, root, feed.ITEM, below=number)
+        render.write_store(feed.upsert(before, rows, today)[0], root, "pmid", number)
+        written = render.load_store(spark, root, feed.ITEM, below=number + 1)
+        emit(written.join(before.select("pmid"), "pmid", "left_anti"), number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import layout as L
+from scriptorium.plans import base as B
 from scriptorium.operators import segments as S
 from scriptorium.operators import timeline as M
 from scriptorium.sinks import render as R
@@ -27,7 +28,19 @@ def test_html_sections(spark):
     assert pages.select(S.html_title(F.col("html"), F.col("doc_id"))).first()[0] == "The Title"
     assert S.invariants(S.section_html(pages)).count() == 0
     web = S.section_html(pages, "web").orderBy("seg_pos").first()
-    assert web["sid"] == "d:introduction:p00"
+    assert (web["sid"], web["index"]) == ("d:s000-introduction:p01", 0)
+
+
+def test_nested_blocks_stay_whole(spark):
+    pages = spark.createDataFrame(B.NESTED_PAGES, "doc_id string, html string")
+    got = [(r["sid"], r["src_text"]) for r in S.section_html(pages).where("doc_id = 'n'").orderBy("seg_pos").collect()]
+    assert got == [(r[1], r[4]) for r in B.NESTED_ROWS if r[0] == "n"]
+
+
+def test_flat_pages_without_article_or_with_attributes(spark):
+    html = [(1, '<html><body><p class="x">One two three.<p>Four five &#8217;six&#x2019; &amp;amp;</p></body></html>'), (2, "<p>No body at all here.</p>"), (3, "<article><p>a b</p></article>"), (4, None)]
+    got = sorted((r["page_id"], r["seg_pos"], r["src_text"]) for r in S.flat_html(spark.createDataFrame(html, "page_id int, html string")).collect())
+    assert got == [(1, 1, "One two three."), (1, 2, "Four five ’six’ &amp;"), (2, 1, "No body at all here.")]
 
 
 def test_upper_median_and_paths(spark):
@@ -38,34 +51,9 @@ def test_upper_median_and_paths(spark):
     assert got == [("A", None), ("A", "B"), ("A", "B"), ("C", None), ("C", None)]
 
 
-def line(page, y, x0, x1, text, size=9.0, font="Serif", bold=False, all_bold=False, head="", rest=""):
-    return ("p", page, float(y), float(x0), float(x1), text, text, [size], {font: len(text)}, bold, all_bold, head, rest)
-
-
-LINES = [
-    line(0, 50, 40, 300, "A Title of the Paper", 20.0, bold=True, all_bold=True),
-    line(0, 100, 40, 500, "The abstract of this paper is set in larger type than the rest", 10.5),
-    line(1, 50, 40, 200, "Methods of study", 12.0, bold=True, all_bold=True),
-    *[line(1, 70 + 10 * i, 40, 290, f"body words number {i} run on and on through the whole column width") for i in range(8)],
-    line(1, 150, 40, 120, "last words end here."),
-    line(1, 160, 55, 290, "Indented paragraph opens here and fills the line up to its right end"),
-    line(1, 170, 40, 150, "and closes here."),
-    line(1, 300, 40, 290, "Fig. 1 | A caption that stands below the picture", 7.0, "Sans"),
-    line(1, 308, 40, 200, "goes on in a second line", 7.0, "Sans"),
-    *[line(1, 70 + 10 * i, 320, 570, f"right column {i} carries on with words that fill the width of it all") for i in range(6)],
-    line(1, 130, 320, 560, "Effects of fasting on inflammation and oxi-", 9.0, bold=True, all_bold=True),
-    line(1, 140, 320, 570, "dative stress. What follows is plain text", 9.0, bold=True, head="dative stress.", rest="What follows is plain text of the run-in section"),
-    line(1, 150, 320, 400, "and it ends soon."),
-    line(2, 100, 60, 200, "boxed words in another font here", 9.0, "Sans"),
-]
-SCHEMA = "doc_id string, page int, y0 double, x0 double, x1 double, text string, raw string, sizes array<double>, font_chars map<string,int>, bold boolean, all_bold boolean, head_text string, rest_text string"
-
-
 @pytest.fixture(scope="module")
 def laid(spark):
-    lines = spark.createDataFrame(LINES, SCHEMA)
-    rects = spark.createDataFrame([("p", 2, 50.0, 50.0, 300.0, 300.0)], "doc_id string, page int, x0 double, y0 double, x1 double, y1 double")
-    return lines, rects, spark.createDataFrame([("p", 600.0)], "doc_id string, page_width double")
+    return B.laid_out(spark)
 
 
 def test_layout(laid):
