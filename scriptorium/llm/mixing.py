@@ -8,6 +8,9 @@ of a total B, so the schedule repeats after B slots: one period is a table of B
 weights alone, and a block's slot follows from its number. A source that runs out leaves its slots empty;
 the others keep their proportions, and no row is left out.
 
+The schedule of one period is made on the driver, from the weights of the sources found: one row per part. It is
+broadcast where it has at most `BROADCAST_SLOTS` rows, and joined by shuffles beyond.
+
 Numbers within a source come from counts of hash buckets and ranks inside a bucket, so that no task gets
 a whole source. A null source is a source of its own. Rows that repeat are rows of their own; rows of the
 same id and source stand in any order. Extra columns pass through. An empty table gives an empty one.
@@ -25,6 +28,7 @@ TARGET_PARTS = {"src0": 6, "src1": 5, "src2": 4, "src3": 3, "src4": 2}
 DEFAULT_PARTS = 2
 BLOCK_ROWS = 32
 MAX_BUCKET_BITS = 14
+BROADCAST_SLOTS = 10_000
 
 
 def period(parts: dict[str, int]) -> list[tuple[int, str, int]]:
@@ -53,8 +57,10 @@ def place(docs: DataFrame, parts: dict[str, int] | None = None, default: int = D
     found = {r["k"]: r["n"] for r in rows.groupBy("k").agg(F.count("*").alias("n")).collect()}
     spark = docs.sparkSession
     weights = {k: parts.get(k[1:], default) if k[0] == "s" else default for k in found}
-    once = spark.createDataFrame([(s, k, i) for s, k, i in period(weights)] or [(0, "", 0)], "at long, k string, nth long")
     total = sum(weights.values())
+    small = F.broadcast if total <= BROADCAST_SLOTS else (lambda d: d)
+    once = spark.createDataFrame([(s, k, i) for s, k, i in period(weights)], "at long, k string, nth long")
+    shares = spark.createDataFrame(sorted(weights.items()), "k string, share long")
     # As many hash buckets as keep a bucket at some ten thousand rows, within a bound on their number.
     bits = min(MAX_BUCKET_BITS, max(8, (sum(found.values()) // 10_000).bit_length()))
     rows = rows.withColumn("bucket", F.shiftright("h", 60 - bits))
@@ -63,10 +69,8 @@ def place(docs: DataFrame, parts: dict[str, int] | None = None, default: int = D
     rank = F.row_number().over(Window.partitionBy("k", "bucket").orderBy("h", "doc_id"))
     ranked = rows.withColumn("rank", rank).join(before, ["k", "bucket"]).withColumn("ordinal", F.col("before") + F.col("rank") - 1)
     ranked = ranked.withColumn("block", F.floor(F.col("ordinal") / block_rows).cast("long"))
-    share = F.create_map(*[x for k, v in sorted(weights.items()) for x in (F.lit(k), F.lit(v))]) if weights else F.create_map(F.lit(""), F.lit(1))
-    ranked = ranked.withColumn("share", share[F.col("k")].cast("long")).withColumn("nth", F.col("block") % F.col("share"))
-    # The table of one period has as many rows as the weights have parts: a proven, small bound.
-    timed = ranked.join(F.broadcast(once), ["k", "nth"])
+    ranked = ranked.join(small(shares), "k").withColumn("nth", F.col("block") % F.col("share"))
+    timed = ranked.join(small(once), ["k", "nth"])
     return timed.select("doc_id", "source", "block", (F.floor(F.col("block") / F.col("share")) * total + F.col("at")).cast("long").alias("slot"), F.col("ordinal").cast("long").alias("ordinal"))
 
 
