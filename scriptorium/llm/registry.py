@@ -68,18 +68,33 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: A limit at which small tables split, for the query beside op1_sharding.
+SMALL_LIMIT = 1 << 17
+
+
+def sharding_small_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document where a shard holds an eighth of a megabyte."""
+    return shard.assign(table(spark, sf_dir, "documents"), SMALL_LIMIT)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"sharding_small_limit": sharding_small_limit}
 
 
-SQL: dict[str, str] = {
-    "op1_sharding": f"""
+def sharding_sql(limit: int) -> str:
+    """A document's shard is its shortest prefix that fits the limit, or that one key fills alone."""
+    return f"""
         WITH d AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS k, coalesce(strlen(text), 0) AS b FROM documents),
-        t AS (SELECT depth, k >> (60 - depth) AS prefix, sum(b) AS bytes, count(*) AS n FROM d, (SELECT CAST(range AS INTEGER) AS depth FROM range(0, 49)) GROUP BY 1, 2),
-        c AS (SELECT d.doc_id, t.depth, t.prefix, t.bytes, t.n, row_number() OVER (PARTITION BY d.doc_id ORDER BY t.depth) AS r
-              FROM d JOIN t ON t.prefix = d.k >> (60 - t.depth) WHERE t.bytes <= {shard.BYTE_LIMIT})
+        t AS (SELECT depth, k >> (60 - depth) AS prefix, sum(b) AS bytes, count(*) AS n, min(k) = max(k) AS one FROM d, (SELECT CAST(range AS INTEGER) AS depth FROM range(0, 61)) GROUP BY 1, 2),
+        c AS (SELECT d.doc_id, t.*, row_number() OVER (PARTITION BY d.doc_id ORDER BY t.depth) AS r
+              FROM d JOIN t ON t.prefix = d.k >> (60 - t.depth) WHERE t.bytes <= {limit} OR t.one)
         SELECT doc_id, 'r' || CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, depth,
-               CAST(bytes AS BIGINT) AS shard_bytes, n AS shard_rows, false AS oversized FROM c WHERE r = 1""",
+               CAST(bytes AS BIGINT) AS shard_bytes, n AS shard_rows, bytes > {limit} AS oversized FROM c WHERE r = 1"""
+
+
+SQL: dict[str, str] = {
+    "op1_sharding": sharding_sql(shard.BYTE_LIMIT),
+    "sharding_small_limit": sharding_sql(SMALL_LIMIT),
     "op3_mixing": f"""
         WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS k, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
         p AS (SELECT k, CAST(CASE k {" ".join(f"WHEN 's{k}' THEN {v}" for k, v in mixing.TARGET_PARTS.items())} ELSE {mixing.DEFAULT_PARTS} END AS BIGINT) AS parts FROM (SELECT DISTINCT k FROM d)),

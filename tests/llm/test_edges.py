@@ -1,8 +1,9 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from scriptorium.llm import decon, jaccard, langid, linededup, lmscore, mixing, pii, quality, shard, topk
+from scriptorium.llm import decon, jaccard, kernel, langid, linededup, lmscore, mixing, pii, quality, shard, topk
 
 LONG = "lorem ipsum dolor sit amet " * 20_000
 SAME = "the quick brown fox jumps over the lazy dog again and again until night falls on the quiet hill"
@@ -54,6 +55,75 @@ def test_a_row_for_each_row(name, docs, labels, bench):
     assert RUNS[name](docs, labels, bench).count() == len(ROWS)
 
 
+def values(rows, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in rows.collect()), key=str)
+
+
+def per_row(of):
+    """(doc_id, ...) as expected of each row."""
+    return sorted(((i, *of(i, t, s)) for i, t, _, s in ROWS), key=str)
+
+
+def blank(t):
+    return not (t or "").strip()
+
+
+def test_values_of_shards_and_places(docs):
+    size = sum(len((t or "").encode()) for _, t, _, _ in ROWS)
+    assert values(shard.assign(docs), "doc_id", "shard", "depth", "shard_bytes", "shard_rows", "oversized") == per_row(lambda i, t, s: ("r", 0, size, len(ROWS), False))
+    got = mixing.place(docs).collect()
+    assert sorted((str(r["source"]), r["ordinal"], r["block"]) for r in got) == sorted((str(s), n, 0) for s, k in (("a", 5), ("b", 2), ("c", 2), ("", 1), (None, 1)) for n in range(k))
+    assert len({(r["source"], r["slot"]) for r in got}) == len({r["slot"] for r in got}) == 5
+
+
+def test_values_of_classes(docs):
+    n = {SAME: 15, LONG: 5}
+
+    def of(i, t, s):
+        return (0, i) if blank(t) else (n.get(t, 1), 1 if t == SAME else i)
+
+    assert values(jaccard.jaccard_classes(docs), "doc_id", "n_shingles", "component_id") == per_row(of)
+
+
+def test_values_of_lines(docs):
+    assert values(linededup.dedup_lines(docs), "doc_id", "text", "n_lines", "dropped", "rank") == per_row(lambda i, t, s: (t, 0 if t is None else t.count("\n") + 1, [], "clash"))
+    many = docs.unionByName(docs.withColumn("text", F.concat(F.lit("0 "), "text")))
+    for r in linededup.dedup_lines(many, min_docs=4).collect():
+        # SAME stands in four rows, alone on its line; with a digit before it, in four others.
+        assert r["dropped"] == ([0] if (r["text"] is not None and SAME in r["text"]) or (r["text"] == "" and r["doc_id"] in (1, 5, None)) else [])
+
+
+def test_values_of_spans(docs):
+    got = pii.detect(docs)
+    assert values(got, "doc_id", "text", *[f"all_{k}" for k in pii.KINDS]) == per_row(lambda i, t, s: (t or "", [], [], [], []))
+
+
+def test_values_of_scores(docs, labels):
+    got = quality.classify(docs, labels).collect()
+    by_text = {}
+    for r, t in zip(sorted(got, key=lambda r: str(r["doc_id"])), [t for _, t in sorted(((i, t) for i, t, _, _ in ROWS), key=lambda x: str(x[0]))], strict=True):
+        by_text.setdefault(t or "", set()).add(r["score"])
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+    assert all(len(v) == 1 for v in by_text.values()) and not [r for r in got if r["doc_id"] is None and r["held_out"]]
+    words = lambda t: len((t or "").split())
+    assert values(lmscore.scored(docs, labels), "doc_id", "n_tokens") == per_row(lambda i, t, s: (words(t),))
+    assert all(r["score"] == 0 for r in lmscore.scored(docs, labels).where("n_tokens = 0").collect())
+    for r in langid.identify(docs).collect():
+        letterless = r["doc_id"] in (2, 3, 6, 7)
+        assert (r["lang_pred"] == "und") == letterless and (not letterless or (r["score"] == 0 and r["rejected"]))
+
+
+def test_a_text_longer_than_a_slice(spark, monkeypatch):
+    monkeypatch.setattr(kernel, "SLICE_BYTES", 1 << 16)
+    long = "alpha beta gamma delta " * 20_000
+    docs = spark.createDataFrame([(1, long, "en"), (2, "short text of words", "en"), (3, long, "en")], "doc_id long, text string, lang string")
+    assert values(jaccard.jaccard_classes(docs), "doc_id", "n_shingles", "component_id") == [(1, 4, 1), (2, 1, 2), (3, 4, 1)]
+    assert values(linededup.dedup_lines(docs), "doc_id", "dropped") == [(1, [0]), (2, []), (3, [0])]
+    assert [r["n_tokens"] for r in lmscore.scored(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).orderBy("doc_id").collect()] == [80_000, 4, 80_000]
+    item = spark.createDataFrame([(1, "gamma delta alpha beta gamma delta alpha beta")], "item_id long, text string")
+    assert {r["doc_id"] for r in decon.contaminated(docs, item).collect()} == {1, 3}
+
+
 @pytest.mark.parametrize("name", RUNS)
 def test_empty_table(name, empty, labels, bench):
     assert RUNS[name](empty, labels, bench).collect() == []
