@@ -46,6 +46,8 @@ def slug(title: Column, limit: int = 40) -> Column:
 
     Cut on whole atoms at `limit`; a cut name ends at its last dash."""
     base = F.regexp_replace(F.lower(squash_ends(title)), "[‘’“”]", "")
+    # A character makes an atom of at least one: those behind the limit tell no more than that the name is cut.
+    base = F.substring(base, 1, limit + 1)
 
     def code(c: Column) -> Column:
         h = F.lower(F.hex(F.ascii(c).cast("long")))

@@ -59,9 +59,8 @@ def slug_ascii(spark: SparkSession, sf_dir: str) -> Frame:
 
 
 def doc_slug(spark: SparkSession, sf_dir: str) -> Frame:
-    """Slugs of the first words of English documents."""
-    head = F.substring(F.regexp_replace("text", "[^ -~]", " "), 1, 60)
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.slug(head).alias("slug"))
+    """The slug of every document's text."""
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 def dup_sid_suffix(spark: SparkSession, sf_dir: str) -> Frame:
@@ -87,8 +86,7 @@ def prose_listagg(spark: SparkSession, sf_dir: str) -> Frame:
 
 
 def word_count_variants(spark: SparkSession, sf_dir: str) -> Frame:
-    t = F.regexp_replace("text", "[^ -~\n]", "x")
-    return table(spark, sf_dir, "documents").select("doc_id", *[T.word_count(t, d).alias(f"n_{d}") for d in ("pdf", "html", "web")])
+    return table(spark, sf_dir, "documents").select("doc_id", *[T.word_count(F.col("text"), d).alias(f"n_{d}") for d in ("pdf", "html", "web")])
 
 
 def reading_len(spark: SparkSession, sf_dir: str) -> Frame:

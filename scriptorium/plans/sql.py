@@ -57,9 +57,12 @@ SQL = {
     "segment_fingerprint": f"WITH {SEG} SELECT sha1(src_text) AS src_hash, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(sid) AS first_sid FROM seg GROUP BY 1 HAVING count(*) > 1",
     "cache_key": f"""WITH {SEG} SELECT sid, sha256('A' || chr(31) || 'mock:m1' || chr(31) || 'v1' || chr(31) || sha1(src_text) || chr(31) || '' || chr(31)) AS key,
         sha256('B' || chr(31) || 'mock:m1' || chr(31) || 'v1' || chr(31) || 'spoken' || chr(31) || sha1(src_text) || chr(31)) AS script_key FROM seg""",
-    "doc_slug": """WITH h AS (SELECT doc_id, regexp_replace(lower(trim(substr(regexp_replace(text, '[^ -~]', ' ', 'g'), 1, 60))), '[^a-z0-9]', '-', 'g') AS a FROM documents WHERE lang = 'en'),
-        f AS (SELECT doc_id, length(a) > 40 AS cut, trim(regexp_replace(substr(a, 1, 40), '-+', '-', 'g'), '-') AS s FROM h),
-        b AS (SELECT doc_id, CASE WHEN cut AND contains(s, '-') THEN trim(regexp_replace(s, '-[^-]*$', ''), '-') ELSE s END AS s FROM f)
+    "doc_slug": r"""WITH h AS (SELECT doc_id, substr(regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '[‘’“”]', '', 'g'), 1, 41) AS t FROM documents WHERE text IS NOT NULL),
+        a AS (SELECT doc_id, [CASE WHEN regexp_matches(x, '[a-z0-9]') THEN x WHEN unicode(x) < 128 THEN '-' WHEN unicode(x) < 65536 THEN 'u' || lpad(printf('%x', unicode(x)), 4, '0')
+              ELSE 'u' || printf('%x', unicode(x)) END FOR x IN string_split(t, '') IF length(x) > 0] AS a FROM h),
+        k AS (SELECT doc_id, a, len([i FOR i IN range(1, len(a) + 1) IF length(array_to_string(a[1:i], '')) <= 40]) AS k FROM a),
+        f AS (SELECT doc_id, len(a) > k AS cut, regexp_replace(regexp_replace(array_to_string(a[1:k], ''), '-+', '-', 'g'), '^-|-$', '', 'g') AS s FROM k),
+        b AS (SELECT doc_id, CASE WHEN cut AND contains(s, '-') THEN regexp_replace(s, '-+[^-]*$', '') ELSE s END AS s FROM f)
         SELECT doc_id, CASE WHEN length(s) > 0 THEN s ELSE 'sec' END AS slug FROM b""",
     "dup_sid_suffix": f"""WITH {SEG}, n AS (SELECT doc_id, seg_pos, {sid3()} AS s, row_number() OVER (PARTITION BY {sid3()} ORDER BY seg_pos) AS n FROM seg)
         SELECT doc_id, CAST(seg_pos AS INTEGER) AS seg_pos, CASE WHEN n > 1 THEN s || '-dup' || n ELSE s END AS sid FROM n""",
@@ -72,8 +75,9 @@ SQL = {
     "first_in_section": """SELECT conv_id AS doc_id, count(*) FILTER (WHERE role IS DISTINCT FROM was) AS n_change, count(*) FILTER (WHERE k = 1) AS n_first FROM (
         SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS was, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations) GROUP BY 1""",
     "prose_listagg": f"WITH {SEG}, t AS (SELECT doc_id, string_agg(src_text, chr(10) || chr(10) ORDER BY seg_pos) AS t FROM seg GROUP BY 1) SELECT doc_id, md5(t) AS md5, CAST(length(t) AS INTEGER) AS n FROM t",
-    "word_count_variants": """SELECT doc_id, CAST(len(regexp_extract_all(t, '[A-Za-z][A-Za-z''\\-]*')) AS INTEGER) AS n_pdf, CAST(len(regexp_extract_all(t, '[^ \\n]+')) AS INTEGER) AS n_html,
-        CAST(len(regexp_extract_all(t, '[A-Za-z0-9\\-'']+')) AS INTEGER) AS n_web FROM (SELECT doc_id, regexp_replace(text, '[^ -~\\n]', 'x', 'g') AS t FROM documents)""",
+    "word_count_variants": r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z][A-Za-z''\-]*')) AS INTEGER) AS n_pdf,
+        CAST(len(regexp_extract_all(text, '[^\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) AS INTEGER) AS n_html,
+        CAST(len(regexp_extract_all(text, '[A-Za-z0-9\-'']+')) AS INTEGER) AS n_web FROM documents""",
     "reading_len": f"SELECT id, CAST(length(regexp_replace(regexp_replace(text, '[A-Za-z0-9][A-Za-z0-9\\-.]*', 'X', 'g'), '\\s+', '', 'g')) AS INTEGER) AS n FROM {BRIEFS}",
     "normalize_numbers": f"""SELECT id, regexp_replace(translate(text, '０１２３４５６７８９', '0123456789'), '([0-9])[，､．]([0-9]{{3}})([^0-9]|$)', '\\1,\\2\\3', 'g') AS text FROM (SELECT id, CASE WHEN id = 4 THEN '另一项任务 里' ELSE text END AS text FROM {BRIEFS})""",
     "sentence_split_zh": f"""SELECT id, CAST(ord - 1 AS INTEGER) AS ord, sentence FROM (SELECT id, unnest(s) AS sentence, generate_subscripts(s, 1) AS ord FROM (
