@@ -144,13 +144,19 @@ def stage_stats(checkpoints: DataFrame) -> DataFrame:
     return checkpoints.groupBy("doc_id", "stage").agg(F.count_if(valid).alias("n_valid"), F.count("*").alias("n"))
 
 
-def translate(segments: DataFrame, terms: DataFrame, cache: DataFrame, terms_list: list[dict], model: str = "mock", version: str = "v1", script: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Track A with the mock provider: key, cache, answer, hard terms and number format; the raw answer is kept."""
-    prompt = F.concat(F.lit("【待翻译】\n"), "src_text")
-    rows = lookup(keyed(segments, terms, model, version), cache)
-    raw = F.coalesce("cached_value", mock_answer(prompt, model, script))
-    rows = rows.withColumn("zh_raw", raw)
-    return rows.withColumn("zh", T.normalize_zh(G.hard_replace(F.col("zh_raw"), terms_list))).drop("cached_value")
+def translate(
+    segments: DataFrame, terms: DataFrame, cache: DataFrame, terms_list: list[dict], model: str = "mock", version: str = "v1",
+    script: list[tuple[str, str]] | None = None, resolved: DataFrame | None = None,
+) -> DataFrame:
+    """Track A with the mock provider: key, cache, prompt with the terms that a segment holds, answer, hard terms and number format; the raw answer is kept.
+
+    Hard terms are those of `resolved`, by document, or one list for all."""
+    rows = lookup(keyed(prompted(segments, terms), terms, model, version), cache)
+    rows = rows.withColumn("zh_raw", F.coalesce("cached_value", mock_answer(F.col("prompt"), model, script))).drop("cached_value", "prompt")
+    if resolved is None:
+        return rows.withColumn("zh", T.normalize_zh(G.hard_replace(F.col("zh_raw"), terms_list)))
+    rows = G.replaced_by_document(rows.withColumn("zh", F.col("zh_raw")), resolved)
+    return rows.withColumn("zh", T.normalize_zh(F.col("zh")))
 
 
 def rewrite(segments: DataFrame, translated: DataFrame, style: str = "spoken", model: str = "mock", version: str = "v1") -> DataFrame:

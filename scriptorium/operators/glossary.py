@@ -302,6 +302,23 @@ def landing(segments: DataFrame, terms: DataFrame, accept_aliases: bool = False)
     )
 
 
+# Fixed value: what may stand in a translation instead of a term.
+PROBE = "[A-Z]{2,8}|背外侧|腹外侧|额叶|停止信号|反应时|前额叶"
+
+
+def landing_examples(segments: DataFrame, terms: DataFrame, limit: int = 2, width: int = 150) -> DataFrame:
+    """(term, term_zh, n_missing, examples): hard terms that translations lack, aliases accepted, the most missed first; of the first segments
+    of each, the ordinal and what may stand for the term."""
+    own = hits(segments.where("length(zh) > 0"), terms.where(F.col("mode") == HARD).withColumnRenamed("zh", "term_zh"))
+    lost = own.where(~F.contains("zh", "term_zh") & ~F.exists("aliases", lambda a: (F.length(a) > 0) & F.contains("zh", a)))
+    seen = F.substring(F.array_join(F.array_distinct(F.regexp_extract_all("zh", F.lit(PROBE), F.lit(0))), " / "), 1, width)
+    line = F.concat(F.element_at(F.split("sid", "#"), -1), F.lit(": "), seen)
+    rank = F.row_number().over(Window.partitionBy("term", "term_zh").orderBy("doc_id", "seg_pos"))
+    rows = lost.select("term", "term_zh", rank.alias("r"), line.alias("line")).groupBy("term", "term_zh")
+    first = F.array_sort(F.collect_list(F.when(F.col("r") <= limit, F.struct("r", "line"))))
+    return rows.agg(F.count("*").alias("n_missing"), F.array_join(F.transform(first, lambda x: x["line"]), " | ").alias("examples")).orderBy(F.desc("n_missing"), "term")
+
+
 def density(segments: DataFrame, terms: DataFrame, top: int = 8) -> DataFrame:
     """The translations that occur most in the translated text, and whether they read badly."""
     n = F.sum(T.occurrences(F.col("zh"), F.col("term_zh"))).cast("long")

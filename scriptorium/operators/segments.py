@@ -245,12 +245,23 @@ def grep_context(rows: DataFrame, pattern: str, around: int, scope: str = "doc_i
 
 
 def health(segments: DataFrame) -> DataFrame:
-    """Cleanliness: the share of segments that neither start in lower case nor lack a closing mark; warnings by thresholds."""
+    """Cleanliness: the share of segments that neither start in lower case nor lack a closing mark; warnings by thresholds.
+
+    Segments with headings are also judged by these: fewer than three of the first level, or one that is very short or a caption's."""
     text = F.col("src_text")
-    low, open_end = F.count_if(text.rlike("^[a-z]")), F.count_if(~text.rlike(r"[.!?:;\"'”’)\]]\s*$"))
-    got = segments.groupBy("doc_id").agg(F.count("*").alias("segments"), low.alias("lower_starts"), open_end.alias("open_ends"), F.max("n_words").alias("max_words"))
+    low, open_end = F.count_if(text.rlike(r"^\p{Ll}")), F.count_if(~F.regexp_replace(text, "[\"’”)]+$", "").rlike("[.?!:]$"))
+    titled = "sec_heading" in segments.columns and "sec_level" in segments.columns
+    heads = F.collect_set(F.when(F.col("sec_level") == 1, F.col("sec_heading"))) if titled else F.lit(None).cast("array<string>")
+    got = segments.groupBy("doc_id").agg(
+        F.count("*").alias("segments"), low.alias("lower_starts"), open_end.alias("open_ends"), F.max("n_words").alias("max_words"), heads.alias("__heads")
+    )
     got = got.withColumn("cleanliness", F.round(1 - (F.col("lower_starts") + F.col("open_ends")) / (2 * F.col("segments")), 4))
-    return got.withColumn("warnings", F.array_join(F.array_compact(F.array(F.when(F.col("segments") < 20, "few_segments"), F.when(F.col("max_words") > 600, "long_segment"))), ","))
+    odd = F.exists("__heads", lambda h: (F.length(h) < 4) | F.lower(h).startswith("fig") | F.lower(h).startswith("table"))
+    warnings = [
+        F.when(F.col("segments") < 20, "few_segments"), F.when(F.col("max_words") > 600, "long_segment"),
+        F.when(F.size("__heads") < 3, "few_headings") if titled else F.lit(None), F.when(odd, "odd_heading") if titled else F.lit(None),
+    ]
+    return got.withColumn("warnings", F.array_join(F.array_compact(F.array(*warnings)), ",")).drop("__heads")
 
 
 def invariants(segments: DataFrame) -> DataFrame:

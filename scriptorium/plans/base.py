@@ -189,3 +189,11 @@ VERDICTS = [
     (1, "✅", "3字"), (2, "✅", "15字"), (3, "⚠️", "2个逗号"), (4, "✅", "8字"), (5, "⚠️", "5个逗号"), (6, "⚠️", f"{len(BRIEFS[5][1])}字超标"), (7, "❌", "空"),
     (8, "⚠️", f"{len(BRIEFS[7][1])}字偏长"),
 ]
+PAPER_TITLES = [(1, "Cancer mechanisms of ageing"), (2, "Mechanisms of Cellular Senescence in cancer"), (3, "Irritable bowel syndrome: disease mechanisms and clinical management"), (4, " Gut flora: from biology to clinic ")]
+#: Segments whose translations lack hard terms, and the report on them.
+LANDED = [
+    ("d", "d#a#01", 1, "The aDLPFC stops it; DLPFC too.", "背外侧额叶 ACC 与 背外侧"), ("d", "d#a#02", 2, "DLPFC again.", "背外侧前额叶皮层"), ("d", "d#a#03", 3, "The DLPFC.", "无"),
+    ("d", "d#a#04", 4, "The DLPFC.", "前额叶"), ("d", "d#a#05", 5, "Fear of DLPFC.", "别名在此"), ("d", "d#a#06", 6, "DLPFC", ""),
+]
+LANDED_TERMS = [{"term": "DLPFC", "zh": "背外侧前额叶皮层", "mode": G.HARD, "aliases": ["别名"]}, {"term": "fear", "zh": "恐惧", "mode": G.HARD}]
+LANDING_EXAMPLES = [("DLPFC", "背外侧前额叶皮层", 3, "01: 背外侧 / 额叶 / ACC | 03: "), ("fear", "恐惧", 1, "05: ")]

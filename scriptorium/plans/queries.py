@@ -15,6 +15,7 @@ from scriptorium.operators import qa as Q
 from scriptorium.operators import segments as S
 from scriptorium.operators import timeline as M
 from scriptorium.plans import base as B
+from scriptorium.sources import literals as X
 from scriptorium.sources import readers as R
 from scriptorium.plans.base import segments, table
 
@@ -590,6 +591,24 @@ def script_positions(spark: SparkSession, sf_dir: str) -> Frame:
     return C.staged(rows, "first", "rest").select("doc_id", "seg_pos", F.col("seg_idx").cast("int").alias("seg_idx"), "total_segs", "stage")
 
 
+def title_heuristics(spark: SparkSession, sf_dir: str) -> Frame:
+    return spark.createDataFrame(B.PAPER_TITLES, "id int, title string").select("id", X.rewritten_title(F.col("title")).alias("title"))
+
+
+def default_terms(spark: SparkSession, sf_dir: str) -> Frame:
+    return G.stats(X.default_terms(spark))
+
+
+def landing_examples(spark: SparkSession, sf_dir: str) -> Frame:
+    rows = spark.createDataFrame(B.LANDED, "doc_id string, sid string, seg_pos int, src_text string, zh string")
+    return G.landing_examples(rows, G.terms_frame(spark, B.LANDED_TERMS))
+
+
+def health_of_sections(spark: SparkSession, sf_dir: str) -> Frame:
+    pages = spark.createDataFrame(B.NESTED_PAGES, "doc_id string, html string")
+    return S.health(S.section_html(pages)).select("doc_id", "warnings")
+
+
 def page_widths(spark: SparkSession, sf_dir: str) -> Frame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_quantity").alias("width"))
     return L.page_widths(rows)

