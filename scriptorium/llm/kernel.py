@@ -106,6 +106,15 @@ def unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), dtype=np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
 
 
+def by_frequency(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, the most frequent first, and the place of each: frequent ones have small numbers, which pack well."""
+    words, at, n = np.unique(h, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(words), dtype=np.int64)
+    rank[order] = np.arange(len(words))
+    return words[order], rank[at]
+
+
 #: What a batch gives to a range of hashes: its sorted distinct keys there and a count of each; what it gets back: their sums.
 GIVEN = "batch long, range int, keys binary, n binary"
 SUMMED = "batch long, range int, n binary"
@@ -144,17 +153,19 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; a session inside one process may do without the setting."""
     top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
+    if top:
+        return top
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    import tempfile
 
-        top = f"file://{tempfile.mkdtemp(prefix='stages-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return top
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='stages-')}")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -168,6 +179,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As stage(), in buckets by a key: joins and groups by the key read them as they lie, without a shuffle.
+
+    Buckets need a name in the session's catalog; the files lie in the shared folder."""
+    spark = df.sparkSession
+    mark = f"{name}-{uuid.uuid4().hex}"
+    table = mark.replace("-", "_")
+    path = f"{shared_dir(spark).rstrip('/')}/{mark}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(table)
+    spark.sparkContext._jvm.System.gc()
+    return spark.table(table)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     jvm = df.sparkSession.sparkContext._jvm

@@ -11,7 +11,8 @@ model that holds it.
 The documents are cut into batches, which hold their words by number; texts are not shuffled. Which documents
 are targets is joined by id alone. Each batch gives and asks the counts of its distinct words and pairs, dealt
 by ranges of the hash; a range adds up what the batches gave and answers each of them in the order of its
-hashes; a batch and its answers meet again for the scores. No task holds more than a batch or a range. The
+hashes; a batch and its answers meet again for the scores. The batches lie in buckets, so that only counts and
+places of targets are shuffled. No task holds more than a batch or a range. The
 rows between them number batches times ranges: at a hundred times the size, give both ten times the bytes.
 
 Target texts are the documents that labels mark as good. Null, empty and blank texts have no words and a
@@ -30,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U, importable, mix, pack, slices, spans, stage, unpack, word_hashes
+from .kernel import U, by_frequency, importable, mix, pack, slices, spans, stage, stage_by, unpack, word_hashes
 
 #: Bytes of text in a batch of documents (each counts some more), and words for each range of hashes.
-BATCH_BYTES, DOC_BYTES, RANGE_WORDS = 16 << 20, 32, 3 << 20
+BATCH_BYTES, DOC_BYTES, RANGE_WORDS = 8 << 20, 32, 2 << 20
 PAIR_SHARE = 0.6
 BATCH = "batch long, n_words long, ids array<long>, sizes binary, vocabulary binary, words binary"
 KEYS = "batch long, range int, keys binary, n binary, t binary"
@@ -41,7 +42,7 @@ ANSWER = "batch long, range int, n binary, t binary, words long, n_words long, t
 
 
 def batches(docs: DataFrame) -> DataFrame:
-    """The batches of all of `docs(doc_id, text)`, in the shared folder: ids, words of each text, and words as numbers in the batch's sorted vocabulary."""
+    """The batches of all of `docs(doc_id, text)`, in the shared folder: ids, words of each text, and words as numbers in the batch's vocabulary."""
     importable(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -50,8 +51,8 @@ def batches(docs: DataFrame) -> DataFrame:
 
         def whole() -> pd.DataFrame:
             ids, word, n = zip(*held, strict=True)
-            vocabulary, at = np.unique(np.concatenate(word), return_inverse=True)
-            row = {"batch": number, "n_words": len(at), "ids": [i for x in ids for i in x], "sizes": pack(np.concatenate(n)), "vocabulary": pack(np.diff(vocabulary, prepend=U(0))), "words": pack(at)}
+            vocabulary, at = by_frequency(np.concatenate(word))
+            row = {"batch": number, "n_words": len(at), "ids": [i for x in ids for i in x], "sizes": pack(np.concatenate(n)), "vocabulary": pack(vocabulary), "words": pack(at)}
             return pd.DataFrame([row])
 
         for f in frames:
@@ -66,7 +67,7 @@ def batches(docs: DataFrame) -> DataFrame:
         if held:
             yield whole()
 
-    return stage(rows.mapInPandas(of, BATCH), "lm-batches")
+    return stage_by(rows.mapInPandas(of, BATCH), "batch", "lm-batches")
 
 
 def targets(held: DataFrame, labels: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ class Words:
 
     def __init__(self, sizes: bytes, vocabulary: bytes, words: bytes, goal: object):
         self.size = unpack(sizes).astype(np.int64)
-        word = np.cumsum(unpack(vocabulary), dtype=U)[unpack(words).astype(np.int64)]
+        word = unpack(vocabulary)[unpack(words).astype(np.int64)]
         begins = (np.cumsum(self.size) - self.size)[self.size > 0]
         before = np.zeros(len(word), dtype=U)
         before[1:] = word[:-1]
@@ -169,11 +170,11 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     vocabulary, totals = sums["words"], (sums["n_words"], sums["t_words"])
     scale = totals[1] / totals[0] if totals[1] else 1.0
 
-    def of(f: pd.DataFrame) -> pd.DataFrame:
-        own = f[f["range"] == -1].iloc[0]
-        goal = [g for g in f.loc[f["range"] == -2, "goal"]]
+    def of(held_rows: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        own = held_rows.iloc[0]
+        goals_of = f.loc[f["range"] == -2, "goal"].tolist()
         rest = f[f["range"] >= 0].sort_values("range")
-        w = Words(own["sizes"], own["vocabulary"], own["words"], goal[0] if goal else None)
+        w = Words(own["sizes"], own["vocabulary"], own["words"], goals_of[0] if goals_of else None)
         n, t = (np.concatenate([unpack(b) for b in rest[c]] or [np.zeros(0, dtype=U)]).astype(np.float64) for c in ("n", "t"))
         if len(w.word):
             base, goal = losses(w, n, totals[0], vocabulary, np.ones(len(w.size), dtype=bool), scale), losses(w, t, totals[1], vocabulary, w.goal, 1.0)
@@ -181,8 +182,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             base = goal = np.zeros(len(w.size))
         return pd.DataFrame({"doc_id": pd.array([None if pd.isna(i) else int(i) for i in own["ids"]], dtype="Int64"), "n_tokens": w.size, "ce_target": goal, "ce_background": base})
 
-    both = held.drop("n_words").withColumn("range", F.lit(-1)).unionByName(goals.withColumn("range", F.lit(-2)), allowMissingColumns=True)
-    both = both.unionByName(answers.where("batch >= 0").select("batch", "range", "n", "t"), allowMissingColumns=True)
-    rows = both.groupBy("batch").applyInPandas(of, "doc_id long, n_tokens long, ce_target double, ce_background double")
+    told = answers.where("batch >= 0").select("batch", "range", "n", "t").unionByName(goals.withColumn("range", F.lit(-2)), allowMissingColumns=True)
+    rows = held.drop("n_words").groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(of, "doc_id long, n_tokens long, ce_target double, ce_background double")
     rows = rows.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_tokens", "ce_target", "ce_background")
     return rows.withColumn("score", F.col("ce_target") - F.col("ce_background"))
