@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import U, components, importable, mix, shingles, slices, stage, word_hashes
+from .kernel import U, components, dropped, importable, mix, shingles, slices, stage, word_hashes
 
 
 #: What meeting by a signature of no element costs, in signatures.
@@ -330,7 +330,8 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     pivot = postings(docs, words, percent).withColumns({"pivot": F.min("fp").over(bucket), "far": F.max("fp").over(bucket), "m": F.count("*").over(bucket)})
     met = stage(pivot.where("pivot <> far").groupBy("sig", "fp").agg(F.first("pivot").alias("pivot"), F.first("m").alias("m"), F.min("tag").alias("tag")), "jaccard-met")
     # Keys that many sets share are left out by sets that still may leave out as many segments; see `buckets`.
-    met = stage(buckets(met), "jaccard-buckets")
+    every, met = met, stage(buckets(met), "jaccard-buckets")
+    dropped(every)
     rep = prof.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     base = prof.select("doc_id", F.col("n").alias("n_shingles"), "fp")
     if met.isEmpty():
