@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import GIVEN, U, gives, importable, mix, pack, slices, stage, summed, unpack, word_hashes
+from .kernel import GIVEN, U, by_frequency, gives, importable, mix, pack, slices, stage, summed, unpack, word_hashes
 
 LEADING = 3
 LONG_TOKENS, BLOCKS = 50, 4
@@ -90,8 +90,8 @@ def batches(docs: DataFrame) -> DataFrame:
             texts, owner, no, count, h = (np.concatenate(x) for x in zip(*held, strict=True))
             wide = count >= LONG_TOKENS
             at = np.repeat(wide, count)
-            words, place = np.unique(h[~at], return_inverse=True)
-            cols = (texts, owner, no, count, np.diff(words, prepend=U(0)), place, passage_keys(h[at], count[wide]).ravel())
+            words, place = by_frequency(h[~at])
+            cols = (texts, owner, no, count, words, place, passage_keys(h[at], count[wide]).ravel())
             return pd.DataFrame([(number, len(h), *map(pack, cols))], columns=[c.split()[0] for c in BATCH.split(", ")])
 
         for f in frames:
@@ -127,8 +127,7 @@ class Lines:
         self.short, self.long = np.flatnonzero(self.size < LONG_TOKENS), np.flatnonzero(self.size >= LONG_TOKENS)
         self.passages = unpack(own["long_keys"]).reshape(-1, 1 + BLOCKS)
         self.count = self.size[self.short]
-        words = np.cumsum(unpack(own["vocabulary"]), dtype=U)
-        self.token = words[unpack(own["words"]).astype(np.int64)]
+        self.token = unpack(own["vocabulary"])[unpack(own["words"]).astype(np.int64)]
         self.line, self.pos = _places(self.count)
         self.head, self.digit = self.pos < LEADING, self.token == _FIELD
 
