@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decon, jaccard, langid, linededup, lmscore, mixing, pii, quality, shard, topk
+from . import decon, encoding, jaccard, langid, linededup, lmscore, mixing, pii, quality, shard, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of returned lines by item, vendor and client before each line, from other folds."""
+    got = encoding.encoded(*(table(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")))
+    return got.select("sale_id", "item_id", "vendor_id", "n_lines", "n_returned", *[f"{x}_{c}" for x in ("item", "vendor", "client") for c in ("n", "rate")])
+
+
 #: A limit at which small tables split, for the query beside op1_sharding.
 SMALL_LIMIT = 1 << 17
 
@@ -92,7 +98,35 @@ def sharding_sql(limit: int) -> str:
                CAST(bytes AS BIGINT) AS shard_bytes, n AS shard_rows, bytes > {limit} AS oversized FROM c WHERE r = 1"""
 
 
+def encoding_sql() -> str:
+    """Counts by window frames that end before a line's time, of all folds less its own; crc32 bit by bit."""
+    keys = {"all": "0", "kind": "kind", "nation": "nation_id", "segment": "segment", "item": "item_id", "vendor": "vendor_id", "client": "client_id"}
+
+    def count(x: str, what: str) -> str:
+        frame = "ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING"
+        return "coalesce(sum({0}) OVER (PARTITION BY {1} {2}), 0) - coalesce(sum({0}) OVER (PARTITION BY {1}, fold {2}), 0)".format(what, keys[x], frame)
+
+    counts = ", ".join(f"{count(x, what)} AS {x}_{c}" for x in keys for c, what in (("n", "1"), ("s", "r")))
+    rates = ["all_rate AS (SELECT *, CASE WHEN all_n < 1 THEN 500000 ELSE (1000000 * all_s + 50 * 500000) // (all_n + 50) END AS all_rate FROM h)"]
+    last = "all_rate"
+    for x, p in encoding.LEVELS.items():
+        if p:
+            rates.append(f"{x}_rate AS (SELECT *, CASE WHEN {x}_n < 1 THEN {p}_rate ELSE (1000000 * {x}_s + 50 * {p}_rate) // ({x}_n + 50) END AS {x}_rate FROM {last})")
+            last = f"{x}_rate"
+    shown = ", ".join(f"CAST(any_value({x}_{c}) AS BIGINT) AS {x}_{c}" for x in ("item", "vendor", "client") for c in ("n", "rate"))
+    return f"""
+        WITH ids AS (SELECT DISTINCT sale_id FROM sales WHERE sale_id IS NOT NULL),
+        f AS (SELECT sale_id, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(sale_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                     lambda a, c: list_reduce(list_prepend(xor(a, c), CAST(range(8) AS BIGINT[])), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 5 AS INTEGER) AS fold FROM ids),
+        l AS (SELECT l.sale_id, coalesce(l.item_id, -1) AS item_id, l.vendor_id, coalesce(s.client_id, -1) AS client_id, s.sold_at, f.fold, CASE WHEN l.flag = 'returned' THEN 1 ELSE 0 END AS r
+              FROM sale_lines l JOIN sales s ON s.sale_id = l.sale_id JOIN f ON f.sale_id = s.sale_id WHERE s.sold_at IS NOT NULL),
+        a AS (SELECT l.*, i.kind, v.nation_id, c.segment FROM l LEFT JOIN items i ON i.item_id = l.item_id LEFT JOIN vendors v ON v.vendor_id = l.vendor_id LEFT JOIN clients c ON c.client_id = l.client_id),
+        h AS (SELECT *, {counts} FROM a), {", ".join(rates)}
+        SELECT sale_id, item_id, vendor_id, count(*) AS n_lines, CAST(sum(r) AS BIGINT) AS n_returned, {shown} FROM {last} GROUP BY 1, 2, 3"""
+
+
 SQL: dict[str, str] = {
+    "op13_target_encoding": encoding_sql(),
     "op1_sharding": sharding_sql(shard.BYTE_LIMIT),
     "sharding_small_limit": sharding_sql(SMALL_LIMIT),
     "op3_mixing": f"""
