@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decon, encoding, jaccard, langid, linededup, lmscore, mixing, pii, quality, shard, topk
+from . import decon, encoding, jaccard, langid, linededup, lmscore, mixing, pii, quality, shard, tokens, topk, whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every vector."""
+    return whiten.whitened(table(spark, sf_dir, "embeddings"))
+
+
+#: Tokens of a model's window.
+WINDOW = 2048
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    import public_tokenizers
+
+    got = tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > WINDOW).alias("over_limit"))
+
+
 def op13_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of returned lines by item, vendor and client before each line, from other folds."""
     got = encoding.encoded(*(table(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")))
