@@ -1,15 +1,16 @@
 """Time-ordered target encoding: rates of returned lines by item, vendor and client, from earlier lines of other folds.
 
 All seven levels (everything, kind, nation, segment, item, vendor, client) are unpivoted into one long table of
-level, key, time and fold, in which equal probes are one row: it holds what happened and what is asked at once.
-The table is sorted by key and time over all tasks, so that a hot key spans as many tasks as it needs. One pass
-reads a task's rows in chunks and answers each by `pandas.merge_asof` on running counts, strictly before its
-time, once for all folds and once for its own, which is taken off. What a key counted in earlier tasks is added
-afterwards: sums over dyadic runs of tasks answer each task by as many sums as its number has bits. Answers meet the
-lines by equi-joins and are pivoted back; rates follow from the counts.
+level, key, time and fold, dealt by key and sorted by time: its rows hold what happened and what is asked at once.
+One pass reads a task's rows in chunks; probes of one key, time and fold are one there and are answered by
+`pandas.merge_asof` on running counts, strictly before their time, once for all folds and once for their own, which is
+taken off. The counts are pivoted back by row; rates follow from them.
 
-Keys that hold more than one in `SHARE` of a side's rows (fewer than SHARE of them, at every size) are broadcast
-and salted; nothing else is broadcast, and no group is collected.
+Hot keys hold more than one in `SHARE` of a table's rows: fewer than SHARE of them, whatever its size. Only they and
+up to SHARE points of time are ever broadcast. A hot key's rows are dealt by SHARE spans of time, each of which opens
+with the counts of those before it (sums by span, not rows). Rows of a hot point of time are added up before they
+are dealt, and their answers meet them again by an equi-join, salted where a probe is hot. Joins on hot ids are salted.
+No group is collected anywhere.
 
 Lines without a sale, and sales without an id or a time, are left out; a null item or client is the ordinary id
 -1, a null vendor an id of its own. Equal lines count each. Of rows that repeat a sale's id the earliest counts, then the one of
@@ -23,22 +24,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import dropped, importable, stage
 
 FOLDS = 5
-#: A key of more than one in SHARE rows is hot and dealt over SALTS tasks.
+#: A key of more than one in SHARE rows is hot and dealt over SALTS tasks, or SHARE spans of time.
 SHARE, SALTS = 1024, 64
 #: Rows of a task that are answered in one go.
 CHUNK_ROWS = 1 << 17
 PRIOR, WEIGHT = 500_000, 50
 #: The levels, and that whose rate is a level's prior.
 LEVELS = {"all": None, "kind": "all", "nation": "all", "segment": "all", "item": "kind", "vendor": "nation", "client": "segment"}
-KEY = ["level", "key", "name"]
-ANSWER = "level byte, key long, name string, ts long, fold int, n long, s long, m long, part int, open boolean, what string"
+#: Levels that a sale fixes are asked once for it, the others for each of its items and vendors.
+OF_SALE = ("all", "segment", "client")
+#: Each level's column; the codes of a null value and of others are told apart by NULL.
+COLUMN = {"kind": "kind", "nation": "nation_id", "segment": "segment", "item": "item_id", "vendor": "vendor_id", "client": "client_id"}
+NULL = 16
+KEY = ["key", "level", "span"]
+#: m: how many rows ask (deduplicated probes), ASKS for a row's own probe, OPENS for counts that are no probe.
+ASKS, OPENS = -1, 0
+ANSWER = "level byte, key long, ts long, fold int, n long, s long, row long, m long"
 
 
 def fold_of(sale_id: Column, folds: int = FOLDS) -> Column:
@@ -79,158 +86,190 @@ def of_id(table: DataFrame, key: str, value: str) -> DataFrame:
     return table.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias(key)).agg(F.max(value).alias(value))
 
 
-def lines_of(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFrame, clients: DataFrame) -> DataFrame:
-    """One row per sale, item and vendor with its lines, time, fold and the keys of all levels."""
+def coded(table: DataFrame, value: str) -> DataFrame:
+    """The table with a 64-bit code in the place of a value: of the first seed under which no two values share one."""
+    for seed in range(64):
+        code = F.xxhash64(F.lit(seed), F.col(value).cast("string"))
+        shared = table.where(F.col(value).isNotNull()).groupBy(code.alias("code")).agg(F.min(F.col(value).cast("string")).alias("a"), F.max(F.col(value).cast("string")).alias("z")).where("a <> z")
+        if shared.isEmpty():
+            return table.withColumn(value, F.when(F.col(value).isNotNull(), code))
+    raise ArithmeticError(f"no seed tells the values of {value} apart")
+
+
+def place(level: str, value: str | None) -> Column:
+    """struct(level, key) of a value at a level; null values have a level of their own."""
+    k = list(LEVELS).index(level)
+    if value is None:
+        return F.struct(F.lit(k).cast("byte").alias("level"), F.lit(0).cast("long").alias("key"))
+    v = F.col(value)
+    return F.struct(F.when(v.isNull(), k + NULL).otherwise(k).cast("byte").alias("level"), F.coalesce(v.cast("long"), F.lit(0)).alias("key"))
+
+
+def spans_of(ts: Column, bounds: list[int]) -> Column:
+    """The span of time that a point lies in."""
+    edges = np.array(bounds, dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def of(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, x.to_numpy(), side="right"), dtype="int32")
+
+    return of(ts)
+
+
+def lines_of(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFrame, clients: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, hot, hot_sales): one row per sale, item and vendor with its lines, time, fold and the keys of all levels; the hot (level, key)."""
     returned = F.coalesce(F.col("flag") == "returned", F.lit(False)).cast("long")
     item, vendor = F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.col("vendor_id").cast("long").alias("vendor_id")
     own = lines.where("sale_id is not null").groupBy(F.col("sale_id").cast("long").alias("sale_id"), item, vendor)
     own = stage(own.agg(F.count("*").alias("n_lines"), F.sum(returned).alias("n_returned")), "encoding-own")
     when = sales.where("sale_id is not null and sold_at is not null").select(F.col("sale_id").cast("long").alias("sale_id"), micros(F.col("sold_at")).alias("ts"), F.coalesce(F.col("client_id").cast("long"), F.lit(-1)).alias("client_id"))
-    when = when.groupBy("sale_id").agg(F.min(F.struct("ts", "client_id")).alias("x")).select("sale_id", "x.ts", "x.client_id")
-    when = met(when, of_id(clients, "client_id", "segment"), ["client_id"], ["sale_id"], hot(when, ["client_id"]))
-    rows = met(own, of_id(items, "item_id", "kind"), ["item_id"], ["sale_id", "vendor_id"], hot(own, ["item_id"]))
-    rows = met(rows, of_id(vendors, "vendor_id", "nation_id"), ["vendor_id"], ["sale_id", "item_id"], hot(own, ["vendor_id"]))
-    # The sales come last: lines of one sale then lie in one task, and their common probes are one row before they are shuffled.
-    rows = met(rows, when, ["sale_id"], ["item_id", "vendor_id"], hot(own, ["sale_id"]), "inner")
+    when = stage(when.groupBy("sale_id").agg(F.min(F.struct("ts", "client_id")).alias("x")).select("sale_id", "x.ts", "x.client_id"), "encoding-sales")
+    tables = {"item": of_id(coded(items, "kind"), "item_id", "kind"), "vendor": of_id(coded(vendors, "nation_id"), "vendor_id", "nation_id"), "client": of_id(coded(clients, "segment"), "client_id", "segment")}
+    hot_ids, levels_hot = {}, [when.sparkSession.range(1).select(place("all", None).alias("p")).select("p.*")]
+    for level, rows in (("item", own), ("vendor", own), ("client", when)):
+        c, up = COLUMN[level], LEVELS[level]
+        count = stage(rows.groupBy(c).agg(F.count("*").alias("count")), "encoding-counts")
+        hot_ids[level] = above(count, [c], "count")
+        levels_hot.append(hot_ids[level].select(place(level, c).alias("p")).select("p.*"))
+        over = count.join(tables[level].hint("merge"), c, "left").groupBy(COLUMN[up]).agg(F.sum("count").alias("count"))
+        levels_hot.append(above(over, [COLUMN[up]], "count").select(place(up, COLUMN[up]).alias("p")).select("p.*"))
+    hot_sales = stage(hot(own, ["sale_id"]), "encoding-hot")
+    edges = when.agg(F.percentile_approx("ts", [k / SHARE for k in range(1, SHARE)], 100 * SHARE)).first()[0]
+    when = when.withColumn("span", spans_of(F.col("ts"), sorted(set(edges or ()))))
+    when = met(when, tables["client"], ["client_id"], ["sale_id"], hot_ids["client"])
+    rows = met(own, tables["item"], ["item_id"], ["sale_id", "vendor_id"], hot_ids["item"])
+    rows = met(rows, tables["vendor"], ["vendor_id"], ["sale_id", "item_id"], hot_ids["vendor"])
+    rows = met(rows, when, ["sale_id"], ["item_id", "vendor_id"], hot_sales, "inner")
     out = stage(rows.withColumns({"fold": fold_of(F.col("sale_id")), "row": F.monotonically_increasing_id()}), "encoding-rows")
+    every = levels_hot[0]
+    for h in levels_hot[1:]:
+        every = every.unionByName(h)
+    every = stage(every, "encoding-hot")
     dropped(own)
-    return out
-
-
-def levels(rows: DataFrame, *columns: str) -> DataFrame:
-    """One row per row and level: level, key, name, ts, fold and `columns`. A null value is a key of its own."""
-    marks = {
-        "all": (F.lit(0), F.lit(None)),
-        "kind": (F.lit(0), F.coalesce(F.concat(F.lit("v"), F.col("kind").cast("string")), F.lit("n"))),
-        "nation": (F.coalesce(F.col("nation_id").cast("long"), F.lit(0)), F.when(F.col("nation_id").isNull(), "n")),
-        "segment": (F.lit(0), F.coalesce(F.concat(F.lit("v"), F.col("segment").cast("string")), F.lit("n"))),
-        "item": (F.col("item_id"), F.lit(None)),
-        "vendor": (F.coalesce("vendor_id", F.lit(0)), F.when(F.col("vendor_id").isNull(), "n")),
-        "client": (F.col("client_id"), F.lit(None)),
-    }
-    each = [F.struct(F.lit(k).cast("byte").alias("level"), marks[x][0].cast("long").alias("key"), F.coalesce(marks[x][1].cast("string"), F.lit("")).alias("name")) for k, x in enumerate(LEVELS)]
-    return rows.select(F.explode(F.array(*each)).alias("l"), "ts", "fold", *columns).select("l.*", "ts", "fold", *columns)
-
-
-def before(f: pd.DataFrame, run: np.ndarray, carry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of other folds strictly before each row, and the counts by fold with which the last run ends.
-
-    `f(ts, fold, n, s)` is sorted by run, time and fold; `carry[fold]` holds the first run's counts so far."""
-    folds, n_runs = len(carry), int(run[-1]) + 1
-    fold, ts = f["fold"].to_numpy(), f["ts"].to_numpy()
-    start = np.zeros((n_runs, folds + 1, 2), dtype=np.int64)
-    start[0, :folds], start[0, folds] = carry, carry.sum(axis=0)
+    return out, every, hot_sales
+
+
+def unpivoted(rows: DataFrame, hot_keys: DataFrame) -> DataFrame:
+    """(level, key, span, hot, ts, fold, n, s, row): a row per line and level, or per sale and level; `row` is the line's number or the sale's id."""
+    columns = ["ts", "fold", "span", "n", "s", "row"]
+
+    def over(table: DataFrame, names: list[str]) -> DataFrame:
+        return table.select(F.explode(F.array(*[place(x, COLUMN.get(x)) for x in names])).alias("p"), *columns).select("p.*", *columns)
+
+    of_line = rows.withColumns({"n": F.col("n_lines"), "s": F.col("n_returned")})
+    of_sale = rows.groupBy("sale_id", "client_id", "segment", "ts", "fold", "span").agg(F.sum("n_lines").alias("n"), F.sum("n_returned").alias("s")).withColumn("row", F.col("sale_id"))
+    long = over(of_line, [x for x in LEVELS if x not in OF_SALE]).unionByName(over(of_sale, list(OF_SALE)))
+    long = long.join(F.broadcast(hot_keys.withColumn("hot", F.lit(True))), ["level", "key"], "left")
+    return long.withColumn("span", F.when(F.col("hot"), F.col("span")).otherwise(-1))
+
+
+def openings(long: DataFrame, folds: int) -> DataFrame:
+    """Counts by fold with which each span of a hot key opens: at most SHARE spans a key."""
+    cells = long.where("hot").groupBy("level", "key", "span", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    each = cells.select("level", "key", "span").distinct().withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    cells = each.join(cells.hint("merge"), ["level", "key", "span", "fold"], "left")
+    before = Window.partitionBy("level", "key", "fold").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    got = cells.select("level", "key", "span", "fold", F.sum("n").over(before).alias("n"), F.sum("s").over(before).alias("s")).where("n > 0")
+    return got.withColumns({"ts": F.lit(FIRST).cast("long"), "row": F.lit(0).cast("long"), "m": F.lit(OPENS).cast("long")})
+
+
+#: Before any time.
+FIRST = -(1 << 62)
+
+
+def before(run: np.ndarray, ts: np.ndarray, fold: np.ndarray, n: np.ndarray, s: np.ndarray, folds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of other folds strictly before each row of distinct (run, ts, fold), in this order."""
     code = np.concatenate((run * (folds + 1) + fold, run * (folds + 1) + folds))
-    events = pd.DataFrame({"ts": np.tile(ts, 2), "code": code, "n": np.tile(f["n"].to_numpy(), 2), "s": np.tile(f["s"].to_numpy(), 2)})
+    events = pd.DataFrame({"ts": np.tile(ts, 2), "code": code, "n": np.tile(n, 2), "s": np.tile(s, 2)})
     # Rows of all folds at one time follow one another: the last of them holds the running count.
-    sums = events.groupby("code", sort=False)[["n", "s"]].cumsum()
-    events["cn"], events["cs"] = sums["n"], sums["s"]
-    probes = events[["ts", "code"]].assign(at=np.arange(len(events)))
+    events[["n", "s"]] = events.groupby("code", sort=False)[["n", "s"]].cumsum()
     order = np.argsort(events["ts"].to_numpy(), kind="stable")
-    got = pd.merge_asof(probes.iloc[order], events[["ts", "code", "cn", "cs"]].iloc[order], on="ts", by="code", allow_exact_matches=False)
+    laid = events.iloc[order]
+    got = pd.merge_asof(laid[["ts", "code"]], laid, on="ts", by="code", allow_exact_matches=False)
     known = np.zeros((len(events), 2), dtype=np.int64)
-    known[got["at"].to_numpy()] = got[["cn", "cs"]].fillna(0).to_numpy(dtype=np.int64)
-    known += start.reshape(-1, 2)[code]
-    other = known[len(f) :] - known[: len(f)]
-    last = run == n_runs - 1
-    end = start[-1, :folds].copy()
-    np.add.at(end, fold[last], f[["n", "s"]].to_numpy()[last])
-    return other[:, 0], other[:, 1], end
+    known[order] = got[["n", "s"]].fillna(0).to_numpy(dtype=np.int64)
+    other = known[len(run) :] - known[: len(run)]
+    return other[:, 0], other[:, 1]
 
 
-def answered(probes: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """The pass over the sorted table: ANSWER rows. `open` rows are of a task's first key, which earlier tasks may hold too;
-    what = `ask`: an answer within its task, `end`: counts of a task's last key by fold."""
+def answered(table: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """The pass over the table, dealt by key and span and sorted by time: ANSWER rows for all that ask."""
+    columns = [*KEY, "ts", "fold", "n", "s", "row", "m"]
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        first: tuple | None = None
-        last: tuple | None = None
-        carry = np.zeros((folds, 2), dtype=np.int64)
-        held: list[pd.DataFrame] = []
         frames = iter(frames)
-        more = True
-        while more:
-            size = sum(map(len, held))
+        last: pd.DataFrame | None = None
+        while True:
+            held, size = [], 0
             while size < CHUNK_ROWS and (nxt := next(frames, None)) is not None:
                 held.append(nxt)
                 size += len(nxt)
-            more = size >= CHUNK_ROWS
             if not size:
-                break
-            f = pd.concat(held, ignore_index=True)
-            same = np.ones(len(f), dtype=bool)
-            for c in KEY:
-                x = f[c].to_numpy()
-                same[1:] &= x[1:] == x[:-1]
-            same[0] = last is None or tuple(f[c].iloc[0] for c in KEY) == last
-            if not same[0]:
-                carry[:] = 0
-            if more:  # rows of the last key and time wait for those that may follow
-                t = f["ts"].to_numpy()
-                new = np.flatnonzero(~same[1:] | (t[1:] != t[:-1]))
-                cut = int(new[-1]) + 1 if len(new) else len(f)
-                held, f, same = [f.iloc[cut:]], f.iloc[:cut], same[:cut]
-            run = np.cumsum(np.append(0, ~same[1:]))
-            n, s, carry = before(f, run, carry)
-            first = first or tuple(f[c].iloc[0] for c in KEY)
-            last = tuple(f[c].iloc[-1] for c in KEY)
-            is_first = tuple(f[c].iloc[0] for c in KEY) == first
-            yield f[[*KEY, "ts", "fold", "m"]].assign(n=n, s=s, part=part, open=(run == 0) & is_first, what="ask")
-        if last is not None:
-            yield pd.DataFrame({**dict(zip(KEY, last, strict=True)), "ts": 0, "fold": np.arange(folds, dtype=np.int32), "n": carry[:, 0], "s": carry[:, 1], "m": 0, "part": part, "open": first == last, "what": "end"})
-
-    # Ranges of key and time: all folds of one time lie in one task.
-    laid = probes.repartitionByRange(*KEY, "ts").sortWithinPartitions(*KEY, "ts", "fold")
+                return
+            # What the last key has counted so far stands in front: before its last time, and at it.
+            f = pd.concat(held if last is None else [last, *held], ignore_index=True)
+            ts, fold, m = f["ts"].to_numpy(), f["fold"].to_numpy(), f["m"].to_numpy()
+            new = np.ones(len(f), dtype=bool)
+            new[1:] = np.logical_or.reduce([f[c].to_numpy()[1:] != f[c].to_numpy()[:-1] for c in KEY])
+            run = np.cumsum(new) - 1
+            # Probes of one time and fold are one.
+            new[1:] |= (ts[1:] != ts[:-1]) | (fold[1:] != fold[:-1])
+            at = np.flatnonzero(new)
+            n, s = np.add.reduceat(f["n"].to_numpy(), at), np.add.reduceat(f["s"].to_numpy(), at)
+            got_n, got_s = before(run[at], ts[at], fold[at], n, s, folds)
+            back = np.cumsum(new) - 1
+            asks, alone = m != OPENS, m == ASKS
+            yield pd.DataFrame({
+                "level": f["level"].to_numpy(), "key": np.where(alone, 0, f["key"].to_numpy()), "ts": np.where(alone, 0, ts), "fold": np.where(alone, 0, fold),
+                "n": got_n[back], "s": got_s[back], "row": f["row"].to_numpy(), "m": m,
+            })[asks]
+            end = run == run[-1]
+            last = f[end].assign(ts=np.where(ts[end] < ts[-1], FIRST, ts[-1]), row=0, m=OPENS).groupby([*KEY, "ts", "fold"], as_index=False)[["n", "s", "row", "m"]].sum()[columns]
+            last = last.astype(f.dtypes.to_dict())
+
+    laid = table.select(*columns).repartition(*KEY).sortWithinPartitions(*KEY, "ts", "fold")
     return stage(laid.mapInPandas(of, ANSWER), "encoding-answers")
 
 
-def carried(answers: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """(part, fold, c_n, c_s): what earlier tasks counted of a task's first key, in other folds.
-
-    Task numbers are added up in dyadic runs: the tasks before number p are one run for each bit of p, so that no
-    key's tasks are ever gathered in one place."""
-    ends = answers.where("what = 'end'")
-    bit = F.explode(F.sequence(F.lit(0), F.lit(30)))
-    nodes = ends.select(*KEY, "fold", "n", "s", "part", bit.alias("bit")).withColumn("node", F.expr("shiftright(part, bit)"))
-    nodes = nodes.groupBy(*KEY, "fold", "bit", "node").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    heads = answers.where("what = 'ask' and open").select(*KEY, "part").distinct()
-    asked = heads.select(*KEY, "part", bit.alias("bit")).withColumn("node", F.expr("shiftright(part, bit) - 1")).where("node % 2 = 0")
-    found = asked.join(nodes.hint("merge"), [*KEY, "bit", "node"])
-    by_fold = found.groupBy("part", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    total = found.groupBy("part").agg(F.sum("n").alias("t_n"), F.sum("s").alias("t_s"))
-    all_folds = total.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    got = all_folds.join(by_fold.hint("merge"), ["part", "fold"], "left")
-    return got.select("part", "fold", (F.col("t_n") - F.coalesce("n", F.lit(0))).alias("c_n"), (F.col("t_s") - F.coalesce("s", F.lit(0))).alias("c_s"))
-
-
 def rate(n: Column, s: Column, prior: Column) -> Column:
     """Returned lines in a million, drawn towards the prior as by WEIGHT lines, in whole numbers."""
     return F.when(n < 1, prior).otherwise(F.call_function("div", 1_000_000 * s + WEIGHT * prior, n + WEIGHT))
 
 
-def histories(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """(level, key, name, ts, fold, n, s, m): for each distinct probe the lines and returned lines of its history, and how many rows ask it."""
-    asked = levels(rows, "n_lines", "n_returned").groupBy(*KEY, "ts", "fold").agg(F.sum("n_lines").alias("n"), F.sum("n_returned").alias("s"), F.count("*").alias("m"))
-    answers = answered(asked, folds)
-    own = answers.where("what = 'ask'").select(*KEY, "ts", "fold", "n", "s", "m", "part", "open")
-    later = own.where("open").join(carried(answers, folds).hint("merge"), ["part", "fold"], "left")
-    later = later.select(*KEY, "ts", "fold", (F.col("n") + F.coalesce("c_n", F.lit(0))).alias("n"), (F.col("s") + F.coalesce("c_s", F.lit(0))).alias("s"), "m")
-    return own.where("not open").select(*KEY, "ts", "fold", "n", "s", "m").unionByName(later)
+def histories(rows: DataFrame, hot_keys: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """(row, level, n, s): the lines and returned lines of each probe's history."""
+    # Points of time that hold many rows: their probes are one before they are dealt.
+    times = F.broadcast(stage(hot(rows, ["ts"]), "encoding-times"))
+    asked = ["level", "key", "ts", "fold"]
+    alone = unpivoted(rows.join(times, "ts", "left_anti"), hot_keys).withColumn("m", F.lit(ASKS).cast("long"))
+    many = unpivoted(rows.join(times, "ts", "left_semi"), hot_keys)
+    one = many.groupBy(*asked, "span").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("m")).withColumn("row", F.lit(0).cast("long"))
+    opens = openings(unpivoted(rows, hot_keys), folds)
+    columns = [*asked, "span", "n", "s", "row", "m"]
+    answers = answered(alone.select(*columns).unionByName(one.select(*columns)).unionByName(opens.select(*columns)), folds)
+    known = answers.where(F.col("m") > 0).select(*asked, "n", "s", "m")
+    found = met(many.select(*asked, "row"), known.drop("m"), asked, ["row"], above(known.select(*asked, "m"), asked, "m"))
+    columns = ["row", F.col("level").bitwiseAND(NULL - 1).alias("level"), "n", "s"]
+    return answers.where(F.col("m") == ASKS).select(*columns).unionByName(found.select(*columns))
+
+
+def pivoted(found: DataFrame, names: list[str]) -> DataFrame:
+    """One row per `row` with n and s of each of the levels."""
+    number = {x: k for k, x in enumerate(LEVELS)}
+    # Laid by row before it is grouped: partial groups would be wider than what they stand for.
+    got = found.where(F.col("level").isin([number[x] for x in names])).repartition("row").groupBy("row")
+    return got.agg(*[F.max(F.when(F.col("level") == number[x], F.col(c))).alias(f"{x}_{c}") for x in names for c in ("n", "s")])
 
 
 def encoded(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFrame, clients: DataFrame) -> DataFrame:
     """One row per sale_id, item_id and vendor_id: n_lines, n_returned, client_id, fold, and n, s and rate of each level's history."""
     importable(lines.sparkSession)
-    rows = lines_of(lines, sales, items, vendors, clients)
-    asked = [*KEY, "ts", "fold"]
-    probes = levels(rows, "row")
-    known = histories(rows)
-    found = met(probes, known.drop("m"), asked, ["row"], above(known.select(*asked, "m"), asked, "m"))
-    # Laid by row before it is grouped: partial groups would be wider than what they stand for.
-    wide = found.select("row", "level", "n", "s").repartition("row").groupBy("row").agg(*[F.max(F.when(F.col("level") == k, F.col(c))).alias(f"{x}_{c}") for k, x in enumerate(LEVELS) for c in ("n", "s")])
-    out = rows.join(wide.hint("merge"), "row")
+    rows, hot_keys, hot_sales = lines_of(lines, sales, items, vendors, clients)
+    found = histories(rows, hot_keys)
+    of_sale = pivoted(found, list(OF_SALE)).withColumnRenamed("row", "sale_id")
+    out = rows.drop("kind", "nation_id", "segment", "ts", "span").join(pivoted(found, [x for x in LEVELS if x not in OF_SALE]).hint("merge"), "row")
+    out = met(out, of_sale, ["sale_id"], ["row"], hot_sales)
     for x, prior in LEVELS.items():
         p = F.lit(PRIOR).cast("long") if prior is None else F.col(f"{prior}_rate")
         out = out.withColumn(f"{x}_rate", rate(F.col(f"{x}_n"), F.col(f"{x}_s"), p))
-    return out.drop("row", "ts")
+    return out.drop("row")
