@@ -3,7 +3,8 @@
 Terms are a table of (ord, term, zh, mode, note, aliases, pattern, prefix_variants, status, scope, full_en).
 A resolved glossary is small by nature (terms that a person has approved); it is broadcast only where a count
 shows at most `BROADCAST_TERMS` rows, and joined as the optimizer decides beyond. Terms meet texts by the letter runs of
-a term's first word: an equi-join; only terms without any letter, or with a pattern of their own, are tried on all.
+a term's first word, substrings by runs of a few characters: equi-joins; only terms without any letter, or with a
+pattern of their own, are tried on all.
 """
 
 from __future__ import annotations
@@ -39,17 +40,6 @@ def sized(spark_frame: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
     return F.broadcast(spark_frame) if spark_frame.limit(limit + 1).count() <= limit else spark_frame
 
 
-def scope_rank(scope: Column, doc_id: Column, field: Column) -> Column:
-    """global 0; the right field 1; the own document 2; others -1; anything else is an error."""
-    s = F.coalesce(scope, F.lit(""))
-    return (
-        F.when((s == "") | (s == "global"), 0)
-        .when(s.startswith("field:"), F.when(F.substr(s, F.lit(7)) == F.coalesce(field, F.lit("")), 1).otherwise(-1))
-        .when(s.startswith("doc:"), F.when(F.substr(s, F.lit(5)) == doc_id, 2).otherwise(-1))
-        .otherwise(F.raise_error(F.concat(F.lit("unknown scope "), s)).cast("int"))
-    )
-
-
 def active(terms: DataFrame) -> DataFrame:
     return terms.where("status <> 'rejected'")
 
@@ -145,10 +135,15 @@ def lead_runs(term: Column, pattern: Column, prefix_variants: Column) -> Column:
     return F.when((F.length(run) > 0) & (F.coalesce(F.length(pattern), F.lit(0)) == 0), runs).otherwise(F.array().cast("array<string>"))
 
 
-def hits(segments: DataFrame, terms: DataFrame, text: str = "src_text") -> DataFrame:
+#: So many letter runs of terms are looked up in a text before its rows are made.
+KNOWN_RUNS = 5_000
+
+
+def hits(segments: DataFrame, terms: DataFrame, text: str = "src_text", key: str = "sid") -> DataFrame:
     """Segments and the active terms that their text holds, by the term's pattern.
 
-    Terms meet segments by equality of letter runs, once for each pair; then the pattern decides."""
+    Terms meet segments by equality of letter runs, once for each pair; then the pattern decides. Terms too many to
+    be broadcast meet narrow rows of `key`, which identifies a segment, and runs; texts come back for what was met."""
     rx = active(terms).withColumns({
         "__rx": term_regex(F.col("term"), F.col("pattern"), F.col("prefix_variants")),
         "__runs": lead_runs(F.col("term"), F.col("pattern"), F.col("prefix_variants")),
@@ -159,23 +154,70 @@ def hits(segments: DataFrame, terms: DataFrame, text: str = "src_text") -> DataF
     for c in shared:
         test = test & F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}"))
     size = rx.agg(F.count("*").alias("n"), F.count_if(F.size("__runs") == 0).alias("loose")).first()
-    small = F.broadcast if size["n"] <= BROADCAST_TERMS else (lambda d: d)
+    columns = [*[F.col(f"s.{c}") for c in segments.columns], *[F.col(f"t.{c}") for c in own]]
     runs = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), F.lower))
-    asked = segments.withColumn("__all", runs).withColumn("__run", F.explode("__all")).alias("s")
-    given = small(rx.withColumn("__key", F.explode("__runs"))).alias("t")
-    # A pair that several runs join counts by the first of them.
-    first = F.get(F.array_intersect("s.__all", "t.__runs"), F.lit(0)) == F.col("s.__run")
-    found = asked.join(given, (F.col("s.__run") == F.col("t.__key")) & first & test)
-    found = found.select(*[F.col(f"s.{c}") for c in segments.columns], *[F.col(f"t.{c}") for c in own])
+    if size["n"] <= BROADCAST_TERMS:
+        known = [r[0] for r in rx.select(F.explode("__runs")).distinct().limit(KNOWN_RUNS + 1).collect()]
+        # Only runs that some term begins with make rows, as far as they are few enough to be named.
+        met = F.array_intersect(runs, F.lit(known)) if 0 < len(known) <= KNOWN_RUNS else runs
+        asked = segments.withColumn("__all", met).withColumn("__run", F.explode("__all")).alias("s")
+        given = F.broadcast(rx.withColumn("__key", F.explode("__runs"))).alias("t")
+        # A pair that several runs join counts by the first of them.
+        first = F.get(F.array_intersect("s.__all", "t.__runs"), F.lit(0)) == F.col("s.__run")
+        found = asked.join(given, (F.col("s.__run") == F.col("t.__key")) & first & test).select(*columns)
+    else:
+        asked = segments.select(F.col(key).alias("__id"), F.explode(runs).alias("__key"))
+        given = rx.withColumn("__ord", F.xxhash64(F.to_json(F.struct(*terms.columns)))).select("__ord", F.explode("__runs").alias("__key"))
+        pairs = asked.join(given, "__key").select("__id", "__ord").distinct()
+        rx = rx.withColumn("__ord", F.xxhash64(F.to_json(F.struct(*terms.columns))))
+        met = segments.alias("s").join(pairs.alias("p"), F.col(f"s.{key}") == F.col("p.__id"))
+        found = met.join(rx.alias("t"), (F.col("p.__ord") == F.col("t.__ord")) & test).select(*columns)
     if not size["loose"]:
         return found
-    tried = segments.alias("s").join(small(rx.where("size(__runs) = 0")).alias("t"), test)
-    return found.unionByName(tried.select(*[F.col(f"s.{c}") for c in segments.columns], *[F.col(f"t.{c}") for c in own]))
-
-
-def web_hits(segments: DataFrame, terms: DataFrame, text: str = "src_text") -> DataFrame:
+    tried = segments.alias("s").join(sized(rx.where("size(__runs) = 0").drop("__ord")).alias("t"), test)
+    return found.unionByName(tried.select(*columns))
+
+
+def grams(text: Column, size: int) -> Column:
+    """The distinct runs of `size` characters of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+#: A needle is met by as many of its characters, or by all of a shorter one.
+GRAM = 3
+
+
+def holding(rows: DataFrame, needles: DataFrame, text: str, needle: str, key: str = "sid", fold: bool = False) -> DataFrame:
+    """Rows and the needles(…, needle) that their text holds as a substring, lower-cased if `fold`: an equi-join, no loop over pairs.
+
+    Each needle is met by one of its runs of GRAM characters, that which fewest needles hold; then the text decides.
+    Few needles are broadcast; many meet narrow rows of `key`, which identifies a row, and texts come back for what was met.
+    Empty needles and null texts meet nothing."""
+    low = F.lower if fold else (lambda c: c)
+    given = needles.withColumn("__n", low(F.col(needle))).where("length(__n) > 0").withColumn("__size", F.least(F.length("__n"), F.lit(GRAM)))
+    own = reduce(lambda acc, k: F.when(F.col("__size") == k, grams(F.col("__n"), k)).otherwise(acc), range(1, GRAM), grams(F.col("__n"), GRAM))
+    each = given.select("__n", "__size", own.alias("__own")).distinct().select("__n", "__size", F.explode("__own").alias("__g"))
+    often = each.groupBy("__g").agg(F.count("*").alias("__often"))
+    anchors = each.join(often, "__g").groupBy("__n").agg(F.min_by("__g", F.struct("__often", F.xxhash64("__g"))).alias("__g"))
+    sizes = [r[0] for r in given.select("__size").distinct().orderBy("__size").collect()]
+    small = needles.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    own_columns = [c for c in needles.columns if c not in rows.columns]
+    if not sizes:
+        return rows.join(needles.select(*own_columns), F.lit(False))
+    t = low(F.col(text))
+    met = F.explode(reduce(F.array_union, [grams(t, k) for k in sizes]))
+    if small:
+        given = F.broadcast(given.join(F.broadcast(anchors), "__n"))
+        found = rows.withColumn("__g", met).join(given.select("__g", "__n", *own_columns), "__g").where(F.contains(t, F.col("__n")))
+    else:
+        pairs = rows.select(F.col(key).alias("__id"), met.alias("__g")).join(anchors, "__g").select("__id", "__n").distinct()
+        found = rows.join(pairs, rows[key] == pairs["__id"]).where(F.contains(t, F.col("__n"))).join(given.select("__n", *own_columns), "__n")
+    return found.select(*rows.columns, *own_columns)
+
+
+def web_hits(segments: DataFrame, terms: DataFrame, text: str = "src_text", key: str = "sid") -> DataFrame:
     """The browser's rule: a case-insensitive substring."""
-    return segments.join(sized(active(terms)), F.contains(F.lower(F.col(text)), F.lower(F.col("term"))))
+    return holding(segments, active(terms), text, "term", key, fold=True)
 
 
 def signature(prefix: str = "") -> Column:
@@ -319,10 +361,12 @@ def landing_examples(segments: DataFrame, terms: DataFrame, limit: int = 2, widt
     return rows.agg(F.count("*").alias("n_missing"), F.array_join(F.transform(first, lambda x: x["line"]), " | ").alias("examples")).orderBy(F.desc("n_missing"), "term")
 
 
-def density(segments: DataFrame, terms: DataFrame, top: int = 8) -> DataFrame:
+def density(segments: DataFrame, terms: DataFrame, top: int = 8, key: str = "sid") -> DataFrame:
     """The translations that occur most in the translated text, and whether they read badly."""
     n = F.sum(T.occurrences(F.col("zh"), F.col("term_zh"))).cast("long")
-    got = segments.select("zh").join(sized(terms.select("term", F.col("zh").alias("term_zh"))), F.contains("zh", "term_zh")).groupBy("term", "term_zh").agg(n.alias("n"))
+    rows = segments.select((F.col(key) if key in segments.columns else F.xxhash64("zh")).alias("__row"), "zh")
+    met = holding(rows, terms.select("term", F.col("zh").alias("term_zh")), "zh", "term_zh", "__row")
+    got = met.groupBy("term", "term_zh").agg(n.alias("n"))
     return got.withColumn("flag", T.suspicious_term(F.col("term_zh"))).orderBy(F.desc("n"), "term").limit(top)
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions import markup
 from scriptorium.functions import text as T
 
 # Sections that are no body text, per dialect.
@@ -48,93 +51,87 @@ def html_title(html: Column, fallback: Column) -> Column:
     return F.when(F.length(tidy(h1)) > 0, tidy(h1)).when(F.length(F.trim(title)) > 0, F.trim(T.unescape(title))).otherwise(fallback)
 
 
-def balanced(text: Column, tags: str, opens: str) -> Column:
-    """struct(out: array<struct<open, body>>, rest): the blocks whose opening tag matches `opens`, whole however `tags` nest in them, and the text outside of them."""
-    token = rf"(?is)</?(?:{tags})\b[^>]*>"
-    found, gaps = F.regexp_extract_all(text, F.lit(token), F.lit(0)), F.split(text, token, -1)
-    none = F.array().cast("array<struct<open:string,body:string>>")
+def _blocks(read: Callable[[str | None, frozenset[str]], list[tuple]], skip: list[str]) -> Callable[[Column], Column]:
+    """A page's blocks as an array, read in Arrow batches, one pass over each page."""
+    leave = frozenset(skip)
+
+    @F.udf(f"array<struct<{markup.BLOCK.replace(' ', ':').replace(',:', ',')}>>", useArrow=True)
+    def of(html: str | None) -> list[tuple]:
+        return read(html, leave)
 
-    def step(acc: Column, i: Column) -> Column:
-        t, g, inside = F.get(found, i), F.get(gaps, i + 1), acc["depth"] > 0
-        closing = t.startswith("</")
-        starts, ends = ~inside & t.rlike(opens), (acc["depth"] == 1) & closing
-        depth = F.when(starts, 1).when(inside & closing, acc["depth"] - 1).when(inside, acc["depth"] + 1).otherwise(0)
-        return F.struct(
-            depth.alias("depth"),
-            F.when(starts, t).otherwise(acc["open"]).alias("open"),
-            F.when(starts, g).when(inside & ~ends, F.concat(acc["body"], t, g)).otherwise("").alias("body"),
-            F.when(ends, F.concat(acc["rest"], g)).when(inside | starts, acc["rest"]).otherwise(F.concat(acc["rest"], t, g)).alias("rest"),
-            F.when(ends, F.concat(acc["out"], F.array(F.struct(acc["open"].alias("open"), acc["body"].alias("body"))))).otherwise(acc["out"]).alias("out"),
-        )
+    return of
 
-    zero = F.struct(F.lit(0).alias("depth"), F.lit("").alias("open"), F.lit("").alias("body"), F.get(gaps, F.lit(0)).alias("rest"), none.alias("out"))
-    steps = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
 
-    def close(acc: Column) -> Column:
-        last = F.when(acc["depth"] > 0, F.concat(acc["out"], F.array(F.struct(acc["open"].alias("open"), acc["body"].alias("body"))))).otherwise(acc["out"])
-        return F.struct(last.alias("out"), acc["rest"].alias("rest"))
+def _sections(blocks: str) -> Column:
+    """struct(at, n, place) of each run of blocks under one heading: its first block, how many there are, its own number."""
+    b = F.col(blocks)
+    every = F.when(F.size(b) > 0, F.sequence(F.lit(0), F.size(b) - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(every, lambda i: (i == 0) | (F.get(b, i)["sec"] != F.get(b, F.greatest(i - 1, F.lit(0)))["sec"]))
+    return F.transform(starts, lambda at, j: F.struct(at.alias("at"), (F.coalesce(F.get(starts, j + 1), F.size(b)) - at).alias("n"), j.alias("place")))
 
-    return F.aggregate(steps, zero, step, close)
 
+def _page_segments(pages: DataFrame, blocks: Column, dialect: str, labelled: str, first: Callable[[Column], Column], then: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Segments of pages whose blocks are known. All is done in a page's own row: no text is shuffled, nothing sorted.
 
-TITLED = r'(?i)^<section\b[^>]*data-title="[^"]+"'
-FIGURE = r'(?i)^<(?:figure\b|div\b[^>]*class="[^"]*c-article-section__figure)'
-#: Tables and empty figures are no text.
-TABLE = r"(?i)^<table\b"
+    `first` says which texts make a section, `then` which of these are its segments."""
+    html = dialect == "html"
 
+    def read(b: Column) -> Column:
+        items = F.size(b["items"]) > 0
+        if html or labelled == "Fig 说明":
+            raw = F.when(items, T.list_paragraph(b["raw"], b["items"])).otherwise(b["raw"])
+        else:
+            raw = F.when(items, F.concat_ws(" ", b["raw"], F.array_join(b["items"], "; "))).otherwise(b["raw"])
+        label = F.when(b["is_figure"], F.coalesce(F.nullif(T.clean_paragraph(b["label"]), F.lit("")), F.lit(labelled))).otherwise("")
+        return F.struct(b["main"].alias("main"), b["heading"].alias("heading"), b["level"].alias("level"), b["sec"].alias("sec"), b["is_figure"].alias("is_figure"), b["in_box"].alias("in_box"), label.alias("fig_label"), T.clean_paragraph(raw, dialect).alias("text"))
 
-LISTED = r"(?s)<p\b[^>]*>[^<]*?:\s*</p>\s*<(?:ol|ul)\b[^>]*>.*?</(?:ol|ul)>"
+    rows = pages.select("doc_id", F.filter(F.transform(blocks, read), lambda b: first(b["text"])).alias("b"))
+    rows = rows.withColumn("s", _sections("b"))
 
+    def path(s: Column) -> Column:
+        b = F.get("b", s["at"])
+        if not html:
+            return F.format_string("s%03d-%s", s["place"], T.web_slug(b["heading"]))
+        return F.when(b["level"] == 1, T.slug(b["main"])).otherwise(F.concat(T.slug(b["main"]), F.lit("/"), T.slug(b["heading"])))
 
-def with_lists(body: Column) -> Column:
-    """A paragraph that ends with a colon takes in the list behind it."""
-    found = F.regexp_extract_all(body, F.lit(LISTED), F.lit(0))
-    gaps = F.split(body, LISTED, -1)
+    rows = rows.withColumn("p", F.transform("s", path))
+    if html:  # headings that repeat get paths of their own, so ids stay unique
+        same = lambda x, j: F.size(F.filter(F.slice("p", 1, j + 1), lambda y: y == x))
+        rows = rows.withColumn("p", F.transform("p", lambda x, j: F.when(same(x, j) > 1, F.concat(x, F.lit("-"), same(x, j).cast("string"))).otherwise(x)))
 
-    def fold(block: Column) -> Column:
-        intro = F.regexp_extract(block, r"(?s)^(<p\b[^>]*>[^<]*?:)\s*</p>", 1)
-        items = F.regexp_extract_all(block, F.lit(r"(?s)<li\b[^>]*>(.*?)</li>"), F.lit(1))
-        return F.concat(T.list_paragraph(intro, items), F.lit("</p>"))
+    def segments(s: Column) -> Column:
+        own = F.slice("b", s["at"] + 1, s["n"])
+        own = own if then is None else F.filter(own, lambda b: then(b["text"]))
+        return F.transform(own, lambda b, i: F.struct(F.get("p", s["place"]).alias("sec_path"), (i + 1).alias("at"), b.alias("b")))
 
-    folded = F.transform(found, fold)
-    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(folded, i), F.lit("")))), "")
+    flat = F.flatten(F.transform("s", segments))
+    rows = rows.select("doc_id", F.posexplode(flat).alias("pos", "x")).select("doc_id", "pos", "x.sec_path", "x.at", "x.b.*")
+    doc = F.col("doc_id").cast("string")
+    if html:
+        sid = F.when(F.col("is_figure"), F.format_string("%s#%s#fig%02d", doc, "sec_path", F.col("at"))).otherwise(T.segment_id(F.col("doc_id"), F.col("sec_path"), F.col("at")))
+    else:
+        sid = F.format_string("%s:%s:p%02d", doc, "sec_path", F.col("at"))
+    return rows.select(
+        "doc_id", sid.alias("sid"), "sec_path", F.col("heading").alias("sec_heading"), F.col("level").alias("sec_level"), (F.col("at") if html else F.col("pos")).alias("index"), (F.col("pos") + 1).alias("seg_pos"),
+        F.col("text").alias("src_text"), T.word_count(F.col("text"), dialect).alias("n_words"), "in_box", "is_figure", "fig_label", F.sha1("text").alias("src_hash"),
+    )
 
 
 def section_html(pages: DataFrame, dialect: str = "html") -> DataFrame:
     """Segments of `pages(doc_id, html)` with titled sections: figures first, then headings and paragraphs in reading order.
 
-    Repeated sub-headings of a section get paths of their own, so ids stay unique."""
+    Repeated sub-headings of a section get paths of their own, so ids stay unique. `dialect` web: the browser's ids, texts and skipped sections."""
     skip = SKIP_SECTIONS if dialect == "html" else WEB_SKIP_SECTIONS
-    secs = pages.select("doc_id", F.posexplode(balanced(F.col("html"), "section", TITLED)["out"]).alias("sec_no", "s"))
-    title = F.regexp_extract("s.open", r'(?i)data-title="([^"]+)"', 1)
-    secs = secs.select("doc_id", "sec_no", F.trim(title).alias("main"), balanced(F.col("s.body"), "figure|div", FIGURE).alias("b")).where(~F.lower("main").isin(skip))
-    figs = secs.select("doc_id", "sec_no", "main", F.posexplode(F.transform("b.out", lambda x: x["body"])).alias("fig", "block"))
-    label = F.regexp_extract("block", r'(?s)<(?:figcaption|b\b[^>]*class="[^"]*c-article-section__figure-caption[^"]*")[^>]*>(.*?)</(?:figcaption|b)>', 1)
-    figs = figs.select("doc_id", "sec_no", "main", "fig", F.when(F.length(label) > 0, T.clean_paragraph(label)).otherwise("Fig 说明").alias("fig_label"), F.posexplode(F.regexp_extract_all("block", F.lit(r"(?s)<p\b[^>]*>(.*?)</p>"), F.lit(1))).alias("at", "raw"))
-    figs = figs.select("doc_id", "sec_no", "main", (F.col("fig") * 10_000 + F.col("at") - 1_000_000_000).alias("at"), F.lit("p").alias("tag"), "raw", F.lit(True).alias("is_figure"), "fig_label")
-    token = r"(?s)<(h[3-4]|p)\b[^>]*>(.*?)</\1>"
-    flow = with_lists(balanced(F.col("b.rest"), "table", TABLE)["rest"])
-    zipped = F.arrays_zip(F.regexp_extract_all(flow, F.lit(token), F.lit(1)).alias("tag"), F.regexp_extract_all(flow, F.lit(token), F.lit(2)).alias("raw"))
-    body = secs.select("doc_id", "sec_no", "main", F.posexplode(zipped).alias("at", "t")).select("doc_id", "sec_no", "main", "at", "t.tag", "t.raw", F.lit(False).alias("is_figure"), F.lit("").alias("fig_label"))
-    rows = figs.unionByName(body).withColumn("text", F.when(F.col("tag") == "p", T.clean_paragraph(F.col("raw"), dialect)).otherwise(F.trim(T.unescape(F.regexp_replace("raw", "<[^>]+>", "")))))
-    rows = rows.where(F.when(F.col("tag") == "p", T.word_count(F.col("text")) >= 3).otherwise(F.length("text") > 0))
-    inside = Window.partitionBy("doc_id", "sec_no").orderBy("at")
-    head = F.when(F.col("tag") != "p", F.struct("at", "tag", "text"))
-    rows = rows.withColumn("head", F.last(head, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.where("tag = 'p'").withColumns({
-        "sec_heading": F.coalesce("head.text", "main"),
-        "sec_level": F.when(F.col("head").isNull(), 1).when(F.col("head.tag") == "h3", 2).otherwise(3),
-        "base_path": F.when(F.col("head").isNull(), T.slug(F.col("main"))).otherwise(F.concat(T.slug(F.col("main")), F.lit("/"), T.slug(F.col("head.text")))),
-        "head_at": F.coalesce("head.at", F.lit(-1)),
-    })
-    if dialect == "web":
-        place = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("sec_no", "head_at")) - 1
-        rows = rows.withColumn("sec_path", F.format_string("s%03d-%s", place, T.web_slug(F.col("sec_heading"))))
-    else:
-        rows = unique_paths(rows, ["doc_id"], "base_path", ["sec_no", "head_at"])
-    return with_ids(rows, ["sec_no", "at"], dialect).withColumn("src_text", F.col("text")).select(
-        "doc_id", "sid", F.col("sec_path"), "sec_heading", "sec_level", "index", "seg_pos", "src_text", T.word_count(F.col("text"), "html" if dialect == "html" else "web").alias("n_words"), "is_figure", "fig_label", F.sha1("text").alias("src_hash")
-    )
+    blocks = _blocks(markup.section_blocks, skip)(F.col("html"))
+    return _page_segments(pages, blocks, dialect, "Fig 说明", lambda t: T.word_count(t) >= 3)
+
+
+def browser_html(pages: DataFrame) -> DataFrame:
+    """Segments of `pages(doc_id, html)` as the browser makes them: the abstract, then sections of the article's container; boxes are marked.
+
+    Texts of under 15 characters without a full stop go, but count where their section is numbered."""
+    blocks = _blocks(markup.browser_blocks, WEB_SKIP_SECTIONS)(F.col("html"))
+    return _page_segments(pages, blocks, "web", "Fig", lambda t: F.length(t) > 0, lambda t: (F.length(t) >= 15) | t.endswith("."))
 
 
 def unique_paths(rows: DataFrame, scope: list[str], path: str, order: list[str]) -> DataFrame:

@@ -39,6 +39,57 @@ def values(rows: list[tuple], columns: str) -> str:
     return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(quote(v) for v in r) + ")" for r in rows) + f") AS t({columns}))"
 
 
+def _marked_up(spark: SparkSession, sf_dir: str, piece, head: str, tail: str) -> DataFrame:
+    """(doc_id, html): each page's flat paragraphs set again, each by piece(text as markup, its number from 0)."""
+    flat = S.flat_html(table(spark, sf_dir, "pages"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("seg_pos", "src_text"))), lambda x: x["src_text"])
+    escaped = lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.array_join(F.transform(texts, lambda t, i: piece(escaped(t), F.length(t), i)), "")
+    return flat.groupBy(F.col("page_id").alias("doc_id")).agg(F.concat(F.lit(head), body, F.lit(tail)).alias("html"))
+
+
+def _by(number, *pieces):
+    """The piece of a number; the last one for all others."""
+    out = F.concat(*pieces[-1])
+    for k, p in reversed(list(enumerate(pieces[:-1]))):
+        out = F.when(number == k, F.concat(*p)).otherwise(out)
+    return out
+
+
+def sectioned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with titled sections of six paragraphs: two plain ones, one under a sub-heading, a caption, one under a deeper heading, a table cell."""
+    c = F.lit
+
+    def piece(t, size, i):
+        opens = F.when(i % 6 == 0, F.concat(F.when(i > 0, "</section>").otherwise(""), c('<section class="x" data-title="Part '), (F.floor(i / 6) % 3).cast("string"), c('">'))).otherwise("")
+        p = (c("<p>"), t, c("</p>"))
+        own = _by(
+            i % 6, p, p, (c("<h3>Sub "), (size % 2).cast("string"), c("</h3>"), *p), (c("<figure><div><figcaption>Fig. "), i.cast("string"), c("</figcaption>"), *p, c("</div></figure>")),
+            (c("<h4>Deep</h4><div>"), *p, c("</div>")), (c("<table><tr><td>"), *p, c("</td></tr></table>")),
+        )
+        return F.concat(opens, own)
+
+    return _marked_up(spark, sf_dir, piece, "<html><body><article>", "</section></article></body></html>")
+
+
+def browser_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as journals serve them: an abstract, sections with headings, captions, boxes whose lists belong to the paragraph before them."""
+    c = F.lit
+
+    def piece(t, size, i):
+        k = F.floor(i / 5).cast("int")
+        head = F.when(k % 2 == 1, F.concat(c("<h3>Part <i>"), k.cast("string"), c("</i></h3>"))).otherwise(F.concat(c("<h2>Part "), k.cast("string"), c("</h2>")))
+        opens = F.when(i == 0, '<section data-title="Abstract">').when(i % 5 == 0, F.concat(c('</section><section data-title="T">'), head)).otherwise("")
+        own = _by(
+            i % 5, (c("<p>"), t, c("</p>")), (c("<figure><p>"), t, c("</p><figcaption>Fig <b>"), k.cast("string"), c("</b></figcaption></figure>")),
+            (c('<div class="c-article-box"><p>Criteria '), i.cast("string"), c(":</p><p> </p><ol><li>"), t, c("</li>")), (c("<li><p>"), t, c("</p></li>")),
+            (c('<li><span class="u-custom-list-number">x)</span>'), t, c("</li></ol></div>")),
+        )
+        return F.concat(opens, own)
+
+    return _marked_up(spark, sf_dir, piece, '<html><body><nav><p>Outside of the article, whatever it says.</p></nav><div class="a main-content">', "</section></div><p>Behind the article, too.</p></body></html>")
+
+
 SEGMENTS = """seg AS (SELECT doc_id, doc_id || '#body#' || printf('%02d', seg_pos) AS sid, seg_pos, src_text FROM (
     SELECT doc_id, src_text, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS seg_pos FROM (
         SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS src_text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)

@@ -506,6 +506,23 @@ def html_sections_web(spark: SparkSession, sf_dir: str) -> Frame:
     return S.section_html(pages, "web").select("doc_id", "sid", F.col("index").cast("int").alias("index"))
 
 
+def page_sections(spark: SparkSession, sf_dir: str) -> Frame:
+    """Segments of all pages, set in sections with sub-headings, captions and tables."""
+    got = S.section_html(B.sectioned_pages(spark, sf_dir))
+    return got.select("doc_id", "sid", "sec_heading", "sec_level", F.col("index").cast("int").alias("index"), F.col("seg_pos").cast("int").alias("seg_pos"), F.md5("src_text").alias("md5"), "n_words", "is_figure", "fig_label")
+
+
+def page_sections_browser(spark: SparkSession, sf_dir: str) -> Frame:
+    """Segments of all pages by the browser's rule: abstract, sections, captions, boxes with lists."""
+    got = S.browser_html(B.browser_pages(spark, sf_dir))
+    return got.select("doc_id", "sid", "sec_heading", "sec_level", F.col("index").cast("int").alias("index"), F.md5("src_text").alias("md5"), "n_words", "is_figure", "in_box", "fig_label")
+
+
+def page_health(spark: SparkSession, sf_dir: str) -> Frame:
+    """Cleanliness and warnings of all pages by their sections."""
+    return S.health(S.section_html(B.sectioned_pages(spark, sf_dir)))
+
+
 def html_entities(spark: SparkSession, sf_dir: str) -> Frame:
     return spark.createDataFrame([(i, t) for i, t, _ in B.ENTITIES], "id int, text string").select("id", T.unescape(F.col("text")).alias("text"))
 

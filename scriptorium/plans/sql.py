@@ -45,7 +45,32 @@ def sid3() -> str:
     return "doc_id || '#' || substr(src_text, 1, 3)"
 
 
+#: The segments of base.sectioned_pages().
+SECTIONED = f"""{FLAT}, r AS (SELECT page_id AS doc_id, seg_pos - 1 AS i, src_text, (seg_pos - 1) // 6 AS k, CASE (seg_pos - 1) % 6 WHEN 2 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS sub,
+        (seg_pos - 1) % 6 = 3 AS fig, n_words FROM flat WHERE (seg_pos - 1) % 6 <> 5),
+    h AS (SELECT *, CASE sub WHEN 1 THEN 'Sub ' || length(src_text) % 2 WHEN 2 THEN 'Deep' ELSE 'Part ' || k % 3 END AS heading,
+        'part-' || k % 3 || CASE sub WHEN 1 THEN '/sub-' || length(src_text) % 2 WHEN 2 THEN '/deep' ELSE '' END AS base FROM r),
+    x AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY k, sub) AS n FROM (SELECT DISTINCT doc_id, k, sub, base FROM h)),
+    z AS (SELECT h.*, CASE WHEN x.n > 1 THEN base || '-' || x.n ELSE base END AS path, CAST(row_number() OVER (PARTITION BY doc_id, k, sub ORDER BY NOT fig, i) AS INTEGER) AS idx,
+        CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, sub, NOT fig, i) AS INTEGER) AS seg_pos FROM h JOIN x USING (doc_id, k, sub, base))"""
+
+
 SQL = {
+    "page_sections": f"""WITH {SECTIONED} SELECT doc_id, doc_id || '#' || path || '#' || CASE WHEN fig THEN 'fig' ELSE '' END || printf('%02d', idx) AS sid, heading AS sec_heading, sub + 1 AS sec_level, idx AS index, seg_pos,
+        md5(src_text) AS md5, CAST(n_words AS INTEGER) AS n_words, fig AS is_figure, CASE WHEN fig THEN 'Fig. ' || i ELSE '' END AS fig_label FROM z""",
+    "page_sections_browser": f"""WITH {FLAT}, r AS (SELECT page_id AS doc_id, seg_pos - 1 AS i, src_text AS t, (seg_pos - 1) // 5 AS k, (seg_pos - 1) % 5 AS m,
+            lead(src_text) OVER w AS t1, lead(src_text, 2) OVER w AS t2 FROM flat WINDOW w AS (PARTITION BY page_id ORDER BY seg_pos)),
+        q AS (SELECT doc_id, i, k, m, CASE WHEN m = 2 AND k = 0 THEN 'Criteria 2:' WHEN m = 2 THEN 'Criteria ' || i || ': 1. ' || t || coalesce('; 2. ' || t1, '') || coalesce('; x). ' || t2, '') ELSE t END AS t FROM r
+              WHERE m <= 2 OR (m = 3 AND k = 0)),
+        z AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS p, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM q WHERE length(t) >= 15 OR suffix(t, '.'))
+        SELECT doc_id, doc_id || ':s' || printf('%03d', k) || CASE WHEN k = 0 THEN '-abstract' ELSE '-part-' || k END || ':p' || printf('%02d', p) AS sid, CASE WHEN k = 0 THEN 'Abstract' ELSE 'Part ' || k END AS sec_heading,
+               CASE WHEN k % 2 = 1 THEN 2 ELSE 1 END AS sec_level, CAST(pos AS INTEGER) AS index, md5(t) AS md5, CAST(len(regexp_extract_all(t, '[A-Za-z0-9\\-'']+')) AS INTEGER) AS n_words,
+               k > 0 AND m = 1 AS is_figure, k > 0 AND m = 2 AS in_box, CASE WHEN k > 0 AND m = 1 THEN 'Fig ' || k ELSE '' END AS fig_label FROM z""",
+    "page_health": f"""WITH {SECTIONED}, g AS (SELECT doc_id, count(*) AS segments, count(*) FILTER (WHERE regexp_matches(src_text, '^\\p{{Ll}}')) AS lower_starts,
+            count(*) FILTER (WHERE NOT regexp_matches(regexp_replace(src_text, '["’”)]+$', ''), '[.?!:]$')) AS open_ends, CAST(max(n_words) AS INTEGER) AS max_words,
+            count(DISTINCT heading) FILTER (WHERE sub = 0) AS heads FROM z GROUP BY 1)
+        SELECT doc_id, segments, lower_starts, open_ends, max_words, round(1 - (lower_starts + open_ends) / (2.0 * segments), 4) AS cleanliness,
+               concat_ws(',', CASE WHEN segments < 20 THEN 'few_segments' END, CASE WHEN max_words > 600 THEN 'long_segment' END, CASE WHEN heads < 3 THEN 'few_headings' END) AS warnings FROM g""",
     "html_flat_segments": f"WITH {FLAT} SELECT page_id, CAST(seg_pos AS INTEGER) AS seg_pos, src_text, CAST(n_words AS INTEGER) AS n_words, sha1(src_text) AS src_hash FROM flat",
     "html_title": """SELECT page_id, CASE WHEN length(trim(t)) > 0 THEN trim(replace(replace(t, '&quot;', '"'), '&amp;', '&')) ELSE CAST(page_id AS VARCHAR) END AS title
         FROM (SELECT page_id, string_split(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '|')[1] AS t FROM pages)""",

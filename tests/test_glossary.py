@@ -121,3 +121,35 @@ def test_tracks(spark, segs):
     assert [r["error"] for r in sc.orderBy("seg_pos").collect()] == [None, None, "no translation"]
     stats = C.run_stats(sc.join(tr.select("sid", "hit"), "sid")).first()
     assert (stats["total"], stats["failed"]) == (3, 1)
+
+
+
+@pytest.mark.parametrize("limit", [20_000, 2])
+def test_substrings_meet_by_runs_of_characters(spark, monkeypatch, limit):
+    """The same with few terms, broadcast, and many, met by narrow rows; no loop over pairs."""
+    monkeypatch.setattr(G, "BROADCAST_TERMS", limit)
+    terms = ["the", "a", "b c", "Über", "终于", "来", "xyzzy", "heth", "aaaa", "", "😀x"]
+    rows = [("1", 1, "The heath; aaaaa"), ("2", 2, "über b c"), ("2", 3, "终于来到"), ("3", 4, ""), ("4", 5, "😀😀x the THE"), ("4", 5, "😀😀x the THE"), ("5", 6, "a.b c")]
+    table = spark.createDataFrame([*rows, ("6", 7, None)], "sid string, seg_pos int, src_text string")
+    got = G.web_hits(table, G.terms_frame(spark, [{"term": t, "zh": "z"} for t in terms]))
+    want = sorted((s, t) for s, _, x in rows for t in terms if t and t.lower() in x.lower())
+    assert sorted((r.sid, r.term) for r in got.collect()) == want
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    zh = G.density(table.withColumnRenamed("src_text", "zh"), G.terms_frame(spark, [{"term": t, "zh": t} for t in terms]), 20)
+    assert {(r.term, r.n) for r in zh.collect()} == {(t, n) for t in terms if t and (n := sum((x or "").count(t) for _, _, x in rows))}
+    assert "NestedLoop" not in zh._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hundred_thousand_terms(spark):
+    """Terms beyond what is broadcast: substrings and patterns equal a look-up of each word."""
+    n = 100_000
+    terms = spark.range(n).selectExpr(
+        "cast(id as int) as ord", "concat('w', lower(conv(id, 10, 26)), 'q') as term", "'z' as zh", "'hard_replace' as mode", "'' as note", "cast(array() as array<string>) as aliases",
+        "cast(null as string) as pattern", "true as prefix_variants", "'suggested' as status", "'global' as scope", "'' as full_en",
+    ).withColumn("term", F.translate("term", "0123456789", "qrstuvwxyz"))
+    words = [r.term for r in terms.where("ord % 1000 = 7").collect()]
+    rows = spark.createDataFrame([(str(i), i, f"x {w} y" if i % 2 else f"x{w}y") for i, w in enumerate(words)], "sid string, seg_pos int, src_text string")
+    known = {r.term for r in terms.select("term").collect()}
+    want = {(r.sid, r.src_text[a:z]) for r in rows.collect() for a in range(len(r.src_text)) for z in range(a + 1, len(r.src_text) + 1) if r.src_text[a:z] in known}
+    assert {(r.sid, r.term) for r in G.web_hits(rows, terms).collect()} == want
+    assert {(r.sid, r.term) for r in G.hits(rows, terms).collect()} >= {(str(i), w) for i, w in enumerate(words) if i % 2}
