@@ -21,6 +21,7 @@ the smallest client; of rows that repeat an item's, vendor's or client's id the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -129,7 +130,7 @@ def lines_of(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: Data
     for level, rows in (("item", own), ("vendor", own), ("client", when)):
         c, up = COLUMN[level], LEVELS[level]
         count = stage(rows.groupBy(c).agg(F.count("*").alias("count")), "encoding-counts")
-        hot_ids[level] = above(count, [c], "count")
+        hot_ids[level] = stage(above(count, [c], "count"), "encoding-hot")
         levels_hot.append(hot_ids[level].select(place(level, c).alias("p")).select("p.*"))
         over = count.join(tables[level].hint("merge"), c, "left").groupBy(COLUMN[up]).agg(F.sum("count").alias("count"))
         levels_hot.append(above(over, [COLUMN[up]], "count").select(place(up, COLUMN[up]).alias("p")).select("p.*"))
@@ -141,10 +142,7 @@ def lines_of(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: Data
     rows = met(rows, tables["vendor"], ["vendor_id"], ["sale_id", "item_id"], hot_ids["vendor"])
     rows = met(rows, when, ["sale_id"], ["item_id", "vendor_id"], hot_sales, "inner")
     out = stage(rows.withColumns({"fold": fold_of(F.col("sale_id")), "row": F.monotonically_increasing_id()}), "encoding-rows")
-    every = levels_hot[0]
-    for h in levels_hot[1:]:
-        every = every.unionByName(h)
-    every = stage(every, "encoding-hot")
+    every = stage(reduce(DataFrame.unionByName, levels_hot), "encoding-hot")
     dropped(own)
     return out, every, hot_sales
 
@@ -163,9 +161,14 @@ def unpivoted(rows: DataFrame, hot_keys: DataFrame) -> DataFrame:
     return long.withColumn("span", F.when(F.col("hot"), F.col("span")).otherwise(-1))
 
 
-def openings(long: DataFrame, folds: int) -> DataFrame:
-    """Counts by fold with which each span of a hot key opens: at most SHARE spans a key."""
-    cells = long.where("hot").groupBy("level", "key", "span", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+def openings(rows: DataFrame, hot_keys: DataFrame, folds: int) -> DataFrame:
+    """Counts by fold with which each span of a hot key opens: at most SHARE spans a key. Each level is one narrow scan: rows of other keys go first."""
+    hot_keys, parts = F.broadcast(hot_keys), []
+    for x in LEVELS:
+        own = rows.select(place(x, COLUMN.get(x)).alias("p"), "span", "fold", "n_lines", "n_returned")
+        parts.append(own.select("p.*", "span", "fold", "n_lines", "n_returned").join(hot_keys, ["level", "key"], "left_semi"))
+    cells = reduce(DataFrame.unionByName, parts).groupBy("level", "key", "span", "fold").agg(F.sum("n_lines").alias("n"), F.sum("n_returned").alias("s"))
+    cells = stage(cells, "encoding-cells")
     each = cells.select("level", "key", "span").distinct().withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     cells = each.join(cells.hint("merge"), ["level", "key", "span", "fold"], "left")
     before = Window.partitionBy("level", "key", "fold").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
@@ -244,7 +247,7 @@ def histories(rows: DataFrame, hot_keys: DataFrame, folds: int = FOLDS) -> DataF
     alone = unpivoted(rows.join(times, "ts", "left_anti"), hot_keys).withColumn("m", F.lit(ASKS).cast("long"))
     many = unpivoted(rows.join(times, "ts", "left_semi"), hot_keys)
     one = many.groupBy(*asked, "span").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("m")).withColumn("row", F.lit(0).cast("long"))
-    opens = openings(unpivoted(rows, hot_keys), folds)
+    opens = openings(rows, hot_keys, folds)
     columns = [*asked, "span", "n", "s", "row", "m"]
     answers = answered(alone.select(*columns).unionByName(one.select(*columns)).unionByName(opens.select(*columns)), folds)
     known = answers.where(F.col("m") > 0).select(*asked, "n", "s", "m")
