@@ -16,8 +16,8 @@ that no link which joins two components is lost.
 The texts meet the ids of the sets that are to be verified once, by the same plan at every size.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. Repeated rows of an
-id are one text each. Rows without an id have the class of their text. Extra columns are ignored. An empty
-table gives an empty result.
+id are one text each. Rows without an id link as others do and have the class of their text; a class that only
+they hold has none. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -338,8 +338,12 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         comp = rep.select("fp", F.col("rep").alias("component_id"))
     else:
         reps = stage(rep, "jaccard-reps")
-        drawn = prof.join(reps.join(met.select("fp").distinct(), "fp").select(F.col("rep").alias("doc_id"), F.col("fp").alias("of")), "doc_id")
-        known = stage(drawn.where("fp = of").select("fp", "doc_id", "n", "sketch").dropDuplicates(["fp"]), "jaccard-sketches")
+        asked = reps.join(met.select("fp").distinct(), "fp")
+        drawn = prof.join(asked.where("rep is not null").select(F.col("rep").alias("doc_id"), F.col("fp").alias("of")), "doc_id").where("fp = of")
+        # Sets that only rows without an id hold are known by their fingerprint.
+        nameless = asked.where("rep is null").select("fp")
+        drawn = drawn.select("fp", "doc_id", "n", "sketch").unionByName(prof.where("doc_id is null").join(nameless.hint("merge"), "fp", "left_semi").select("fp", "doc_id", "n", "sketch"))
+        known = stage(drawn.dropDuplicates(["fp"]), "jaccard-sketches")
 
         def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
@@ -348,8 +352,12 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     yield pd.DataFrame({"fp": [fingerprint(s)], "n": [len(s)], "items": [s.tobytes()]})
 
         # Merged at every size: small tables of ids would else be broadcast, and costs jump where they stop being small.
-        drawn = docs.join(known.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-        sets = stage(drawn.mapInPandas(of, "fp long, n long, items binary"), "jaccard-sets")
+        drawn = docs.join(known.select("doc_id").where("doc_id is not null").distinct().hint("merge"), "doc_id", "left_semi")
+        sets = drawn.mapInPandas(of, "fp long, n long, items binary")
+        if not nameless.isEmpty():
+            more = docs.where("doc_id is null and length(text) > 0").mapInPandas(of, "fp long, n long, items binary").where("n > 0")
+            sets = sets.unionByName(more.join(nameless.hint("merge"), "fp", "left_semi").dropDuplicates(["fp"]))
+        sets = stage(sets, "jaccard-sets")
         # First each set against its buckets' pivots: that joins most of what belongs together.
         first = met.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
         first = stage(hopeful(first, known, percent), "jaccard-first")

@@ -70,6 +70,25 @@ def test_jaccard_classes_equal_brute_force(spark, n, percent, seed):
     assert {tuple(x) for x in got.collect()} == brute_classes(rows, n, percent)
 
 
+def test_rows_without_an_id_link_as_others_do(spark):
+    r, words = random.Random(77), vocabulary(77)
+    a = [r.choice(words) for _ in range(60)]
+    chain = [" ".join(a), " ".join(a[:-4] + ["p", "q", "r", "s"]), " ".join(["k", "l", "m", "n"] + a[4:-4] + ["p", "q", "r", "s"])]
+    lone = [text_of(words, 50, r) for _ in range(3)]
+    near = [t + " more" for t in lone]
+    rows = [(1, chain[0]), (None, chain[1]), (3, chain[2]), (None, chain[1]), (None, lone[0]), (None, near[0]), (9, lone[1]), (None, near[1]), (9, near[1]), (None, ""), (None, None), (8, lone[2])]
+    for percent in (80, 85):
+        named = [(k if d is None else d, t) for k, (d, t) in enumerate(rows, 100)]
+        want = {n: c for n, _, c in brute_classes([(k, t) for k, (_, t) in enumerate(rows)], 5, percent)}
+        classes = {}
+        for k, c in want.items():
+            classes.setdefault(c, []).append(rows[k][0])
+        least = {c: min((d for d in ids if d is not None), default=None) for c, ids in classes.items()}
+        got = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, percent)
+        assert sorted(((x.doc_id, x.component_id) for x in got.collect()), key=str) == sorted(((d, least[want[k]]) for k, (d, _) in enumerate(rows)), key=str)
+        assert len(named) == len(rows)
+
+
 def test_keep_one_judges_rows_not_ids(spark):
     r, words = random.Random(51), vocabulary(51)
     a, b, c = (text_of(words, 40, r) for _ in range(3))
