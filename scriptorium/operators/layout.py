@@ -253,6 +253,18 @@ def segment_lines(lines: DataFrame, rects: DataFrame, page_width: DataFrame) ->
     return paragraphs(reading_order(classify(marked, layout(marked, page_width))))
 
 
+def classified(spans: DataFrame, drawings: DataFrame, images: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines with kind and pos, layouts) of an extractor's spans, drawings, images and pages(doc_id, page, width)."""
+    lines = in_rects(gather(spans), region_rects(drawings, images))
+    how = layout(lines, page_widths(pages))
+    return reading_order(classify(lines, how)), how
+
+
+def segment_spans(spans: DataFrame, drawings: DataFrame, images: DataFrame, pages: DataFrame) -> DataFrame:
+    """The whole way from an extractor's spans to segments."""
+    return paragraphs(classified(spans, drawings, images, pages)[0])
+
+
 def inspect(lines: DataFrame, page: int | None = None, kinds: list[str] | None = None, col: int | None = None, grep: str | None = None) -> DataFrame:
     """Classified lines by page, kind, column and pattern."""
     out = lines

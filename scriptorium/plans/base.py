@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators import glossary as G
@@ -90,6 +90,57 @@ def browser_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked_up(spark, sf_dir, piece, '<html><body><nav><p>Outside of the article, whatever it says.</p></nav><div class="a main-content">', "</section></div><p>Behind the article, too.</p></body></html>")
 
 
+#: Words of a typeset line, lines of a column, and the width of a page.
+LINE_WORDS, COLUMN_LINES, PAGE_WIDTH = 8, 20, 600.0
+
+
+def typeset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(spans, drawings, images, pages): every document set in two columns, as an extractor would give it.
+
+    A document's lines of up to three words are headings, every sixth from the third is a caption, every fifth has a bold
+    lead; all others are indented paragraphs. Superscripts, turned text, running heads and feet are added."""
+    words = F.filter(F.split("src_text", " "), lambda w: F.length(w) > 0)
+    rows = segments(spark, sf_dir).select("doc_id", "seg_pos", words.alias("w")).where("size(w) > 0")
+    n = F.col("seg_pos")
+    kind = F.when(F.size("w") <= 3, "head").when(n % 6 == 3, "caption").when(n % 5 == 0, "lead").otherwise("text")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / LINE_WORDS)), lambda k: F.array_join(F.slice("w", (k * LINE_WORDS + 1).cast("int"), LINE_WORDS), " "))
+    cut = F.when(kind == "head", F.array(F.concat(F.lit("Part "), (n % 4).cast("string")))).otherwise(cut)
+    rows = rows.select("doc_id", "seg_pos", kind.alias("kind"), F.posexplode(cut).alias("k", "t"))
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("seg_pos", "k")) - 1
+    rows = rows.withColumn("at", at).withColumns({"page": (F.floor(F.col("at") / (2 * COLUMN_LINES)) + 1).cast("int"), "side": F.floor(F.col("at") / COLUMN_LINES) % 2})
+    first, head = F.col("k") == 0, F.col("kind") == "head"
+    x0 = F.when(F.col("side") == 1, 320.0).otherwise(40.0) + F.when(first & ~head, 10.0).otherwise(0.0)
+    t = F.when(first & (F.col("kind") == "caption"), F.concat(F.lit("Fig. "), n.cast("string"), F.lit(" | "), "t")).otherwise(F.col("t"))
+    lead = F.when(n % 10 == 0, "Note ").otherwise(F.concat(F.lit("Note "), (n % 3).cast("string"), F.lit(" of ")))
+    leads = first & (F.col("kind") == "lead")
+    x1 = x0 + 4.0 * (F.length(t) + F.when(leads, F.length(lead)).otherwise(0))
+
+    def span(seq, text, size, flags, font, dir_x=1.0, dir_y=0.0):
+        c = [F.lit(seq).alias("seq"), text.alias("text"), F.lit(size).cast("double").alias("size"), F.lit(flags).alias("flags"), F.lit(font).alias("font"), F.lit(dir_x).alias("dir_x"), F.lit(dir_y).alias("dir_y")]
+        return F.struct(*c)
+
+    own = (
+        F.when(head, F.array(span(0, t, 12.0, 16, "Serif-Bold")))
+        .when(F.col("kind") == "caption", F.array(span(0, t, 9.0, 0, "Sans")))
+        .when(leads, F.array(span(0, lead, 9.0, 16, "Serif-Bold"), span(1, t, 9.0, 0, "Serif-Roman")))
+        .otherwise(F.array(span(0, t, 9.0, 0, "Serif-Roman")))
+    )
+    more = F.when(F.col("at") % 7 == 0, F.array(span(2, F.lit("12"), 6.0, 1, "Serif-Roman"), span(3, F.lit("  "), 9.0, 0, "Serif-Roman"))).otherwise(F.array().cast("array<struct<seq:int,text:string,size:double,flags:int,font:string,dir_x:double,dir_y:double>>"))
+    y0 = 60.0 + 10.0 * (F.col("at") % COLUMN_LINES)
+    spans = rows.select("doc_id", "page", F.col("at").alias("line"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), F.inline(F.concat(own, more)))
+    pages = rows.select("doc_id", "page").distinct()
+    odd = F.array(
+        F.struct(F.lit(-1).alias("line"), F.lit("Review article").alias("text"), F.lit(40.0).alias("y0"), F.lit(1.0).alias("dir_x")), F.struct(F.lit(-2).alias("line"), F.lit("https://doi.org/10.1").alias("text"), F.lit(760.0).alias("y0"), F.lit(1.0).alias("dir_x")),
+        F.struct(F.lit(-3).alias("line"), F.lit("turned text in the margin").alias("text"), F.lit(400.0).alias("y0"), F.lit(0.0).alias("dir_x")),
+    )
+    extra = pages.select("doc_id", "page", F.inline(odd)).withColumns({"x0": F.lit(10.0), "x1": F.lit(30.0), "seq": F.lit(0), "size": F.lit(9.0), "flags": F.lit(0), "font": F.lit("Serif-Roman"), "dir_y": 1.0 - F.col("dir_x")})
+    boxes = lambda *r: F.inline(F.array(*[F.struct(*[F.lit(float(v)).alias(c) for v, c in zip(x, ("x0", "y0", "x1", "y1"), strict=True)]) for x in r]))
+    sized = pages.where("page % 2 = 0").withColumns({"page_w": F.lit(PAGE_WIDTH), "page_h": F.lit(800.0)})
+    drawings = sized.select("doc_id", "page", "page_w", "page_h", boxes((0, 0, 600, 800), (310, 50, 610, 150), (40, 60, 60, 70)))
+    images = sized.select("doc_id", "page", "page_w", "page_h", boxes((30, 200, 330, 300), (40, 100, 45, 105)))
+    return spans.unionByName(extra), drawings, images, pages.withColumn("width", F.lit(PAGE_WIDTH))
+
+
 SEGMENTS = """seg AS (SELECT doc_id, doc_id || '#body#' || printf('%02d', seg_pos) AS sid, seg_pos, src_text FROM (
     SELECT doc_id, src_text, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS seg_pos FROM (
         SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS src_text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)

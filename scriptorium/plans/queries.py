@@ -550,6 +550,24 @@ def line_title(spark: SparkSession, sf_dir: str) -> Frame:
     return L.title(L.reading_order(L.classify(L.in_rects(lines, rects), L.layout(lines, width))))
 
 
+def typeset_layout(spark: SparkSession, sf_dir: str) -> Frame:
+    """Body size and font, columns and their left edges of all documents, typeset."""
+    _, got = L.classified(*B.typeset(spark, sf_dir))
+    return got.select("doc_id", "body_size", "body_font", F.col("n_columns").cast("int").alias("n_columns"), F.round("split_x", 4).alias("split_x"), F.array_join(F.transform("bases", lambda b: F.round(b, 2).cast("string")), ",").alias("bases"))
+
+
+def typeset_kinds(spark: SparkSession, sf_dir: str) -> Frame:
+    """Kinds of all typeset lines: headings, run-in headings, captions and their continuations, boxed regions, junk."""
+    got, _ = L.classified(*B.typeset(spark, sf_dir))
+    return got.select("doc_id", "page", "y0", "x0", "kind", F.col("pos").cast("int").alias("pos"), F.coalesce("runin_head", F.lit("")).alias("runin_head"))
+
+
+def typeset_segments(spark: SparkSession, sf_dir: str) -> Frame:
+    """Segments of all typeset documents."""
+    got = L.segment_spans(*B.typeset(spark, sf_dir))
+    return got.select("doc_id", "sid", "sec_heading", "sec_level", F.col("page").cast("int").alias("page"), F.md5("src_text").alias("md5"), "n_words", "indented", F.col("col").cast("int").alias("col"))
+
+
 def chat_models(spark: SparkSession, sf_dir: str) -> Frame:
     return R.models(spark.createDataFrame([(m,) for m in B.MODELS], "name string"))
 

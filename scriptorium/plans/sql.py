@@ -55,7 +55,63 @@ SECTIONED = f"""{FLAT}, r AS (SELECT page_id AS doc_id, seg_pos - 1 AS i, src_te
         CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, sub, NOT fig, i) AS INTEGER) AS seg_pos FROM h JOIN x USING (doc_id, k, sub, base))"""
 
 
+#: The lines of base.typeset() as an extractor's reader keeps them, their layout, kinds and places.
+TYPESET = rf"""{SEG}, ty AS (SELECT doc_id, seg_pos AS n, list_filter(string_split(src_text, ' '), lambda x: length(x) > 0) AS w FROM seg),
+    tk AS (SELECT doc_id, n, w, CASE WHEN len(w) <= 3 THEN 'head' WHEN n % 6 = 3 THEN 'caption' WHEN n % 5 = 0 THEN 'lead' ELSE 'text' END AS set_as FROM ty WHERE len(w) > 0),
+    tl AS (SELECT doc_id, n, set_as, k, CASE WHEN set_as = 'head' THEN 'Part ' || n % 4 ELSE array_to_string(w[k * {B.LINE_WORDS} + 1 : k * {B.LINE_WORDS} + {B.LINE_WORDS}], ' ') END AS t
+           FROM (SELECT *, unnest(range(0, CASE WHEN set_as = 'head' THEN 1 ELSE (len(w) - 1) // {B.LINE_WORDS} + 1 END)) AS k FROM tk)),
+    ta AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1 AS ln, k = 0 AND set_as = 'lead' AS leads, CASE WHEN n % 10 = 0 THEN 'Note ' ELSE 'Note ' || n % 3 || ' of ' END AS lead FROM tl),
+    tx AS (SELECT doc_id, n, ln, leads, set_as, CAST(ln // {2 * B.COLUMN_LINES} + 1 AS INTEGER) AS page, 60.0 + 10.0 * (ln % {B.COLUMN_LINES}) AS y0,
+                  CASE WHEN (ln // {B.COLUMN_LINES}) % 2 = 1 THEN 320.0 ELSE 40.0 END + CASE WHEN k = 0 AND set_as <> 'head' THEN 10.0 ELSE 0.0 END AS x0,
+                  CASE WHEN k = 0 AND set_as = 'caption' THEN 'Fig. ' || n || ' | ' || t ELSE t END AS rest, CASE WHEN leads THEN lead ELSE '' END AS lead,
+                  CASE WHEN set_as = 'head' THEN 12.0 ELSE 9.0 END AS sz, CASE WHEN set_as = 'caption' THEN 'Sans' ELSE 'Serif' END AS font, set_as = 'head' OR leads AS bold FROM ta),
+    li AS (SELECT *, CAST(x0 + 4.0 * (length(rest) + length(lead)) AS DOUBLE) AS x1, lead || rest AS txt FROM tx),
+    bs AS (SELECT doc_id, CASE WHEN coalesce(sum(length(txt)) FILTER (WHERE sz = 12), 0) >= 0.15 * sum(length(txt) * CASE WHEN leads THEN 2 ELSE 1 END) THEN 12.0 ELSE 9.0 END AS bs FROM li GROUP BY 1),
+    bf AS (SELECT doc_id, min_by(font, struct_pack(a := -c, b := font)) AS body_font FROM (SELECT doc_id, font, sum(length(txt)) AS c FROM li JOIN bs USING (doc_id) WHERE abs(sz - bs) <= 0.7 GROUP BY ALL) GROUP BY 1),
+    pr AS (SELECT li.doc_id, x0 FROM li JOIN bs USING (doc_id) JOIN bf USING (doc_id) WHERE length(txt) >= 50 AND abs(sz - bs) <= 0.35 AND font = body_font),
+    hi AS (SELECT *, sum(c) OVER (PARTITION BY doc_id) AS total FROM (SELECT doc_id, floor(floor(x0) / 5) * 5 AS b, count(*) AS c FROM pr GROUP BY ALL)),
+    ce AS (SELECT doc_id, list(centre ORDER BY centre) AS centres FROM (SELECT doc_id, b > 200 AS side, sum(b * c) / sum(c) AS centre FROM hi WHERE c >= greatest(2.0, total * 0.08) GROUP BY ALL) GROUP BY 1),
+    lc AS (SELECT bs.doc_id, bs.bs, body_font, centres, CASE WHEN len(centres) = 2 THEN 2 ELSE 1 END AS n_columns, CASE WHEN len(centres) = 2 THEN (centres[1] + centres[2]) / 2 ELSE {B.PAGE_WIDTH} END AS split_x
+           FROM bs JOIN bf USING (doc_id) LEFT JOIN ce USING (doc_id)),
+    ba AS (SELECT doc_id, c, s[CAST(floor(len(s) * 0.05) AS INTEGER) + 1] AS base FROM (SELECT doc_id, CASE WHEN n_columns < 2 OR x0 < split_x THEN 0 ELSE 1 END AS c, list_sort(list(x0)) AS s FROM pr JOIN lc USING (doc_id) GROUP BY ALL)),
+    lay AS (SELECT lc.*, coalesce(b0.base, centres[1], 40.0) AS base0, coalesce(b1.base, centres[2], 40.0) AS base1 FROM lc LEFT JOIN ba b0 ON b0.doc_id = lc.doc_id AND b0.c = 0 LEFT JOIN ba b1 ON b1.doc_id = lc.doc_id AND b1.c = 1),
+    cl AS (SELECT li.*, lay.* EXCLUDE (doc_id), CASE WHEN n_columns < 2 OR x0 < split_x THEN 0 ELSE 1 END AS col FROM li JOIN lay USING (doc_id)),
+    cx AS (SELECT *, CASE WHEN col = 1 AND n_columns = 2 THEN base1 ELSE base0 END AS base, font = body_font AS same_font,
+                  page % 2 = 0 AND (((x0 + x1) / 2 BETWEEN 308 AND 612 AND y0 BETWEEN 48 AND 152) OR ((x0 + x1) / 2 BETWEEN 28 AND 332 AND y0 BETWEEN 198 AND 302)) AS in_rect FROM cl),
+    ce2 AS (SELECT *, CASE WHEN in_rect AND NOT same_font THEN 'region' WHEN len(regexp_extract_all(txt, '[A-Za-z]')) <= 2 THEN 'junk'
+                   WHEN regexp_matches(txt, '(?i)^(Fig\.|Figure|Table|Box|Extended Data)\s*[0-9]') THEN 'figure' END AS early,
+                   CASE WHEN leads AND sz BETWEEN bs - 0.2 AND bs + 1.5 AND length(trim(lead)) >= 8 THEN 'runin' WHEN bold AND sz > bs * 1.25 AND abs(x0 - base) <= 3 THEN 'h1'
+                   WHEN bold AND sz > bs AND sz <= bs * 1.25 AND abs(x0 - base) <= 3 AND length(txt) >= 4 THEN 'h2' WHEN abs(sz - bs) <= 0.7 AND NOT bold AND same_font THEN 'body' WHEN sz < bs - 0.7 THEN 'figure' ELSE 'other' END AS late FROM cx),
+    rn AS (SELECT *, sum(breaks) OVER (PARTITION BY doc_id, page, col ORDER BY y0, x0 ROWS UNBOUNDED PRECEDING) AS run FROM (
+           SELECT *, CASE WHEN early IS NULL AND abs(sz - lag(sz) OVER p) <= 0.2 AND font = lag(font) OVER p THEN 0 ELSE 1 END AS breaks FROM ce2 WINDOW p AS (PARTITION BY doc_id, page, col ORDER BY y0, x0))),
+    kd AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, col, y0, x0) AS pos, CASE WHEN early IS NULL AND coalesce(max(CASE WHEN coalesce(early, late) = 'figure' THEN 1 END)
+           OVER (PARTITION BY doc_id, page, col, run ORDER BY y0, x0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'figure' ELSE coalesce(early, late) END AS kind FROM rn)"""
+
+
 SQL = {
+    "typeset_layout": f"""WITH {TYPESET} SELECT doc_id, CAST(bs AS DOUBLE) AS body_size, body_font, n_columns, CAST(round(split_x, 4) AS DOUBLE) AS split_x,
+        CAST(round(CAST(base0 AS DOUBLE), 2) AS VARCHAR) || CASE WHEN n_columns = 2 THEN ',' || CAST(round(CAST(base1 AS DOUBLE), 2) AS VARCHAR) ELSE '' END AS bases FROM lay""",
+    "typeset_kinds": f"""WITH {TYPESET} SELECT doc_id, page, CAST(y0 AS DOUBLE) AS y0, CAST(x0 AS DOUBLE) AS x0, kind, CAST(pos AS INTEGER) AS pos, CASE WHEN kind = 'runin' THEN trim(lead) ELSE '' END AS runin_head FROM kd""",
+    "typeset_segments": rf"""WITH {TYPESET}, ed AS (SELECT doc_id, pos, s[CAST(floor(len(s) * 0.85) AS INTEGER) + 1] AS edge FROM (SELECT doc_id, pos, list_sort([o.x1 FOR o IN near IF o.page = p2 AND o.col = c2]) AS s FROM (
+            SELECT doc_id, pos, page AS p2, col AS c2, list(struct_pack(page := page, col := col, x1 := x1)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM kd WHERE kind IN ('body', 'runin')))
+            WHERE len(s) >= 5),
+        rw AS (SELECT kd.*, edge, CASE WHEN kind = 'runin' THEN trim(rest) ELSE txt END AS body FROM kd LEFT JOIN ed USING (doc_id, pos) WHERE kind IN ('h1', 'h2', 'runin', 'body')),
+        op AS (SELECT *, kind <> 'body' OR row_number() OVER (PARTITION BY doc_id ORDER BY pos) = 1 AS opens, CASE kind WHEN 'h2' THEN 2 WHEN 'runin' THEN 3 ELSE 1 END AS lv,
+               CASE kind WHEN 'body' THEN '(前置)' WHEN 'runin' THEN trim(lead) ELSE txt END AS hd FROM rw),
+        sc AS (SELECT *, CASE hd WHEN '(前置)' THEN 'u524du7f6e' ELSE lower(replace(hd, ' ', '-')) END AS slug, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sec_no FROM op),
+        hs AS (SELECT doc_id, sec_no, lv, hd, slug, last_value(CASE WHEN lv = 1 THEN slug END IGNORE NULLS) OVER w AS s1, CASE WHEN lv > 1 THEN last_value(CASE WHEN lv <= 2 THEN CASE WHEN lv = 2 THEN slug ELSE '' END END IGNORE NULLS) OVER w END AS s2
+               FROM sc WHERE opens WINDOW w AS (PARTITION BY doc_id ORDER BY sec_no ROWS UNBOUNDED PRECEDING)),
+        pa AS (SELECT *, concat_ws('/', s1, nullif(s2, ''), CASE WHEN lv = 3 THEN slug END) AS base_path FROM hs),
+        fl AS (SELECT doc_id, sec_no, pos, page, col, body, x0 - base >= 8 AS indented, CASE WHEN lag(pos) OVER w IS NULL THEN true ELSE (NOT coalesce(lag(edge) OVER w - lag(x1) OVER w <= 12, false) OR x0 - base >= 8)
+               AND NOT (regexp_matches(body, '^[a-z]') AND NOT regexp_matches(regexp_replace(lag(body) OVER w, '["”’)]+$', ''), '[.?!:]$')) END AS starts FROM sc WHERE kind NOT IN ('h1', 'h2') WINDOW w AS (PARTITION BY doc_id, sec_no ORDER BY pos)),
+        pg AS (SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY doc_id, sec_no ORDER BY pos ROWS UNBOUNDED PRECEDING) AS para FROM fl),
+        sg AS (SELECT doc_id, sec_no, para, trim(regexp_replace(replace(regexp_replace(string_agg(trim(body), chr(10) ORDER BY pos), '([^-])-
+', '', 'g'), chr(10), ' '), '\s+', ' ', 'g')) AS t, min_by(indented, pos) AS indented, min_by(col, pos) AS col, min_by(page, pos) + 1 AS page
+               FROM pg GROUP BY 1, 2, 3),
+        ok AS (SELECT sg.*, lv, hd, base_path FROM sg JOIN pa USING (doc_id, sec_no) WHERE len(regexp_extract_all(t, '\S+')) >= 3),
+        un AS (SELECT *, CASE WHEN k > 1 THEN base_path || '-' || k ELSE base_path END AS path FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id, base_path ORDER BY sec_no) AS k FROM ok))
+        SELECT doc_id, doc_id || '#' || path || '#' || printf('%02d', row_number() OVER (PARTITION BY doc_id, path ORDER BY sec_no, para)) AS sid, hd AS sec_heading, lv AS sec_level, page, md5(t) AS md5,
+               CAST(len(regexp_extract_all(t, '[A-Za-z][A-Za-z''\-]*')) AS INTEGER) AS n_words, indented, col FROM un""",
     "page_sections": f"""WITH {SECTIONED} SELECT doc_id, doc_id || '#' || path || '#' || CASE WHEN fig THEN 'fig' ELSE '' END || printf('%02d', idx) AS sid, heading AS sec_heading, sub + 1 AS sec_level, idx AS index, seg_pos,
         md5(src_text) AS md5, CAST(n_words AS INTEGER) AS n_words, fig AS is_figure, CASE WHEN fig THEN 'Fig. ' || i ELSE '' END AS fig_label FROM z""",
     "page_sections_browser": f"""WITH {FLAT}, r AS (SELECT page_id AS doc_id, seg_pos - 1 AS i, src_text AS t, (seg_pos - 1) // 5 AS k, (seg_pos - 1) % 5 AS m,
