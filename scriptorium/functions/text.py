@@ -130,7 +130,8 @@ def unescape(text: Column) -> Column:
         return F.when(e.rlike("^&#"), F.when(known, char).otherwise("�")).otherwise(F.coalesce(F.try_element_at(named, e), e))
 
     found = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), one)
-    pieces = F.transform(F.split(text, ENTITY, -1), lambda g, i: F.concat(g, F.coalesce(F.get(found, i), F.lit(""))))
+    # Zipped, not looked up: what a lambda names is worked out again for each element.
+    pieces = F.zip_with(F.split(text, ENTITY, -1), found, lambda g, e: F.concat(g, F.coalesce(e, F.lit(""))))
     return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 

@@ -62,12 +62,14 @@ def _blocks(read: Callable[[str | None, frozenset[str]], list[tuple]], skip: lis
     return of
 
 
-def _sections(blocks: str) -> Column:
-    """struct(at, n, place) of each run of blocks under one heading: its first block, how many there are, its own number."""
-    b = F.col(blocks)
-    every = F.when(F.size(b) > 0, F.sequence(F.lit(0), F.size(b) - 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(every, lambda i: (i == 0) | (F.get(b, i)["sec"] != F.get(b, F.greatest(i - 1, F.lit(0)))["sec"]))
-    return F.transform(starts, lambda at, j: F.struct(at.alias("at"), (F.coalesce(F.get(starts, j + 1), F.size(b)) - at).alias("n"), j.alias("place")))
+def _sections(rows: DataFrame) -> DataFrame:
+    """With `s`: struct(at, n, place) of each run of the blocks `b` under one heading: its first block, how many there are, its own number.
+
+    Step by step, for what a lambda names is worked out again for each element."""
+    every = F.when(F.size("b") > 0, F.sequence(F.lit(0), F.size("b") - 1)).otherwise(F.array().cast("array<int>"))
+    new = lambda i: (i == 0) | (F.get("b", i)["sec"] != F.get("b", F.greatest(i - 1, F.lit(0)))["sec"])
+    rows = rows.withColumn("starts", F.filter(every, new))
+    return rows.withColumn("s", F.transform("starts", lambda at, j: F.struct(at.alias("at"), (F.coalesce(F.get("starts", j + 1), F.size("b")) - at).alias("n"), j.alias("place"))))
 
 
 def _page_segments(pages: DataFrame, blocks: Column, dialect: str, labelled: str, first: Callable[[Column], Column], then: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -86,7 +88,7 @@ def _page_segments(pages: DataFrame, blocks: Column, dialect: str, labelled: str
         return F.struct(b["main"].alias("main"), b["heading"].alias("heading"), b["level"].alias("level"), b["sec"].alias("sec"), b["is_figure"].alias("is_figure"), b["in_box"].alias("in_box"), label.alias("fig_label"), T.clean_paragraph(raw, dialect).alias("text"))
 
     rows = pages.select("doc_id", F.filter(F.transform(blocks, read), lambda b: first(b["text"])).alias("b"))
-    rows = rows.withColumn("s", _sections("b"))
+    rows = _sections(rows)
 
     def path(s: Column) -> Column:
         b = F.get("b", s["at"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions import text as T
 from scriptorium.operators import glossary as G
 from scriptorium.operators import segments as S
 
@@ -299,3 +300,42 @@ LANDED = [
 ]
 LANDED_TERMS = [{"term": "DLPFC", "zh": "背外侧前额叶皮层", "mode": G.HARD, "aliases": ["别名"]}, {"term": "fear", "zh": "恐惧", "mode": G.HARD}]
 LANDING_EXAMPLES = [("DLPFC", "背外侧前额叶皮层", 3, "01: 背外侧 / 额叶 / ACC | 03: "), ("fear", "恐惧", 1, "05: ")]
+
+
+#: A stop-word-free word of a document, and how many make its names.
+NAME_WORDS = 9
+
+
+def abbreviated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(texts, glossary): each document's first plain words as three names, two of which its text defines; entries of every 37th document.
+
+    An entry holds the first abbreviation with its name, the second name, or the second abbreviation alone."""
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(T.STOP_WORDS))
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where(F.size("w") >= NAME_WORDS)
+    name = lambda k: F.array_join(F.slice("w", 3 * k + 1, 3), " ")
+    short = lambda k: F.upper(F.array_join(F.transform(F.slice("w", 3 * k + 1, 3), lambda w: F.substring(w, 1, 1)), ""))
+    rows = rows.select("doc_id", *[name(k).alias(f"n{k}") for k in range(3)], *[short(k).alias(f"a{k}") for k in range(3)])
+    said = F.format_string("We find that %s (%s) acts. %s (%s) too. The %s and %s with %s. Table 1 (T1). Odd %s (XQ%s).", "n0", "a0", "a1", "n1", "a0", "a0", "a1", "n2", "a2")
+    third = F.floor(F.col("doc_id") / 37) % 3
+    entries = rows.where("doc_id % 37 = 0").select(
+        F.col("doc_id").cast("int").alias("ord"), F.when(third == 0, F.col("a0")).when(third == 1, F.col("n1")).otherwise(F.col("a1")).alias("term"),
+        F.concat(F.lit("译"), F.col("doc_id").cast("string")).alias("zh"), F.when(third == 0, F.col("n0")).otherwise("").alias("full_en"),
+    )
+    return rows.select(F.col("doc_id").cast("string").alias("doc_id"), said.alias("text")), entries
+
+
+def scoped_terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(terms, docs): names of nations, translated for all, for the documents of a source, and for single documents, some twice."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("term"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("source", F.lit("")).alias("field"))
+    say = lambda mark, c: F.concat(F.lit(mark), c.cast("string"))
+    cols = ["ord", "term", "zh", "mode", "note", "scope", "status"]
+    mode = F.when(F.col("k") % 4 == 3, G.HINT).otherwise(G.HARD).alias("mode")
+    every = nation.select(F.col("k").cast("int").alias("ord"), "term", F.concat(say("国", F.col("k")), F.lit("界")).alias("zh"), mode, F.when(F.col("k") % 2 == 0, "注").otherwise("").alias("note"), F.lit("global").alias("scope"), F.when(F.col("k") % 10 == 9, "rejected").otherwise("approved").alias("status"))
+    fields = docs.select("field").where("field <> ''").distinct()
+    by_field = nation.where("k % 3 = 0").join(fields, F.length("field") % 2 == F.col("k") % 2)
+    by_field = by_field.select((F.col("k") + 100).cast("int").alias("ord"), F.lower("term").alias("term"), F.concat(F.lit("域"), F.col("k").cast("string"), "field").alias("zh"), mode, F.lit("").alias("note"), F.concat(F.lit("field:"), "field").alias("scope"), F.lit("approved").alias("status"))
+    marked = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic").where("quality is not null").distinct()
+    own = marked.join(nation, F.col("id") % 25 == F.col("k")).withColumn("again", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("quality"), F.lit(0)))))
+    own = own.select((1000 + 2 * F.col("k") + F.col("again")).cast("int").alias("ord"), F.concat(F.lit(" "), "term").alias("term"), F.concat(F.lit("自"), F.col("id").cast("string"), F.lit("之"), F.when(F.col("id") % 4 == 0, 0).otherwise(F.col("again")).cast("string")).alias("zh"), mode, F.lit("").alias("note"), say("doc:", F.col("id")).alias("scope"), F.lit("approved").alias("status"))
+    return every.select(cols).unionByName(by_field.select(cols)).unionByName(own.select(cols)), docs.select("doc_id", "field")

@@ -568,6 +568,125 @@ def typeset_segments(spark: SparkSession, sf_dir: str) -> Frame:
     return got.select("doc_id", "sid", "sec_heading", "sec_level", F.col("page").cast("int").alias("page"), F.md5("src_text").alias("md5"), "n_words", "indented", F.col("col").cast("int").alias("col"))
 
 
+def _said(spark: SparkSession, sf_dir: str) -> tuple[Frame, Frame, Frame]:
+    texts, glossary = B.abbreviated(spark, sf_dir)
+    return A.definitions(texts), texts, glossary
+
+
+def doc_abbr_defs(spark: SparkSession, sf_dir: str) -> Frame:
+    """What all documents define."""
+    return _said(spark, sf_dir)[0].select("doc_id", "abbr", "full")
+
+
+def doc_abbr_audit(spark: SparkSession, sf_dir: str) -> Frame:
+    """The abbreviations that each document defines and uses, and their glossary entries."""
+    return A.audit(*_said(spark, sf_dir))
+
+
+def doc_abbr_undefined(spark: SparkSession, sf_dir: str) -> Frame:
+    d, _, g = _said(spark, sf_dir)
+    return A.undefined(g, d.where("cast(doc_id as long) % 2 = 1")).select("term", "zh")
+
+
+def doc_homonyms(spark: SparkSession, sf_dir: str) -> Frame:
+    d, _, g = _said(spark, sf_dir)
+    return A.conflict_report(g, d)
+
+
+def doc_disambiguated(spark: SparkSession, sf_dir: str) -> Frame:
+    d, t, g = _said(spark, sf_dir)
+    return A.disambiguate(d, g, t).select("doc_id", "abbr", "full", "n", "ord", "verdict", "reusable_zh")
+
+
+def doc_pending_terms(spark: SparkSession, sf_dir: str) -> Frame:
+    return G.pending_terms(_said(spark, sf_dir)[0])
+
+
+def doc_terms_resolved(spark: SparkSession, sf_dir: str) -> Frame:
+    """The glossary of every document, of global, source and own entries."""
+    return G.resolve(*B.scoped_terms(spark, sf_dir)).select("doc_id", "key", "zh", "scope", "rank")
+
+
+def doc_term_conflicts(spark: SparkSession, sf_dir: str) -> Frame:
+    got = G.conflicts(*B.scoped_terms(spark, sf_dir))
+    return got.select("doc_id", "key", "rank", F.size("entries").alias("n"), F.array_join(F.transform("entries", lambda e: e["zh"]), "/").alias("zh"))
+
+
+def doc_terms_merged(spark: SparkSession, sf_dir: str) -> Frame:
+    """Entries of the sources, and the global ones that none of them overrides."""
+    t, _ = B.scoped_terms(spark, sf_dir)
+    return G.merged(t.where("scope like 'field:%'"), t.where("scope = 'global'")).select("ord", "term", "zh", "scope")
+
+
+def scope_prompts(spark: SparkSession, sf_dir: str) -> Frame:
+    """The prompt block of every scope's entries."""
+    t, _ = B.scoped_terms(spark, sf_dir)
+    return G.prompt_block(t, keys=("scope",)).select("scope", F.md5("block").alias("md5"))
+
+
+def scope_term_stats(spark: SparkSession, sf_dir: str) -> Frame:
+    return G.stats(B.scoped_terms(spark, sf_dir)[0])
+
+
+def scope_term_search(spark: SparkSession, sf_dir: str) -> Frame:
+    t, _ = B.scoped_terms(spark, sf_dir)
+    return G.search(t.withColumn("aliases", F.array(F.concat(F.lit("x"), "zh"))), "on_2", G.HARD).select("ord", "term", "scope")
+
+
+def doc_hard_replace(spark: SparkSession, sf_dir: str) -> Frame:
+    """A sentence on two nations for each document, by the document's own glossary: prefixed, plain and in brackets."""
+    docs = table(spark, sf_dir, "documents")
+    n = table(spark, sf_dir, "nation")
+    letters = lambda c: F.replace(F.translate(c, "0123456789", "ABCDEFGHIJ"), F.lit("_"), F.lit(""))
+    name = lambda k: n.select(F.col("n_nationkey").cast("long").alias(f"k{k}"), letters(F.col("n_name")).alias(f"t{k}"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), (F.col("doc_id") % 25).alias("k0"), ((F.col("doc_id") + 1 + F.col("doc_id") % 7) % 25).alias("k1"))
+    rows = rows.join(name(0), "k0").join(name(1), "k1").withColumn("zh", F.concat(F.lit("在 "), "t0", F.lit(" 与 a"), "t0", F.lit(" 及 x"), "t1", F.lit("y（"), "t1", F.lit("）")))
+    terms, readers = B.scoped_terms(spark, sf_dir)
+    own = G.resolve(terms, readers).withColumn("term", letters(F.upper(F.trim("term"))))
+    return G.replaced_by_document(rows.select("doc_id", "zh"), own).select("doc_id", "zh")
+
+
+def doc_entities(spark: SparkSession, sf_dir: str) -> Frame:
+    """Every document's text, escaped by names, decimal and hexadecimal numbers, and read back."""
+    s = F.replace(F.col("text"), F.lit("&"), F.lit("&amp;"))
+    for c, e in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("é", "&#233;"), ("ü", "&#xFC;"), ("ó", "&#Xf3;"), ("$", "&#36;")):
+        s = F.replace(s, F.lit(c), F.lit(e))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.unescape(s)).alias("md5"), F.length(s).alias("n_escaped"))
+
+
+def doc_reading_length(spark: SparkSession, sf_dir: str) -> Frame:
+    """The length as read, and the verdict on it, of every document's text."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.reading_length(F.col("text")).alias("n"), E.brief_verdict(F.col("text")).alias("v"))
+    return rows.select("doc_id", "n", "v.mark", "v.why")
+
+
+def doc_numbers_normal(spark: SparkSession, sf_dir: str) -> Frame:
+    """Sizes of documents in full-width digits with full-width separators, and words doubled across a blank, made normal."""
+    k = F.col("n_chars") * 1009 + F.col("doc_id")
+    digits = F.translate(k.cast("string"), "0123456789", "０１２３４５６７８９")
+    grouped = F.concat(F.floor(k / 1_000_000).cast("string"), F.lit("，"), F.lpad((F.floor(k / 1000) % 1000).cast("string"), 3, "0"), F.lit("．"), F.lpad((k % 1000).cast("string"), 3, "0"))
+    text = F.concat(F.lit("共 "), grouped, F.lit(" 例 任务任务 任务任务 里，第 "), digits, F.lit(" 组，分 1，2，3 组"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_zh(text).alias("text"))
+
+
+def event_dates(spark: SparkSession, sf_dir: str) -> Frame:
+    """Dates of events, given in parts or in words as feeds do, some of them broken."""
+    d, k = F.col("ts"), F.col("event_id")
+    year, month, day = F.date_format(d, "yyyy"), F.date_format(d, "MMM"), F.date_format(d, "d")
+    free = F.when(k % 6 == 4, F.concat(year, F.lit(" "), month, F.lit("-Dec"))).when(k % 6 == 5, F.concat(F.lit("Winter "), year)).otherwise("")
+    got = T.feed_date(F.when(k % 6 < 4, year).otherwise(""), F.when(k % 6 == 1, F.date_format(d, "M")).when(k % 6 == 2, "").otherwise(month), F.when(k % 6 == 3, "").otherwise(day), free)
+    return table(spark, sf_dir, "events").select("event_id", got.alias("date"))
+
+
+def event_payloads(spark: SparkSession, sf_dir: str) -> Frame:
+    """Answers of a provider on events: fenced, wrapped in prose, partial and broken JSON, read and judged."""
+    k = F.col("event_id")
+    body = F.concat(F.lit('{"title_zh": " 题'), k.cast("string"), F.lit('", "brief": "'), F.repeat(F.lit("句"), (k % 40).cast("int")), F.repeat(F.lit("，"), (k % 3).cast("int")), F.lit('"'), F.when(k % 2 == 0, ', "detail": "细"').otherwise(""), F.lit("}"))
+    text = F.when(k % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k % 5 == 1, F.concat(F.lit("Here it is: "), body, F.lit(" thanks"))).when(k % 5 == 2, F.lit("garbage { here")).otherwise(body)
+    rows = table(spark, sf_dir, "events").select("event_id", E.payload(text).alias("p")).select("event_id", "p.*")
+    return rows.withColumn("v", E.brief_verdict(F.col("brief"))).select("event_id", "title_zh", F.length("brief").alias("n"), "detail", "v.mark", "v.why")
+
+
 def chat_models(spark: SparkSession, sf_dir: str) -> Frame:
     return R.models(spark.createDataFrame([(m,) for m in B.MODELS], "name string"))
 

@@ -5,6 +5,7 @@ RE2 has no look-around: a guard is a consumed neighbour, after every possible gu
 
 from __future__ import annotations
 
+from scriptorium.functions import text as T
 from scriptorium.plans import base as B
 
 SEG, FLAT = B.SEGMENTS, B.PAGES
@@ -88,7 +89,65 @@ TYPESET = rf"""{SEG}, ty AS (SELECT doc_id, seg_pos AS n, list_filter(string_spl
            OVER (PARTITION BY doc_id, page, col, run ORDER BY y0, x0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'figure' ELSE coalesce(early, late) END AS kind FROM rn)"""
 
 
+STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+#: The definitions and uses of base.abbreviated(), and its glossary.
+SAID = f"""aw AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda x: x NOT IN ({STOP})) AS w FROM documents),
+    an AS (SELECT id, {", ".join(f"array_to_string(w[{3 * k + 1}:{3 * k + 3}], ' ') AS n{k}, upper(w[{3 * k + 1}][1] || w[{3 * k + 2}][1] || w[{3 * k + 3}][1]) AS a{k}" for k in range(2))} FROM aw WHERE len(w) >= {B.NAME_WORDS}),
+    defs AS (SELECT CAST(id AS VARCHAR) AS doc_id, a0 AS abbr, n0 AS fname FROM an UNION SELECT CAST(id AS VARCHAR), a1, n1 FROM an),
+    used AS (SELECT doc_id, abbr, list(fname ORDER BY fname) AS fulls, any_value(CASE WHEN a0 = a1 THEN 5 WHEN abbr = a0 THEN 3 ELSE 2 END) AS n FROM defs JOIN an ON doc_id = CAST(id AS VARCHAR) GROUP BY 1, 2),
+    gl AS (SELECT id AS ord, CASE (id // 37) % 3 WHEN 0 THEN a0 WHEN 1 THEN n1 ELSE a1 END AS term, '译' || id AS zh, CASE (id // 37) % 3 WHEN 0 THEN n0 ELSE '' END AS full_en FROM an WHERE id % 37 = 0)"""
+#: The entries of base.scoped_terms(), and those of each document.
+ENTRIES = """nk AS (SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS term, CASE WHEN n_nationkey % 4 = 3 THEN 'prompt_hint' ELSE 'hard_replace' END AS mode FROM nation),
+    dd AS (SELECT doc_id AS id, CAST(doc_id AS VARCHAR) AS doc_id, coalesce(source, '') AS field FROM documents),
+    en AS (SELECT CAST(k AS INTEGER) AS ord, term, '国' || k || '界' AS zh, mode, CASE WHEN k % 2 = 0 THEN '注' ELSE '' END AS note, 'global' AS scope, CASE WHEN k % 10 = 9 THEN 'rejected' ELSE 'approved' END AS status FROM nk
+           UNION ALL SELECT CAST(k + 100 AS INTEGER), lower(term), '域' || k || field, mode, '', 'field:' || field, 'approved' FROM nk JOIN (SELECT DISTINCT field FROM dd WHERE field <> '') f ON length(field) % 2 = k % 2 WHERE k % 3 = 0
+           UNION ALL SELECT CAST(1000 + 2 * k + again AS INTEGER), ' ' || term, '自' || doc_id || '之' || CASE WHEN doc_id % 4 = 0 THEN 0 ELSE again END, mode, '', 'doc:' || doc_id, 'approved'
+           FROM (SELECT DISTINCT doc_id, quality, toxic, unnest(range(0, CAST(quality AS BIGINT) + 1)) AS again FROM labels WHERE quality IS NOT NULL) l JOIN nk ON l.doc_id % 25 = k),
+    rk AS (SELECT * FROM (SELECT *, max(rank) OVER (PARTITION BY doc_id, key) AS top FROM (
+           SELECT d.doc_id, e.ord, e.zh, e.scope, e.mode, lower(trim(e.term)) AS key, 0 AS rank FROM en e, dd d WHERE e.scope = 'global' AND status <> 'rejected'
+           UNION ALL SELECT d.doc_id, e.ord, e.zh, e.scope, e.mode, lower(trim(e.term)), 1 FROM en e JOIN dd d ON e.scope = 'field:' || d.field
+           UNION ALL SELECT d.doc_id, e.ord, e.zh, e.scope, e.mode, lower(trim(e.term)), 2 FROM en e JOIN dd d ON e.scope = 'doc:' || d.doc_id)) WHERE rank = top),
+    rs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY ord) AS nth FROM rk) WHERE nth = 1)"""
+LETTERS = "replace(translate({0}, '0123456789', 'ABCDEFGHIJ'), '_', '')"
+VERDICT = """CASE WHEN length(trim({0})) = 0 THEN '❌' WHEN {1} > 25 OR {2} > 1 THEN '⚠️' ELSE '✅' END AS mark,
+    CASE WHEN length(trim({0})) = 0 THEN '空' WHEN {1} > 25 OR {2} > 1 THEN concat_ws(' ', CASE WHEN {1} > 32 THEN {1} || '字超标' WHEN {1} > 25 THEN {1} || '字偏长' END, CASE WHEN {2} > 1 THEN {2} || '个逗号' END) ELSE {1} || '字' END AS why"""
+
+
 SQL = {
+    "doc_abbr_defs": f"WITH {SAID} SELECT doc_id, abbr, fname AS \"full\" FROM defs",
+    "doc_abbr_audit": f"""WITH {SAID}, g AS (SELECT lower(trim(term)) AS key, arg_max(zh, ord) AS zh FROM gl GROUP BY 1),
+        f AS (SELECT doc_id, abbr, arg_min(g.zh, i) AS zh FROM (SELECT doc_id, abbr, unnest(fulls) AS fname, generate_subscripts(fulls, 1) AS i FROM used) JOIN g ON g.key = lower(fname) GROUP BY 1, 2)
+        SELECT doc_id, abbr, n, array_to_string(fulls, ' / ') AS full_names, coalesce(g.zh, f.zh) IS NOT NULL AS in_glossary, coalesce(g.zh, f.zh) AS glossary_zh, len(fulls) > 1 AS ambiguous,
+               CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, abbr) AS INTEGER) AS rank FROM used LEFT JOIN g ON g.key = lower(abbr) LEFT JOIN f USING (doc_id, abbr)""",
+    "doc_abbr_undefined": f"WITH {SAID} SELECT term, zh FROM gl WHERE regexp_full_match(term, '[A-Z][A-Za-z0-9]{{1,7}}') AND term NOT IN (SELECT abbr FROM defs WHERE CAST(doc_id AS BIGINT) % 2 = 1)",
+    "doc_homonyms": f"""WITH {SAID} SELECT doc_id, abbr, zh, array_to_string(fulls, ' / ') AS fulls, CASE WHEN full_en = '' THEN 'todo' WHEN list_contains(fulls, full_en) THEN 'ok' ELSE 'conflict' END AS verdict
+        FROM gl JOIN used ON abbr = term""",
+    "doc_disambiguated": f"""WITH {SAID}, l AS (SELECT doc_id, abbr, n, list_sort([struct_pack(k := length(f), f := f) FOR f IN fulls], 'DESC')[1].f AS fname FROM used WHERE n >= 2)
+        SELECT doc_id, abbr, fname AS "full", CAST(n AS BIGINT) AS n, CAST(g.ord AS INTEGER) AS ord, CASE WHEN g.zh IS NULL OR g.full_en = '' THEN 'unknown' WHEN g.full_en = fname THEN 'resolved' ELSE 'conflict' END AS verdict,
+               (SELECT arg_min(o.zh, o.ord) FROM gl o WHERE o.full_en = fname AND o.full_en <> '' AND o.ord IS DISTINCT FROM g.ord) AS reusable_zh FROM l LEFT JOIN gl g ON g.term = abbr""",
+    "doc_pending_terms": f"WITH {SAID} SELECT doc_id, abbr AS term, min(fname) AS full_en, '【待审核: ' || min(fname) || '】' AS zh FROM defs GROUP BY 1, 2",
+    "doc_terms_resolved": f"WITH {ENTRIES} SELECT doc_id, key, zh, scope, CAST(rank AS INTEGER) AS rank FROM rs",
+    "doc_term_conflicts": f"WITH {ENTRIES} SELECT doc_id, key, CAST(rank AS INTEGER) AS rank, CAST(count(*) AS INTEGER) AS n, string_agg(zh, '/' ORDER BY ord) AS zh FROM rk GROUP BY 1, 2, 3 HAVING count(DISTINCT zh) > 1",
+    "doc_terms_merged": f"WITH {ENTRIES} SELECT ord, term, zh, scope FROM en WHERE scope LIKE 'field:%' OR (scope = 'global' AND lower(trim(term)) NOT IN (SELECT lower(trim(term)) FROM en WHERE scope LIKE 'field:%'))",
+    "scope_prompts": f"""WITH {ENTRIES} SELECT scope, md5(string_agg(CASE WHEN mode = 'prompt_hint' THEN '- ' || term || ' -> 「' || zh || '」' || CASE WHEN note <> '' THEN '（' || note || '）' ELSE '' END
+        ELSE '- ' || term || ' -> 「' || zh || '」（统一用此译名）' END, chr(10) ORDER BY ord)) AS md5 FROM en WHERE status <> 'rejected' GROUP BY 1""",
+    "scope_term_stats": f"WITH {ENTRIES} SELECT count(*) AS total, count(*) FILTER (WHERE mode = 'hard_replace') AS hard, count(*) FILTER (WHERE mode = 'prompt_hint') AS hint, count(*) FILTER (WHERE scope LIKE 'doc:%') AS doc_terms FROM en",
+    "scope_term_search": f"WITH {ENTRIES} SELECT ord, term, scope FROM en WHERE mode = 'hard_replace' AND (contains(lower(term), 'on_2') OR contains(lower(zh), 'on_2'))",
+    "doc_hard_replace": f"""WITH {ENTRIES}, p AS (SELECT d.doc_id, a.term AS u0, b.term AS u1, {LETTERS.format('a.term')} AS t0, {LETTERS.format('b.term')} AS t1 FROM dd d JOIN nk a ON a.k = d.id % 25 JOIN nk b ON b.k = (d.id + 1 + d.id % 7) % 25),
+        z AS (SELECT p.*, x.zh AS z0, y.zh AS z1 FROM p LEFT JOIN rs x ON x.doc_id = p.doc_id AND x.key = lower(u0) AND x.mode = 'hard_replace' LEFT JOIN rs y ON y.doc_id = p.doc_id AND y.key = lower(u1) AND y.mode = 'hard_replace')
+        SELECT doc_id, '在 ' || coalesce(z0, t0) || ' 与 ' || CASE WHEN z0 IS NOT NULL AND regexp_full_match(t0, '[A-Z][A-Za-z0-9]{{0,7}}') THEN '前部' || z0 ELSE 'a' || t0 END || ' 及 x' || t1 || 'y（' || coalesce(z1, t1) || '）' AS zh FROM z""",
+    "doc_entities": """SELECT doc_id, md5(text) AS md5, CAST(length(text) + 4 * (length(text) - length(replace(text, '&', ''))) + 3 * (length(text) - length(translate(text, '<>', '')))
+        + 5 * (length(text) - length(translate(text, '"éüó', ''))) + 4 * (length(text) - length(replace(text, '$', ''))) AS INTEGER) AS n_escaped FROM documents""",
+    "doc_reading_length": rf"""WITH r AS (SELECT doc_id, text, coalesce(CAST(length(regexp_replace(regexp_replace(text, '[A-Za-z0-9][A-Za-z0-9\-.]*', 'X', 'g'), '[\s\x0B\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', '', 'g')) AS INTEGER), 0) AS n,
+        length(text) - length(translate(text, '，,', '')) AS c FROM documents) SELECT doc_id, n, {VERDICT.format("coalesce(text, '')", 'n', 'c')} FROM r""",
+    "doc_numbers_normal": """WITH k AS (SELECT doc_id, n_chars * 1009 + doc_id AS k FROM documents)
+        SELECT doc_id, '共 ' || (k // 1000000) || ',' || lpad(CAST(k // 1000 % 1000 AS VARCHAR), 3, '0') || ',' || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') || ' 例 任务任务 里，第 ' || k || ' 组，分 1，2，3 组' AS text FROM k""",
+    "event_dates": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN strftime(ts, '%Y') WHEN 3 THEN strftime(ts, '%Y-%m') || '-00'
+        WHEN 4 THEN strftime(ts, '%Y-%m') ELSE 'Winter ' || strftime(ts, '%Y') END AS date FROM events""",
+    "event_payloads": f"""WITH p AS (SELECT event_id, event_id % 5 <> 2 AS good, repeat('句', CAST(event_id % 40 AS INTEGER)) || repeat('，', CAST(event_id % 3 AS INTEGER)) AS b FROM events),
+        q AS (SELECT event_id, CASE WHEN good THEN '题' || event_id ELSE '' END AS title_zh, CASE WHEN good THEN b ELSE '' END AS b, CASE WHEN good AND event_id % 2 = 0 THEN '细' ELSE '' END AS detail,
+              CASE WHEN good THEN CAST(length(b) AS INTEGER) ELSE 0 END AS n, CASE WHEN good THEN event_id % 3 ELSE 0 END AS c FROM p)
+        SELECT event_id, title_zh, n, detail, {VERDICT.format('b', 'n', 'c')} FROM q""",
     "typeset_layout": f"""WITH {TYPESET} SELECT doc_id, CAST(bs AS DOUBLE) AS body_size, body_font, n_columns, CAST(round(split_x, 4) AS DOUBLE) AS split_x,
         CAST(round(CAST(base0 AS DOUBLE), 2) AS VARCHAR) || CASE WHEN n_columns = 2 THEN ',' || CAST(round(CAST(base1 AS DOUBLE), 2) AS VARCHAR) ELSE '' END AS bases FROM lay""",
     "typeset_kinds": f"""WITH {TYPESET} SELECT doc_id, page, CAST(y0 AS DOUBLE) AS y0, CAST(x0 AS DOUBLE) AS x0, kind, CAST(pos AS INTEGER) AS pos, CASE WHEN kind = 'runin' THEN trim(lead) ELSE '' END AS runin_head FROM kd""",
