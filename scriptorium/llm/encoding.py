@@ -43,10 +43,11 @@ OF_SALE = ("all", "segment", "client")
 #: Each level's column; the codes of a null value and of others are told apart by NULL.
 COLUMN = {"kind": "kind", "nation": "nation_id", "segment": "segment", "item": "item_id", "vendor": "vendor_id", "client": "client_id"}
 NULL = 16
-KEY = ["key", "level", "span"]
+#: A key's rows in one span (`part` holds level and span), and its probes; `tf` holds time and fold.
+KEY, PROBE = ["key", "part"], ["key", "level", "tf"]
 #: m: how many rows ask (deduplicated probes), ASKS for a row's own probe, OPENS for counts that are no probe.
 ASKS, OPENS = -1, 0
-ANSWER = "level byte, key long, ts long, fold int, n long, s long, row long, m long"
+ANSWER = "level byte, key long, tf long, n long, s long, row long, m long"
 
 
 def fold_of(sale_id: Column, folds: int = FOLDS) -> Column:
@@ -74,12 +75,12 @@ def above(counted: DataFrame, keys: list[str], count: str) -> DataFrame:
 def met(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], many: DataFrame, how: str = "left") -> DataFrame:
     """An equi-join whose hot keys on the left, `many`, are dealt by `spread` over SALTS tasks; the right has one row a key."""
     many = F.broadcast(many.withColumn("__hot", F.lit(True)))
-    # Merged at every size: no side but the hot keys is ever broadcast.
+    # No side but the hot keys is ever broadcast; the right's keys are unique, so that its parts are even and no side need be sorted.
     apart = F.coalesce("__hot", F.greatest(F.lit(False), *[F.col(k).isNull() for k in keys]))
     left = left.join(many, keys, "left").withColumn("__salt", F.when(apart, F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(0).cast("int")).drop("__hot")
     every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = right.join(many, keys, "left").withColumn("__salt", F.explode(every)).drop("__hot")
-    return left.join(right.hint("merge"), [*keys, "__salt"], how).drop("__salt")
+    return left.join(right.hint("shuffle_hash"), [*keys, "__salt"], how).drop("__salt")
 
 
 def of_id(table: DataFrame, key: str, value: str) -> DataFrame:
@@ -148,17 +149,26 @@ def lines_of(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: Data
 
 
 def unpivoted(rows: DataFrame, hot_keys: DataFrame) -> DataFrame:
-    """(level, key, span, hot, ts, fold, n, s, row): a row per line and level, or per sale and level; `row` is the line's number or the sale's id."""
-    columns = ["ts", "fold", "span", "n", "s", "row"]
+    """(level, key, part, tf, n, s, row): a row per line and level, or per sale and level; `row` is the line's number or the sale's id."""
+    columns = ["tf", "span", "n", "s", "row"]
 
     def over(table: DataFrame, names: list[str]) -> DataFrame:
+        table = table.withColumn("tf", timed(F.col("ts"), F.col("fold")))
         return table.select(F.explode(F.array(*[place(x, COLUMN.get(x)) for x in names])).alias("p"), *columns).select("p.*", *columns)
 
     of_line = rows.withColumns({"n": F.col("n_lines"), "s": F.col("n_returned")})
     of_sale = rows.groupBy("sale_id", "client_id", "segment", "ts", "fold", "span").agg(F.sum("n_lines").alias("n"), F.sum("n_returned").alias("s")).withColumn("row", F.col("sale_id"))
     long = over(of_line, [x for x in LEVELS if x not in OF_SALE]).unionByName(over(of_sale, list(OF_SALE)))
     long = long.join(F.broadcast(hot_keys.withColumn("hot", F.lit(True))), ["level", "key"], "left")
-    return long.withColumn("span", F.when(F.col("hot"), F.col("span")).otherwise(-1))
+    return long.withColumn("part", parted(F.col("level"), F.when(F.col("hot"), F.col("span")).otherwise(-1))).drop("hot", "span")
+
+
+def timed(ts: Column, fold: Column) -> Column:
+    return (ts * 8 + fold).cast("long")
+
+
+def parted(level: Column, span: Column) -> Column:
+    return ((span + 1) * (2 * NULL) + level).cast("int")
 
 
 def openings(rows: DataFrame, hot_keys: DataFrame, folds: int) -> DataFrame:
@@ -173,11 +183,11 @@ def openings(rows: DataFrame, hot_keys: DataFrame, folds: int) -> DataFrame:
     cells = each.join(cells.hint("merge"), ["level", "key", "span", "fold"], "left")
     before = Window.partitionBy("level", "key", "fold").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     got = cells.select("level", "key", "span", "fold", F.sum("n").over(before).alias("n"), F.sum("s").over(before).alias("s")).where("n > 0")
-    return got.withColumns({"ts": F.lit(FIRST).cast("long"), "row": F.lit(0).cast("long"), "m": F.lit(OPENS).cast("long")})
+    return got.withColumns({"part": parted(F.col("level"), F.col("span")), "tf": timed(F.lit(FIRST), F.col("fold")), "row": F.lit(0).cast("long"), "m": F.lit(OPENS).cast("long")})
 
 
 #: Before any time.
-FIRST = -(1 << 62)
+FIRST = -(1 << 59)
 
 
 def before(run: np.ndarray, ts: np.ndarray, fold: np.ndarray, n: np.ndarray, s: np.ndarray, folds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +207,7 @@ def before(run: np.ndarray, ts: np.ndarray, fold: np.ndarray, n: np.ndarray, s:
 
 def answered(table: DataFrame, folds: int = FOLDS) -> DataFrame:
     """The pass over the table, dealt by key and span and sorted by time: ANSWER rows for all that ask."""
-    columns = [*KEY, "ts", "fold", "n", "s", "row", "m"]
+    columns = [*KEY, "tf", "n", "s", "row", "m"]
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = iter(frames)
@@ -211,26 +221,25 @@ def answered(table: DataFrame, folds: int = FOLDS) -> DataFrame:
                 return
             # What the last key has counted so far stands in front: before its last time, and at it.
             f = pd.concat(held if last is None else [last, *held], ignore_index=True)
-            ts, fold, m = f["ts"].to_numpy(), f["fold"].to_numpy(), f["m"].to_numpy()
+            key, part, tf, m = (f[c].to_numpy() for c in (*KEY, "tf", "m"))
             new = np.ones(len(f), dtype=bool)
-            new[1:] = np.logical_or.reduce([f[c].to_numpy()[1:] != f[c].to_numpy()[:-1] for c in KEY])
+            new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
             run = np.cumsum(new) - 1
             # Probes of one time and fold are one.
-            new[1:] |= (ts[1:] != ts[:-1]) | (fold[1:] != fold[:-1])
+            new[1:] |= tf[1:] != tf[:-1]
             at = np.flatnonzero(new)
             n, s = np.add.reduceat(f["n"].to_numpy(), at), np.add.reduceat(f["s"].to_numpy(), at)
-            got_n, got_s = before(run[at], ts[at], fold[at], n, s, folds)
+            got_n, got_s = before(run[at], tf[at] >> 3, tf[at] & 7, n, s, folds)
             back = np.cumsum(new) - 1
             asks, alone = m != OPENS, m == ASKS
-            yield pd.DataFrame({
-                "level": f["level"].to_numpy(), "key": np.where(alone, 0, f["key"].to_numpy()), "ts": np.where(alone, 0, ts), "fold": np.where(alone, 0, fold),
-                "n": got_n[back], "s": got_s[back], "row": f["row"].to_numpy(), "m": m,
-            })[asks]
+            out = {"level": (part % (2 * NULL)).astype(np.int8), "key": np.where(alone, 0, key), "tf": np.where(alone, 0, tf), "n": got_n[back], "s": got_s[back], "row": f["row"].to_numpy(), "m": m}
+            yield pd.DataFrame({c: v[asks] for c, v in out.items()})
             end = run == run[-1]
-            last = f[end].assign(ts=np.where(ts[end] < ts[-1], FIRST, ts[-1]), row=0, m=OPENS).groupby([*KEY, "ts", "fold"], as_index=False)[["n", "s", "row", "m"]].sum()[columns]
+            past = (tf[end] >> 3) < (tf[-1] >> 3)
+            last = f[end].assign(tf=np.where(past, FIRST * 8 + (tf[end] & 7), tf[end]), row=0, m=OPENS).groupby([*KEY, "tf"], as_index=False)[["n", "s", "row", "m"]].sum()[columns]
             last = last.astype(f.dtypes.to_dict())
 
-    laid = table.select(*columns).repartition(*KEY).sortWithinPartitions(*KEY, "ts", "fold")
+    laid = table.select(*columns).repartition(*KEY).sortWithinPartitions(*KEY, "tf")
     return stage(laid.mapInPandas(of, ANSWER), "encoding-answers")
 
 
@@ -243,15 +252,14 @@ def histories(rows: DataFrame, hot_keys: DataFrame, folds: int = FOLDS) -> DataF
     """(row, level, n, s): the lines and returned lines of each probe's history."""
     # Points of time that hold many rows: their probes are one before they are dealt.
     times = F.broadcast(stage(hot(rows, ["ts"]), "encoding-times"))
-    asked = ["level", "key", "ts", "fold"]
     alone = unpivoted(rows.join(times, "ts", "left_anti"), hot_keys).withColumn("m", F.lit(ASKS).cast("long"))
     many = unpivoted(rows.join(times, "ts", "left_semi"), hot_keys)
-    one = many.groupBy(*asked, "span").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("m")).withColumn("row", F.lit(0).cast("long"))
+    one = many.groupBy(*PROBE, "part").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("m")).withColumn("row", F.lit(0).cast("long"))
     opens = openings(rows, hot_keys, folds)
-    columns = [*asked, "span", "n", "s", "row", "m"]
+    columns = [*KEY, "tf", "n", "s", "row", "m"]
     answers = answered(alone.select(*columns).unionByName(one.select(*columns)).unionByName(opens.select(*columns)), folds)
-    known = answers.where(F.col("m") > 0).select(*asked, "n", "s", "m")
-    found = met(many.select(*asked, "row"), known.drop("m"), asked, ["row"], above(known.select(*asked, "m"), asked, "m"))
+    known = answers.where(F.col("m") > 0).select(*PROBE, "n", "s", "m")
+    found = met(many.select(*PROBE, "row"), known.drop("m"), PROBE, ["row"], above(known.select(*PROBE, "m"), PROBE, "m"))
     columns = ["row", F.col("level").bitwiseAND(NULL - 1).alias("level"), "n", "s"]
     return answers.where(F.col("m") == ASKS).select(*columns).unionByName(found.select(*columns))
 
@@ -270,7 +278,7 @@ def encoded(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataF
     rows, hot_keys, hot_sales = lines_of(lines, sales, items, vendors, clients)
     found = histories(rows, hot_keys)
     of_sale = pivoted(found, list(OF_SALE)).withColumnRenamed("row", "sale_id")
-    out = rows.drop("kind", "nation_id", "segment", "ts", "span").join(pivoted(found, [x for x in LEVELS if x not in OF_SALE]).hint("merge"), "row")
+    out = rows.drop("kind", "nation_id", "segment", "ts", "span").join(pivoted(found, [x for x in LEVELS if x not in OF_SALE]).hint("shuffle_hash"), "row")
     out = met(out, of_sale, ["sale_id"], ["row"], hot_sales)
     for x, prior in LEVELS.items():
         p = F.lit(PRIOR).cast("long") if prior is None else F.col(f"{prior}_rate")
