@@ -55,7 +55,7 @@ def cache_key(spark: SparkSession, sf_dir: str) -> Frame:
     return segments(spark, sf_dir).select("sid", C.translation_key("mock:m1", "v1", F.col("src_hash"), F.lit("")).alias("key"), C.script_key("mock:m1", "v1", "spoken", F.col("src_text")).alias("script_key"))
 
 
-def slug_ascii(spark: SparkSession, sf_dir: str) -> Frame:
+def example_slug_ascii(spark: SparkSession, sf_dir: str) -> Frame:
     return spark.createDataFrame(B.TITLES, "id int, title string").select("id", T.slug(F.col("title")).alias("slug"))
 
 
@@ -90,19 +90,19 @@ def word_count_variants(spark: SparkSession, sf_dir: str) -> Frame:
     return table(spark, sf_dir, "documents").select("doc_id", *[T.word_count(F.col("text"), d).alias(f"n_{d}") for d in ("pdf", "html", "web")])
 
 
-def reading_len(spark: SparkSession, sf_dir: str) -> Frame:
+def example_reading_len(spark: SparkSession, sf_dir: str) -> Frame:
     return spark.createDataFrame(B.BRIEFS, "id int, text string").select("id", T.reading_length(F.col("text")).alias("n"))
 
 
-def normalize_numbers(spark: SparkSession, sf_dir: str) -> Frame:
+def example_normalize_numbers(spark: SparkSession, sf_dir: str) -> Frame:
     return spark.createDataFrame(B.BRIEFS, "id int, text string").select("id", T.normalize_zh(F.col("text")).alias("text"))
 
 
-def sentence_split_zh(spark: SparkSession, sf_dir: str) -> Frame:
+def example_sentence_split_zh(spark: SparkSession, sf_dir: str) -> Frame:
     return spark.createDataFrame(B.ZH_TEXTS, "id int, text string, total double").select("id", F.posexplode(T.zh_sentences(F.col("text"))).alias("ord", "sentence"))
 
 
-def sentence_split_en(spark: SparkSession, sf_dir: str) -> Frame:
+def example_sentence_split_en(spark: SparkSession, sf_dir: str) -> Frame:
     return spark.createDataFrame(B.EN_TEXTS, "id int, text string").select("id", F.posexplode(T.en_sentences(F.col("text"))).alias("ord", "sentence"))
 
 
@@ -148,15 +148,15 @@ def _scoped(spark: SparkSession) -> tuple[Frame, Frame]:
     return t, spark.createDataFrame(B.READERS, "doc_id string, field string")
 
 
-def glossary_resolve(spark: SparkSession, sf_dir: str) -> Frame:
+def example_glossary_resolve(spark: SparkSession, sf_dir: str) -> Frame:
     return G.resolve(*_scoped(spark)).select("doc_id", "term", "zh", "scope", "rank")
 
 
-def glossary_conflicts(spark: SparkSession, sf_dir: str) -> Frame:
+def example_glossary_conflicts(spark: SparkSession, sf_dir: str) -> Frame:
     return G.conflicts(*_scoped(spark)).select("doc_id", "key", "rank", F.size("entries").alias("n"), F.array_join(F.transform("entries", lambda e: e["zh"]), "/").alias("zh"))
 
 
-def glossary_merged_anti_union(spark: SparkSession, sf_dir: str) -> Frame:
+def example_glossary_merged_anti_union(spark: SparkSession, sf_dir: str) -> Frame:
     t, _ = _scoped(spark)
     return G.merged(t.where("scope like 'doc:%'"), t.where("scope = 'global'")).select("ord", "term", "zh")
 
@@ -168,7 +168,7 @@ def glossary_upsert(spark: SparkSession, sf_dir: str) -> Frame:
     return G.upsert(old, new)
 
 
-def abbr_defs(spark: SparkSession, sf_dir: str) -> Frame:
+def example_abbr_defs(spark: SparkSession, sf_dir: str) -> Frame:
     return A.definitions(spark.createDataFrame(B.ABBREVIATION_TEXTS, "doc_id string, text string")).select("doc_id", "abbr", "full")
 
 
@@ -186,21 +186,21 @@ def abbr_usage_min_count(spark: SparkSession, sf_dir: str) -> Frame:
     return A.usage(docs, names).where("n >= 2")
 
 
-def abbr_audit_priority_join(spark: SparkSession, sf_dir: str) -> Frame:
+def example_abbr_audit_priority_join(spark: SparkSession, sf_dir: str) -> Frame:
     return A.audit(*_defs(spark)).drop("rank")
 
 
-def abbr_undefined(spark: SparkSession, sf_dir: str) -> Frame:
+def example_abbr_undefined(spark: SparkSession, sf_dir: str) -> Frame:
     d, _, g = _defs(spark)
     return A.undefined(g, d).select("term", "zh")
 
 
-def homonym_conflicts(spark: SparkSession, sf_dir: str) -> Frame:
+def example_homonym_conflicts(spark: SparkSession, sf_dir: str) -> Frame:
     d, _, g = _defs(spark)
     return A.conflict_report(g, d)
 
 
-def disambiguate(spark: SparkSession, sf_dir: str) -> Frame:
+def example_disambiguate(spark: SparkSession, sf_dir: str) -> Frame:
     d, t, g = _defs(spark)
     return A.disambiguate(d, g, t).select("doc_id", "abbr", "full", "n", "verdict", "reusable_zh")
 
@@ -261,7 +261,7 @@ def web_timeline(spark: SparkSession, sf_dir: str) -> Frame:
     return M.web_timeline(rows, "conv_id", "turn").select("conv_id", "turn", F.round("start_sec", 2).alias("start_sec"))
 
 
-def proportional_sentences(spark: SparkSession, sf_dir: str) -> Frame:
+def example_proportional_sentences(spark: SparkSession, sf_dir: str) -> Frame:
     return M.proportional(spark.createDataFrame(B.ZH_TEXTS, "id int, text string, total double"), "id", "text", "total")
 
 
@@ -368,7 +368,7 @@ def journal_fields(spark: SparkSession, sf_dir: str) -> Frame:
     return rows.select("journal", T.field_of_journal(F.col("journal")).alias("field"), T.short_journal(F.col("journal")).alias("short"), T.doc_id_of_doi(F.concat(F.lit("10.1038/"), "journal")).alias("doc_id"))
 
 
-def feed_dates(spark: SparkSession, sf_dir: str) -> Frame:
+def example_feed_dates(spark: SparkSession, sf_dir: str) -> Frame:
     rows = [(1, "2026", "Sep", "18", ""), (2, "2026", "9", "", ""), (3, "2026", "", "", ""), (4, "", "", "", "2026 Sep-Oct"), (5, "", "", "", "2026"), (6, "", "", "", "Winter 2026"), (7, "2026", "dec", "5", "")]
     return spark.createDataFrame(rows, "id int, y string, m string, d string, f string").select("id", T.feed_date(F.col("y"), F.col("m"), F.col("d"), F.col("f")).alias("date"))
 
@@ -377,7 +377,7 @@ def digest_snapshot_numbers(spark: SparkSession, sf_dir: str) -> Frame:
     return E.snapshot_items(E.pending(_items(spark, sf_dir), 40)).select("n", "pmid", "url_doi")
 
 
-def digest_payload_json(spark: SparkSession, sf_dir: str) -> Frame:
+def example_digest_payload_json(spark: SparkSession, sf_dir: str) -> Frame:
     return spark.createDataFrame(B.ANSWERS, "id int, text string").select("id", E.payload(F.col("text")).alias("p")).select("id", "p.*")
 
 
@@ -386,7 +386,7 @@ def event_props_json(spark: SparkSession, sf_dir: str) -> Frame:
     return table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("long").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
 
 
-def digest_brief_verdict(spark: SparkSession, sf_dir: str) -> Frame:
+def example_digest_brief_verdict(spark: SparkSession, sf_dir: str) -> Frame:
     return spark.createDataFrame(B.BRIEFS, "id int, text string").select("id", E.brief_verdict(F.col("text")).alias("v")).select("id", "v.mark", "v.why")
 
 
@@ -447,7 +447,7 @@ def column_histogram(spark: SparkSession, sf_dir: str) -> Frame:
     return L.histogram(rows)
 
 
-def rect_containment_semi(spark: SparkSession, sf_dir: str) -> Frame:
+def example_rect_containment_semi(spark: SparkSession, sf_dir: str) -> Frame:
     rects = spark.createDataFrame(B.RECTS, "doc_id string, page int, x0 double, y0 double, x1 double, y1 double")
     lines = spark.createDataFrame(B.BOX_LINES, "doc_id string, page int, y0 double, x0 double, x1 double, text string")
     return L.in_rects(lines, rects).select("doc_id", "page", "text", "in_rect")
@@ -461,19 +461,19 @@ def word_budget(spark: SparkSession, sf_dir: str) -> Frame:
     return S.word_budget(segments(spark, sf_dir), 200).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("words_before").cast("long").alias("before"))
 
 
-def term_stats(spark: SparkSession, sf_dir: str) -> Frame:
+def example_term_stats(spark: SparkSession, sf_dir: str) -> Frame:
     return G.stats(_terms(spark))
 
 
-def term_search(spark: SparkSession, sf_dir: str) -> Frame:
+def example_term_search(spark: SparkSession, sf_dir: str) -> Frame:
     return G.search(_terms(spark), "THE").select("term", "mode")
 
 
-def prompt_block(spark: SparkSession, sf_dir: str) -> Frame:
+def example_prompt_block(spark: SparkSession, sf_dir: str) -> Frame:
     return G.prompt_block(_terms(spark))
 
 
-def signatures(spark: SparkSession, sf_dir: str) -> Frame:
+def example_signatures(spark: SparkSession, sf_dir: str) -> Frame:
     return _terms(spark).select("term", G.signature().alias("signature"))
 
 
@@ -495,74 +495,74 @@ def stage_resume(spark: SparkSession, sf_dir: str) -> Frame:
     return C.resume(segs, done).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-def html_sections(spark: SparkSession, sf_dir: str) -> Frame:
+def example_html_sections(spark: SparkSession, sf_dir: str) -> Frame:
     """Segments of pages with nested sections, figures, lists and tables."""
     pages = spark.createDataFrame(B.NESTED_PAGES, "doc_id string, html string")
     return S.section_html(pages).select("doc_id", "sid", "sec_heading", "sec_level", "src_text", "is_figure")
 
 
-def html_sections_web(spark: SparkSession, sf_dir: str) -> Frame:
+def example_html_sections_web(spark: SparkSession, sf_dir: str) -> Frame:
     pages = spark.createDataFrame(B.NESTED_PAGES, "doc_id string, html string")
     return S.section_html(pages, "web").select("doc_id", "sid", F.col("index").cast("int").alias("index"))
 
 
-def page_sections(spark: SparkSession, sf_dir: str) -> Frame:
+def html_sections(spark: SparkSession, sf_dir: str) -> Frame:
     """Segments of all pages, set in sections with sub-headings, captions and tables."""
     got = S.section_html(B.sectioned_pages(spark, sf_dir))
     return got.select("doc_id", "sid", "sec_heading", "sec_level", F.col("index").cast("int").alias("index"), F.col("seg_pos").cast("int").alias("seg_pos"), F.md5("src_text").alias("md5"), "n_words", "is_figure", "fig_label")
 
 
-def page_sections_browser(spark: SparkSession, sf_dir: str) -> Frame:
+def html_sections_web(spark: SparkSession, sf_dir: str) -> Frame:
     """Segments of all pages by the browser's rule: abstract, sections, captions, boxes with lists."""
     got = S.browser_html(B.browser_pages(spark, sf_dir))
     return got.select("doc_id", "sid", "sec_heading", "sec_level", F.col("index").cast("int").alias("index"), F.md5("src_text").alias("md5"), "n_words", "is_figure", "in_box", "fig_label")
 
 
-def page_health(spark: SparkSession, sf_dir: str) -> Frame:
+def health_of_sections(spark: SparkSession, sf_dir: str) -> Frame:
     """Cleanliness and warnings of all pages by their sections."""
     return S.health(S.section_html(B.sectioned_pages(spark, sf_dir)))
 
 
-def html_entities(spark: SparkSession, sf_dir: str) -> Frame:
+def example_html_entities(spark: SparkSession, sf_dir: str) -> Frame:
     return spark.createDataFrame([(i, t) for i, t, _ in B.ENTITIES], "id int, text string").select("id", T.unescape(F.col("text")).alias("text"))
 
 
-def line_layout(spark: SparkSession, sf_dir: str) -> Frame:
+def example_line_layout(spark: SparkSession, sf_dir: str) -> Frame:
     """Body size and font, columns and their left edges of laid-out lines."""
     lines, rects, width = B.laid_out(spark)
     got = L.layout(L.in_rects(lines, rects), width)
     return got.select("doc_id", "body_size", "body_font", "n_columns", "split_x", F.array_join(F.col("bases").cast("array<int>").cast("array<string>"), ",").alias("bases"))
 
 
-def line_kinds(spark: SparkSession, sf_dir: str) -> Frame:
+def example_line_kinds(spark: SparkSession, sf_dir: str) -> Frame:
     lines, rects, width = B.laid_out(spark)
     return L.classify(L.in_rects(lines, rects), L.layout(lines, width)).select("page", "y0", "x0", "kind")
 
 
-def line_segments(spark: SparkSession, sf_dir: str) -> Frame:
+def example_line_segments(spark: SparkSession, sf_dir: str) -> Frame:
     """Segments of laid-out lines: columns, headings, run-in headings, captions, paragraphs."""
     got = L.segment_lines(*B.laid_out(spark))
     return got.select("sid", "sec_heading", "sec_level", F.col("page").cast("int").alias("page"), "src_text")
 
 
-def line_title(spark: SparkSession, sf_dir: str) -> Frame:
+def example_line_title(spark: SparkSession, sf_dir: str) -> Frame:
     lines, rects, width = B.laid_out(spark)
     return L.title(L.reading_order(L.classify(L.in_rects(lines, rects), L.layout(lines, width))))
 
 
-def typeset_layout(spark: SparkSession, sf_dir: str) -> Frame:
+def line_layout(spark: SparkSession, sf_dir: str) -> Frame:
     """Body size and font, columns and their left edges of all documents, typeset."""
     _, got = L.classified(*B.typeset(spark, sf_dir))
     return got.select("doc_id", "body_size", "body_font", F.col("n_columns").cast("int").alias("n_columns"), F.round("split_x", 4).alias("split_x"), F.array_join(F.transform("bases", lambda b: F.round(b, 2).cast("string")), ",").alias("bases"))
 
 
-def typeset_kinds(spark: SparkSession, sf_dir: str) -> Frame:
+def line_kinds(spark: SparkSession, sf_dir: str) -> Frame:
     """Kinds of all typeset lines: headings, run-in headings, captions and their continuations, boxed regions, junk."""
     got, _ = L.classified(*B.typeset(spark, sf_dir))
     return got.select("doc_id", "page", "y0", "x0", "kind", F.col("pos").cast("int").alias("pos"), F.coalesce("runin_head", F.lit("")).alias("runin_head"))
 
 
-def typeset_segments(spark: SparkSession, sf_dir: str) -> Frame:
+def line_segments(spark: SparkSession, sf_dir: str) -> Frame:
     """Segments of all typeset documents."""
     got = L.segment_spans(*B.typeset(spark, sf_dir))
     return got.select("doc_id", "sid", "sec_heading", "sec_level", F.col("page").cast("int").alias("page"), F.md5("src_text").alias("md5"), "n_words", "indented", F.col("col").cast("int").alias("col"))
@@ -573,67 +573,67 @@ def _said(spark: SparkSession, sf_dir: str) -> tuple[Frame, Frame, Frame]:
     return A.definitions(texts), texts, glossary
 
 
-def doc_abbr_defs(spark: SparkSession, sf_dir: str) -> Frame:
+def abbr_defs(spark: SparkSession, sf_dir: str) -> Frame:
     """What all documents define."""
     return _said(spark, sf_dir)[0].select("doc_id", "abbr", "full")
 
 
-def doc_abbr_audit(spark: SparkSession, sf_dir: str) -> Frame:
+def abbr_audit_priority_join(spark: SparkSession, sf_dir: str) -> Frame:
     """The abbreviations that each document defines and uses, and their glossary entries."""
     return A.audit(*_said(spark, sf_dir))
 
 
-def doc_abbr_undefined(spark: SparkSession, sf_dir: str) -> Frame:
+def abbr_undefined(spark: SparkSession, sf_dir: str) -> Frame:
     d, _, g = _said(spark, sf_dir)
     return A.undefined(g, d.where("cast(doc_id as long) % 2 = 1")).select("term", "zh")
 
 
-def doc_homonyms(spark: SparkSession, sf_dir: str) -> Frame:
+def homonym_conflicts(spark: SparkSession, sf_dir: str) -> Frame:
     d, _, g = _said(spark, sf_dir)
     return A.conflict_report(g, d)
 
 
-def doc_disambiguated(spark: SparkSession, sf_dir: str) -> Frame:
+def disambiguate(spark: SparkSession, sf_dir: str) -> Frame:
     d, t, g = _said(spark, sf_dir)
     return A.disambiguate(d, g, t).select("doc_id", "abbr", "full", "n", "ord", "verdict", "reusable_zh")
 
 
-def doc_pending_terms(spark: SparkSession, sf_dir: str) -> Frame:
+def pending_terms(spark: SparkSession, sf_dir: str) -> Frame:
     return G.pending_terms(_said(spark, sf_dir)[0])
 
 
-def doc_terms_resolved(spark: SparkSession, sf_dir: str) -> Frame:
+def glossary_resolve(spark: SparkSession, sf_dir: str) -> Frame:
     """The glossary of every document, of global, source and own entries."""
     return G.resolve(*B.scoped_terms(spark, sf_dir)).select("doc_id", "key", "zh", "scope", "rank")
 
 
-def doc_term_conflicts(spark: SparkSession, sf_dir: str) -> Frame:
+def glossary_conflicts(spark: SparkSession, sf_dir: str) -> Frame:
     got = G.conflicts(*B.scoped_terms(spark, sf_dir))
     return got.select("doc_id", "key", "rank", F.size("entries").alias("n"), F.array_join(F.transform("entries", lambda e: e["zh"]), "/").alias("zh"))
 
 
-def doc_terms_merged(spark: SparkSession, sf_dir: str) -> Frame:
+def glossary_merged_anti_union(spark: SparkSession, sf_dir: str) -> Frame:
     """Entries of the sources, and the global ones that none of them overrides."""
     t, _ = B.scoped_terms(spark, sf_dir)
     return G.merged(t.where("scope like 'field:%'"), t.where("scope = 'global'")).select("ord", "term", "zh", "scope")
 
 
-def scope_prompts(spark: SparkSession, sf_dir: str) -> Frame:
+def prompt_block(spark: SparkSession, sf_dir: str) -> Frame:
     """The prompt block of every scope's entries."""
     t, _ = B.scoped_terms(spark, sf_dir)
     return G.prompt_block(t, keys=("scope",)).select("scope", F.md5("block").alias("md5"))
 
 
-def scope_term_stats(spark: SparkSession, sf_dir: str) -> Frame:
+def term_stats(spark: SparkSession, sf_dir: str) -> Frame:
     return G.stats(B.scoped_terms(spark, sf_dir)[0])
 
 
-def scope_term_search(spark: SparkSession, sf_dir: str) -> Frame:
+def term_search(spark: SparkSession, sf_dir: str) -> Frame:
     t, _ = B.scoped_terms(spark, sf_dir)
     return G.search(t.withColumn("aliases", F.array(F.concat(F.lit("x"), "zh"))), "on_2", G.HARD).select("ord", "term", "scope")
 
 
-def doc_hard_replace(spark: SparkSession, sf_dir: str) -> Frame:
+def hard_replace_by_document(spark: SparkSession, sf_dir: str) -> Frame:
     """A sentence on two nations for each document, by the document's own glossary: prefixed, plain and in brackets."""
     docs = table(spark, sf_dir, "documents")
     n = table(spark, sf_dir, "nation")
@@ -646,7 +646,7 @@ def doc_hard_replace(spark: SparkSession, sf_dir: str) -> Frame:
     return G.replaced_by_document(rows.select("doc_id", "zh"), own).select("doc_id", "zh")
 
 
-def doc_entities(spark: SparkSession, sf_dir: str) -> Frame:
+def html_entities(spark: SparkSession, sf_dir: str) -> Frame:
     """Every document's text, escaped by names, decimal and hexadecimal numbers, and read back."""
     s = F.replace(F.col("text"), F.lit("&"), F.lit("&amp;"))
     for c, e in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("é", "&#233;"), ("ü", "&#xFC;"), ("ó", "&#Xf3;"), ("$", "&#36;")):
@@ -654,13 +654,13 @@ def doc_entities(spark: SparkSession, sf_dir: str) -> Frame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.unescape(s)).alias("md5"), F.length(s).alias("n_escaped"))
 
 
-def doc_reading_length(spark: SparkSession, sf_dir: str) -> Frame:
+def digest_brief_verdict(spark: SparkSession, sf_dir: str) -> Frame:
     """The length as read, and the verdict on it, of every document's text."""
     rows = table(spark, sf_dir, "documents").select("doc_id", T.reading_length(F.col("text")).alias("n"), E.brief_verdict(F.col("text")).alias("v"))
     return rows.select("doc_id", "n", "v.mark", "v.why")
 
 
-def doc_numbers_normal(spark: SparkSession, sf_dir: str) -> Frame:
+def normalize_numbers(spark: SparkSession, sf_dir: str) -> Frame:
     """Sizes of documents in full-width digits with full-width separators, and words doubled across a blank, made normal."""
     k = F.col("n_chars") * 1009 + F.col("doc_id")
     digits = F.translate(k.cast("string"), "0123456789", "０１２３４５６７８９")
@@ -669,7 +669,7 @@ def doc_numbers_normal(spark: SparkSession, sf_dir: str) -> Frame:
     return table(spark, sf_dir, "documents").select("doc_id", T.normalize_zh(text).alias("text"))
 
 
-def event_dates(spark: SparkSession, sf_dir: str) -> Frame:
+def feed_dates(spark: SparkSession, sf_dir: str) -> Frame:
     """Dates of events, given in parts or in words as feeds do, some of them broken."""
     d, k = F.col("ts"), F.col("event_id")
     year, month, day = F.date_format(d, "yyyy"), F.date_format(d, "MMM"), F.date_format(d, "d")
@@ -678,7 +678,7 @@ def event_dates(spark: SparkSession, sf_dir: str) -> Frame:
     return table(spark, sf_dir, "events").select("event_id", got.alias("date"))
 
 
-def event_payloads(spark: SparkSession, sf_dir: str) -> Frame:
+def digest_payload_json(spark: SparkSession, sf_dir: str) -> Frame:
     """Answers of a provider on events: fenced, wrapped in prose, partial and broken JSON, read and judged."""
     k = F.col("event_id")
     body = F.concat(F.lit('{"title_zh": " 题'), k.cast("string"), F.lit('", "brief": "'), F.repeat(F.lit("句"), (k % 40).cast("int")), F.repeat(F.lit("，"), (k % 3).cast("int")), F.lit('"'), F.when(k % 2 == 0, ', "detail": "细"').otherwise(""), F.lit("}"))
@@ -687,22 +687,22 @@ def event_payloads(spark: SparkSession, sf_dir: str) -> Frame:
     return rows.withColumn("v", E.brief_verdict(F.col("brief"))).select("event_id", "title_zh", F.length("brief").alias("n"), "detail", "v.mark", "v.why")
 
 
-def chat_models(spark: SparkSession, sf_dir: str) -> Frame:
+def example_chat_models(spark: SparkSession, sf_dir: str) -> Frame:
     return R.models(spark.createDataFrame([(m,) for m in B.MODELS], "name string"))
 
 
-def hard_replace_by_document(spark: SparkSession, sf_dir: str) -> Frame:
+def example_hard_replace_by_document(spark: SparkSession, sf_dir: str) -> Frame:
     """Each translation by its own document's resolved glossary."""
     rows = spark.createDataFrame([r[:3] for r in B.TRANSLATED], "doc_id string, id int, zh string")
     return G.replaced_by_document(rows, G.resolve(*_scoped(spark))).select("doc_id", "id", "zh")
 
 
-def mined_terms(spark: SparkSession, sf_dir: str) -> Frame:
+def example_mined_terms(spark: SparkSession, sf_dir: str) -> Frame:
     got = G.mined(spark.createDataFrame(B.MINED, "doc_id string, text string"))
     return got.select("doc_id", "term", "zh", "mode", "note", F.array_join("aliases", ",").alias("aliases"), "scope", "status")
 
 
-def pending_terms(spark: SparkSession, sf_dir: str) -> Frame:
+def example_pending_terms(spark: SparkSession, sf_dir: str) -> Frame:
     return G.pending_terms(_defs(spark)[0])
 
 
@@ -745,20 +745,20 @@ def script_positions(spark: SparkSession, sf_dir: str) -> Frame:
     return C.staged(rows, "first", "rest").select("doc_id", "seg_pos", F.col("seg_idx").cast("int").alias("seg_idx"), "total_segs", "stage")
 
 
-def title_heuristics(spark: SparkSession, sf_dir: str) -> Frame:
+def example_title_heuristics(spark: SparkSession, sf_dir: str) -> Frame:
     return spark.createDataFrame(B.PAPER_TITLES, "id int, title string").select("id", X.rewritten_title(F.col("title")).alias("title"))
 
 
-def default_terms(spark: SparkSession, sf_dir: str) -> Frame:
+def example_default_terms(spark: SparkSession, sf_dir: str) -> Frame:
     return G.stats(X.default_terms(spark))
 
 
-def landing_examples(spark: SparkSession, sf_dir: str) -> Frame:
+def example_landing_examples(spark: SparkSession, sf_dir: str) -> Frame:
     rows = spark.createDataFrame(B.LANDED, "doc_id string, sid string, seg_pos int, src_text string, zh string")
     return G.landing_examples(rows, G.terms_frame(spark, B.LANDED_TERMS))
 
 
-def health_of_sections(spark: SparkSession, sf_dir: str) -> Frame:
+def example_health_of_sections(spark: SparkSession, sf_dir: str) -> Frame:
     pages = spark.createDataFrame(B.NESTED_PAGES, "doc_id string, html string")
     return S.health(S.section_html(pages)).select("doc_id", "warnings")
 
@@ -769,4 +769,13 @@ def page_widths(spark: SparkSession, sf_dir: str) -> Frame:
 
 
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k != "queries"}
+    return {k: f for k, f in _own().items() if not k.startswith("example_")}
+
+
+def examples() -> dict:
+    """The same operators on small rows of which the result is known: they read no table and are run by the tests alone."""
+    return {k.removeprefix("example_"): f for k, f in _own().items() if k.startswith("example_")}
+
+
+def _own() -> dict:
+    return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k not in ("queries", "examples")}

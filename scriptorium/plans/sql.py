@@ -114,44 +114,44 @@ VERDICT = """CASE WHEN length(trim({0})) = 0 THEN '❌' WHEN {1} > 25 OR {2} > 1
 
 
 SQL = {
-    "doc_abbr_defs": f"WITH {SAID} SELECT doc_id, abbr, fname AS \"full\" FROM defs",
-    "doc_abbr_audit": f"""WITH {SAID}, g AS (SELECT lower(trim(term)) AS key, arg_max(zh, ord) AS zh FROM gl GROUP BY 1),
+    "abbr_defs": f"WITH {SAID} SELECT doc_id, abbr, fname AS \"full\" FROM defs",
+    "abbr_audit_priority_join": f"""WITH {SAID}, g AS (SELECT lower(trim(term)) AS key, arg_max(zh, ord) AS zh FROM gl GROUP BY 1),
         f AS (SELECT doc_id, abbr, arg_min(g.zh, i) AS zh FROM (SELECT doc_id, abbr, unnest(fulls) AS fname, generate_subscripts(fulls, 1) AS i FROM used) JOIN g ON g.key = lower(fname) GROUP BY 1, 2)
         SELECT doc_id, abbr, n, array_to_string(fulls, ' / ') AS full_names, coalesce(g.zh, f.zh) IS NOT NULL AS in_glossary, coalesce(g.zh, f.zh) AS glossary_zh, len(fulls) > 1 AS ambiguous,
                CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, abbr) AS INTEGER) AS rank FROM used LEFT JOIN g ON g.key = lower(abbr) LEFT JOIN f USING (doc_id, abbr)""",
-    "doc_abbr_undefined": f"WITH {SAID} SELECT term, zh FROM gl WHERE regexp_full_match(term, '[A-Z][A-Za-z0-9]{{1,7}}') AND term NOT IN (SELECT abbr FROM defs WHERE CAST(doc_id AS BIGINT) % 2 = 1)",
-    "doc_homonyms": f"""WITH {SAID} SELECT doc_id, abbr, zh, array_to_string(fulls, ' / ') AS fulls, CASE WHEN full_en = '' THEN 'todo' WHEN list_contains(fulls, full_en) THEN 'ok' ELSE 'conflict' END AS verdict
+    "abbr_undefined": f"WITH {SAID} SELECT term, zh FROM gl WHERE regexp_full_match(term, '[A-Z][A-Za-z0-9]{{1,7}}') AND term NOT IN (SELECT abbr FROM defs WHERE CAST(doc_id AS BIGINT) % 2 = 1)",
+    "homonym_conflicts": f"""WITH {SAID} SELECT doc_id, abbr, zh, array_to_string(fulls, ' / ') AS fulls, CASE WHEN full_en = '' THEN 'todo' WHEN list_contains(fulls, full_en) THEN 'ok' ELSE 'conflict' END AS verdict
         FROM gl JOIN used ON abbr = term""",
-    "doc_disambiguated": f"""WITH {SAID}, l AS (SELECT doc_id, abbr, n, list_sort([struct_pack(k := length(f), f := f) FOR f IN fulls], 'DESC')[1].f AS fname FROM used WHERE n >= 2)
+    "disambiguate": f"""WITH {SAID}, l AS (SELECT doc_id, abbr, n, list_sort([struct_pack(k := length(f), f := f) FOR f IN fulls], 'DESC')[1].f AS fname FROM used WHERE n >= 2)
         SELECT doc_id, abbr, fname AS "full", CAST(n AS BIGINT) AS n, CAST(g.ord AS INTEGER) AS ord, CASE WHEN g.zh IS NULL OR g.full_en = '' THEN 'unknown' WHEN g.full_en = fname THEN 'resolved' ELSE 'conflict' END AS verdict,
                (SELECT arg_min(o.zh, o.ord) FROM gl o WHERE o.full_en = fname AND o.full_en <> '' AND o.ord IS DISTINCT FROM g.ord) AS reusable_zh FROM l LEFT JOIN gl g ON g.term = abbr""",
-    "doc_pending_terms": f"WITH {SAID} SELECT doc_id, abbr AS term, min(fname) AS full_en, '【待审核: ' || min(fname) || '】' AS zh FROM defs GROUP BY 1, 2",
-    "doc_terms_resolved": f"WITH {ENTRIES} SELECT doc_id, key, zh, scope, CAST(rank AS INTEGER) AS rank FROM rs",
-    "doc_term_conflicts": f"WITH {ENTRIES} SELECT doc_id, key, CAST(rank AS INTEGER) AS rank, CAST(count(*) AS INTEGER) AS n, string_agg(zh, '/' ORDER BY ord) AS zh FROM rk GROUP BY 1, 2, 3 HAVING count(DISTINCT zh) > 1",
-    "doc_terms_merged": f"WITH {ENTRIES} SELECT ord, term, zh, scope FROM en WHERE scope LIKE 'field:%' OR (scope = 'global' AND lower(trim(term)) NOT IN (SELECT lower(trim(term)) FROM en WHERE scope LIKE 'field:%'))",
-    "scope_prompts": f"""WITH {ENTRIES} SELECT scope, md5(string_agg(CASE WHEN mode = 'prompt_hint' THEN '- ' || term || ' -> 「' || zh || '」' || CASE WHEN note <> '' THEN '（' || note || '）' ELSE '' END
+    "pending_terms": f"WITH {SAID} SELECT doc_id, abbr AS term, min(fname) AS full_en, '【待审核: ' || min(fname) || '】' AS zh FROM defs GROUP BY 1, 2",
+    "glossary_resolve": f"WITH {ENTRIES} SELECT doc_id, key, zh, scope, CAST(rank AS INTEGER) AS rank FROM rs",
+    "glossary_conflicts": f"WITH {ENTRIES} SELECT doc_id, key, CAST(rank AS INTEGER) AS rank, CAST(count(*) AS INTEGER) AS n, string_agg(zh, '/' ORDER BY ord) AS zh FROM rk GROUP BY 1, 2, 3 HAVING count(DISTINCT zh) > 1",
+    "glossary_merged_anti_union": f"WITH {ENTRIES} SELECT ord, term, zh, scope FROM en WHERE scope LIKE 'field:%' OR (scope = 'global' AND lower(trim(term)) NOT IN (SELECT lower(trim(term)) FROM en WHERE scope LIKE 'field:%'))",
+    "prompt_block": f"""WITH {ENTRIES} SELECT scope, md5(string_agg(CASE WHEN mode = 'prompt_hint' THEN '- ' || term || ' -> 「' || zh || '」' || CASE WHEN note <> '' THEN '（' || note || '）' ELSE '' END
         ELSE '- ' || term || ' -> 「' || zh || '」（统一用此译名）' END, chr(10) ORDER BY ord)) AS md5 FROM en WHERE status <> 'rejected' GROUP BY 1""",
-    "scope_term_stats": f"WITH {ENTRIES} SELECT count(*) AS total, count(*) FILTER (WHERE mode = 'hard_replace') AS hard, count(*) FILTER (WHERE mode = 'prompt_hint') AS hint, count(*) FILTER (WHERE scope LIKE 'doc:%') AS doc_terms FROM en",
-    "scope_term_search": f"WITH {ENTRIES} SELECT ord, term, scope FROM en WHERE mode = 'hard_replace' AND (contains(lower(term), 'on_2') OR contains(lower(zh), 'on_2'))",
-    "doc_hard_replace": f"""WITH {ENTRIES}, p AS (SELECT d.doc_id, a.term AS u0, b.term AS u1, {LETTERS.format('a.term')} AS t0, {LETTERS.format('b.term')} AS t1 FROM dd d JOIN nk a ON a.k = d.id % 25 JOIN nk b ON b.k = (d.id + 1 + d.id % 7) % 25),
+    "term_stats": f"WITH {ENTRIES} SELECT count(*) AS total, count(*) FILTER (WHERE mode = 'hard_replace') AS hard, count(*) FILTER (WHERE mode = 'prompt_hint') AS hint, count(*) FILTER (WHERE scope LIKE 'doc:%') AS doc_terms FROM en",
+    "term_search": f"WITH {ENTRIES} SELECT ord, term, scope FROM en WHERE mode = 'hard_replace' AND (contains(lower(term), 'on_2') OR contains(lower(zh), 'on_2'))",
+    "hard_replace_by_document": f"""WITH {ENTRIES}, p AS (SELECT d.doc_id, a.term AS u0, b.term AS u1, {LETTERS.format('a.term')} AS t0, {LETTERS.format('b.term')} AS t1 FROM dd d JOIN nk a ON a.k = d.id % 25 JOIN nk b ON b.k = (d.id + 1 + d.id % 7) % 25),
         z AS (SELECT p.*, x.zh AS z0, y.zh AS z1 FROM p LEFT JOIN rs x ON x.doc_id = p.doc_id AND x.key = lower(u0) AND x.mode = 'hard_replace' LEFT JOIN rs y ON y.doc_id = p.doc_id AND y.key = lower(u1) AND y.mode = 'hard_replace')
         SELECT doc_id, '在 ' || coalesce(z0, t0) || ' 与 ' || CASE WHEN z0 IS NOT NULL AND regexp_full_match(t0, '[A-Z][A-Za-z0-9]{{0,7}}') THEN '前部' || z0 ELSE 'a' || t0 END || ' 及 x' || t1 || 'y（' || coalesce(z1, t1) || '）' AS zh FROM z""",
-    "doc_entities": """SELECT doc_id, md5(text) AS md5, CAST(length(text) + 4 * (length(text) - length(replace(text, '&', ''))) + 3 * (length(text) - length(translate(text, '<>', '')))
+    "html_entities": """SELECT doc_id, md5(text) AS md5, CAST(length(text) + 4 * (length(text) - length(replace(text, '&', ''))) + 3 * (length(text) - length(translate(text, '<>', '')))
         + 5 * (length(text) - length(translate(text, '"éüó', ''))) + 4 * (length(text) - length(replace(text, '$', ''))) AS INTEGER) AS n_escaped FROM documents""",
-    "doc_reading_length": rf"""WITH r AS (SELECT doc_id, text, coalesce(CAST(length(regexp_replace(regexp_replace(text, '[A-Za-z0-9][A-Za-z0-9\-.]*', 'X', 'g'), '[\s\x0B\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', '', 'g')) AS INTEGER), 0) AS n,
+    "digest_brief_verdict": rf"""WITH r AS (SELECT doc_id, text, coalesce(CAST(length(regexp_replace(regexp_replace(text, '[A-Za-z0-9][A-Za-z0-9\-.]*', 'X', 'g'), '[\s\x0B\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', '', 'g')) AS INTEGER), 0) AS n,
         length(text) - length(translate(text, '，,', '')) AS c FROM documents) SELECT doc_id, n, {VERDICT.format("coalesce(text, '')", 'n', 'c')} FROM r""",
-    "doc_numbers_normal": """WITH k AS (SELECT doc_id, n_chars * 1009 + doc_id AS k FROM documents)
+    "normalize_numbers": """WITH k AS (SELECT doc_id, n_chars * 1009 + doc_id AS k FROM documents)
         SELECT doc_id, '共 ' || (k // 1000000) || ',' || lpad(CAST(k // 1000 % 1000 AS VARCHAR), 3, '0') || ',' || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') || ' 例 任务任务 里，第 ' || k || ' 组，分 1，2，3 组' AS text FROM k""",
-    "event_dates": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN strftime(ts, '%Y') WHEN 3 THEN strftime(ts, '%Y-%m') || '-00'
+    "feed_dates": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN strftime(ts, '%Y') WHEN 3 THEN strftime(ts, '%Y-%m') || '-00'
         WHEN 4 THEN strftime(ts, '%Y-%m') ELSE 'Winter ' || strftime(ts, '%Y') END AS date FROM events""",
-    "event_payloads": f"""WITH p AS (SELECT event_id, event_id % 5 <> 2 AS good, repeat('句', CAST(event_id % 40 AS INTEGER)) || repeat('，', CAST(event_id % 3 AS INTEGER)) AS b FROM events),
+    "digest_payload_json": f"""WITH p AS (SELECT event_id, event_id % 5 <> 2 AS good, repeat('句', CAST(event_id % 40 AS INTEGER)) || repeat('，', CAST(event_id % 3 AS INTEGER)) AS b FROM events),
         q AS (SELECT event_id, CASE WHEN good THEN '题' || event_id ELSE '' END AS title_zh, CASE WHEN good THEN b ELSE '' END AS b, CASE WHEN good AND event_id % 2 = 0 THEN '细' ELSE '' END AS detail,
               CASE WHEN good THEN CAST(length(b) AS INTEGER) ELSE 0 END AS n, CASE WHEN good THEN event_id % 3 ELSE 0 END AS c FROM p)
         SELECT event_id, title_zh, n, detail, {VERDICT.format('b', 'n', 'c')} FROM q""",
-    "typeset_layout": f"""WITH {TYPESET} SELECT doc_id, CAST(bs AS DOUBLE) AS body_size, body_font, n_columns, CAST(round(split_x, 4) AS DOUBLE) AS split_x,
+    "line_layout": f"""WITH {TYPESET} SELECT doc_id, CAST(bs AS DOUBLE) AS body_size, body_font, n_columns, CAST(round(split_x, 4) AS DOUBLE) AS split_x,
         CAST(round(CAST(base0 AS DOUBLE), 2) AS VARCHAR) || CASE WHEN n_columns = 2 THEN ',' || CAST(round(CAST(base1 AS DOUBLE), 2) AS VARCHAR) ELSE '' END AS bases FROM lay""",
-    "typeset_kinds": f"""WITH {TYPESET} SELECT doc_id, page, CAST(y0 AS DOUBLE) AS y0, CAST(x0 AS DOUBLE) AS x0, kind, CAST(pos AS INTEGER) AS pos, CASE WHEN kind = 'runin' THEN trim(lead) ELSE '' END AS runin_head FROM kd""",
-    "typeset_segments": rf"""WITH {TYPESET}, ed AS (SELECT doc_id, pos, s[CAST(floor(len(s) * 0.85) AS INTEGER) + 1] AS edge FROM (SELECT doc_id, pos, list_sort([o.x1 FOR o IN near IF o.page = p2 AND o.col = c2]) AS s FROM (
+    "line_kinds": f"""WITH {TYPESET} SELECT doc_id, page, CAST(y0 AS DOUBLE) AS y0, CAST(x0 AS DOUBLE) AS x0, kind, CAST(pos AS INTEGER) AS pos, CASE WHEN kind = 'runin' THEN trim(lead) ELSE '' END AS runin_head FROM kd""",
+    "line_segments": rf"""WITH {TYPESET}, ed AS (SELECT doc_id, pos, s[CAST(floor(len(s) * 0.85) AS INTEGER) + 1] AS edge FROM (SELECT doc_id, pos, list_sort([o.x1 FOR o IN near IF o.page = p2 AND o.col = c2]) AS s FROM (
             SELECT doc_id, pos, page AS p2, col AS c2, list(struct_pack(page := page, col := col, x1 := x1)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM kd WHERE kind IN ('body', 'runin')))
             WHERE len(s) >= 5),
         rw AS (SELECT kd.*, edge, CASE WHEN kind = 'runin' THEN trim(rest) ELSE txt END AS body FROM kd LEFT JOIN ed USING (doc_id, pos) WHERE kind IN ('h1', 'h2', 'runin', 'body')),
@@ -171,9 +171,9 @@ SQL = {
         un AS (SELECT *, CASE WHEN k > 1 THEN base_path || '-' || k ELSE base_path END AS path FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id, base_path ORDER BY sec_no) AS k FROM ok))
         SELECT doc_id, doc_id || '#' || path || '#' || printf('%02d', row_number() OVER (PARTITION BY doc_id, path ORDER BY sec_no, para)) AS sid, hd AS sec_heading, lv AS sec_level, page, md5(t) AS md5,
                CAST(len(regexp_extract_all(t, '[A-Za-z][A-Za-z''\-]*')) AS INTEGER) AS n_words, indented, col FROM un""",
-    "page_sections": f"""WITH {SECTIONED} SELECT doc_id, doc_id || '#' || path || '#' || CASE WHEN fig THEN 'fig' ELSE '' END || printf('%02d', idx) AS sid, heading AS sec_heading, sub + 1 AS sec_level, idx AS index, seg_pos,
+    "html_sections": f"""WITH {SECTIONED} SELECT doc_id, doc_id || '#' || path || '#' || CASE WHEN fig THEN 'fig' ELSE '' END || printf('%02d', idx) AS sid, heading AS sec_heading, sub + 1 AS sec_level, idx AS index, seg_pos,
         md5(src_text) AS md5, CAST(n_words AS INTEGER) AS n_words, fig AS is_figure, CASE WHEN fig THEN 'Fig. ' || i ELSE '' END AS fig_label FROM z""",
-    "page_sections_browser": f"""WITH {FLAT}, r AS (SELECT page_id AS doc_id, seg_pos - 1 AS i, src_text AS t, (seg_pos - 1) // 5 AS k, (seg_pos - 1) % 5 AS m,
+    "html_sections_web": f"""WITH {FLAT}, r AS (SELECT page_id AS doc_id, seg_pos - 1 AS i, src_text AS t, (seg_pos - 1) // 5 AS k, (seg_pos - 1) % 5 AS m,
             lead(src_text) OVER w AS t1, lead(src_text, 2) OVER w AS t2 FROM flat WINDOW w AS (PARTITION BY page_id ORDER BY seg_pos)),
         q AS (SELECT doc_id, i, k, m, CASE WHEN m = 2 AND k = 0 THEN 'Criteria 2:' WHEN m = 2 THEN 'Criteria ' || i || ': 1. ' || t || coalesce('; 2. ' || t1, '') || coalesce('; x). ' || t2, '') ELSE t END AS t FROM r
               WHERE m <= 2 OR (m = 3 AND k = 0)),
@@ -181,7 +181,7 @@ SQL = {
         SELECT doc_id, doc_id || ':s' || printf('%03d', k) || CASE WHEN k = 0 THEN '-abstract' ELSE '-part-' || k END || ':p' || printf('%02d', p) AS sid, CASE WHEN k = 0 THEN 'Abstract' ELSE 'Part ' || k END AS sec_heading,
                CASE WHEN k % 2 = 1 THEN 2 ELSE 1 END AS sec_level, CAST(pos AS INTEGER) AS index, md5(t) AS md5, CAST(len(regexp_extract_all(t, '[A-Za-z0-9\\-'']+')) AS INTEGER) AS n_words,
                k > 0 AND m = 1 AS is_figure, k > 0 AND m = 2 AS in_box, CASE WHEN k > 0 AND m = 1 THEN 'Fig ' || k ELSE '' END AS fig_label FROM z""",
-    "page_health": f"""WITH {SECTIONED}, g AS (SELECT doc_id, count(*) AS segments, count(*) FILTER (WHERE regexp_matches(src_text, '^\\p{{Ll}}')) AS lower_starts,
+    "health_of_sections": f"""WITH {SECTIONED}, g AS (SELECT doc_id, count(*) AS segments, count(*) FILTER (WHERE regexp_matches(src_text, '^\\p{{Ll}}')) AS lower_starts,
             count(*) FILTER (WHERE NOT regexp_matches(regexp_replace(src_text, '["’”)]+$', ''), '[.?!:]$')) AS open_ends, CAST(max(n_words) AS INTEGER) AS max_words,
             count(DISTINCT heading) FILTER (WHERE sub = 0) AS heads FROM z GROUP BY 1)
         SELECT doc_id, segments, lower_starts, open_ends, max_words, round(1 - (lower_starts + open_ends) / (2.0 * segments), 4) AS cleanliness,
@@ -218,9 +218,9 @@ SQL = {
     "word_count_variants": r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z][A-Za-z''\-]*')) AS INTEGER) AS n_pdf,
         CAST(len(regexp_extract_all(text, '[^\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) AS INTEGER) AS n_html,
         CAST(len(regexp_extract_all(text, '[A-Za-z0-9\-'']+')) AS INTEGER) AS n_web FROM documents""",
-    "reading_len": f"SELECT id, CAST(length(regexp_replace(regexp_replace(text, '[A-Za-z0-9][A-Za-z0-9\\-.]*', 'X', 'g'), '\\s+', '', 'g')) AS INTEGER) AS n FROM {BRIEFS}",
-    "normalize_numbers": f"""SELECT id, regexp_replace(translate(text, '０１２３４５６７８９', '0123456789'), '([0-9])[，､．]([0-9]{{3}})([^0-9]|$)', '\\1,\\2\\3', 'g') AS text FROM (SELECT id, CASE WHEN id = 4 THEN '另一项任务 里' ELSE text END AS text FROM {BRIEFS})""",
-    "sentence_split_zh": f"""SELECT id, CAST(ord - 1 AS INTEGER) AS ord, sentence FROM (SELECT id, unnest(s) AS sentence, generate_subscripts(s, 1) AS ord FROM (
+    "example_reading_len": f"SELECT id, CAST(length(regexp_replace(regexp_replace(text, '[A-Za-z0-9][A-Za-z0-9\\-.]*', 'X', 'g'), '\\s+', '', 'g')) AS INTEGER) AS n FROM {BRIEFS}",
+    "example_normalize_numbers": f"""SELECT id, regexp_replace(translate(text, '０１２３４５６７８９', '0123456789'), '([0-9])[，､．]([0-9]{{3}})([^0-9]|$)', '\\1,\\2\\3', 'g') AS text FROM (SELECT id, CASE WHEN id = 4 THEN '另一项任务 里' ELSE text END AS text FROM {BRIEFS})""",
+    "example_sentence_split_zh": f"""SELECT id, CAST(ord - 1 AS INTEGER) AS ord, sentence FROM (SELECT id, unnest(s) AS sentence, generate_subscripts(s, 1) AS ord FROM (
         SELECT id, regexp_extract_all(text, '[^。！？；\\n]+[。！？；\\n]*') AS s FROM {B.values(B.ZH_TEXTS, 'id, text, total')}))""",
     "term_hits_theta": f"WITH {SEG}, {HITS} SELECT sid, term, zh, mode FROM hits",
     "term_hits_web": f"WITH {SEG} SELECT term, count(*) AS n FROM seg JOIN {TERMS} t ON contains(lower(src_text), lower(term)) WHERE status <> 'rejected' GROUP BY 1",
@@ -228,21 +228,21 @@ SQL = {
         SELECT term, zh AS term_zh, count(*) AS n_hit, count(*) FILTER (WHERE NOT there) AS n_missing, (min(struct_pack(p := seg_pos, s := sid)) FILTER (WHERE NOT there)).s AS first_missing FROM z GROUP BY 1, 2""",
     "term_density": f"""WITH {SEG}, z AS (SELECT replace(replace(src_text, ' the ', ' 此 '), ' de la ', ' 之 ') AS z FROM seg)
         SELECT term, zh AS term_zh, CAST(sum((length(z) - length(replace(z, zh, ''))) // length(zh)) AS BIGINT) AS n, '' AS flag FROM z JOIN {TERMS} t ON contains(z, zh) GROUP BY 1, 2""",
-    "glossary_resolve": f"WITH {RANKED} SELECT doc_id, term, zh, scope, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY ord) AS k FROM ranked) WHERE k = 1",
-    "glossary_conflicts": f"WITH {RANKED} SELECT doc_id, key, rank, CAST(count(*) AS INTEGER) AS n, string_agg(zh, '/' ORDER BY ord) AS zh FROM ranked GROUP BY 1, 2, 3 HAVING count(DISTINCT zh) > 1",
-    "glossary_merged_anti_union": f"""SELECT ord, term, zh FROM {SCOPED} WHERE scope LIKE 'doc:%' OR (scope = 'global' AND lower(trim(term)) NOT IN (SELECT lower(trim(term)) FROM {SCOPED} WHERE scope LIKE 'doc:%'))""",
+    "example_glossary_resolve": f"WITH {RANKED} SELECT doc_id, term, zh, scope, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY ord) AS k FROM ranked) WHERE k = 1",
+    "example_glossary_conflicts": f"WITH {RANKED} SELECT doc_id, key, rank, CAST(count(*) AS INTEGER) AS n, string_agg(zh, '/' ORDER BY ord) AS zh FROM ranked GROUP BY 1, 2, 3 HAVING count(DISTINCT zh) > 1",
+    "example_glossary_merged_anti_union": f"""SELECT ord, term, zh FROM {SCOPED} WHERE scope LIKE 'doc:%' OR (scope = 'global' AND lower(trim(term)) NOT IN (SELECT lower(trim(term)) FROM {SCOPED} WHERE scope LIKE 'doc:%'))""",
     "glossary_upsert": """SELECT r_name AS term, 'r' AS zh FROM region UNION ALL SELECT lower(n_name), 'n' || n_nationkey FROM nation WHERE n_nationkey % 3 = 0
         UNION ALL SELECT n_name, CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey % 3 <> 0 AND lower(n_name) NOT IN (SELECT lower(r_name) FROM region)""",
-    "abbr_defs": f"""SELECT DISTINCT doc_id, abbr, fname AS "full" FROM {DEFS}""",
+    "example_abbr_defs": f"""SELECT DISTINCT doc_id, abbr, fname AS "full" FROM {DEFS}""",
     "abbr_usage_min_count": """SELECT * FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, abbr, CAST(len(regexp_extract_all(regexp_replace(text, '([^A-Za-z0-9])', '\\1\\1', 'g'), '(^|[^A-Za-z0-9])' || abbr || '([^A-Za-z0-9]|$)')) AS BIGINT) AS n
         FROM documents, (VALUES ('THE'), ('OF'), ('Is'), ('La')) AS a(abbr)) WHERE n >= 2""",
-    "abbr_audit_priority_join": f"""WITH {USED}, g AS (SELECT lower(trim(term)) AS key, arg_max(zh, ord) AS zh FROM {ABBR_GLOSS} GROUP BY 1),
+    "example_abbr_audit_priority_join": f"""WITH {USED}, g AS (SELECT lower(trim(term)) AS key, arg_max(zh, ord) AS zh FROM {ABBR_GLOSS} GROUP BY 1),
         z AS (SELECT u.*, coalesce((SELECT zh FROM g WHERE key = lower(u.abbr)), (SELECT arg_min(g.zh, f) FROM g, (SELECT unnest(u.fulls) AS f) WHERE g.key = lower(f))) AS zh FROM used u WHERE n >= 2)
         SELECT doc_id, abbr, n, array_to_string(fulls, ' / ') AS full_names, zh IS NOT NULL AS in_glossary, zh AS glossary_zh, len(fulls) > 1 AS ambiguous FROM z""",
-    "abbr_undefined": f"SELECT term, zh FROM {ABBR_GLOSS} WHERE regexp_full_match(trim(term), '[A-Z][A-Za-z0-9]{{1,7}}') AND trim(term) NOT IN (SELECT abbr FROM {DEFS})",
-    "homonym_conflicts": f"""WITH {USED} SELECT doc_id, abbr, zh, array_to_string(fulls, ' / ') AS fulls, CASE WHEN trim(full_en) = '' THEN 'todo' WHEN list_contains([lower(f) FOR f IN fulls], lower(full_en)) THEN 'ok' ELSE 'conflict' END AS verdict
+    "example_abbr_undefined": f"SELECT term, zh FROM {ABBR_GLOSS} WHERE regexp_full_match(trim(term), '[A-Z][A-Za-z0-9]{{1,7}}') AND trim(term) NOT IN (SELECT abbr FROM {DEFS})",
+    "example_homonym_conflicts": f"""WITH {USED} SELECT doc_id, abbr, zh, array_to_string(fulls, ' / ') AS fulls, CASE WHEN trim(full_en) = '' THEN 'todo' WHEN list_contains([lower(f) FOR f IN fulls], lower(full_en)) THEN 'ok' ELSE 'conflict' END AS verdict
         FROM used JOIN {ABBR_GLOSS} g ON trim(g.term) = used.abbr""",
-    "disambiguate": f"""WITH {USED}, l AS (SELECT doc_id, abbr, n, list_sort([struct_pack(k := length(f), f := f) FOR f IN fulls], 'DESC')[1].f AS fname FROM used WHERE n >= 2),
+    "example_disambiguate": f"""WITH {USED}, l AS (SELECT doc_id, abbr, n, list_sort([struct_pack(k := length(f), f := f) FOR f IN fulls], 'DESC')[1].f AS fname FROM used WHERE n >= 2),
         o AS (SELECT ord, zh, lower(replace(full_en, '-', ' ')) AS norm FROM {ABBR_GLOSS} WHERE length(full_en) > 0),
         j AS (SELECT l.*, g.ord, g.zh, g.full_en FROM l LEFT JOIN {ABBR_GLOSS} g ON trim(g.term) = l.abbr)
         SELECT doc_id, abbr, fname AS "full", n, CASE WHEN zh IS NULL OR full_en = '' THEN 'unknown' WHEN lower(replace(fname, '-', ' ')) = lower(replace(full_en, '-', ' ')) THEN 'resolved' ELSE 'conflict' END AS verdict,
@@ -307,43 +307,43 @@ SQL = {
     "event_sessions": f"""WITH {clusters("SELECT user_id AS doc_id, CAST(floor(epoch(ts)) AS BIGINT) AS v FROM events", '3600')} SELECT doc_id, CAST(cluster AS INTEGER) AS cluster, count(*) AS n FROM c GROUP BY 1, 2""",
     "column_histogram": """WITH h AS (SELECT s_nationkey AS doc_id, CAST(floor(floor(abs(s_acctbal / 100)) / 5) * 5 AS INTEGER) AS bucket, count(*) AS n FROM supplier GROUP BY 1, 2)
         SELECT doc_id, bucket, n FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total FROM h) WHERE n >= greatest(2, total * 0.08)""",
-    "rect_containment_semi": f"""SELECT doc_id, page, text, EXISTS (SELECT 1 FROM {B.values(B.RECTS, 'd, p, a, b, c, e')} WHERE d = doc_id AND p = page AND (x0 + x1) / 2 BETWEEN a - 2 AND c + 2 AND y0 BETWEEN b - 2 AND e + 2) AS in_rect
+    "example_rect_containment_semi": f"""SELECT doc_id, page, text, EXISTS (SELECT 1 FROM {B.values(B.RECTS, 'd, p, a, b, c, e')} WHERE d = doc_id AND p = page AND (x0 + x1) / 2 BETWEEN a - 2 AND c + 2 AND y0 BETWEEN b - 2 AND e + 2) AS in_rect
         FROM {B.values(B.BOX_LINES, 'doc_id, page, y0, x0, x1, text')}""",
     "grep_context_window": f"""WITH {SEG}, h AS (SELECT *, CAST(regexp_matches(src_text, '(?i)erend') AS INTEGER) AS hit FROM seg)
         SELECT sid, hit FROM (SELECT sid, hit, max(hit) OVER (PARTITION BY doc_id ORDER BY seg_pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM h) WHERE near = 1""",
     "word_budget": f"""WITH {SEG}, w AS (SELECT doc_id, seg_pos, len(regexp_extract_all(src_text, '[A-Za-z][A-Za-z''\\-]*')) AS n FROM seg), b AS (SELECT doc_id, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY seg_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w)
         SELECT doc_id, count(*) AS n, CAST(max(before) AS BIGINT) AS before FROM b WHERE before <= 200 GROUP BY 1""",
-    "term_stats": f"SELECT count(*) AS total, count(*) FILTER (WHERE mode = 'hard_replace') AS hard, count(*) FILTER (WHERE mode = 'prompt_hint') AS hint, CAST(0 AS BIGINT) AS doc_terms FROM {TERMS}",
-    "term_search": f"SELECT term, mode FROM {TERMS} WHERE contains(lower(term), 'the') OR contains(lower(zh), 'the') OR contains(lower(note), 'the') OR contains(lower(aliases), 'the')",
-    "prompt_block": f"""SELECT string_agg(CASE WHEN mode = 'prompt_hint' THEN '- ' || term || ' -> 「' || zh || '」' || CASE WHEN note <> '' THEN '（' || note || '）' ELSE '' END ELSE '- ' || term || ' -> 「' || zh || '」（统一用此译名）' END, chr(10) ORDER BY ord) AS block FROM {TERMS} WHERE status <> 'rejected'""",
-    "signatures": f"SELECT term, term || '|' || zh || '|' || mode || '|' || note || '|' || aliases AS signature FROM {TERMS}",
+    "example_term_stats": f"SELECT count(*) AS total, count(*) FILTER (WHERE mode = 'hard_replace') AS hard, count(*) FILTER (WHERE mode = 'prompt_hint') AS hint, CAST(0 AS BIGINT) AS doc_terms FROM {TERMS}",
+    "example_term_search": f"SELECT term, mode FROM {TERMS} WHERE contains(lower(term), 'the') OR contains(lower(zh), 'the') OR contains(lower(note), 'the') OR contains(lower(aliases), 'the')",
+    "example_prompt_block": f"""SELECT string_agg(CASE WHEN mode = 'prompt_hint' THEN '- ' || term || ' -> 「' || zh || '」' || CASE WHEN note <> '' THEN '（' || note || '）' ELSE '' END ELSE '- ' || term || ' -> 「' || zh || '」（统一用此译名）' END, chr(10) ORDER BY ord) AS block FROM {TERMS} WHERE status <> 'rejected'""",
+    "example_signatures": f"SELECT term, term || '|' || zh || '|' || mode || '|' || note || '|' || aliases AS signature FROM {TERMS}",
     "time_formats": f"""WITH {CONV}, {LINE}, s AS (SELECT conv_id, turn, CAST(floor(round(start, 3)) AS BIGINT) AS s FROM line)
         SELECT conv_id, turn, printf('[%02d:%05.2f]', s // 60, CAST(s % 60 AS DOUBLE)) AS lrc, printf('%02d:%02d:%06.3f', s // 3600, (s % 3600) // 60, CAST(s % 60 AS DOUBLE)) AS vtt, printf('%02d:%02d', s // 60, s % 60) AS clock FROM s""",
     "stage_resume": f"WITH {SEG} SELECT doc_id, count(*) AS n FROM seg WHERE (seg_pos + doc_id) % 3 = 0 OR (seg_pos + doc_id) % 7 = 0 GROUP BY 1",
-    "proportional_sentences": f"""WITH s AS (SELECT id, total, [x FOR x IN regexp_extract_all(text, '[^。！？；\\n]+[。！？；\\n]*') IF length(trim(x)) > 0] AS l FROM {B.values(B.ZH_TEXTS, 'id, text, total')}),
+    "example_proportional_sentences": f"""WITH s AS (SELECT id, total, [x FOR x IN regexp_extract_all(text, '[^。！？；\\n]+[。！？；\\n]*') IF length(trim(x)) > 0] AS l FROM {B.values(B.ZH_TEXTS, 'id, text, total')}),
         u AS (SELECT id, CAST(total AS DOUBLE) AS t, unnest(l) AS sentence, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS ord, len(l) AS k FROM s),
         d AS (SELECT *, greatest(0.05, t * length(sentence) / sum(length(sentence)) OVER (PARTITION BY id)) AS d FROM u),
         b AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS b FROM d),
         e AS (SELECT *, CASE WHEN ord = k - 1 THEN greatest(0.05, t - b) ELSE d END AS dd FROM b)
         SELECT id, ord, sentence, round(b, 3) AS start, round(b + dd, 3) AS "end", round(dd, 3) AS duration FROM e""",
     # Expected rows by hand.
-    "html_sections": f"SELECT * FROM {B.values(B.NESTED_ROWS, 'doc_id, sid, sec_heading, sec_level, src_text, is_figure')}",
-    "html_sections_web": f"SELECT * FROM {B.values(B.WEB_ROWS, 'doc_id, sid, index')}",
-    "html_entities": f"SELECT id, text FROM {B.values([(i, t) for i, _, t in B.ENTITIES], 'id, text')}",
-    "line_layout": "SELECT 'p' AS doc_id, 9.0::DOUBLE AS body_size, 'Serif' AS body_font, 2 AS n_columns, 180.0::DOUBLE AS split_x, '40,320' AS bases",
-    "line_kinds": f"SELECT page, CAST(y0 AS DOUBLE) AS y0, CAST(x0 AS DOUBLE) AS x0, kind FROM {B.values(B.LINE_KINDS, 'page, y0, x0, kind')}",
-    "line_segments": f"SELECT * FROM {B.values(B.LINE_SEGMENTS, 'sid, sec_heading, sec_level, page, src_text')}",
-    "line_title": "SELECT 'p' AS doc_id, 'A Title of the Paper' AS title",
-    "chat_models": "SELECT unnest(['chatgpt-4o-latest', 'gpt-4o', 'o1-mini', 'o3']) AS name",
-    "hard_replace_by_document": f"SELECT doc_id, id, zh FROM {B.values([(d, i, z) for d, i, _, z in B.TRANSLATED], 'doc_id, id, zh')}",
-    "mined_terms": "SELECT * FROM (VALUES ('d1', 'MSN', '内侧隔核', 'prompt_hint', 'n', '隔核', 'doc:d1', 'suggested'), ('d2', 'SIF', '抑制性遗忘', 'hard_replace', NULL, '', 'doc:d2', 'suggested')) AS t(doc_id, term, zh, mode, note, aliases, scope, status)",
-    "slug_ascii": f"SELECT * FROM {B.values(B.SLUGS, 'id, slug')}",
-    "sentence_split_en": f"SELECT * FROM {B.values(B.SPLIT, 'id, ord, sentence')}",
-    "feed_dates": f"SELECT * FROM {B.values(B.DATES, 'id, date')}",
-    "digest_payload_json": f"SELECT * FROM {B.values(B.PAYLOADS, 'id, title_zh, brief, detail')}",
-    "digest_brief_verdict": f"SELECT * FROM {B.values(B.VERDICTS, 'id, mark, why')}",
+    "example_html_sections": f"SELECT * FROM {B.values(B.NESTED_ROWS, 'doc_id, sid, sec_heading, sec_level, src_text, is_figure')}",
+    "example_html_sections_web": f"SELECT * FROM {B.values(B.WEB_ROWS, 'doc_id, sid, index')}",
+    "example_html_entities": f"SELECT id, text FROM {B.values([(i, t) for i, _, t in B.ENTITIES], 'id, text')}",
+    "example_line_layout": "SELECT 'p' AS doc_id, 9.0::DOUBLE AS body_size, 'Serif' AS body_font, 2 AS n_columns, 180.0::DOUBLE AS split_x, '40,320' AS bases",
+    "example_line_kinds": f"SELECT page, CAST(y0 AS DOUBLE) AS y0, CAST(x0 AS DOUBLE) AS x0, kind FROM {B.values(B.LINE_KINDS, 'page, y0, x0, kind')}",
+    "example_line_segments": f"SELECT * FROM {B.values(B.LINE_SEGMENTS, 'sid, sec_heading, sec_level, page, src_text')}",
+    "example_line_title": "SELECT 'p' AS doc_id, 'A Title of the Paper' AS title",
+    "example_chat_models": "SELECT unnest(['chatgpt-4o-latest', 'gpt-4o', 'o1-mini', 'o3']) AS name",
+    "example_hard_replace_by_document": f"SELECT doc_id, id, zh FROM {B.values([(d, i, z) for d, i, _, z in B.TRANSLATED], 'doc_id, id, zh')}",
+    "example_mined_terms": "SELECT * FROM (VALUES ('d1', 'MSN', '内侧隔核', 'prompt_hint', 'n', '隔核', 'doc:d1', 'suggested'), ('d2', 'SIF', '抑制性遗忘', 'hard_replace', NULL, '', 'doc:d2', 'suggested')) AS t(doc_id, term, zh, mode, note, aliases, scope, status)",
+    "example_slug_ascii": f"SELECT * FROM {B.values(B.SLUGS, 'id, slug')}",
+    "example_sentence_split_en": f"SELECT * FROM {B.values(B.SPLIT, 'id, ord, sentence')}",
+    "example_feed_dates": f"SELECT * FROM {B.values(B.DATES, 'id, date')}",
+    "example_digest_payload_json": f"SELECT * FROM {B.values(B.PAYLOADS, 'id, title_zh, brief, detail')}",
+    "example_digest_brief_verdict": f"SELECT * FROM {B.values(B.VERDICTS, 'id, mark, why')}",
     # The same by queries.
-    "pending_terms": f"SELECT doc_id, abbr AS term, min(fname) AS full_en, '【待审核: ' || min(fname) || '】' AS zh FROM {DEFS} GROUP BY 1, 2",
+    "example_pending_terms": f"SELECT doc_id, abbr AS term, min(fname) AS full_en, '【待审核: ' || min(fname) || '】' AS zh FROM {DEFS} GROUP BY 1, 2",
     "abbr_unused": """SELECT CAST(doc_id AS VARCHAR) AS doc_id, abbr FROM documents, (VALUES ('The'), ('Und'), ('Que')) AS a(abbr)
         WHERE NOT coalesce(regexp_matches(text, '(^|[^A-Za-z])' || abbr || '([^A-Za-z]|$)'), false)""",
     "library_documents": """WITH g AS (SELECT CAST(n_regionkey AS VARCHAR) AS doc_id, CAST(count(*) AS INTEGER) AS n_terms FROM nation WHERE n_nationkey < 9 GROUP BY 1)
@@ -371,8 +371,11 @@ SQL = {
             FOR x IN regexp_extract_all(text, '[A-Za-z0-9\\-]+|[^A-Za-z0-9\\-]+')], '') AS t FROM conv),
         p AS (SELECT conv_id, turn, regexp_replace(replace(replace(t, 'the', 'thee'), 'and', 'annd'), '[ \\t]+', ' ', 'g') AS t FROM s)
         SELECT conv_id, turn, md5(regexp_replace(replace(replace(t, '——', '，'), '……', '。'), '^\\s+|\\s+$', '', 'g')) AS md5 FROM p""",
-    "title_heuristics": "SELECT * FROM (VALUES (1, 'Cancer 的生物学机制 ageing'), (2, '的生物学机制 细胞衰老 在癌症中的作用'), (3, '肠易激综合征：疾病机制与临床管理'), (4, 'Gut flora：从基础生物学到临床实践')) AS t(id, title)",
-    "default_terms": "SELECT CAST(18 AS BIGINT) AS total, CAST(14 AS BIGINT) AS hard, CAST(4 AS BIGINT) AS hint, CAST(0 AS BIGINT) AS doc_terms",
-    "landing_examples": f"SELECT * FROM {B.values(B.LANDING_EXAMPLES, 'term, term_zh, n_missing, examples')}",
-    "health_of_sections": "SELECT * FROM (VALUES ('d', 'few_segments,few_headings'), ('n', 'few_segments,few_headings')) AS t(doc_id, warnings)",
+    "example_title_heuristics": "SELECT * FROM (VALUES (1, 'Cancer 的生物学机制 ageing'), (2, '的生物学机制 细胞衰老 在癌症中的作用'), (3, '肠易激综合征：疾病机制与临床管理'), (4, 'Gut flora：从基础生物学到临床实践')) AS t(id, title)",
+    "example_default_terms": "SELECT CAST(18 AS BIGINT) AS total, CAST(14 AS BIGINT) AS hard, CAST(4 AS BIGINT) AS hint, CAST(0 AS BIGINT) AS doc_terms",
+    "example_landing_examples": f"SELECT * FROM {B.values(B.LANDING_EXAMPLES, 'term, term_zh, n_missing, examples')}",
+    "example_health_of_sections": "SELECT * FROM (VALUES ('d', 'few_segments,few_headings'), ('n', 'few_segments,few_headings')) AS t(doc_id, warnings)",
 }
+
+#: Of the examples, whose rows the tests know.
+EXAMPLES = {k.removeprefix("example_"): SQL.pop(k) for k in [*SQL] if k.startswith("example_")}

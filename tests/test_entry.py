@@ -6,9 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from scriptorium.plans import queries
+from scriptorium.plans.sql import EXAMPLES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+    " clicks sales sale_lines clients client_changes vendors items stamps"
+).split()
 NAMES = [k for k in entry.queries() if not k.startswith("op") and k != "pipeline"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -40,6 +45,15 @@ def test_query(spark, duck, name):
         assert plain(rows, got.columns) == plain(want.fetchall(), columns)
 
 
+@pytest.mark.parametrize("name", queries.examples())
+def test_example(spark, duck, name):
+    got = queries.examples()[name](spark, SF)
+    want = duck.execute(EXAMPLES[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert plain([tuple(r) for r in got.collect()], got.columns) == plain(want.fetchall(), columns)
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
