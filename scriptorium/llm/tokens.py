@@ -25,6 +25,7 @@ its partition.
 
 from __future__ import annotations
 
+import bisect
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,7 +42,7 @@ CHUNK, OVERLAP = 1 << 15, 256
 WIDER, LONGER = 8, 2
 #: No cut is trusted so close to a piece's edge: longer than any special string or contraction.
 MARGIN = 48
-#: Characters that are encoded in one call.
+#: Characters that are encoded in one call, but for a longer word.
 CALL = 1 << 20
 
 
@@ -65,17 +66,35 @@ def tokenizer(path: str):
     return got
 
 
+#: Counts of so many words are kept at a time.
+WORDS = 1 << 18
+_counts: dict[str, dict[str, int]] = {}
+
+
 def lengths(texts: list[str], path: str) -> list[int]:
-    """The token counts of whole texts, some CALL characters at a time."""
-    tok, out, run, size = tokenizer(path), [], [], 0
+    """The token counts of whole texts. No token, pattern or normalisation reaches over a space: a text has the tokens of its words,
+    and a word is encoded once while its count is kept. Tabs and line ends are spaces to the tokenizer."""
+    tok, out = tokenizer(path), []
+    kept = _counts.setdefault(path, {})
     for t in texts:
-        if run and size + len(t) > CALL:
-            out += [len(e.ids) for e in tok.encode_batch_fast(run, add_special_tokens=False)]
-            run, size = [], 0
-        run.append(t)
-        size += len(t)
-    if run:
-        out += [len(e.ids) for e in tok.encode_batch_fast(run, add_special_tokens=False)]
+        words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        try:
+            out.append(sum(map(kept.__getitem__, words)))
+            continue
+        except KeyError:
+            pass
+        new = [w for w in set(words) if w not in kept]
+        if len(kept) + len(new) > WORDS:
+            kept.clear()
+            new = list(set(words))
+        run, size = [], 0
+        for k, w in enumerate(new):
+            run.append(w)
+            size += len(w)
+            if size > CALL or k + 1 == len(new):
+                kept.update(zip(run, (len(e.ids) for e in tok.encode_batch_fast(run, add_special_tokens=False)), strict=True))
+                run, size = [], 0
+        out.append(sum(map(kept.__getitem__, words)))
     return out
 
 
@@ -92,12 +111,15 @@ def cuts(piece: str, start: int, spans: list[tuple[int, int]], path: str) -> tup
     e = tokenizer(path).encode(piece, add_special_tokens=False)
     ids, offs, words = e.ids, e.offsets, e.word_ids
     found: list[dict[str, int]] = [{} for _ in spans]
-    for k in range(1, len(ids)):
-        a, b = offs[k - 1][1], offs[k][0]
-        if a > b or b == offs[k - 1][0]:
-            continue  # two tokens of one character
-        for (low, high), out in zip(spans, found, strict=True):
-            if low <= a + start and b + start <= high and joins_nothing(piece[b]):
+    for (low, high), out in zip(spans, found, strict=True):
+        first = max(1, bisect.bisect_left(offs, (low - start, 0)))
+        for k in range(first, len(ids)):
+            a, b = offs[k - 1][1], offs[k][0]
+            if b + start > high:
+                break
+            if a > b or b == offs[k - 1][0]:
+                continue  # two tokens of one character
+            if low <= a + start and joins_nothing(piece[b]):
                 same = words[k - 1] is not None and words[k - 1] == words[k]
                 out[f"{a + start}:{b + start}:{ids[k - 1]}:{ids[k]}:{int(same)}"] = k
     return len(ids), found

@@ -63,3 +63,11 @@ def test_edges(spark):
     assert tokens.token_counts(docs.limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         tokens.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_words_have_the_tokens_of_their_text(monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS", 50)
+    r = random.Random(9)
+    space = [" ", "  ", "\n", "\t", "\r\n", " ", " ", "\x0b", "\x1c", "\x85", " ", " ́", "​"]
+    texts = ["".join(r.choice([*SPECIAL, *"abc.,!é0"]) + r.choice(["", *space]) for _ in range(r.randint(0, 80))) for _ in range(300)]
+    assert tokens.lengths(texts, PATH) == [library(t) for t in texts]
