@@ -93,7 +93,7 @@ def font_family(font: Column) -> Column:
 
 def join_lines(lines: Column) -> Column:
     """Join layout lines; a word broken by one hyphen at a line's end is put together."""
-    text = F.array_join(F.transform(lines, F.trim), "\n")
+    text = F.array_join(F.transform(lines, lambda t: F.trim(t)), "\n")
     return squash(F.regexp_replace(F.regexp_replace(text, r"(?<!-)-\n", ""), "\n", " "))
 
 

@@ -315,7 +315,7 @@ def mined(answers: DataFrame) -> DataFrame:
     rows = rows.where((F.length(tidy("term")) > 0) & (F.length(tidy("zh")) > 0))
     return rows.select(
         "doc_id", "ord", tidy("term").alias("term"), tidy("zh").alias("zh"), F.when(F.col("t.mode").isin(HARD, HINT), F.col("t.mode")).otherwise(HARD).alias("mode"),
-        F.nullif(tidy("note"), F.lit("")).alias("note"), F.transform(aliases, F.trim).alias("aliases"), F.concat(F.lit("doc:"), "doc_id").alias("scope"), F.lit("suggested").alias("status"),
+        F.nullif(tidy("note"), F.lit("")).alias("note"), F.transform(aliases, lambda a: F.trim(a)).alias("aliases"), F.concat(F.lit("doc:"), "doc_id").alias("scope"), F.lit("suggested").alias("status"),
     )
 
 

@@ -165,7 +165,7 @@ def deduplicated(rows: DataFrame, sid: str, order: list[str]) -> DataFrame:
 
 def text_segments(docs: DataFrame) -> DataFrame:
     """Segments of `docs(doc_id, text, ...)`: its non-blank lines, as one section `body`; numbered in the row, without a shuffle."""
-    lines = F.filter(F.transform(F.split("text", "\n", -1), F.trim), lambda t: F.length(t) > 0)
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda t: F.trim(t)), lambda t: F.length(t) > 0)
     rows = docs.select("doc_id", F.inline(numbered(lines))).withColumn("sec_path", F.lit("body"))
     sid = T.segment_id(F.col("doc_id"), F.col("sec_path"), F.col("seg_pos"))
     n_words = T.word_count(F.col("src_text"), "pdf")

@@ -101,6 +101,19 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def collect_versions(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
+    """Delete a store's complete versions but for the newest `keep`; their numbers."""
+    old = _versions(spark, root)[: -max(keep, 1)]
+    for v in old:
+        remove(spark, f"{root}/version={v:012d}")
+    return old
+
+
 def write_store(rows: DataFrame, root: str, key: str, version: int) -> str:
     """A keyed store as version `version`, sorted by key. The marker that a finished job leaves publishes it; to write a version again replaces it."""
     path = f"{root}/version={version:012d}"

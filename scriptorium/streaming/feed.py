@@ -43,3 +43,15 @@ def playing(moments: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """Moments of a stream with the spans that hold them: a stream-static range join by key and second."""
     cells = spans.withColumn("cell", F.explode(F.sequence(F.floor("start_sec").cast("long"), F.floor("end_sec").cast("long"))))
     return moments.withColumn("cell", F.floor("t").cast("long")).join(cells, [key, "cell"]).where("t >= start_sec and t <= end_sec").drop("cell")
+
+
+def playback(moments: DataFrame, spans: DataFrame, key: str, lateness: str = "30 seconds", longest: str = "1 hour") -> DataFrame:
+    """Moments of one stream with the spans of another that hold them: an interval join of two streams.
+
+    moments(key, at) and spans(key, ord, starts, ends) are timestamps, late by `lateness` at most; no span is longer than `longest`, so that
+    the state of both is bounded. Repeated moments and spans count once. A moment that no span holds gives one row without a span."""
+    m = moments.withWatermark("at", lateness).dropDuplicatesWithinWatermark([key, "at"]).alias("m")
+    s = spans.withWatermark("starts", lateness).dropDuplicatesWithinWatermark([key, "ord", "starts"]).alias("s")
+    test = (F.col(f"m.{key}") == F.col(f"s.{key}")) & (F.col("m.at") >= F.col("s.starts")) & (F.col("m.at") <= F.col("s.ends"))
+    test = test & (F.col("m.at") <= F.col("s.starts") + F.expr(f"interval {longest}"))
+    return m.join(s, test, "left_outer").select(f"m.{key}", "m.at", "s.ord", "s.starts", "s.ends")

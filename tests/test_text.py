@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.operators import segments as S
 
 
 def run(spark, f, *values):
@@ -80,3 +81,11 @@ def test_initials(spark):
 def test_join_lines(spark):
     got = spark.createDataFrame([(["inflammation and oxi-", "dative  stress", "a--", "b"],)], "l array<string>").select(T.join_lines(F.col("l"))).first()[0]
     assert got == "inflammation and oxidative stress a-- b"
+
+
+def test_lines_lose_blanks_and_nothing_else(spark):
+    """A number at a line's end is no blank: what is trimmed does not follow the line's place."""
+    rows = spark.createDataFrame([("d", "0 zero 0\n 1 one 1 \n2 two 2\n \n33")], "doc_id string, text string")
+    assert [r.src_text for r in S.text_segments(rows).orderBy("seg_pos").collect()] == ["0 zero 0", "1 one 1", "2 two 2", "33"]
+    joined = rows.select(T.join_lines(F.split("text", "\n")).alias("t")).first().t
+    assert joined == "0 zero 0 1 one 1 2 two 2 33"
