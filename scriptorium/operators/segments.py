@@ -236,6 +236,13 @@ def word_budget(segments: DataFrame, words: int = 5000) -> DataFrame:
     return segments.withColumn("words_before", before).where(F.col("words_before") <= words)
 
 
+def sample(segments: DataFrame, words: int = 5000) -> DataFrame:
+    """(doc_id, text, n_words, n_segments): a document's segments from the start, as long as those before them hold no more than the budget."""
+    own = word_budget(segments, words)
+    ordered = F.array_sort(F.collect_list(F.struct("seg_pos", "src_text")))
+    return own.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["src_text"]), "\n\n").alias("text"), F.sum("n_words").cast("long").alias("n_words"), F.count("*").alias("n_segments"))
+
+
 def grep_context(rows: DataFrame, pattern: str, around: int, scope: str = "doc_id", order: str = "seg_pos", text: str = "src_text") -> DataFrame:
     """Rows that match, and those within `around` rows of one."""
     hit = F.col(text).rlike(f"(?i){pattern}").cast("int")

@@ -15,9 +15,12 @@ from scriptorium.operators import qa as Q
 from scriptorium.operators import segments as S
 from scriptorium.operators import timeline as M
 from scriptorium.plans import base as B
+from scriptorium.sinks import render as K
+from scriptorium.sinks import stages as K2
 from scriptorium.sources import literals as X
 from scriptorium.sources import readers as R
 from scriptorium.plans.base import segments, table
+from scriptorium.streaming import status as ST
 
 Frame = DataFrame
 
@@ -687,6 +690,153 @@ def digest_payload_json(spark: SparkSession, sf_dir: str) -> Frame:
     return rows.withColumn("v", E.brief_verdict(F.col("brief"))).select("event_id", "title_zh", F.length("brief").alias("n"), "detail", "v.mark", "v.why")
 
 
+def sentences_zh(spark: SparkSession, sf_dir: str) -> Frame:
+    """The sentences of every turn, full stops set as in Chinese."""
+    rows = B.scripts(spark, sf_dir).select("conv_id", "turn", F.posexplode(T.zh_sentences(F.replace("text", F.lit(". "), F.lit("。")))).alias("ord", "sentence"))
+    return rows.select("conv_id", "turn", "ord", F.md5("sentence").alias("md5"))
+
+
+def boxed_lines(spark: SparkSession, sf_dir: str) -> Frame:
+    """Which typeset lines lie in a rectangle of their page."""
+    spans, drawings, images, _ = B.typeset(spark, sf_dir)
+    return L.in_rects(L.gather(spans), L.region_rects(drawings, images)).groupBy("doc_id", "page").agg(F.count_if("in_rect").alias("n_in"), F.count("*").alias("n"))
+
+
+def typeset_titles(spark: SparkSession, sf_dir: str) -> Frame:
+    """Titles of typeset documents: their first heading, else their number."""
+    return L.title(L.classified(*B.typeset(spark, sf_dir))[0])
+
+
+def typeset_kinds_top(spark: SparkSession, sf_dir: str) -> Frame:
+    """The kinds of typeset lines, the most frequent first, of even pages and of lines that hold a capital."""
+    got, _ = L.classified(*B.typeset(spark, sf_dir))
+    return L.kinds(L.inspect(got.where("page % 2 = 0"), grep="[A-Z]", kinds=["h1", "h2", "body", "figure", "region", "other"]))
+
+
+def scope_signatures(spark: SparkSession, sf_dir: str) -> Frame:
+    t, _ = B.scoped_terms(spark, sf_dir)
+    return t.withColumn("aliases", F.array(F.lit("b"), "zh", F.lit("a"))).select("ord", "scope", "zh", F.md5(G.signature()).alias("md5"))
+
+
+def web_abbreviations(spark: SparkSession, sf_dir: str) -> Frame:
+    """The browser's test of each document's first names against abbreviations of initials, of inner letters, and of others."""
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)), 1, 3)
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where("size(w) = 3").withColumn("name", F.array_join("w", " "))
+    third = F.col("doc_id") % 3
+    letter = lambda k, at: F.upper(F.substring(F.get("w", F.lit(k)), at, 1))
+    abbr = F.when(third == 0, F.concat(letter(0, 1), letter(1, 1), letter(2, 1))).when(third == 1, F.concat(letter(0, 2), letter(2, 3))).otherwise(F.concat(letter(2, 1), F.lit("Q9")))
+    return rows.select("doc_id", A.web_initials_fit(abbr, F.col("name")).alias("fits"))
+
+
+def citation_marks(spark: SparkSession, sf_dir: str) -> Frame:
+    """Marks of citations set high in every turn's text, and how many there are."""
+    text = F.concat("text", F.lit(" ["), F.col("turn").cast("string"), F.lit("–"), (F.col("turn") + 2).cast("string"), F.lit("] [ref. 3] [a b]"))
+    rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", T.superscript_citations(text).alias("t"))
+    return rows.select("conv_id", "turn", F.regexp_count("t", F.lit("cite-sup")).alias("n"), F.length("t").alias("n_chars"))
+
+
+def short_ids(spark: SparkSession, sf_dir: str) -> Frame:
+    """Ids of segments and pages as they are shown, as anchors, and cleaned of folders and endings."""
+    rows = B.sectioned_pages(spark, sf_dir)
+    segs = S.section_html(rows).select("doc_id", "sid")
+    kind = F.when(F.col("doc_id") % 2 == 0, ".PDF").otherwise(".html")
+    return segs.select("sid", T.short_sid(F.col("sid")).alias("short"), T.safe_id(F.col("sid")).alias("anchor"), T.safe_id(F.col("sid"), "web").alias("web_anchor"), T.clean_id(F.concat(F.lit("a/b/"), F.col("doc_id").cast("string"), kind)).alias("doc"))
+
+
+def chosen_segments(spark: SparkSession, sf_dir: str) -> Frame:
+    """Segments of pages under chosen headings and paths, and those whose ids hold a part."""
+    segs = S.section_html(B.sectioned_pages(spark, sf_dir))
+    own = S.chosen(segs, ["Deep", "part-1"]).withColumn("how", F.lit("heading"))
+    audio = S.chosen_audio(segs, ["#part-2/sub-1#", "fig0"]).withColumn("how", F.lit("id"))
+    return own.unionByName(audio).groupBy("how", "doc_id").agg(F.count("*").alias("n"), F.min("sid").alias("first_sid"))
+
+
+def baseline_check(spark: SparkSession, sf_dir: str) -> Frame:
+    """Statistics of documents against a baseline of which every seventh has lost a twentieth of its words."""
+    stats = S.document_stats(segments(spark, sf_dir))
+    base = K.baseline(stats).withColumn("words", F.when(F.col("doc_id") % 7 == 0, F.floor(F.col("words") * 1.05 + 1)).otherwise(F.col("words")).cast("long"))
+    return S.against_baseline(stats, base).select("doc_id", "words", "b_words", "ok")
+
+
+def library_flags(spark: SparkSession, sf_dir: str) -> Frame:
+    """Feed items that have a reader in the library."""
+    items = _items(spark, sf_dir)
+    library = table(spark, sf_dir, "documents").select(F.concat(F.lit("x"), F.col("doc_id").cast("string")).alias("doc_id"))
+    return E.in_library(items, library).groupBy("has_reader", "status").agg(F.count("*").alias("n"))
+
+
+def reader_table(spark: SparkSession, sf_dir: str) -> Frame:
+    """What a reader shows of every turn: times, translation, script and source, an entry of contents at each role's first."""
+    turns = B.scripts(spark, sf_dir).withColumns({"sid": F.concat("conv_id", F.lit("#"), "turn"), "doc_id": F.col("conv_id"), "seg_pos": F.col("turn")})
+    line = M.timeline(turns)
+    segs = turns.select("doc_id", "sid", "seg_pos", F.col("role").alias("sec_path"), F.when(F.col("role") == "user", "").otherwise(F.col("role")).alias("sec_heading"), F.col("text").alias("src_text"))
+    zh = turns.where("turn % 3 <> 0").select("sid", F.concat(F.lit("译"), F.length("text").cast("string")).alias("zh"))
+    said = turns.where("turn % 4 <> 0").select("sid", F.concat(F.lit("稿"), F.length("text").cast("string")).alias("script"))
+    got = K.reader_rows(segs, line, zh, said)
+    return got.select("sid", F.round("start_sec", 2).alias("start_sec"), "toc", "dom_id", "zh", "script")
+
+
+def translated_sentence_times(spark: SparkSession, sf_dir: str) -> Frame:
+    """Times of every turn's lines: the script's where a line of that number is timed, else a share of the turn by length."""
+    turns = B.scripts(spark, sf_dir).withColumn("sid", F.concat("conv_id", F.lit("#"), "turn"))
+    line = M.timeline(turns, scope="conv_id", order="turn").select("sid", "start_sec", "duration_sec")
+    parts = turns.select("sid", F.posexplode(T.zh_sentences(F.col("text"))).alias("ord", "sentence"))
+    timed = parts.where("ord % 3 = 1").select("sid", "ord", (F.col("ord") * 2.5).alias("start_sec"), F.when(F.col("ord") % 2 == 0, F.col("ord") * 2.5 + 2).alias("end_sec"))
+    return M.sentence_times(parts, timed, line).select("sid", "ord", "start_sec", "end_sec")
+
+
+def smoothed_spans(spark: SparkSession, sf_dir: str) -> Frame:
+    """Spans of every conversation's turns with gaps and overlaps, made contiguous."""
+    t = F.col("turn").cast("double")
+    span = F.struct(F.col("turn"), (t * 5 + F.col("turn") % 3).alias("start"), (t * 5 + 4 + F.length("text") % 4).cast("double").alias("end"))
+    rows = B.scripts(spark, sf_dir).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(span)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"), (F.max(t) * 5 + 9).alias("total"))
+    return rows.select("conv_id", F.posexplode(M.smoothed(F.col("spans"), F.col("total"))).alias("k", "s")).select("conv_id", "k", "s.start", "s.end")
+
+
+def versioned_segments(spark: SparkSession, sf_dir: str) -> Frame:
+    """Documents segmented in two runs: the second reads only those that are new or have another time, and those that had no text once more are not."""
+    docs = table(spark, sf_dir, "documents").withColumn("mtime", F.lit(1).cast("long"))
+    root = K2.scratch(spark, "segmented")
+
+    def run(mark: str):
+        return lambda d: S.text_segments(d).select("doc_id", "sid", "src_hash", F.lit(mark).alias("run"))
+
+    K2.segmented(docs.where("doc_id % 2 = 0"), run("first"), root, "v1")
+    later = docs.withColumn("mtime", F.when(F.col("doc_id") % 10 == 0, 2).otherwise(1).cast("long"))
+    got, _ = K2.segmented(later, run("second"), root, "v1")
+    return got.groupBy("doc_id", "run").agg(F.count("*").alias("n"), F.min("sid").alias("first_sid"))
+
+
+def staged_run(spark: SparkSession, sf_dir: str) -> Frame:
+    """Three stages over all segments, run twice: the second run finds the manifests of the first; then their numbers of rows."""
+    root = K2.scratch(spark, "run")
+    steps = [("segments", lambda d: S.text_segments(d)), ("long", lambda d: d.where("n_words > 5")), ("sizes", lambda d: d.groupBy("doc_id").agg(F.sum("n_words").alias("words")))]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    K2.run_stages(docs, root, steps)
+    _, ran = K2.run_stages(docs, root, steps)
+    rows = [K2.manifest(spark, root, name) for name, _ in steps]
+    return spark.createDataFrame([(r["stage"], r["rows_in"], r["rows_out"], r["stage"] in ran) for r in rows], "stage string, rows_in long, rows_out long, again boolean")
+
+
+def status_replay(spark: SparkSession, sf_dir: str) -> Frame:
+    """Events of users as states of items: what is accepted, what is refused and why."""
+    asked = F.when(F.col("event_id") % 5 == 0, "new").when(F.col("event_id") % 5 < 3, "shown").when(F.col("event_id") % 5 == 3, "picked").otherwise("done")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("pmid"), asked.alias("status"), F.when(asked == "shown", F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string"))).alias("snapshot"), F.col("ts"), "event_id")
+    rows = rows.withColumn("ts", F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, event_id)"))
+    return ST.replayed(rows).groupBy("asked", "status", "accepted", "reason").agg(F.count("*").alias("n"))
+
+
+def library_newest(spark: SparkSession, sf_dir: str) -> Frame:
+    """The library by date, the newest first, each source's first five."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("n_chars").alias("added"))
+    return E.newest(docs, "added", "doc_id", 5, ["source"]).select("source", "doc_id", "added", "rank")
+
+
+def text_samples(spark: SparkSession, sf_dir: str) -> Frame:
+    """What a model is shown of each document to find its terms: segments from the start, of some 200 words."""
+    return S.sample(segments(spark, sf_dir), 200).select("doc_id", "n_segments", "n_words", F.md5("text").alias("md5"))
+
+
 def example_chat_models(spark: SparkSession, sf_dir: str) -> Frame:
     return R.models(spark.createDataFrame([(m,) for m in B.MODELS], "name string"))
 

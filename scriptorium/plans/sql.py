@@ -113,7 +113,54 @@ VERDICT = """CASE WHEN length(trim({0})) = 0 THEN '❌' WHEN {1} > 25 OR {2} > 1
     CASE WHEN length(trim({0})) = 0 THEN '空' WHEN {1} > 25 OR {2} > 1 THEN concat_ws(' ', CASE WHEN {1} > 32 THEN {1} || '字超标' WHEN {1} > 25 THEN {1} || '字偏长' END, CASE WHEN {2} > 1 THEN {2} || '个逗号' END) ELSE {1} || '字' END AS why"""
 
 
+PDF_WORDS = r"len(regexp_extract_all(src_text, '[A-Za-z][A-Za-z''\-]*'))"
+TURNS = "turns AS (SELECT *, conv_id || '#' || turn AS sid, length(text) * 0.28 AS d FROM conversations WHERE length(text) > 0), line AS (SELECT *, coalesce(sum(d + 0.288) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM turns)"
+
+
 SQL = {
+    "sentences_zh": """WITH s AS (SELECT conv_id, turn, regexp_extract_all(replace(text, '. ', '。'), '[^。！？；\\n]+[。！？；\\n]*') AS s FROM conversations WHERE length(text) > 0)
+        SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS ord, md5(x) AS md5 FROM (SELECT conv_id, turn, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM s)""",
+    "boxed_lines": f"WITH {TYPESET} SELECT doc_id, page, count(*) FILTER (WHERE in_rect) AS n_in, count(*) AS n FROM cx GROUP BY 1, 2",
+    "typeset_titles": f"WITH {TYPESET} SELECT doc_id, coalesce(arg_min(txt, pos) FILTER (WHERE kind IN ('h1', 'h2')), CAST(doc_id AS VARCHAR)) AS title FROM kd GROUP BY 1",
+    "typeset_kinds_top": f"""WITH {TYPESET} SELECT kind, count(*) AS n FROM kd WHERE page % 2 = 0 AND kind IN ('h1', 'h2', 'body', 'figure', 'region', 'other')
+        AND regexp_matches(txt, '(?i)[A-Z]') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 9""",
+    "scope_signatures": f"""WITH {ENTRIES} SELECT ord, scope, zh, md5(term || '|' || zh || '|' || mode || '|' || note || '|a,b,' || zh) AS md5 FROM en""",
+    "web_abbreviations": """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{4,}')[1:3] AS w FROM documents), a AS (SELECT doc_id, array_to_string(w, ' ') AS name,
+        upper(CASE doc_id % 3 WHEN 0 THEN w[1][1] || w[2][1] || w[3][1] WHEN 1 THEN w[1][2] || w[3][3] ELSE w[3][1] || 'q9' END) AS a FROM w WHERE len(w) = 3)
+        SELECT doc_id, regexp_matches(upper(name), array_to_string(string_split(a, ''), '.*')) AS fits FROM a""",
+    "citation_marks": """SELECT conv_id, turn, CAST(len(regexp_extract_all(t, 'cite-sup')) AS INTEGER) AS n, CAST(length(t) AS INTEGER) AS n_chars FROM (
+        SELECT conv_id, turn, regexp_replace(text || ' [' || turn || '–' || (turn + 2) || '] [ref. 3] [a b]', '\\[((?:ref\\.\\s*)?[0-9]+(?:[,\\s\\-–—0-9]*)|\\w+)\\]', '<sup class="cite-sup">[\\1]</sup>', 'g') AS t FROM conversations WHERE text IS NOT NULL)""",
+    "short_ids": f"""WITH {SECTIONED}, s AS (SELECT doc_id, path, CASE WHEN fig THEN 'fig' ELSE '' END || printf('%02d', idx) AS tail FROM z)
+        SELECT doc_id || '#' || path || '#' || tail AS sid, substr(path, 1, 34) || '…/' || tail AS short, doc_id || '_' || replace(path, '/', '_') || '_' || tail AS anchor,
+               doc_id || '_' || replace(path, '/', '_') || '_' || tail AS web_anchor, CAST(doc_id AS VARCHAR) AS doc FROM s""",
+    "chosen_segments": f"""WITH {SECTIONED}, s AS (SELECT *, doc_id || '#' || path || '#' || CASE WHEN fig THEN 'fig' ELSE '' END || printf('%02d', idx) AS sid FROM z)
+        SELECT how, doc_id, count(*) AS n, min(sid) AS first_sid FROM (SELECT 'heading' AS how, * FROM s WHERE heading = 'Deep' OR path = 'part-1' UNION ALL SELECT 'id', * FROM s WHERE contains(sid, '#part-2/sub-1#') OR contains(sid, 'fig0')) GROUP BY 1, 2""",
+    "baseline_check": f"""WITH {SEG}, w AS (SELECT doc_id, CAST(sum({PDF_WORDS}) AS BIGINT) AS words FROM seg GROUP BY 1), b AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN CAST(floor(words * 1.05::DOUBLE + 1) AS BIGINT) ELSE words END AS b_words FROM w)
+        SELECT doc_id, words, b_words, words BETWEEN b_words * 0.97::DOUBLE AND b_words * 1.03::DOUBLE AS ok FROM b""",
+    "library_flags": """SELECT event_id IN (SELECT doc_id FROM documents) AS has_reader, CASE WHEN event_id % 4 = 0 THEN 'shown' WHEN event_id % 9 = 0 THEN 'picked' ELSE 'new' END AS status, count(*) AS n FROM events GROUP BY 1, 2""",
+    "reader_table": f"""WITH {TURNS}, f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k, CASE WHEN turn % 3 <> 0 THEN '译' || length(text) END AS z, CASE WHEN turn % 4 <> 0 THEN '稿' || length(text) END AS s FROM line)
+        SELECT sid, CAST(round(start, 2) AS DOUBLE) AS start_sec, CASE WHEN k = 1 THEN CASE WHEN role = 'user' THEN '正文' ELSE role END END AS toc, replace(sid, '#', '_') AS dom_id, coalesce(z, s, '') AS zh, coalesce(s, z, '') AS script FROM f""",
+    "translated_sentence_times": f"""WITH {TURNS}, p AS (SELECT sid, round(start, 3) AS seg, d, unnest(s) AS x, generate_subscripts(s, 1) - 1 AS ord FROM (SELECT *, regexp_extract_all(text, '[^。！？；\\n]+[。！？；\\n]*') AS s FROM line)),
+        o AS (SELECT *, coalesce(sum(length(x)) OVER (PARTITION BY sid ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, greatest(sum(length(x)) OVER (PARTITION BY sid), 1) AS a FROM p)
+        SELECT sid, CAST(ord AS INTEGER) AS ord, round(CASE WHEN ord % 3 = 1 THEN ord * 2.5 ELSE seg + d * b / a END, 2) AS start_sec,
+               round(CASE WHEN ord % 3 = 1 THEN CASE WHEN ord % 2 = 0 THEN ord * 2.5 + 2 ELSE ord * 2.5 + 3 END ELSE seg + d * b / a + d * length(x) / a END, 2) AS end_sec FROM o""",
+    "smoothed_spans": """WITH RECURSIVE s AS (SELECT conv_id, row_number() OVER w AS k, turn * 5.0 + turn % 3 AS st, turn * 5.0 + 4 + length(text) % 4 AS en, lead(turn * 5.0 + turn % 3) OVER w AS nx, max(turn) OVER (PARTITION BY conv_id) * 5.0 + 9 AS total
+            FROM conversations WHERE length(text) > 0 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), e AS (SELECT conv_id, k, CASE WHEN nx IS NULL THEN total ELSE greatest(en, nx) END AS en FROM s),
+        r AS (SELECT conv_id, k, CAST(0 AS DOUBLE) AS start, greatest(0, CAST(en AS DOUBLE)) AS fin FROM e WHERE k = 1 UNION ALL SELECT e.conv_id, e.k, r.fin, greatest(r.fin, CAST(e.en AS DOUBLE)) FROM r JOIN e ON e.conv_id = r.conv_id AND e.k = r.k + 1)
+        SELECT conv_id, CAST(k - 1 AS INTEGER) AS k, start, fin AS "end" FROM r""",
+    "versioned_segments": f"WITH {SEG} SELECT doc_id, CASE WHEN doc_id % 2 = 1 OR doc_id % 10 = 0 THEN 'second' ELSE 'first' END AS run, count(*) AS n, min(sid) AS first_sid FROM seg GROUP BY 1, 2",
+    "staged_run": f"""WITH {SEG}, w AS (SELECT doc_id, {PDF_WORDS} AS n FROM seg) SELECT 'segments' AS stage, (SELECT count(*) FROM documents) AS rows_in, (SELECT count(*) FROM w) AS rows_out, false AS again
+        UNION ALL SELECT 'long', (SELECT count(*) FROM w), (SELECT count(*) FROM w WHERE n > 5), false UNION ALL SELECT 'sizes', (SELECT count(*) FROM w WHERE n > 5), (SELECT count(DISTINCT doc_id) FROM w WHERE n > 5), false""",
+    "status_replay": """WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 5 = 0 THEN 'new' WHEN event_id % 5 < 3 THEN 'shown' WHEN event_id % 5 = 3 THEN 'picked' ELSE 'done' END AS asked FROM events),
+        b AS (SELECT *, min(event_id) FILTER (WHERE asked = 'new') OVER (PARTITION BY user_id) AS born FROM e),
+        k AS (SELECT *, CASE asked WHEN 'new' THEN 1 WHEN 'shown' THEN 2 WHEN 'picked' THEN 3 ELSE 4 END AS lv FROM b),
+        p AS (SELECT *, coalesce(max(CASE WHEN event_id >= born THEN lv END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS was FROM k),
+        r AS (SELECT asked, CASE WHEN born IS NULL OR event_id < born THEN 'unknown item' WHEN lv < was THEN ['new', 'shown', 'picked', 'done'][was] || ' to ' || asked ELSE '' END AS reason,
+              CASE WHEN born IS NULL OR event_id < born THEN '' ELSE ['new', 'shown', 'picked', 'done'][greatest(lv, was)] END AS status FROM p)
+        SELECT asked, status, reason = '' AS accepted, reason, count(*) AS n FROM r GROUP BY 1, 2, 3, 4""",
+    "library_newest": """SELECT * FROM (SELECT coalesce(source, '') AS source, doc_id, n_chars AS added, CAST(row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY n_chars DESC NULLS LAST, doc_id) AS INTEGER) AS rank FROM documents) WHERE rank <= 5""",
+    "text_samples": f"""WITH {SEG}, w AS (SELECT *, {PDF_WORDS} AS n FROM seg), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY seg_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w)
+        SELECT doc_id, count(*) AS n_segments, CAST(sum(n) AS BIGINT) AS n_words, md5(string_agg(src_text, chr(10) || chr(10) ORDER BY seg_pos)) AS md5 FROM b WHERE before <= 200 GROUP BY 1""",
     "abbr_defs": f"WITH {SAID} SELECT doc_id, abbr, fname AS \"full\" FROM defs",
     "abbr_audit_priority_join": f"""WITH {SAID}, g AS (SELECT lower(trim(term)) AS key, arg_max(zh, ord) AS zh FROM gl GROUP BY 1),
         f AS (SELECT doc_id, abbr, arg_min(g.zh, i) AS zh FROM (SELECT doc_id, abbr, unnest(fulls) AS fname, generate_subscripts(fulls, 1) AS i FROM used) JOIN g ON g.key = lower(fname) GROUP BY 1, 2)
