@@ -309,7 +309,7 @@ def in_library(items: DataFrame, library: DataFrame) -> DataFrame:
     return items.join(own, items["doc_id"] == own["__l"], "left").withColumn("has_reader", F.col("__l").isNotNull()).drop("__l")
 
 
-def newest(rows: DataFrame, date: str, key: str, limit: int | None = None, per: list[str] | None = None) -> DataFrame:
+def by_date(rows: DataFrame, date: str, key: str, limit: int | None = None, per: list[str] | None = None) -> DataFrame:
     """Rows by date, the newest first, those of no date last; equal dates by key. `rank` counts from 1, within `per` if given; the first `limit`."""
     order = [F.desc_nulls_last(date), key]
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*(per or [])).orderBy(*order)))

@@ -7,6 +7,7 @@ is outside: these tables come from any extractor. All windows run inside one doc
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -253,16 +254,18 @@ def segment_lines(lines: DataFrame, rects: DataFrame, page_width: DataFrame) ->
     return paragraphs(reading_order(classify(marked, layout(marked, page_width))))
 
 
-def classified(spans: DataFrame, drawings: DataFrame, images: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines with kind and pos, layouts) of an extractor's spans, drawings, images and pages(doc_id, page, width)."""
-    lines = in_rects(gather(spans), region_rects(drawings, images))
-    how = layout(lines, page_widths(pages))
-    return reading_order(classify(lines, how)), how
+def classified(spans: DataFrame, drawings: DataFrame, images: DataFrame, pages: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> tuple[DataFrame, DataFrame]:
+    """(lines with kind and pos, layouts) of an extractor's spans, drawings, images and pages(doc_id, page, width).
 
+    Lines are read many times over to infer a layout: `keep` may write what is made once (sinks.stages.written)."""
+    lines = keep(in_rects(gather(spans), region_rects(drawings, images)))
+    how = keep(layout(lines, page_widths(pages)))
+    return keep(reading_order(classify(lines, how))), how
 
-def segment_spans(spans: DataFrame, drawings: DataFrame, images: DataFrame, pages: DataFrame) -> DataFrame:
+
+def segment_spans(spans: DataFrame, drawings: DataFrame, images: DataFrame, pages: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """The whole way from an extractor's spans to segments."""
-    return paragraphs(classified(spans, drawings, images, pages)[0])
+    return paragraphs(classified(spans, drawings, images, pages, keep)[0])
 
 
 def inspect(lines: DataFrame, page: int | None = None, kinds: list[str] | None = None, col: int | None = None, grep: str | None = None) -> DataFrame:

@@ -555,19 +555,19 @@ def example_line_title(spark: SparkSession, sf_dir: str) -> Frame:
 
 def line_layout(spark: SparkSession, sf_dir: str) -> Frame:
     """Body size and font, columns and their left edges of all documents, typeset."""
-    _, got = L.classified(*B.typeset(spark, sf_dir))
+    _, got = L.classified(*B.typeset(spark, sf_dir), K2.written)
     return got.select("doc_id", "body_size", "body_font", F.col("n_columns").cast("int").alias("n_columns"), F.round("split_x", 4).alias("split_x"), F.array_join(F.transform("bases", lambda b: F.round(b, 2).cast("string")), ",").alias("bases"))
 
 
 def line_kinds(spark: SparkSession, sf_dir: str) -> Frame:
     """Kinds of all typeset lines: headings, run-in headings, captions and their continuations, boxed regions, junk."""
-    got, _ = L.classified(*B.typeset(spark, sf_dir))
+    got, _ = L.classified(*B.typeset(spark, sf_dir), K2.written)
     return got.select("doc_id", "page", "y0", "x0", "kind", F.col("pos").cast("int").alias("pos"), F.coalesce("runin_head", F.lit("")).alias("runin_head"))
 
 
 def line_segments(spark: SparkSession, sf_dir: str) -> Frame:
     """Segments of all typeset documents."""
-    got = L.segment_spans(*B.typeset(spark, sf_dir))
+    got = L.segment_spans(*B.typeset(spark, sf_dir), K2.written)
     return got.select("doc_id", "sid", "sec_heading", "sec_level", F.col("page").cast("int").alias("page"), F.md5("src_text").alias("md5"), "n_words", "indented", F.col("col").cast("int").alias("col"))
 
 
@@ -704,12 +704,12 @@ def boxed_lines(spark: SparkSession, sf_dir: str) -> Frame:
 
 def typeset_titles(spark: SparkSession, sf_dir: str) -> Frame:
     """Titles of typeset documents: their first heading, else their number."""
-    return L.title(L.classified(*B.typeset(spark, sf_dir))[0])
+    return L.title(L.classified(*B.typeset(spark, sf_dir), K2.written)[0])
 
 
 def typeset_kinds_top(spark: SparkSession, sf_dir: str) -> Frame:
     """The kinds of typeset lines, the most frequent first, of even pages and of lines that hold a capital."""
-    got, _ = L.classified(*B.typeset(spark, sf_dir))
+    got, _ = L.classified(*B.typeset(spark, sf_dir), K2.written)
     return L.kinds(L.inspect(got.where("page % 2 = 0"), grep="[A-Z]", kinds=["h1", "h2", "body", "figure", "region", "other"]))
 
 
@@ -829,7 +829,7 @@ def status_replay(spark: SparkSession, sf_dir: str) -> Frame:
 def library_newest(spark: SparkSession, sf_dir: str) -> Frame:
     """The library by date, the newest first, each source's first five."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("n_chars").alias("added"))
-    return E.newest(docs, "added", "doc_id", 5, ["source"]).select("source", "doc_id", "added", "rank")
+    return E.by_date(docs, "added", "doc_id", 5, ["source"]).select("source", "doc_id", "added", "rank")
 
 
 def text_samples(spark: SparkSession, sf_dir: str) -> Frame:

@@ -6,6 +6,7 @@ RE2 has no look-around: a guard is a consumed neighbour, after every possible gu
 from __future__ import annotations
 
 from scriptorium.functions import text as T
+from scriptorium.operators import feed as E
 from scriptorium.plans import base as B
 
 SEG, FLAT = B.SEGMENTS, B.PAGES
@@ -117,7 +118,32 @@ PDF_WORDS = r"len(regexp_extract_all(src_text, '[A-Za-z][A-Za-z''\-]*'))"
 TURNS = "turns AS (SELECT *, conv_id || '#' || turn AS sid, length(text) * 0.28 AS d FROM conversations WHERE length(text) > 0), line AS (SELECT *, coalesce(sum(d + 0.288) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM turns)"
 
 
+SNAPSHOT = f"""{ITEMS}, p AS (SELECT *, row_number() OVER (ORDER BY entrez_date DESC, pmid DESC) AS n, regexp_replace(journal, '^Nature reviews\\. ', '') AS short FROM items WHERE status = 'new' QUALIFY n <= 120)"""
+
+
 SQL = {
+    "message_packing": f"""WITH RECURSIVE {SNAPSHOT}, b AS (SELECT n, n || '. ' || brief || ' · ' || short || chr(10) || '    ' || repeat('细', 100) AS b FROM p), t AS (SELECT count(*) AS total FROM p),
+        c AS (SELECT channel, greatest(200, chunk - {len(E.TAIL)} - {E.NOTE_RESERVE}) AS budget, most FROM {B.values([(k, c, m) for k, (c, m) in E.POLICY.items()], 'channel, chunk, most')}),
+        r AS (SELECT channel, budget, most, CAST(0 AS BIGINT) AS i, 'Nature Reviews 速览 · 2026-09-21（' || total || ' 条）' AS cur, 0 AS cnt, 0 AS msg FROM c, t UNION ALL
+              SELECT channel, budget, most, i + 1, CASE WHEN shut THEN b ELSE cur || chr(10) || b END, CASE WHEN shut THEN 1 ELSE cnt + 1 END, CASE WHEN shut THEN msg + 1 ELSE msg END
+              FROM (SELECT r.*, b.b, cnt > 0 AND length(cur) + length(b.b) + 1 > budget AS shut FROM r JOIN b ON b.n = r.i + 1)),
+        m AS (SELECT channel, any_value(most) AS most, msg, arg_max(cur, i) AS t, arg_max(cnt, i) AS cnt FROM r GROUP BY channel, msg),
+        x AS (SELECT *, max(msg) OVER (PARTITION BY channel) + 1 AS size, sum(CASE WHEN msg < most THEN cnt END) OVER (PARTITION BY channel) AS sent FROM m),
+        o AS (SELECT channel, msg, t || CASE WHEN msg = size - 1 THEN chr(10) || chr(10) || '{E.TAIL}' ELSE '' END || CASE WHEN size > most AND msg = most - 1
+              THEN chr(10) || chr(10) || '⚠️ 还有 ' || (total - sent) || ' 条没发完（共 ' || total || ' 条）。为避免刷屏只发前 ' || most || ' 条消息，完整内容见 data/feed/digest/ 里的 HTML。' ELSE '' END AS t FROM x, t WHERE msg < most)
+        SELECT channel, CAST(msg AS INTEGER) AS msg_no, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS md5 FROM o""",
+    "html_digest_budget": f"""WITH {SNAPSHOT}, q AS (SELECT n, '<p><b>' || n || '.</b> <b>' || title_en || '</b><br><span>' || brief || '</span><br><span>' || short || ' · ' || CASE WHEN pub_date <> '' THEN pub_date ELSE entrez_date END
+            || ' · <a href="https://doi.org/' || doi || '">' || doi || '</a></span></p>' AS piece FROM p), f AS (SELECT *, sum(length(piece)) OVER (ORDER BY n) <= {E.HTML_LIMIT - 600} AS fits FROM q)
+        SELECT count(*) FILTER (WHERE fits) AS shown, count(*) AS total, sum(length(piece)) FILTER (WHERE fits) + 400 <= {E.HTML_LIMIT} AS "within" FROM f""",
+    "word_sentence_overlap": """WITH t AS (SELECT conv_id || '#' || turn AS id, text, string_split_regex(text, '[ \\n]+') AS w, regexp_extract_all(text, '[ \\n]+') AS g, regexp_extract_all(text, '[^。！？；\\n]+[。！？；\\n]*') AS s FROM conversations WHERE length(text) > 0),
+        u AS (SELECT id, unnest(w) AS x, unnest(list_concat(g, [''])) AS gap, generate_subscripts(w, 1) AS i FROM t),
+        v AS (SELECT *, coalesce(sum(length(x) + length(gap)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM u),
+        z AS (SELECT id, a, a + length(x) AS e, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS k FROM v WHERE length(x) > 0),
+        p AS (SELECT id, unnest(s) AS x, generate_subscripts(s, 1) - 1 AS ord FROM t),
+        o AS (SELECT *, coalesce(sum(length(x)) OVER (PARTITION BY id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM p),
+        j AS (SELECT o.id, o.ord, min(z.k) AS st, max(z.k + 1) AS en FROM o LEFT JOIN z ON z.id = o.id AND ((z.a >= o.c AND z.a < o.c + length(o.x)) OR (z.e > o.c AND z.e <= o.c + length(o.x))) GROUP BY 1, 2),
+        l AS (SELECT *, coalesce(last_value(en IGNORE NULLS) OVER (PARTITION BY id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM j)
+        SELECT id, CAST(ord AS INTEGER) AS ord, CAST(coalesce(st, prior) AS DOUBLE) AS start, CAST(coalesce(en, prior) AS DOUBLE) AS "end" FROM l""",
     "sentences_zh": """WITH s AS (SELECT conv_id, turn, regexp_extract_all(replace(text, '. ', '。'), '[^。！？；\\n]+[。！？；\\n]*') AS s FROM conversations WHERE length(text) > 0)
         SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS ord, md5(x) AS md5 FROM (SELECT conv_id, turn, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM s)""",
     "boxed_lines": f"WITH {TYPESET} SELECT doc_id, page, count(*) FILTER (WHERE in_rect) AS n_in, count(*) AS n FROM cx GROUP BY 1, 2",

@@ -28,6 +28,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """A table written once and read back: what reads it many times does not make it again."""
+    path = scratch(rows.sparkSession, "written")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def segmented(files: DataFrame, read: Callable[[DataFrame], DataFrame], root: str, version: str, keep: int = 2) -> tuple[DataFrame, int]:
     """(segments of all files, how many files were read): each file is segmented once for its time and the segmenter's version.
 
