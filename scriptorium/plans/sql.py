@@ -87,7 +87,11 @@ TYPESET = rf"""{SEG}, ty AS (SELECT doc_id, seg_pos AS n, list_filter(string_spl
     rn AS (SELECT *, sum(breaks) OVER (PARTITION BY doc_id, page, col ORDER BY y0, x0 ROWS UNBOUNDED PRECEDING) AS run FROM (
            SELECT *, CASE WHEN early IS NULL AND abs(sz - lag(sz) OVER p) <= 0.2 AND font = lag(font) OVER p THEN 0 ELSE 1 END AS breaks FROM ce2 WINDOW p AS (PARTITION BY doc_id, page, col ORDER BY y0, x0))),
     kd AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, col, y0, x0) AS pos, CASE WHEN early IS NULL AND coalesce(max(CASE WHEN coalesce(early, late) = 'figure' THEN 1 END)
-           OVER (PARTITION BY doc_id, page, col, run ORDER BY y0, x0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'figure' ELSE coalesce(early, late) END AS kind FROM rn)"""
+           OVER (PARTITION BY doc_id, page, col, run ORDER BY y0, x0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'figure' ELSE coalesce(early, late) END AS kind FROM rn),
+    lb AS (SELECT doc_id, pos, leads, lead, lag(b) OVER v AS b1, lag(b, 2) OVER v AS b2, lag(b, 3) OVER v AS b3 FROM (SELECT *, CASE WHEN bold AND kind = 'other' AND NOT regexp_matches(rtrim(txt), '[.!?:]$') THEN trim(txt) END AS b FROM kd)
+           WINDOW v AS (PARTITION BY doc_id, page, col ORDER BY y0, x0)),
+    rh AS (SELECT doc_id, pos, trim(regexp_replace(replace(regexp_replace(concat_ws(chr(10), CASE WHEN b1 IS NOT NULL AND b2 IS NOT NULL THEN b3 END, CASE WHEN b1 IS NOT NULL THEN b2 END, b1, trim(lead)), '([^-])-\n', '\1', 'g'), chr(10), ' '), '\s+', ' ', 'g')) AS runin
+           FROM lb WHERE leads)"""
 
 
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -223,14 +227,20 @@ SQL = {
         SELECT event_id, title_zh, n, detail, {VERDICT.format('b', 'n', 'c')} FROM q""",
     "line_layout": f"""WITH {TYPESET} SELECT doc_id, CAST(bs AS DOUBLE) AS body_size, body_font, n_columns, CAST(round(split_x, 4) AS DOUBLE) AS split_x,
         CAST(round(CAST(base0 AS DOUBLE), 2) AS VARCHAR) || CASE WHEN n_columns = 2 THEN ',' || CAST(round(CAST(base1 AS DOUBLE), 2) AS VARCHAR) ELSE '' END AS bases FROM lay""",
-    "line_kinds": f"""WITH {TYPESET} SELECT doc_id, page, CAST(y0 AS DOUBLE) AS y0, CAST(x0 AS DOUBLE) AS x0, kind, CAST(pos AS INTEGER) AS pos, CASE WHEN kind = 'runin' THEN trim(lead) ELSE '' END AS runin_head FROM kd""",
+    "line_kinds": f"""WITH {TYPESET} SELECT doc_id, page, CAST(y0 AS DOUBLE) AS y0, CAST(x0 AS DOUBLE) AS x0, kind, CAST(pos AS INTEGER) AS pos, CASE WHEN kind = 'runin' THEN runin ELSE '' END AS runin_head FROM kd LEFT JOIN rh USING (doc_id, pos)""",
     "line_segments": rf"""WITH {TYPESET}, ed AS (SELECT doc_id, pos, s[CAST(floor(len(s) * 0.85) AS INTEGER) + 1] AS edge FROM (SELECT doc_id, pos, list_sort([o.x1 FOR o IN near IF o.page = p2 AND o.col = c2]) AS s FROM (
             SELECT doc_id, pos, page AS p2, col AS c2, list(struct_pack(page := page, col := col, x1 := x1)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM kd WHERE kind IN ('body', 'runin')))
             WHERE len(s) >= 5),
-        rw AS (SELECT kd.*, edge, CASE WHEN kind = 'runin' THEN trim(rest) ELSE txt END AS body FROM kd LEFT JOIN ed USING (doc_id, pos) WHERE kind IN ('h1', 'h2', 'runin', 'body')),
+        rw AS (SELECT kd.*, edge, CASE WHEN kind = 'runin' THEN trim(rest) ELSE txt END AS body, runin FROM kd LEFT JOIN ed USING (doc_id, pos) LEFT JOIN rh USING (doc_id, pos) WHERE kind IN ('h1', 'h2', 'runin', 'body')),
         op AS (SELECT *, kind <> 'body' OR row_number() OVER (PARTITION BY doc_id ORDER BY pos) = 1 AS opens, CASE kind WHEN 'h2' THEN 2 WHEN 'runin' THEN 3 ELSE 1 END AS lv,
-               CASE kind WHEN 'body' THEN '(前置)' WHEN 'runin' THEN trim(lead) ELSE txt END AS hd FROM rw),
-        sc AS (SELECT *, CASE hd WHEN '(前置)' THEN 'u524du7f6e' ELSE lower(replace(hd, ' ', '-')) END AS slug, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sec_no FROM op),
+               CASE kind WHEN 'body' THEN '(前置)' WHEN 'runin' THEN runin ELSE txt END AS h0 FROM rw),
+        oq AS (SELECT *, coalesce(nullif(trim(regexp_replace(rtrim(h0), '[.\-–]\s*[a-h]$', '')), ''), h0) AS hd FROM op),
+        la AS (SELECT hd, [CASE WHEN regexp_matches(x, '[a-z0-9]') THEN x WHEN unicode(x) < 128 THEN '-' WHEN unicode(x) < 65536 THEN 'u' || lpad(printf('%x', unicode(x)), 4, '0') ELSE 'u' || printf('%x', unicode(x)) END
+               FOR x IN string_split(regexp_replace(lower(trim(hd)), '[‘’“”]', '', 'g')[1:41], '') IF length(x) > 0] AS a FROM (SELECT DISTINCT hd FROM oq WHERE opens)),
+        lk AS (SELECT hd, a, len([i FOR i IN range(1, len(a) + 1) IF length(array_to_string(a[1:i], '')) <= 40]) AS k FROM la),
+        lf AS (SELECT hd, len(a) > k AS cut, regexp_replace(regexp_replace(array_to_string(a[1:k], ''), '-+', '-', 'g'), '^-|-$', '', 'g') AS s FROM lk),
+        sl AS (SELECT hd, coalesce(nullif(CASE WHEN cut AND contains(s, '-') THEN regexp_replace(s, '-+[^-]*$', '') ELSE s END, ''), 'sec') AS slug FROM lf),
+        sc AS (SELECT oq.*, slug, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sec_no FROM oq LEFT JOIN sl ON oq.opens AND sl.hd = oq.hd),
         hs AS (SELECT doc_id, sec_no, lv, hd, slug, last_value(CASE WHEN lv = 1 THEN slug END IGNORE NULLS) OVER w AS s1, CASE WHEN lv > 1 THEN last_value(CASE WHEN lv <= 2 THEN CASE WHEN lv = 2 THEN slug ELSE '' END END IGNORE NULLS) OVER w END AS s2
                FROM sc WHERE opens WINDOW w AS (PARTITION BY doc_id ORDER BY sec_no ROWS UNBOUNDED PRECEDING)),
         pa AS (SELECT *, concat_ws('/', s1, nullif(s2, ''), CASE WHEN lv = 3 THEN slug END) AS base_path FROM hs),
