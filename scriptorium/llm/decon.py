@@ -11,8 +11,8 @@ A passage that shares no `SEED_WORDS` words in a row with the item has no seed a
 An item of fewer than `MIN_WORDS` words must stand in the document word for word; one of fewer than
 `SEED_WORDS` words, which any text may hold by chance, must be all of the document's words. Null, empty and
 blank texts and items match nothing; null ids are kept as they are. Documents are read whole, in slices of
-bounded memory. Rows of one document id are reported once per item, with the best score. Extra columns pass
-through. Without benchmark rows nothing is contaminated; an empty table of documents gives an empty result.
+bounded memory. Rows of one document id are reported once per item, with the best score; `keep_clean` keeps
+extra columns. Without benchmark rows nothing is contaminated; an empty table of documents gives an empty result.
 """
 
 from __future__ import annotations

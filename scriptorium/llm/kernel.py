@@ -1,7 +1,7 @@
 """Shared pieces of the operators: vectorised word hashing, shared-storage stages, components.
 
 Words are maximal runs of bytes outside space and 0x09-0x0D of the UTF-8 text, A-Z lower-cased.
-Everything here works on bounded slices of a batch, so that memory does not follow text size.
+Everything here works on slices of a batch, bounded but for one longer text: memory follows the longest text, not the batch.
 """
 
 from __future__ import annotations

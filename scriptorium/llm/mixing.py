@@ -12,8 +12,8 @@ The schedule of one period is made on the driver, from the weights of the source
 broadcast where it has at most `BROADCAST_SLOTS` rows, and joined by shuffles beyond.
 
 Numbers within a source come from counts of hash buckets and ranks inside a bucket, so that no task gets
-a whole source. A null source is a source of its own. Rows that repeat are rows of their own; rows of the
-same id and source stand in any order. Extra columns pass through. An empty table gives an empty one.
+a whole source. A null source is a source of its own. Rows that repeat are rows of their own in `place`; rows of the
+same id and source stand in any order. `mixed` keeps extra columns. An empty table gives an empty one.
 """
 
 from __future__ import annotations

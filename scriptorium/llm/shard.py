@@ -8,7 +8,7 @@ per shard and is joined by prefix, never collected.
 
 A null text has 0 bytes; a null id has the key of the empty string. Rows of the same id have the same key
 and stay together; a bucket that one key fills over the limit cannot split and is marked `oversized`.
-Extra columns pass through. An empty table gives an empty result.
+Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
