@@ -66,16 +66,16 @@ def tokenizer(path: str):
     return got
 
 
-#: Counts of so many words are kept at a time.
-WORDS = 1 << 18
-_counts: dict[str, dict[str, int]] = {}
+#: Counts of so many words are kept at a time, and as many from before that have not been met again.
+WORDS = 1 << 19
+_counts: dict[str, list[dict[str, int]]] = {}
 
 
 def lengths(texts: list[str], path: str) -> list[int]:
     """The token counts of whole texts. No token, pattern or normalisation reaches over a space: a text has the tokens of its words,
     and a word is encoded once while its count is kept. Tabs and line ends are spaces to the tokenizer."""
     tok, out = tokenizer(path), []
-    kept = _counts.setdefault(path, {})
+    kept, older = _counts.get(path, ({}, {}))
     for t in texts:
         words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         try:
@@ -83,21 +83,31 @@ def lengths(texts: list[str], path: str) -> list[int]:
             continue
         except KeyError:
             pass
-        new = [w for w in set(words) if w not in kept]
-        if len(kept) + len(new) > WORDS:
-            kept.clear()
-            new = list(set(words))
         run, size = [], 0
-        for k, w in enumerate(new):
+        for w in set(words):
+            if w in kept:
+                continue
+            if w in older:
+                kept[w] = older[w]
+                continue
             run.append(w)
             size += len(w)
-            if size > CALL or k + 1 == len(new):
-                kept.update(zip(run, (len(e.ids) for e in tok.encode_batch_fast(run, add_special_tokens=False)), strict=True))
+            if size > CALL:
+                kept.update(_encoded(tok, run))
                 run, size = [], 0
+        kept.update(_encoded(tok, run))
         out.append(sum(map(kept.__getitem__, words)))
+        if len(kept) > WORDS:  # frequent words come back from the older half, rare ones go
+            kept, older = {}, kept
+    _counts[path] = [kept, older]
     return out
 
 
+def _encoded(tok, words: list[str]) -> dict[str, int]:
+    got = tok.encode_batch_fast(words, add_special_tokens=False) if words else []
+    return {w: len(e.ids) for w, e in zip(words, got, strict=True)}
+
+
 def joins_nothing(c: str) -> bool:
     """Whether normalisation never joins a character to what stands before it: neither a mark nor a vowel or final letter of a syllable block."""
     import unicodedata
