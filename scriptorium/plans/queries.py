@@ -15,6 +15,7 @@ from scriptorium.operators import qa as Q
 from scriptorium.operators import segments as S
 from scriptorium.operators import timeline as M
 from scriptorium.plans import base as B
+from scriptorium.sinks import puts as PU
 from scriptorium.sinks import render as K
 from scriptorium.sinks import stages as K2
 from scriptorium.sources import literals as X
@@ -837,6 +838,21 @@ def text_samples(spark: SparkSession, sf_dir: str) -> Frame:
     return S.sample(segments(spark, sf_dir), 200).select("doc_id", "n_segments", "n_words", F.md5("text").alias("md5"))
 
 
+def answers_paid_once(spark: SparkSession, sf_dir: str) -> Frame:
+    """Answers to all segments from a store that is filled in three runs, of which the second breaks before its commit; a mark says which run paid."""
+    rows = segments(spark, sf_dir).select("doc_id", "sid", F.sha1("src_text").alias("key"), F.col("src_text").alias("prompt"))
+    root = K2.scratch(spark, "answers")
+
+    def run(mark: str):
+        return lambda prompts, keys: [f"{mark}{len(p)}:{p[:20]}" for p in prompts]
+
+    PU.put_once(rows.where("doc_id % 2 = 0"), "prompt", run("a"), root)
+    odd = rows.where("doc_id % 3 = 0").groupBy("key").agg(F.min("prompt").alias("prompt"))
+    PU.ask(odd.join(PU.store(spark, root).select("key"), "key", "left_anti"), "prompt", run("b"), root)
+    got = PU.put_once(rows, "prompt", run("c"), root)
+    return got.groupBy("doc_id", F.substring("value", 1, 1).alias("paid_by"), "cached").agg(F.count("*").alias("n"), F.md5(F.min("value")).alias("md5"))
+
+
 def example_chat_models(spark: SparkSession, sf_dir: str) -> Frame:
     return R.models(spark.createDataFrame([(m,) for m in B.MODELS], "name string"))
 

@@ -429,6 +429,9 @@ SQL = {
     "example_pending_terms": f"SELECT doc_id, abbr AS term, min(fname) AS full_en, '【待审核: ' || min(fname) || '】' AS zh FROM {DEFS} GROUP BY 1, 2",
     "abbr_unused": """SELECT CAST(doc_id AS VARCHAR) AS doc_id, abbr FROM documents, (VALUES ('The'), ('Und'), ('Que')) AS a(abbr)
         WHERE NOT coalesce(regexp_matches(text, '(^|[^A-Za-z])' || abbr || '([^A-Za-z]|$)'), false)""",
+    "answers_paid_once": f"""WITH {SEG}, k AS (SELECT src_text, bool_or(doc_id % 2 = 0) AS a, bool_or(doc_id % 3 = 0) AS b FROM seg GROUP BY 1),
+        v AS (SELECT doc_id, CASE WHEN a THEN 'a' WHEN b THEN 'b' ELSE 'c' END AS paid_by, a OR b AS cached, src_text FROM seg JOIN k USING (src_text))
+        SELECT doc_id, paid_by, cached, count(*) AS n, md5(min(paid_by || length(src_text) || ':' || substr(src_text, 1, 20))) AS md5 FROM v GROUP BY 1, 2, 3""",
     "library_documents": """WITH g AS (SELECT CAST(n_regionkey AS VARCHAR) AS doc_id, CAST(count(*) AS INTEGER) AS n_terms FROM nation WHERE n_nationkey < 9 GROUP BY 1)
         SELECT doc_id, doc_id AS title, n_terms FROM g UNION ALL SELECT CAST(r_regionkey AS VARCHAR), r_name, 0 FROM region WHERE CAST(r_regionkey AS VARCHAR) NOT IN (SELECT doc_id FROM g)""",
     "qa_char_totals": f"WITH {PAIRS} SELECT doc_id, CAST(sum(length(src)) AS BIGINT) AS src_chars, CAST(sum(length(zh)) AS BIGINT) AS zh_chars FROM pairs GROUP BY 1",
