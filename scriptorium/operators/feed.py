@@ -199,6 +199,26 @@ def triage(items: DataFrame, cache: DataFrame, resolved: DataFrame, answer: Call
     return rows.select(*items.columns, "key", "hit", "error", verdict["mark"].alias("mark"), verdict["why"].alias("why"))
 
 
+# What a browser's feed shows where a record says nothing, and the shortest abstract it takes.
+NO_JOURNAL, NO_DATE, LEAST_ABSTRACT = "Nature Reviews", "近期", 50
+
+
+def browser_items(records: DataFrame, retitled: Callable[[Column], Column]) -> DataFrame:
+    """A browser's feed from fetched records: those with a title and a real abstract, with a title and a line made by rules (`retitled`).
+
+    Abstracts are counted in characters once trimmed; records are those of readers.articles(separator=" ")."""
+    filled = lambda c: F.nullif(T.squash_ends(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    rows = records.select(
+        F.coalesce(filled("pmid"), F.lit("")).alias("pmid"), F.coalesce(filled("doi"), F.lit("")).alias("doi"), filled("title").alias("title_en"), filled("abstract").alias("abstract"),
+        F.coalesce(filled("journal_abbr"), filled("journal"), F.lit(NO_JOURNAL)).alias("journal"),
+        F.coalesce(F.concat(filled("year"), F.coalesce(F.concat(F.lit("-"), filled("month")), F.lit(""))), F.lit(NO_DATE)).alias("pub_date"),
+    ).where((F.length("title_en") > 0) & (F.length("abstract") >= LEAST_ABSTRACT))
+    rows = rows.withColumn("__zh", retitled(F.col("title_en"))).withColumn("__new", F.col("__zh") != F.col("title_en"))
+    own = F.when(F.col("doi") != "", F.regexp_replace("doi", r"^10\.[0-9]+/", "")).otherwise(F.concat(F.lit("pmid-"), "pmid"))
+    brief = F.when(F.col("__new"), F.concat(F.lit("前沿探讨："), "__zh")).otherwise(F.concat(F.lit("前沿综述："), "journal", F.lit(" 深入探讨机制与治疗演进。")))
+    return rows.select("doi", own.alias("doc_id"), "title_en", F.when(F.col("__new"), F.col("__zh")).otherwise("").alias("title_zh"), "journal", "pub_date", brief.alias("brief"), F.col("abstract").alias("detail"), "abstract", F.lit(False).alias("has_reader"))
+
+
 def build_item(raw: DataFrame) -> DataFrame:
     """Feed items from fetched records (pmid, doi, journal, journal_abbr, title, abstract, year, month, day, medline, entrez_date, pmc, ptypes)."""
     return raw.select(

@@ -97,8 +97,10 @@ def add_missing(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def promote(doc_terms: DataFrame, global_terms: DataFrame, term: str) -> DataFrame:
-    """A document's term as a global one; an error where the global table already has it."""
+    """A document's term as a global, approved one; an error where the global table already has it. delete() takes it out of the document's."""
     own = doc_terms.where(F.lower(F.trim("term")) == term.strip().lower()).withColumn("scope", F.lit("global"))
+    if "status" in own.columns:
+        own = own.withColumn("status", F.lit("approved"))
     clash = global_terms.where(F.lower(F.trim("term")) == term.strip().lower())
     if not clash.isEmpty():
         raise ValueError(f"the global glossary already has {term!r}")

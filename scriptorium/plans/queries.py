@@ -853,6 +853,47 @@ def answers_paid_once(spark: SparkSession, sf_dir: str) -> Frame:
     return got.groupBy("doc_id", F.substring("value", 1, 1).alias("paid_by"), "cached").agg(F.count("*").alias("n"), F.md5(F.min("value")).alias("md5"))
 
 
+def browser_feed(spark: SparkSession, sf_dir: str) -> Frame:
+    """Documents as records of a search, and what a browser's feed shows of them."""
+    d = table(spark, sf_dir, "documents")
+    word = F.regexp_extract("text", r"([A-Za-z]+)", 1)
+    title = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Pathophysiology of "), word)).when(F.col("doc_id") % 3 == 1, F.concat(word, F.lit(" atlas")))
+    id_ = F.col("doc_id").cast("string")
+    records = d.select(
+        id_.alias("pmid"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("10.1038/s"), id_)).alias("doi"), F.col("source").alias("journal"), F.when(F.col("doc_id") % 5 == 0, "Nat Rev").alias("journal_abbr"),
+        title.alias("title"), F.col("text").alias("abstract"), F.when(F.col("doc_id") % 7 > 0, "2024").alias("year"), F.when(F.col("doc_id") % 4 == 0, "Mar").alias("month"),
+    )
+    got = E.browser_items(records, X.rewritten_title)
+    return got.select("doi", "doc_id", "title_en", "title_zh", "journal", "pub_date", "brief", F.length("abstract").alias("n_abstract"))
+
+
+def run_state(spark: SparkSession, sf_dir: str) -> Frame:
+    """Fields and checkpoints of three runs over all segments, as the third leaves them."""
+    segs = segments(spark, sf_dir).select("doc_id", "sid")
+    root = K2.scratch(spark, "state")
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    marks = lambda rows, kind, value: rows.select("doc_id", F.lit(kind).alias("kind"), "sid", F.lit(value).alias("value"))
+    K2.save_state(spark, root, docs.select("doc_id", F.col("source").alias("field")), marks(segs, "translations", "one"))
+    K2.save_state(spark, root, docs.where("doc_id % 2 = 0").select("doc_id", F.lit(None).cast("string").alias("field")), marks(segs.where("doc_id % 2 = 0"), "scripts", "two"))
+    last = docs.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.col("lang")).alias("field"))
+    now, kept = K2.save_state(spark, root, last, marks(segs.where("doc_id % 3 = 0 and sid like '%1'"), "translations", "three"))
+    n = lambda value: F.count_if(F.col("value") == value).alias(f"n_{value}")
+    return kept.groupBy("doc_id").agg(n("one"), n("two"), n("three")).join(now, "doc_id", "full")
+
+
+def glossary_files(spark: SparkSession, sf_dir: str) -> Frame:
+    """Sources as glossaries of the documents' first words, written as files of each scope: their number of lines and digest."""
+    d = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id", F.regexp_extract("text", r"([A-Za-z]+)", 1).alias("term")).where("term <> ''")
+    first = d.groupBy("source", "term").agg(F.min("doc_id").alias("ord"))
+    note = F.when(F.col("ord") % 2 == 0, F.concat(F.lit("of "), F.col("ord").cast("string"))).otherwise("")
+    aliases = F.when(F.col("ord") % 3 == 0, F.array(F.lower("term"))).otherwise(F.array().cast("array<string>"))
+    terms = first.select(
+        "ord", "term", F.concat(F.lit("译"), F.col("term")).alias("zh"), F.lit(G.HINT).alias("mode"), note.alias("note"), aliases.alias("aliases"), F.lit(None).cast("string").alias("pattern"),
+        F.lit(True).alias("prefix_variants"), F.lit("approved").alias("status"), F.concat(F.lit("field:"), "source").alias("scope"), F.lit("").alias("full_en"),
+    )
+    return K.glossary_yaml(terms).select("scope", (F.size(F.split("content", "\n")) - 2).alias("n"), F.md5("content").alias("md5"))
+
+
 def example_chat_models(spark: SparkSession, sf_dir: str) -> Frame:
     return R.models(spark.createDataFrame([(m,) for m in B.MODELS], "name string"))
 

@@ -432,6 +432,19 @@ SQL = {
     "answers_paid_once": f"""WITH {SEG}, k AS (SELECT src_text, bool_or(doc_id % 2 = 0) AS a, bool_or(doc_id % 3 = 0) AS b FROM seg GROUP BY 1),
         v AS (SELECT doc_id, CASE WHEN a THEN 'a' WHEN b THEN 'b' ELSE 'c' END AS paid_by, a OR b AS cached, src_text FROM seg JOIN k USING (src_text))
         SELECT doc_id, paid_by, cached, count(*) AS n, md5(min(paid_by || length(src_text) || ':' || substr(src_text, 1, 20))) AS md5 FROM v GROUP BY 1, 2, 3""",
+    "browser_feed": r"""WITH d AS (SELECT doc_id AS k, CAST(doc_id AS VARCHAR) AS id, source, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text, regexp_extract(text, '([A-Za-z]+)', 1) AS w FROM documents),
+        t AS (SELECT *, trim(CASE k % 3 WHEN 0 THEN 'Pathophysiology of ' || w WHEN 1 THEN w || ' atlas' END) AS title, CASE WHEN k % 5 = 0 THEN 'Nat Rev' WHEN trim(source) <> '' THEN trim(source) ELSE 'Nature Reviews' END AS journal FROM d),
+        z AS (SELECT *, trim(replace(title, 'Pathophysiology of', '的病理生理学')) AS zh FROM t WHERE title <> '' AND length(text) >= 50)
+        SELECT CASE WHEN k % 2 = 0 THEN '10.1038/s' || id ELSE '' END AS doi, CASE WHEN k % 2 = 0 THEN 's' || id ELSE 'pmid-' || id END AS doc_id, title AS title_en, CASE WHEN zh <> title THEN zh ELSE '' END AS title_zh, journal,
+            CASE WHEN k % 7 = 0 THEN '近期' WHEN k % 4 = 0 THEN '2024-Mar' ELSE '2024' END AS pub_date, CASE WHEN zh <> title THEN '前沿探讨：' || zh ELSE '前沿综述：' || journal || ' 深入探讨机制与治疗演进。' END AS brief, CAST(length(text) AS INTEGER) AS n_abstract FROM z""",
+    "run_state": f"""WITH {SEG}, m AS (SELECT DISTINCT doc_id FROM seg WHERE doc_id % 3 = 0 AND sid LIKE '%1'),
+        k AS (SELECT doc_id, sum(CASE WHEN doc_id IN (FROM m) THEN 0 ELSE 1 END) AS n_one, sum(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) AS n_two, sum(CASE WHEN doc_id % 3 = 0 AND sid LIKE '%1' THEN 1 ELSE 0 END) AS n_three FROM seg GROUP BY 1),
+        f AS (SELECT doc_id, min(nullif(trim(source), '')) AS s, min(CASE WHEN doc_id % 4 = 0 THEN nullif(trim(lang), '') END) AS l FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)
+        SELECT doc_id, CAST(n_one AS BIGINT) AS n_one, CAST(n_two AS BIGINT) AS n_two, CAST(n_three AS BIGINT) AS n_three, coalesce(l, s) AS field, CASE WHEN f.doc_id IS NOT NULL THEN coalesce(l <> s, false) END AS differs FROM k FULL JOIN f USING (doc_id)""",
+    "glossary_files": r"""WITH d AS (SELECT coalesce(source, 'none') AS source, doc_id, regexp_extract(text, '([A-Za-z]+)', 1) AS term FROM documents), t AS (SELECT source, term, min(doc_id) AS ord FROM d WHERE term <> '' GROUP BY 1, 2),
+        l AS (SELECT 'field:' || source AS scope, ord, term, '- {"term":"' || term || '","zh":"译' || term || '","mode":"prompt_hint"' || CASE WHEN ord % 2 = 0 THEN ',"note":"of ' || ord || '"' ELSE '' END || CASE WHEN ord % 3 = 0 THEN ',"aliases":["' || lower(term) || '"]' ELSE '' END
+            || ',"scope":"field:' || source || '","status":"approved"}' AS line FROM t)
+        SELECT scope, CAST(count(*) AS INTEGER) AS n, md5('terms:' || chr(10) || string_agg(line, chr(10) ORDER BY ord, term) || chr(10)) AS md5 FROM l GROUP BY 1""",
     "library_documents": """WITH g AS (SELECT CAST(n_regionkey AS VARCHAR) AS doc_id, CAST(count(*) AS INTEGER) AS n_terms FROM nation WHERE n_nationkey < 9 GROUP BY 1)
         SELECT doc_id, doc_id AS title, n_terms FROM g UNION ALL SELECT CAST(r_regionkey AS VARCHAR), r_name, 0 FROM region WHERE CAST(r_regionkey AS VARCHAR) NOT IN (SELECT doc_id FROM g)""",
     "qa_char_totals": f"WITH {PAIRS} SELECT doc_id, CAST(sum(length(src)) AS BIGINT) AS src_chars, CAST(sum(length(zh)) AS BIGINT) AS zh_chars FROM pairs GROUP BY 1",

@@ -79,6 +79,22 @@ def glossary_json(terms: DataFrame) -> DataFrame:
     return terms.select(F.to_json(F.struct("term", "zh", "mode", "note", "aliases", "scope", "full_en")).alias("value"))
 
 
+def glossary_yaml(terms: DataFrame, key: str = "scope") -> DataFrame:
+    """(key, content): a glossary file of each scope, one term a line as a flow mapping, in order; readers.glossary_rows() reads it back.
+
+    What a term leaves empty is left out. Line breaks in a note are escaped, so that a term stays on its line."""
+    absent = lambda c: F.nullif(F.col(c), F.lit(""))
+    own = F.struct("term", "zh", "mode", absent("note").alias("note"), F.when(F.size("aliases") > 0, F.col("aliases")).alias("aliases"), absent("pattern").alias("pattern"), F.when(~F.col("prefix_variants"), F.lit(False)).alias("prefix_variants"), "scope", "status", absent("full_en").alias("full_en"))
+    rows = terms.select(key, "ord", "term", F.concat(F.lit("- "), F.to_json(own)).alias("line"))
+    return joined(rows, F.col("line"), ["ord", "term"], key).withColumn("content", F.concat(F.lit("terms:\n"), "content", F.lit("\n")))
+
+
+def write_glossaries(terms: DataFrame, root: str, key: str = "scope") -> None:
+    """A folder of text for each scope; folders of scopes that are not in `terms` stay as they are."""
+    rows = glossary_yaml(terms, key).select(key, F.regexp_replace("content", r"\n\z", "").alias("value"))
+    rows.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).text(root)
+
+
 def line_json(lines: DataFrame) -> DataFrame:
     return lines.select(F.to_json(F.struct(*lines.columns)).alias("value"))
 

@@ -62,6 +62,39 @@ def segmented(files: DataFrame, read: Callable[[DataFrame], DataFrame], root: st
     return known.where(" or ".join(f"`{c}` is not null" for c in rest)).drop("__mtime", "__segmenter"), n
 
 
+def remembered(known: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what holds now, what is to be kept) of a document's field: known(doc_id, field) of earlier runs and asked(doc_id, field) of this one.
+
+    A field that is asked for wins and is kept, one that is not is the earlier one; `differs` marks a document whose two fields are not
+    the same. A document in `asked` more than once has the smallest of its fields; null and empty fields are none."""
+    field = F.nullif(F.trim("field"), F.lit(""))
+    one = lambda d, name: d.groupBy("doc_id").agg(F.min(field).alias(name))
+    both = one(asked, "asked").join(one(known, "known"), "doc_id", "full")
+    now = both.withColumn("field", F.coalesce("asked", "known")).withColumn("differs", F.coalesce(F.col("asked") != F.col("known"), F.lit(False)))
+    here = now.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    return here.select("doc_id", "field", "differs"), now.where("field is not null").select("doc_id", "field")
+
+
+def checkpointed(known: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Checkpoints(doc_id, kind, sid, value) with those of a run: a document's results of a kind take the place of all its earlier ones of that kind; other kinds and documents stay."""
+    made = fresh.select("doc_id", "kind").distinct()
+    return known.join(made, ["doc_id", "kind"], "left_anti").select(*fresh.columns).unionByName(fresh)
+
+
+def save_state(spark: SparkSession, root: str, asked: DataFrame, fresh: DataFrame, keep: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(fields of the documents asked for, all checkpoints) with both written as the next versions of their stores under `root`.
+
+    Each store is published by its own marker: a run that breaks between the two has its fields and the checkpoints of before."""
+    meta, marks = f"{root}/meta", f"{root}/checkpoints"
+    now, keeps = remembered(render.load_store(spark, meta, asked.select("doc_id", "field").schema), asked)
+    now = written(now)
+    for top, rows in ((meta, keeps), (marks, checkpointed(render.load_store(spark, marks, fresh.schema), fresh))):
+        number = max(render._versions(spark, top), default=-1) + 1
+        render.write_store(rows, top, "doc_id", number)
+        render.collect_versions(spark, top, keep)
+    return now, render.load_store(spark, marks, fresh.schema)
+
+
 MANIFEST = "stage string, rows_in long, digest_in string, rows_out long, digest_out string"
 
 

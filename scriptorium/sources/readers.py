@@ -139,7 +139,7 @@ def search_term(term: str, days: int = 0) -> str:
     return f'({term}) AND "last {days} days"[edat]' if days > 0 else term
 
 
-def articles(raw: DataFrame, column: str = "xml") -> DataFrame:
+def articles(raw: DataFrame, column: str = "xml", separator: str = "\n") -> DataFrame:
     """Feed records from one <PubmedArticle> document a row; only direct children count, so cited articles do not leak in."""
     x = F.from_xml(F.col(column), schemas.ARTICLE, {"rowTag": "PubmedArticle", "attributePrefix": "_", "valueTag": "_VALUE"})
     a, d = "x.MedlineCitation.Article", "x.PubmedData"
@@ -150,7 +150,7 @@ def articles(raw: DataFrame, column: str = "xml") -> DataFrame:
     pub = f"{a}.Journal.JournalIssue.PubDate"
     return raw.select(x.alias("x")).select(
         F.col("x.MedlineCitation.PMID").alias("pmid"), by_type("doi").alias("doi"), by_type("pmc").alias("pmc"), F.col(f"{a}.Journal.Title").alias("journal"), F.col(f"{a}.Journal.ISOAbbreviation").alias("journal_abbr"), F.col(f"{a}.ArticleTitle").alias("title"),
-        F.array_join(parts, "\n").alias("abstract"), F.col(f"{pub}.Year").alias("year"), F.col(f"{pub}.Month").alias("month"), F.col(f"{pub}.Day").alias("day"), F.col(f"{pub}.MedlineDate").alias("medline"), F.when(entrez.isNotNull(), date).alias("entrez_date"), F.col(f"{a}.PublicationTypeList.PublicationType").alias("ptypes"),
+        F.array_join(parts, separator).alias("abstract"), F.col(f"{pub}.Year").alias("year"), F.col(f"{pub}.Month").alias("month"), F.col(f"{pub}.Day").alias("day"), F.col(f"{pub}.MedlineDate").alias("medline"), F.when(entrez.isNotNull(), date).alias("entrez_date"), F.col(f"{a}.PublicationTypeList.PublicationType").alias("ptypes"),
     )
 
 
@@ -167,21 +167,39 @@ def http_get(url: str, tries: int = 3, timeout: int = 90) -> str:
     raise RuntimeError("unreachable")
 
 
+# Results of a search by its days, and the window that takes the place of an empty one.
+RESULTS = [(7, 20), (14, 50)]
+MOST_RESULTS, WIDE_DAYS, WIDE_RESULTS = 100, 30, 50
+
+
+def results_of(days: int) -> int:
+    return next((n for most, n in RESULTS if days <= most), MOST_RESULTS)
+
+
 class Ids(InputPartition):
     def __init__(self, ids: list[str]):
         self.ids = ids
 
 
 class FeedReader(DataSourceReader):
-    """Search on the driver, fetch in batches of 150 on the executors."""
+    """Search on the driver, fetch in batches of 150 on the executors.
+
+    With the option `widening` the number of results follows the days, and a window of under WIDE_DAYS that holds nothing is widened to them."""
 
     def __init__(self, options: dict[str, str], get: Callable[[str], str]):
         self.options, self.get = options, get
 
+    def found(self, days: int, retmax: str) -> list[str]:
+        query = {"db": "pubmed", "retmode": "json", "retmax": retmax, "term": search_term(self.options["term"], days)}
+        return json.loads(self.get(f"{self.options['base']}/esearch.fcgi?{urllib.parse.urlencode(query)}"))["esearchresult"]["idlist"]
+
     def partitions(self) -> list[Ids]:
         o = self.options
-        query = {"db": "pubmed", "retmode": "json", "retmax": o.get("retmax", "500"), "term": search_term(o["term"], int(o.get("days", "30")))}
-        ids = json.loads(self.get(f"{o['base']}/esearch.fcgi?{urllib.parse.urlencode(query)}"))["esearchresult"]["idlist"]
+        widening = o.get("widening", "false").lower() == "true"
+        days = int(o.get("days", "7" if widening else "30"))
+        ids = self.found(days, o.get("retmax", str(results_of(days)) if widening else "500"))
+        if widening and not ids and days < WIDE_DAYS:
+            ids = self.found(WIDE_DAYS, str(WIDE_RESULTS))
         return [Ids(ids[i : i + 150]) for i in range(0, len(ids), 150)] or [Ids([])]
 
     def read(self, partition: Ids) -> Iterator[tuple[str]]:
