@@ -234,8 +234,22 @@ def item_line(style: str = "full") -> Column:
     return F.concat(line, F.when(F.length("detail") > 0, F.concat(F.lit("\n    "), "detail")).otherwise("")) if style == "full" else line
 
 
-def packed(head: Column, blocks: Column, tail: str, chunk: Column, most: Column) -> Column:
-    """array<string>: blocks packed greedily into messages at their bounds.
+#: An item's line has its number, a point and a separator; its piece of a page the tags around them.
+LEAST_LINE, LEAST_PIECE = len("1.  · "), len("<p><b>1.</b> <b></b></p>")
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) where the value is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def within(items: DataFrame, size: int, least: int) -> DataFrame:
+    """The first items by `n`, as many as could begin in `size` characters, and two more: what is shown and whether anything is left out is the same as of all."""
+    return items.orderBy("n").limit(size // least + 2)
+
+
+def packed(head: Column, blocks: Column, tail: str, chunk: Column, most: Column, total: Column | None = None) -> Column:
+    """array<string>: blocks packed greedily into messages at their bounds; `total` is the number of items where `blocks` holds the first of them.
 
     The head opens the first message, the tail closes the last. A block longer than the budget is cut and
     marked; messages beyond the channel's number are left out, and the last one says how many items that are."""
@@ -261,31 +275,38 @@ def packed(head: Column, blocks: Column, tail: str, chunk: Column, most: Column)
             F.when(F.length(base) > 0, F.concat(base, F.lit("\n"), b)).otherwise(b).alias("cur"),
             (F.when(close, 0).otherwise(acc["n"]) + 1).cast("int").alias("n"),
         )
-        return cut(nxt)
+        return once(nxt, cut)
 
     start = F.struct(F.array().cast(f"array<{pack}>").alias("packs"), head.alias("cur"), F.lit(0).alias("n"))
 
     def finish(acc: Column) -> Column:
         return F.when((F.length(acc["cur"]) > 0), F.concat(acc["packs"], F.array(F.struct(acc["cur"].alias("t"), acc["n"].alias("n"))))).otherwise(acc["packs"])
 
-    packs = F.aggregate(blocks, start, step, finish)
-    size = F.size(packs)
-    closed = F.transform(packs, lambda p, i: F.struct(F.when(i == size - 1, F.concat(p["t"], F.lit("\n\n" + tail))).otherwise(p["t"]).alias("t"), p["n"].alias("n")))
-    kept = F.slice(closed, F.lit(1), most)
-    sent = F.aggregate(kept, F.lit(0), lambda a, p: a + p["n"])
-    note = F.concat(F.lit("\n\n⚠️ 还有 "), F.greatest(F.lit(0), F.size(blocks) - sent).cast("string"), F.lit(" 条没发完（共 "), F.size(blocks).cast("string"), F.lit(" 条）。为避免刷屏只发前 "), most.cast("string"), F.lit(" 条消息，完整内容见 data/feed/digest/ 里的 HTML。"))
-    return F.transform(kept, lambda p, i: F.when((size > most) & (i == most - 1), F.concat(p["t"], note)).otherwise(p["t"]))
+    total = F.size(blocks) if total is None else total
+
+    def closed(packs: Column) -> Column:
+        size = F.size(packs)
+        return F.slice(F.transform(packs, lambda p, i: F.struct(F.when(i == size - 1, F.concat(p["t"], F.lit("\n\n" + tail))).otherwise(p["t"]).alias("t"), p["n"].alias("n"), size.alias("of"))), F.lit(1), most)
+
+    def noted(kept: Column) -> Column:
+        sent = F.aggregate(kept, F.lit(0), lambda a, p: a + p["n"])
+        note = F.concat(F.lit("\n\n⚠️ 还有 "), F.greatest(F.lit(0), total - sent).cast("string"), F.lit(" 条没发完（共 "), total.cast("string"), F.lit(" 条）。为避免刷屏只发前 "), most.cast("string"), F.lit(" 条消息，完整内容见 data/feed/digest/ 里的 HTML。"))
+        return F.transform(kept, lambda p, i: F.when((p["of"] > most) & (i == most - 1), F.concat(p["t"], note)).otherwise(p["t"]))
+
+    return once(once(F.aggregate(blocks, start, step, finish), closed), noted)
 
 
 def build_messages(snapshot: DataFrame, date: str, style: str = "full") -> DataFrame:
-    """(channel, msg_no, text) of a snapshot's items for every channel: a snapshot is a report of some dozen items."""
+    """(channel, msg_no, text) of a snapshot's items for every channel. A channel takes so many messages of so many characters: only the
+    items that could begin in them are packed, whatever the snapshot's length, and the rest is counted."""
     items = snapshot.withColumn("line", item_line(style))
+    room = max(m * max(200, c - len(TAIL) - NOTE_RESERVE) for c, m in POLICY.values())
     blocks = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
-    one = items.agg(blocks.alias("blocks"))
+    one = within(items, room, LEAST_LINE).agg(blocks.alias("blocks")).crossJoin(items.agg(F.count("*").alias("total")))
     rules = F.array(*[F.struct(F.lit(k).alias("channel"), F.lit(c).alias("chunk"), F.lit(m).alias("most")) for k, (c, m) in POLICY.items()])
-    rows = one.select("blocks", F.explode(rules).alias("r"))
-    head = F.concat(F.lit(f"Nature Reviews 速览 · {date}（"), F.size("blocks").cast("string"), F.lit(" 条）"))
-    return rows.select(F.col("r.channel").alias("channel"), F.posexplode(packed(head, F.col("blocks"), TAIL, F.col("r.chunk"), F.col("r.most"))).alias("msg_no", "text"))
+    rows = one.select("blocks", "total", F.explode(rules).alias("r"))
+    head = F.concat(F.lit(f"Nature Reviews 速览 · {date}（"), F.col("total").cast("string"), F.lit(" 条）"))
+    return rows.select(F.col("r.channel").alias("channel"), F.posexplode(packed(head, F.col("blocks"), TAIL, F.col("r.chunk"), F.col("r.most"), F.col("total"))).alias("msg_no", "text"))
 
 
 def html_digest(snapshot: DataFrame, date: str, style: str = "brief", limit: int = HTML_LIMIT) -> DataFrame:
@@ -301,7 +322,7 @@ def html_digest(snapshot: DataFrame, date: str, style: str = "brief", limit: int
     total = rows.agg(F.count("*").alias("total"))
     run = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     budget = limit - 600
-    rows = rows.withColumn("fits", F.sum(F.length("piece")).over(run) <= budget)
+    rows = within(rows, max(budget, 0), LEAST_PIECE).withColumn("fits", F.sum(F.length("piece")).over(run) <= budget)
     rows = rows.withColumn("fits", F.min("fits").over(run))
     shown = rows.where("fits").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"]), "").alias("body"), F.count("*").alias("shown"))
     cut = F.when(F.col("total") > F.col("shown"), F.concat(F.lit("<p>⚠️ 已到微信单条上限，后面还有 "), (F.col("total") - F.col("shown")).cast("string"), F.lit(" 条没显示。</p>"))).otherwise("")
