@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -77,6 +77,11 @@ def clean(text: Column) -> Column:
     return F.trim(F.replace(F.replace(text, F.lit(" "), F.lit(" ")), F.lit("­"), F.lit("")))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f reads it, also inside of lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def squash(text: Column) -> Column:
     """Runs of any Unicode space to one space, trimmed."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
@@ -190,8 +195,8 @@ def is_subsequence(needle: Column, hay: Column) -> Column:
 
 def initials_fit(abbr: Column, full: Column) -> Column:
     """The abbreviation is a subsequence of the full name's initials, which are at most three more."""
-    a, s = F.upper(abbr), initials(full)
-    return (F.length(a) >= 2) & (F.length(s) > 0) & is_subsequence(a, s) & (F.length(s) <= F.length(a) + 3)
+    a = F.upper(abbr)
+    return let(initials(full), lambda s: (F.length(a) >= 2) & (F.length(s) > 0) & is_subsequence(a, s) & (F.length(s) <= F.length(a) + 3))
 
 
 def normal(text: Column, fold_dash: bool = False) -> Column:
