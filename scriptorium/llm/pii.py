@@ -8,7 +8,7 @@ of their kind teach the trees what the kind looks like, and so do those that mee
 check (digits, check sum, octets, no sentence's end inside) behind a cue: formats that the base patterns miss. What the
 kind does not look like is taught by those that meet no base span and fail the check or have no cue, and by a faint
 mirror image of each positive one, as if it failed the check without a cue, so that a kind of which a corpus holds
-nothing else can be learnt as well. One that cuts into a base span has no label. The labelled candidates of about `sample_docs` documents, picked by hash, count as a contingency table of
+nothing else can be learnt as well. One that cuts into a base span has no label. The labelled candidates of all documents count as a contingency table of
 binned features. The boosted trees become one CASE expression. The threshold is the
 lowest score at which the labelled candidates of the calibration half still show the precision asked for; candidates
 that reach it add spans, where they meet no base span. Base spans always stay.
@@ -49,7 +49,6 @@ WIDE_NEEDS = {"email": ("@", " at ", "(at)", "[at]", "(at]", "[at)"), "ip": r"[0
 CUES = {"email": r"(?i)mail|contact|write", "ip": r"(?i)\bip\b|host|server|address", "card": r"(?i)card|visa|pay|account", "phone": r"(?i)phone|tel|call|fax|mobile"}
 PRECISION = 0.98
 ROUNDS, RATE = 24, 0.3
-SAMPLE_DOCS = 20_000
 #: What the mirror image of a positive candidate weighs.
 FAINT = 0.1
 
@@ -233,10 +232,9 @@ class Trees:
         return raw
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, tuple[Trees, float]]:
-    """Trees and threshold per kind, from about `sample_docs` documents. What comes to the driver is a table of feature bins: bounded by their number."""
-    share = min(1.0, sample_docs / max(docs.count(), 1))
-    rows = candidates(based(docs.where(F.pmod(F.xxhash64(F.lit(7), "doc_id", F.length("text")), F.lit(1 << 30)) < int(share * (1 << 30)))))
+def learn(docs: DataFrame) -> dict[str, tuple[Trees, float]]:
+    """Trees and threshold per kind, from all documents. What comes to the driver is a table of feature bins: bounded by their number."""
+    rows = candidates(based(docs))
     half = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(2))
     parts = F.concat(*[F.transform(f"cand_{k}", _described(k)) for k in KINDS])
     seen = rows.select(half.alias("half"), F.explode(parts).alias("c")).select("half", "c.*")
@@ -265,9 +263,9 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, tuple[Tr
     return out
 
 
-def detect(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def detect(docs: DataFrame) -> DataFrame:
     """doc_id, text, base_<kind> and all_<kind> spans (array<struct<s, e>>) of each row of `docs(doc_id, text)`."""
-    models = learn(docs, sample_docs)
+    models = learn(docs)
     rows = candidates(based(docs))
 
     def every(kind: str) -> Column:

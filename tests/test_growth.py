@@ -2,6 +2,7 @@
 
 import random
 
+from scriptorium.llm import pii
 from scriptorium.operators import abbrev as A
 from scriptorium.plans import base as B
 from scriptorium.plans import queries as Q
@@ -56,3 +57,14 @@ def test_pairs_of_documents_and_entries_go_to_no_shuffle(spark):
     # Nothing is grouped after the join by abbreviation, which is the last one.
     lines = plan(out).splitlines()
     assert not any("Aggregate" in x for x in lines[: next(k for k, x in enumerate(lines) if "Join" in x)])
+
+
+def test_all_documents_teach(spark, monkeypatch):
+    """A model counts the candidates of every document, however many there are."""
+    rows = spark.range(45_000).selectExpr("id as doc_id", "case when id % 2 = 0 then 'call +1 555 123 4567 now' else concat('order 12 34 ', id % 7) end as text")
+    weights = []
+    tree = pii.Trees.__init__
+    monkeypatch.setattr(pii.Trees, "__init__", lambda self, x, y, w: (weights.append((y * w).sum()), tree(self, x, y, w))[1])
+    pii.learn(rows)
+    halves = rows.where("doc_id % 2 = 0 and pmod(xxhash64(cast(doc_id as string)), 2) = 0").count()
+    assert weights and max(weights) == halves
