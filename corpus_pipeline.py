@@ -32,8 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's shard."""
-    return shard.assign(docs)
+    """Each document's shard, a run of documents that follow each other in the mixture: a shard has the mixture's proportions."""
+    return shard.assign(shard.placed(docs, "place"), shard.BYTE_LIMIT, "place")
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mix_sources), ("sharding", shards)]

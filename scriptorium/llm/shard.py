@@ -6,6 +6,10 @@ aggregate over a prefix of the key some bits longer than the limit asks for; whe
 are still too large, only those are counted again by a longer prefix. The directory is a table of one row
 per shard and is joined by prefix, never collected.
 
+`assign` can take a column of keys instead: by the key of a row's place in the table (`placed`) a shard is a run of
+rows that follow each other, so that the shards of a mixture hold its sources in its proportions. Rows of the same id may
+then lie in different shards.
+
 A null text has 0 bytes; a null id has the key of the empty string. Rows of the same id have the same key
 and stay together; a bucket that one key fills over the limit cannot split and is marked `oversized`.
 Extra columns are ignored. An empty table gives an empty result.
@@ -13,7 +17,8 @@ Extra columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import stage
@@ -54,12 +59,29 @@ def directory(sizes: DataFrame, byte_limit: int) -> DataFrame:
     return stage(out.where("rows > 0"), "shard-directory")
 
 
-def assign(docs: DataFrame, byte_limit: int = BYTE_LIMIT) -> DataFrame:
-    """doc_id, shard (the bits of its prefix, `r` before them), depth, shard_bytes, shard_rows, oversized of each row of `docs(doc_id, text)`."""
-    sizes = docs.select(key("doc_id").alias("k"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("bytes"))
+def placed(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with a column `name`: the key of their place, by files in the order of their names and rows in a file, else by partitions.
+
+    A file's first place comes from the counts of the files before it: one row per file."""
+    try:
+        rows = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        rows = docs.select("*", F.format_string("%09d", F.spark_partition_id()).alias("__file"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__row"))
+    files = rows.groupBy("__file").agg((F.max("__row") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = stage(files.select("__file", "n", before.alias("before")), "shard-files")
+    total = files.agg(F.sum("n").alias("n")).first()["n"] or 1
+    at = F.expr(f"shiftleft(before + __row, {KEY_BITS - total.bit_length()})")
+    return rows.join(F.broadcast(files.drop("n")), "__file").select(*[rows[c] for c in docs.columns], at.alias(name))
+
+
+def assign(docs: DataFrame, byte_limit: int = BYTE_LIMIT, place: str | None = None) -> DataFrame:
+    """doc_id, shard (the bits of its prefix, `r` before them), depth, shard_bytes, shard_rows, oversized of each row of `docs(doc_id, text)`; by the keys of column `place`, if given, else by those of the ids."""
+    own = key("doc_id") if place is None else F.col(place)
+    sizes = docs.select(own.alias("k"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("bytes"))
     shards = directory(sizes, byte_limit)
     spans = shards.withColumn("shard", F.concat(F.lit("r"), F.expr("case when depth = 0 then '' else lpad(conv(prefix, 10, 2), depth, '0') end")))
-    keyed = docs.select("doc_id", key("doc_id").alias("k"))
+    keyed = docs.select("doc_id", own.alias("k"))
     # Shards are disjoint ranges of keys: both sides are cut into cells of a common length, at most a few to a shard.
     bits = min(KEY_BITS, max(8, shards.count().bit_length() + 2))
     lo = F.expr(f"shiftleft(prefix, {KEY_BITS} - depth)")

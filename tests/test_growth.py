@@ -2,7 +2,8 @@
 
 import random
 
-from scriptorium.llm import pii
+import corpus_pipeline as pipeline
+from scriptorium.llm import mixing, pii, shard
 from scriptorium.operators import abbrev as A
 from scriptorium.plans import base as B
 from scriptorium.plans import queries as Q
@@ -68,3 +69,17 @@ def test_all_documents_teach(spark, monkeypatch):
     pii.learn(rows)
     halves = rows.where("doc_id % 2 = 0 and pmod(xxhash64(cast(doc_id as string)), 2) = 0").count()
     assert weights and max(weights) == halves
+
+
+def test_shards_follow_the_mixture(spark, tmp_path, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, "x" * r.randint(1, 60), "aa", r.choice(["src0", "src1", "src4", None]), 0) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    monkeypatch.setattr(shard, "BYTE_LIMIT", 4096)
+    place = {x["doc_id"]: (x["slot"], x["ordinal"]) for x in mixing.place(docs).collect()}
+    pipeline.mix_sources(spark, docs, "").write.option("maxRecordsPerFile", 100).parquet(f"{tmp_path}/mixed")
+    for mixed in (spark.read.parquet(f"{tmp_path}/mixed"), spark.createDataFrame(pipeline.mix_sources(spark, docs, "").collect(), docs.schema)):
+        got = {x["doc_id"]: x for x in pipeline.shards(spark, mixed, "").collect()}
+        assert set(got) == {x[0] for x in rows} and all(x["shard_bytes"] <= 4096 for x in got.values())
+        order = [got[i]["shard"] for i in sorted(got, key=lambda i: place[i])]
+        assert len(set(order)) > 4 and order == sorted(order)
