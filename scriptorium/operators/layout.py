@@ -45,7 +45,9 @@ def gather(spans: DataFrame) -> DataFrame:
     lead = F.aggregate(F.col("i"), F.struct(F.lit("").alias("t"), F.lit(True).alias("on")), lambda a, s: F.struct(F.when(a["on"] & s["bold"], F.concat(a["t"], s["text"])).otherwise(a["t"]).alias("t"), (a["on"] & s["bold"]).alias("on")))["t"]
     fonts = F.aggregate(F.col("i"), F.create_map().cast("map<string,int>"), lambda a, s: F.map_concat(F.map_filter(a, lambda k, v: k != s["family"]), F.create_map(s["family"], F.coalesce(F.try_element_at(a, s["family"]), F.lit(0)) + F.length(s["text"]))))
     whole = F.array_join(F.transform("i", lambda s: s["text"]), "")
-    lines = lines.select("doc_id", "page", "y0", "x0", "x1", T.clean(whole).alias("text"), whole.alias("raw"), F.transform("i", lambda s: s["size"]).alias("sizes"), fonts.alias("font_chars"), F.get("i", F.lit(0))["bold"].alias("bold"), F.forall("i", lambda s: s["bold"]).alias("all_bold"), F.trim(lead).alias("head_text"), F.trim(F.substring(whole, F.length(lead) + 1, F.length(whole))).alias("rest_text"))
+    made = F.struct(T.clean(whole).alias("text"), whole.alias("raw"), F.transform("i", lambda s: s["size"]).alias("sizes"), fonts.alias("font_chars"), F.get("i", F.lit(0))["bold"].alias("bold"), F.forall("i", lambda s: s["bold"]).alias("all_bold"), F.trim(lead).alias("head_text"), F.trim(F.substring(whole, F.length(lead) + 1, F.length(whole))).alias("rest_text"))
+    # The tests below read a generator's values: a line's text is cleaned once.
+    lines = lines.select("doc_id", "page", "y0", "x0", "x1", F.inline(F.array(made)))
     skip = F.lower(F.trim("text")).isin(SKIP_STRINGS)
     header = (F.col("y0") < 55) & F.lower(F.trim("text")).isin(*LABEL_STRINGS, *SKIP_STRINGS)
     footer = (F.col("y0") > 750) & F.col("text").rlike(r"(?i)nature reviews|doi\.org|^[0-9]+$")
@@ -60,12 +62,11 @@ def dominant_font(chars: Column) -> Column:
 
 def in_rects(lines: DataFrame, rects: DataFrame) -> DataFrame:
     """Lines with in_rect: their middle lies in a rectangle of their page, two points aside."""
-    key = ["doc_id", "page", "y0", "x0", "text"]
     x, y = (F.col("x0") + F.col("x1")) / 2, F.col("y0")
-    r = rects.select(F.col("doc_id").alias("__d"), F.col("page").alias("__p"), *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
-    test = (F.col("doc_id") == F.col("__d")) & (F.col("page") == F.col("__p")) & x.between(F.col("r_x0") - 2, F.col("r_x1") + 2) & y.between(F.col("r_y0") - 2, F.col("r_y1") + 2)
-    inside = lines.join(r, test, "left_semi").select(*key).distinct().withColumn("in_rect", F.lit(True))
-    return lines.join(inside, key, "left").withColumn("in_rect", F.coalesce("in_rect", F.lit(False)))
+    # The rectangles of a page come as one row to its lines: no line is joined with its own copy.
+    r = rects.where("doc_id is not null and page is not null").groupBy("doc_id", "page").agg(F.collect_set(F.struct("x0", "y0", "x1", "y1")).alias("__rects"))
+    inside = F.exists("__rects", lambda b: x.between(b["x0"] - 2, b["x1"] + 2) & y.between(b["y0"] - 2, b["y1"] + 2))
+    return lines.join(r, ["doc_id", "page"], "left").withColumn("in_rect", F.coalesce(inside, F.lit(False))).select(*lines.columns, "in_rect")
 
 
 def body_size(lines: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import corpus_pipeline as pipeline
 from scriptorium.llm import mixing, pii, shard
 from scriptorium.operators import abbrev as A
+from scriptorium.operators import layout as L
 from scriptorium.plans import base as B
 from scriptorium.plans import queries as Q
 
@@ -83,3 +84,13 @@ def test_shards_follow_the_mixture(spark, tmp_path, monkeypatch):
         assert set(got) == {x[0] for x in rows} and all(x["shard_bytes"] <= 4096 for x in got.values())
         order = [got[i]["shard"] for i in sorted(got, key=lambda i: place[i])]
         assert len(set(order)) > 4 and order == sorted(order)
+
+
+def test_lines_meet_the_rectangles_of_their_page_once(spark):
+    lines = [("p", 0, 10.0, 20.0, 100.0, "a"), ("p", 0, 250.0, 20.0, 100.0, "b"), ("p", 1, 60.0, 40.0, 80.0, "c"), ("p", 1, 151.5, 240.0, 262.0, "e"), ("q", 0, 10.0, 20.0, 100.0, "f"), (None, 0, 10.0, 20.0, 100.0, "g")]
+    rects = [("p", 0, 0.0, 0.0, 300.0, 200.0), ("p", 0, 0.0, 0.0, 300.0, 200.0), ("p", 1, 50.0, 50.0, 250.0, 150.0), ("p", 1, None, 0.0, 1.0, 1.0), (None, 0, 0.0, 0.0, 300.0, 200.0)]
+    d = spark.createDataFrame(lines, "doc_id string, page int, y0 double, x0 double, x1 double, text string")
+    r = spark.createDataFrame(rects, "doc_id string, page int, x0 double, y0 double, x1 double, y1 double")
+    out = L.in_rects(d, r)
+    assert sorted((x["text"], x["in_rect"]) for x in out.collect()) == [("a", True), ("b", False), ("c", True), ("e", True), ("f", False), ("g", False)]
+    assert plan(out).count("Join") == 1
