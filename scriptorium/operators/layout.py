@@ -41,13 +41,21 @@ def gather(spans: DataFrame) -> DataFrame:
     rows = spans.where("dir_x = 1 and dir_y = 0 and length(trim(text)) > 0").where(~((F.col("flags").bitwiseAND(1) != 0) & (F.col("size") < 7.0)))
     rows = rows.withColumns({"bold": T.is_bold(F.col("font"), F.col("flags")), "family": T.font_family(F.col("font"))})
     items = F.array_sort(F.collect_list(F.struct("seq", "text", "size", "bold", "family")))
-    lines = rows.groupBy("doc_id", "page", "line").agg(items.alias("i"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"))
+    # Spans go to their page at once: lines are put together there, and meet the page's rectangles there.
+    lines = rows.repartition("doc_id", "page").groupBy("doc_id", "page", "line").agg(items.alias("i"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"))
     lead = F.aggregate(F.col("i"), F.struct(F.lit("").alias("t"), F.lit(True).alias("on")), lambda a, s: F.struct(F.when(a["on"] & s["bold"], F.concat(a["t"], s["text"])).otherwise(a["t"]).alias("t"), (a["on"] & s["bold"]).alias("on")))["t"]
     fonts = F.aggregate(F.col("i"), F.create_map().cast("map<string,int>"), lambda a, s: F.map_concat(F.map_filter(a, lambda k, v: k != s["family"]), F.create_map(s["family"], F.coalesce(F.try_element_at(a, s["family"]), F.lit(0)) + F.length(s["text"]))))
-    whole = F.array_join(F.transform("i", lambda s: s["text"]), "")
-    made = F.struct(T.clean(whole).alias("text"), whole.alias("raw"), F.transform("i", lambda s: s["size"]).alias("sizes"), fonts.alias("font_chars"), F.get("i", F.lit(0))["bold"].alias("bold"), F.forall("i", lambda s: s["bold"]).alias("all_bold"), F.trim(lead).alias("head_text"), F.trim(F.substring(whole, F.length(lead) + 1, F.length(whole))).alias("rest_text"))
-    # The tests below read a generator's values: a line's text is cleaned once.
+    # Most lines are one span, of which nothing need be put together.
+    one, first = F.size("i") == 1, F.get("i", F.lit(0))
+    made = F.struct(
+        F.when(one, first["text"]).otherwise(F.array_join(F.transform("i", lambda s: s["text"]), "")).alias("raw"), F.col("i.size").alias("sizes"), F.when(one, F.create_map(first["family"], F.length(first["text"]))).otherwise(fonts).alias("font_chars"),
+        first["bold"].alias("bold"), F.when(one, first["bold"]).otherwise(F.forall("i", lambda s: s["bold"])).alias("all_bold"), F.when(one, F.when(first["bold"], first["text"]).otherwise("")).otherwise(lead).alias("lead"),
+    )
+    # What is read more than once below is a generator's value: a line's text is put together and cleaned once.
     lines = lines.select("doc_id", "page", "y0", "x0", "x1", F.inline(F.array(made)))
+    lines = lines.withColumn("text", F.explode(F.array(T.clean(F.col("raw")))))
+    parts = {"head_text": F.trim("lead"), "rest_text": F.trim(F.substring("raw", F.length("lead") + 1, F.length("raw")))}
+    lines = lines.withColumns(parts).select("doc_id", "page", "y0", "x0", "x1", "text", "raw", "sizes", "font_chars", "bold", "all_bold", "head_text", "rest_text")
     skip = F.lower(F.trim("text")).isin(SKIP_STRINGS)
     header = (F.col("y0") < 55) & F.lower(F.trim("text")).isin(*LABEL_STRINGS, *SKIP_STRINGS)
     footer = (F.col("y0") > 750) & F.col("text").rlike(r"(?i)nature reviews|doi\.org|^[0-9]+$")
@@ -57,7 +65,7 @@ def gather(spans: DataFrame) -> DataFrame:
 def dominant_font(chars: Column) -> Column:
     """The font of most characters; of equal ones the first by name."""
     best = F.array_min(F.transform(F.map_entries(chars), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("f"))))
-    return F.coalesce(best["f"], F.lit(""))
+    return F.when(F.size(chars) == 1, F.get(F.map_keys(chars), F.lit(0))).otherwise(F.coalesce(best["f"], F.lit("")))
 
 
 def in_rects(lines: DataFrame, rects: DataFrame) -> DataFrame:
@@ -69,26 +77,43 @@ def in_rects(lines: DataFrame, rects: DataFrame) -> DataFrame:
     return lines.join(r, ["doc_id", "page"], "left").withColumn("in_rect", F.coalesce(inside, F.lit(False))).select(*lines.columns, "in_rect")
 
 
-def body_size(lines: DataFrame) -> DataFrame:
-    """(doc_id, body_size): the largest of the sizes that hold a good share of the characters, else the commonest, else 9."""
-    rows = lines.select("doc_id", F.length("text").alias("n"), F.explode("sizes").alias("s")).where("s between 5.0 and 16.0")
-    hist = rows.groupBy("doc_id", F.round("s", 1).alias("size")).agg(F.sum("n").alias("n"))
-    hist = hist.withColumn("total", F.sum("n").over(Window.partitionBy("doc_id")))
+def measures(lines: DataFrame) -> DataFrame:
+    """(doc_id, what, size, font, x0, n): what a layout is inferred from, counted in one pass over the lines.
+
+    `size`: characters by size; `font`: characters by a line's largest size and font; `edge`: lines of prose length by largest
+    size, dominant font and left edge; `line`: one row for each document."""
+    n = F.length("text").cast("long")
+
+    def row(what, n, size=F.lit(None), font=F.lit(None), x0=F.lit(None)):
+        return F.struct(F.lit(what).alias("what"), size.cast("double").alias("size"), font.cast("string").alias("font"), x0.cast("double").alias("x0"), n.cast("long").alias("n"))
+
+    none = F.array().cast("array<struct<what:string,size:double,font:string,x0:double,n:bigint>>")
+    sizes = F.transform(F.filter("sizes", lambda s: s.between(5.0, 16.0)), lambda s: row("size", F.col("__n"), F.round(s, 1)))
+    fonts = F.transform(F.map_entries("font_chars"), lambda e: row("font", e["value"], F.col("__top"), e["key"]))
+    edge = F.when(F.col("__n") >= PROSE_MIN_LENGTH, F.array(row("edge", F.lit(1), F.col("__top"), dominant_font(F.col("font_chars")), F.col("x0")))).otherwise(none)
+    rows = lines.select("doc_id", "x0", "sizes", "font_chars", n.alias("__n"), F.array_max("sizes").alias("__top"))
+    rows = rows.select("doc_id", F.inline(F.concat(F.array(row("line", F.lit(0))), F.coalesce(sizes, none), F.coalesce(fonts, none), edge)))
+    return rows.groupBy("doc_id", "what", "size", "font", "x0").agg(F.sum("n").alias("n"))
+
+
+def body_size(counts: DataFrame) -> DataFrame:
+    """(doc_id, body_size) from measures(): the largest of the sizes that hold a good share of the characters, else the commonest, else 9."""
+    hist = counts.where("what = 'size'").withColumn("total", F.sum("n").over(Window.partitionBy("doc_id")))
     got = hist.groupBy("doc_id").agg(F.max(F.when((F.col("n") >= F.col("total") * BODY_MIN_SHARE) & (F.col("size") <= 13.0), F.col("size"))).alias("best"), F.max_by("size", F.struct("n", "size")).alias("mode"))
-    return lines.select("doc_id").distinct().join(got, "doc_id", "left").select("doc_id", F.coalesce("best", "mode", F.lit(9.0)).alias("body_size"))
+    return counts.where("what = 'line'").select("doc_id").join(got, "doc_id", "left").select("doc_id", F.coalesce("best", "mode", F.lit(9.0)).alias("body_size"))
 
 
-def body_font(lines: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(doc_id, body_font): the font of most characters among lines of about the body size."""
-    near = lines.join(sizes, "doc_id").where(F.abs(F.array_max("sizes") - F.col("body_size")) <= BODY_TOLERANCE)
-    fonts = near.select("doc_id", F.explode("font_chars").alias("font", "n")).groupBy("doc_id", "font").agg(F.sum("n").alias("n"))
+def body_font(counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc_id, body_size, body_font): the font of most characters among lines of about the body size."""
+    near = counts.where("what = 'font'").join(sizes, "doc_id").where(F.abs(F.col("size") - F.col("body_size")) <= BODY_TOLERANCE)
+    fonts = near.groupBy("doc_id", "font").agg(F.sum("n").alias("n"))
     got = fonts.groupBy("doc_id").agg(F.min_by("font", F.struct(-F.col("n"), "font")).alias("body_font"))
     return sizes.join(got, "doc_id", "left").withColumn("body_font", F.coalesce("body_font", F.lit("")))
 
 
-def histogram(prose: DataFrame, width: int = 5) -> DataFrame:
-    """Left edges in buckets, those that hold enough lines."""
-    rows = prose.groupBy("doc_id", (F.floor(F.floor("x0") / width) * width).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+def histogram(prose: DataFrame, width: int = 5, weight: str | None = None) -> DataFrame:
+    """Left edges in buckets, those that hold enough lines; `weight` counts the lines of a row."""
+    rows = prose.groupBy("doc_id", (F.floor(F.floor("x0") / width) * width).cast("int").alias("bucket")).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     rows = rows.withColumn("total", F.sum("n").over(Window.partitionBy("doc_id")))
     return rows.where(F.col("n") >= F.greatest(F.lit(2.0), F.col("total") * 0.08)).select("doc_id", "bucket", "n")
 
@@ -102,18 +127,24 @@ def gap_clusters(rows: DataFrame, scope: str, value: str, gap: float, weight: st
     return rows.groupBy(scope, "cluster").agg((F.sum(F.col(value) * w) / F.sum(w)).alias("centre"), F.sum(w).cast("long").alias("n"))
 
 
-def layout(lines: DataFrame, page_width: DataFrame) -> DataFrame:
-    """One row per document: body_size, body_font, split_x, n_columns, bases (left edge of each column)."""
-    sizes = body_font(lines, body_size(lines))
-    prose = lines.join(sizes, "doc_id").where((F.length("text") >= PROSE_MIN_LENGTH) & (F.abs(F.array_max("sizes") - F.col("body_size")) <= PROSE_TOLERANCE))
-    prose = prose.where((F.col("body_font") == "") | (dominant_font(F.col("font_chars")) == F.col("body_font")))
-    centres = gap_clusters(histogram(prose), "doc_id", "bucket", 20, "n").groupBy("doc_id").agg(F.array_sort(F.collect_list("centre")).alias("centres"))
+def layout(lines: DataFrame, page_width: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """One row per document: body_size, body_font, split_x, n_columns, bases (left edge of each column).
+
+    Lines are read once, for their measures; all else is made of these counts, which `keep` may write."""
+    counts = keep(measures(lines))
+    sizes = keep(body_font(counts, body_size(counts)))
+    prose = counts.where("what = 'edge'").join(sizes, "doc_id").where(F.abs(F.col("size") - F.col("body_size")) <= PROSE_TOLERANCE)
+    prose = prose.where((F.col("body_font") == "") | (F.col("font") == F.col("body_font")))
+    centres = gap_clusters(histogram(prose, weight="n"), "doc_id", "bucket", 20, "n").groupBy("doc_id").agg(F.array_sort(F.collect_list("centre")).alias("centres"))
     got = sizes.join(page_width, "doc_id").join(centres, "doc_id", "left").withColumn("centres", F.coalesce("centres", F.array().cast("array<double>")))
     two = (F.size("centres") >= 2) & (F.try_element_at("centres", F.lit(-1)) - F.get("centres", F.lit(0)) > F.col("page_width") * 0.25)
     got = got.withColumn("n_columns", F.when(two, F.size("centres")).otherwise(1))
     got = got.withColumn("split_x", F.when(F.col("n_columns") > 1, (F.get("centres", F.lit(0)) + F.try_element_at("centres", F.lit(-1))) / 2).otherwise(F.col("page_width")))
-    edges = prose.select("doc_id", "x0").join(got.select("doc_id", "n_columns", "split_x"), "doc_id")
-    edges = edges.groupBy("doc_id", column_of(F.col("x0")).alias("col")).agg(T.order_statistic(F.collect_list("x0"), 0.05).alias("base"))
+    edges = prose.select("doc_id", "x0", "n").join(got.select("doc_id", "n_columns", "split_x"), "doc_id").withColumn("col", column_of(F.col("x0")))
+    # The order statistic of counted values: the first of which more lines than its number stand at or before it.
+    per = Window.partitionBy("doc_id", "col")
+    upto, total = F.sum("n").over(per.orderBy("x0").rangeBetween(Window.unboundedPreceding, 0)), F.sum("n").over(per)
+    edges = edges.withColumn("reached", upto > F.floor(total * 0.05)).where("reached").groupBy("doc_id", "col").agg(F.min("x0").alias("base"))
     bases = edges.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("col", "base"))).alias("by_col"))
     got = got.join(bases, "doc_id", "left")
     base = F.transform(F.sequence(F.lit(0), F.col("n_columns") - 1), lambda c: F.coalesce(F.try_element_at(F.col("by_col"), c.cast("int")), F.get(F.col("centres"), c), F.lit(40.0)))
@@ -129,62 +160,75 @@ def column_of(x: Column) -> Column:
     return F.when((F.col("n_columns") < 2) | (x < F.col("split_x")), 0).otherwise(1)
 
 
+def marks(lines: DataFrame) -> DataFrame:
+    """Lines with what their texts, sizes and fonts say for their kind, asked once, before any shuffle.
+
+    `carry` is a bold line that a run-in heading may begin on; `lead` and `rest` are those of a line that may hold one."""
+    t = F.col("text")
+    may = F.col("bold") & ~F.col("all_bold") & (F.length("head_text") >= 8) & (F.length("rest_text") > 0)
+    said = {
+        "sz": F.array_max("sizes"), "font": dominant_font(F.col("font_chars")), "is_label": F.regexp_replace(F.lower(F.trim(t)), "^:+|:+$", "").isin(LABEL_STRINGS),
+        "skips": (F.col("page") == 0) & F.trim(t).rlike(TITLE_SKIP), "few": F.regexp_count(t, F.lit("[A-Za-z]")) <= 2, "captions": t.rlike(CAPTION), "panel": t.rlike(PANEL_LABEL),
+        "short": F.length(t) < 4, "may_run": may, "carry": F.when(F.col("bold") & ~F.rtrim("raw").rlike(r"[.!?:]$"), F.trim("raw")), "lead": F.when(may, F.trim("head_text")), "rest": F.when(may, F.trim("rest_text")),
+    }
+    return lines.withColumns({f"__{k}": v for k, v in said.items()})
+
+
 def classify(lines: DataFrame, layouts: DataFrame) -> DataFrame:
     """Lines with col, kind and, for run-in headings, runin_head; `text` of a run-in line is what follows its heading.
 
     Caption continuations chain: after a caption, lines of the same size and font belong to it. The state
-    runs over one page column at a time."""
-    rows = lines.join(layouts, "doc_id")
-    size = F.array_max("sizes")
-    rows = rows.withColumns({"sz": size, "font": dominant_font(F.col("font_chars")), "col": column_of(F.col("x0"))})
+    runs over one page column at a time. Lines go to their document once: all windows, and reading_order(), share its order."""
+    asked = lines if "__carry" in lines.columns else marks(lines)
+    rows = asked.repartition("doc_id").join(layouts, "doc_id").withColumns({"sz": F.col("__sz"), "font": F.col("__font"), "col": column_of(F.col("x0"))})
     base = F.coalesce(F.get("bases", F.least("col", F.size("bases") - 1)), F.lit(40.0))
     rows = rows.withColumns({"aligned": F.abs(F.col("x0") - base) <= 3.0, "same_font": (F.col("body_font") == "") | (F.col("font") == F.col("body_font"))})
     bs, sz, bold = F.col("body_size"), F.col("sz"), F.col("bold")
-    t = F.col("text")
     region = F.col("in_rect") & ~F.col("same_font") & (F.col("page") > 0)
     # Everything but the chained captions, which stand between the caption rule and the panel rule.
     early = (
         F.when(region, "region")
-        .when(F.regexp_replace(F.lower(F.trim(t)), "^:+|:+$", "").isin(LABEL_STRINGS), "label")
-        .when((F.col("page") == 0) & (sz >= bs + 4.5) & ~F.trim(t).rlike(TITLE_SKIP), "title")
+        .when(F.col("__is_label"), "label")
+        .when((F.col("page") == 0) & (sz >= bs + 4.5) & ~F.col("__skips"), "title")
         .when((F.col("page") == 0) & ~bold & (sz >= bs + 0.7), "abstract")
         .when(F.col("page") == 0, "other")
-        .when(F.regexp_count(t, F.lit("[A-Za-z]")) <= 2, "junk")
-        .when(t.rlike(CAPTION), "figure")
+        .when(F.col("__few"), "junk")
+        .when(F.col("__captions"), "figure")
     )
     late = (
-        F.when(t.rlike(PANEL_LABEL) & (sz > bs), "figure")
-        .when(bold & ~F.col("all_bold") & sz.between(bs - 0.2, bs + 1.5) & (F.length("head_text") >= 8) & (F.length("rest_text") > 0), "runin")
+        F.when(F.col("__panel") & (sz > bs), "figure")
+        .when(F.col("__may_run") & sz.between(bs - 0.2, bs + 1.5), "runin")
         .when(bold & (sz > bs * HEADING_FACTOR) & F.col("aligned"), "h1")
-        .when(bold & (sz > bs) & (sz <= bs * HEADING_FACTOR) & F.col("aligned") & (F.length(t) >= 4), "h2")
+        .when(bold & (sz > bs) & (sz <= bs * HEADING_FACTOR) & F.col("aligned") & ~F.col("__short"), "h2")
         .when((F.abs(sz - bs) <= BODY_TOLERANCE) & ~bold & F.col("same_font"), "body")
         .when(sz < bs - BODY_TOLERANCE, "figure")
         .otherwise("other")
     )
     rows = rows.withColumns({"early": early, "late": late})
     # A run of lines in one column that can only continue the caption before it: all of its size and font, none
-    # with an early kind of its own. It is a caption where the line that opens the run is one.
+    # with an early kind of its own. A line is a caption where one of its run stands before it.
     per = Window.partitionBy("doc_id", "page", "col").orderBy("y0", "x0")
+    upto = per.rowsBetween(Window.unboundedPreceding, 0)
     p_sz, p_font = F.lag("sz").over(per), F.lag("font").over(per)
     bound = F.col("early").isNull() & (F.abs(sz - p_sz) <= 0.2) & (F.col("font") == p_font)
-    rows = rows.withColumn("breaks", F.when(F.coalesce(bound, F.lit(False)), 0).otherwise(1))
-    rows = rows.withColumn("run", F.sum("breaks").over(per.rowsBetween(Window.unboundedPreceding, 0)))
-    within = Window.partitionBy("doc_id", "page", "col", "run").orderBy("y0", "x0").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"bound": F.coalesce(bound, F.lit(False)), "nth": F.row_number().over(per)})
     alone = F.coalesce("early", "late")
-    chained = F.coalesce(F.max(F.when(alone == "figure", 1)).over(within), F.lit(0)) == 1
-    rows = rows.withColumn("kind", F.when(F.col("early").isNull() & chained, "figure").otherwise(alone))
+    opened = F.max(F.when(~F.col("bound"), F.col("nth"))).over(upto)
+    caption = F.max(F.when(alone == "figure", F.col("nth"))).over(per.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("chained", F.coalesce(caption >= opened, F.lit(False)))
+    rows = rows.withColumn("kind", F.when(F.col("early").isNull() & F.col("chained"), "figure").otherwise(alone))
     # Run-in headings that began on up to three whole bold lines before.
-    back = F.collect_list(F.struct("bold", "kind", "raw")).over(per.rowsBetween(-3, -1))
+    back = F.collect_list(F.struct(F.when(F.col("kind") == "other", F.col("__carry")).alias("c"))).over(per.rowsBetween(-3, -1))
 
     def reach(acc: Column, p: Column) -> Column:
-        ok = acc["on"] & p["bold"] & (p["kind"] == "other") & ~F.rtrim(p["raw"]).rlike(r"[.!?:]$")
-        return F.struct(ok.alias("on"), F.when(ok, F.concat(F.array(F.trim(p["raw"])), acc["parts"])).otherwise(acc["parts"]).alias("parts"))
+        ok = acc["on"] & p["c"].isNotNull()
+        return F.struct(ok.alias("on"), F.when(ok, F.concat(F.array(p["c"]), acc["parts"])).otherwise(acc["parts"]).alias("parts"))
 
-    head = F.aggregate(F.reverse("back"), F.struct(F.lit(True).alias("on"), F.array(F.trim("head_text")).alias("parts")), reach)["parts"]
     rows = rows.withColumn("back", back)
+    head = F.aggregate(F.reverse("back"), F.struct(F.lit(True).alias("on"), F.array("__lead").alias("parts")), reach)["parts"]
     rows = rows.withColumn("runin_head", F.when(F.col("kind") == "runin", T.join_lines(head)))
-    rows = rows.withColumn("text", F.when(F.col("kind") == "runin", F.trim("rest_text")).otherwise(F.col("text")))
-    return rows.drop("back", "early", "late", "breaks", "run")
+    rows = rows.withColumn("text", F.when(F.col("kind") == "runin", F.col("__rest")).otherwise(F.col("text")))
+    return rows.drop("back", "early", "late", "bound", "nth", "chained", *[c for c in asked.columns if c.startswith("__")])
 
 
 def reading_order(lines: DataFrame) -> DataFrame:
@@ -255,18 +299,37 @@ def segment_lines(lines: DataFrame, rects: DataFrame, page_width: DataFrame) ->
     return paragraphs(reading_order(classify(marked, layout(marked, page_width))))
 
 
+def laid(spans: DataFrame, drawings: DataFrame, images: DataFrame, pages: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> tuple[DataFrame, DataFrame]:
+    """(lines with their marks, layouts) of an extractor's spans, drawings, images and pages(doc_id, page, width): what classify() takes.
+
+    Lines are read twice, for their measures and for their kinds: `keep` may write what is made once (sinks.stages.written)."""
+    lines = marks(in_rects(gather(spans), region_rects(drawings, images)))
+    lines = keep(lines.drop("raw", "head_text", "rest_text", "all_bold"))
+    how = keep(layout(lines, page_widths(pages), keep))
+    return lines.drop("sizes", "font_chars"), how
+
+
 def classified(spans: DataFrame, drawings: DataFrame, images: DataFrame, pages: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> tuple[DataFrame, DataFrame]:
-    """(lines with kind and pos, layouts) of an extractor's spans, drawings, images and pages(doc_id, page, width).
+    """(lines with kind and pos, layouts) of an extractor's spans, drawings, images and pages(doc_id, page, width)."""
+    lines, how = laid(spans, drawings, images, pages, keep)
+    return reading_order(classify(lines, how)), how
+
+
+def span_layouts(spans: DataFrame, pages: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """Layouts alone: no line is classified, none meets a rectangle."""
+    return layout(gather(spans), page_widths(pages), keep)
+
 
-    Lines are read many times over to infer a layout: `keep` may write what is made once (sinks.stages.written)."""
-    lines = keep(in_rects(gather(spans), region_rects(drawings, images)))
-    how = keep(layout(lines, page_widths(pages)))
-    return keep(reading_order(classify(lines, how))), how
+def span_titles(spans: DataFrame, drawings: DataFrame, images: DataFrame, pages: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """title() of an extractor's spans: the text of a line that can be neither title nor heading is not carried along."""
+    lines, how = laid(spans, drawings, images, pages, keep)
+    lines = lines.withColumn("text", F.when(F.col("bold") | (F.col("page") == 0), F.col("text")))
+    return title(reading_order(classify(lines, how)))
 
 
 def segment_spans(spans: DataFrame, drawings: DataFrame, images: DataFrame, pages: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """The whole way from an extractor's spans to segments."""
-    return paragraphs(classified(spans, drawings, images, pages, keep)[0])
+    return paragraphs(keep(classified(spans, drawings, images, pages, keep)[0]))
 
 
 def inspect(lines: DataFrame, page: int | None = None, kinds: list[str] | None = None, col: int | None = None, grep: str | None = None) -> DataFrame:

@@ -163,10 +163,14 @@ def deduplicated(rows: DataFrame, sid: str, order: list[str]) -> DataFrame:
     return rows.withColumn("__n", n).withColumn(sid, F.when(F.col("__n") > 1, F.concat(F.col(sid), F.lit("-dup"), F.col("__n").cast("string"))).otherwise(F.col(sid))).drop("__n")
 
 
+def text_lines(text: Column) -> Column:
+    """The non-blank lines of a text, trimmed."""
+    return F.filter(F.transform(F.split(text, "\n", -1), lambda t: F.trim(t)), lambda t: F.length(t) > 0)
+
+
 def text_segments(docs: DataFrame) -> DataFrame:
     """Segments of `docs(doc_id, text, ...)`: its non-blank lines, as one section `body`; numbered in the row, without a shuffle."""
-    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda t: F.trim(t)), lambda t: F.length(t) > 0)
-    rows = docs.select("doc_id", F.inline(numbered(lines))).withColumn("sec_path", F.lit("body"))
+    rows = docs.select("doc_id", F.inline(numbered(text_lines(F.col("text"))))).withColumn("sec_path", F.lit("body"))
     sid = T.segment_id(F.col("doc_id"), F.col("sec_path"), F.col("seg_pos"))
     n_words = T.word_count(F.col("src_text"), "pdf")
     return rows.select(

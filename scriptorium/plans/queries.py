@@ -556,7 +556,8 @@ def example_line_title(spark: SparkSession, sf_dir: str) -> Frame:
 
 def line_layout(spark: SparkSession, sf_dir: str) -> Frame:
     """Body size and font, columns and their left edges of all documents, typeset."""
-    _, got = L.classified(*B.typeset(spark, sf_dir), K2.written)
+    spans, _, _, pages = B.typeset(spark, sf_dir)
+    got = L.span_layouts(spans, pages, K2.written)
     return got.select("doc_id", "body_size", "body_font", F.col("n_columns").cast("int").alias("n_columns"), F.round("split_x", 4).alias("split_x"), F.array_join(F.transform("bases", lambda b: F.round(b, 2).cast("string")), ",").alias("bases"))
 
 
@@ -705,7 +706,7 @@ def boxed_lines(spark: SparkSession, sf_dir: str) -> Frame:
 
 def typeset_titles(spark: SparkSession, sf_dir: str) -> Frame:
     """Titles of typeset documents: their first heading, else their number."""
-    return L.title(L.classified(*B.typeset(spark, sf_dir), K2.written)[0])
+    return L.span_titles(*B.typeset(spark, sf_dir), K2.written)
 
 
 def typeset_kinds_top(spark: SparkSession, sf_dir: str) -> Frame:

@@ -94,3 +94,28 @@ def test_lines_meet_the_rectangles_of_their_page_once(spark):
     out = L.in_rects(d, r)
     assert sorted((x["text"], x["in_rect"]) for x in out.collect()) == [("a", True), ("b", False), ("c", True), ("e", True), ("f", False), ("g", False)]
     assert plan(out).count("Join") == 1
+
+
+def test_documents_are_typeset_without_a_shuffle(spark):
+    for rows in B.typeset(spark, SF):
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_layout_reads_counts_not_lines(spark):
+    """No text is kept for a layout, and nothing but the counts is read twice."""
+    kept = []
+    spans, _, _, pages = B.typeset(spark, SF)
+    L.span_layouts(spans, pages, lambda d: kept.append(d) or d)
+    assert kept and all({"text", "raw", "sizes"}.isdisjoint(d.columns) for d in kept)
+
+
+def test_lines_are_shuffled_and_sorted_once_to_be_classified(spark):
+    lines, rects, width = B.laid_out(spark)
+    how = L.layout(lines, width)
+    marked = L.marks(L.in_rects(lines, rects))
+    marked = spark.createDataFrame(marked.collect(), marked.schema)
+    got = L.reading_order(L.classify(marked, spark.createDataFrame(how.collect(), how.schema)))
+    text = got._jdf.queryExecution().executedPlan().toString()
+    # The lines and the layouts go to their documents; the join sorts both, the windows share one order.
+    assert text.count("Exchange hashpartitioning") + text.count("Exchange REPARTITION") <= 2 and text.count("Sort [") <= 3
+    assert sorted((r["page"], r["y0"], r["x0"], r["kind"]) for r in got.collect()) == sorted(B.LINE_KINDS)
