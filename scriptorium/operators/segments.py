@@ -52,10 +52,12 @@ def html_title(html: Column, fallback: Column) -> Column:
 
 
 def _blocks(read: Callable[[str | None, frozenset[str]], list[tuple]], skip: list[str]) -> Callable[[Column], Column]:
-    """A page's blocks as an array, read in Arrow batches, one pass over each page."""
+    """A page's blocks as an array, one pass over each page.
+
+    Rows are pickled, by hundreds: an Arrow batch holds thousands of pages and all their blocks in a worker at once."""
     leave = frozenset(skip)
 
-    @F.udf(f"array<struct<{markup.BLOCK.replace(' ', ':').replace(',:', ',')}>>", useArrow=True)
+    @F.udf(f"array<struct<{markup.BLOCK.replace(' ', ':').replace(',:', ',')}>>", useArrow=False)
     def of(html: str | None) -> list[tuple]:
         return read(html, leave)
 

@@ -119,3 +119,8 @@ def test_lines_are_shuffled_and_sorted_once_to_be_classified(spark):
     # The lines and the layouts go to their documents; the join sorts both, the windows share one order.
     assert text.count("Exchange hashpartitioning") + text.count("Exchange REPARTITION") <= 2 and text.count("Sort [") <= 3
     assert sorted((r["page"], r["y0"], r["x0"], r["kind"]) for r in got.collect()) == sorted(B.LINE_KINDS)
+
+
+def test_pages_reach_python_in_small_batches(spark):
+    text = Q.html_sections_web(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in text and "ArrowEvalPython" not in text
