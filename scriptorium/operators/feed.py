@@ -152,23 +152,27 @@ PAYLOAD = "struct<title_zh:string,brief:string,detail:string>"
 
 def payload(text: Column) -> Column:
     """struct(title_zh, brief, detail) of an answer: fenced, wrapped in prose or broken; lacking parts are empty."""
-    bare = F.trim(F.regexp_replace(F.trim(text), r"(?s)^```(?:json)?\s*|\s*```$", ""))
-    whole = F.from_json(F.when(bare.startswith("{"), bare), "struct<title_zh:string,brief:string,detail:string,_bad:string>", {"columnNameOfCorruptRecord": "_bad"})
-    inner = F.from_json(F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit("")), "struct<title_zh:string,brief:string,detail:string,_bad:string>", {"columnNameOfCorruptRecord": "_bad"})
+    shape, bad = "struct<title_zh:string,brief:string,detail:string,_bad:string>", {"columnNameOfCorruptRecord": "_bad"}
     good = lambda s, c: F.when(s["_bad"].isNull(), s[c])
-    return F.struct(*[F.trim(F.coalesce(good(whole, c), good(inner, c), F.lit(""))).alias(c) for c in ("title_zh", "brief", "detail")])
+    bare = F.trim(F.regexp_replace(F.trim(text), r"(?s)^```(?:json)?\s*|\s*```$", ""))
+    # An answer is bared once and parsed once in either way, for all of its parts.
+    both = lambda b: F.struct(F.from_json(F.when(b.startswith("{"), b), shape, bad).alias("whole"), F.from_json(F.nullif(F.regexp_extract(b, r"(?s)\{.*\}", 0), F.lit("")), shape, bad).alias("inner"))
+    parts = lambda x: F.struct(*[F.trim(F.coalesce(good(x["whole"], c), good(x["inner"], c), F.lit(""))).alias(c) for c in ("title_zh", "brief", "detail")])
+    return T.let(bare, lambda b: T.let(both(b), parts))
 
 
 def brief_verdict(brief: Column) -> Column:
     """struct(mark, why): empty, too long, rather long, more than one comma, or fine."""
-    n = T.reading_length(brief)
-    commas = F.regexp_count(brief, F.lit("[，,]"))
-    issues = F.array_compact(F.array(F.when(n > 32, F.concat(n.cast("string"), F.lit("字超标"))).when(n > 25, F.concat(n.cast("string"), F.lit("字偏长"))), F.when(commas > 1, F.concat(commas.cast("string"), F.lit("个逗号")))))
-    empty = F.coalesce(F.length(F.trim(brief)) == 0, F.lit(True))
-    return F.struct(
-        F.when(empty, "❌").when(F.size(issues) > 0, "⚠️").otherwise("✅").alias("mark"),
-        F.when(empty, "空").when(F.size(issues) > 0, F.array_join(issues, " ")).otherwise(F.concat(n.cast("string"), F.lit("字"))).alias("why"),
-    )
+
+    def of(x: Column) -> Column:
+        n, commas, empty = x["n"], x["commas"], x["empty"]
+        issues = F.array_compact(F.array(F.when(n > 32, F.concat(n.cast("string"), F.lit("字超标"))).when(n > 25, F.concat(n.cast("string"), F.lit("字偏长"))), F.when(commas > 1, F.concat(commas.cast("string"), F.lit("个逗号")))))
+        return F.struct(
+            F.when(empty, "❌").when(F.size(issues) > 0, "⚠️").otherwise("✅").alias("mark"),
+            F.when(empty, "空").when(F.size(issues) > 0, F.array_join(issues, " ")).otherwise(F.concat(n.cast("string"), F.lit("字"))).alias("why"),
+        )
+
+    return T.let(F.struct(T.reading_length(brief).alias("n"), F.regexp_count(brief, F.lit("[，,]")).alias("commas"), F.coalesce(F.length(F.trim(brief)) == 0, F.lit(True)).alias("empty")), of)
 
 
 # What an item's prompt looks like.

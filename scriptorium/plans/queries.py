@@ -688,8 +688,8 @@ def digest_payload_json(spark: SparkSession, sf_dir: str) -> Frame:
     k = F.col("event_id")
     body = F.concat(F.lit('{"title_zh": " 题'), k.cast("string"), F.lit('", "brief": "'), F.repeat(F.lit("句"), (k % 40).cast("int")), F.repeat(F.lit("，"), (k % 3).cast("int")), F.lit('"'), F.when(k % 2 == 0, ', "detail": "细"').otherwise(""), F.lit("}"))
     text = F.when(k % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k % 5 == 1, F.concat(F.lit("Here it is: "), body, F.lit(" thanks"))).when(k % 5 == 2, F.lit("garbage { here")).otherwise(body)
-    rows = table(spark, sf_dir, "events").select("event_id", E.payload(text).alias("p")).select("event_id", "p.*")
-    return rows.withColumn("v", E.brief_verdict(F.col("brief"))).select("event_id", "title_zh", F.length("brief").alias("n"), "detail", "v.mark", "v.why")
+    rows = table(spark, sf_dir, "events").select("event_id", F.inline(F.array(E.payload(text))))
+    return rows.select("event_id", "title_zh", F.length("brief").alias("n"), "detail", F.inline(F.array(E.brief_verdict(F.col("brief")))))
 
 
 def sentences_zh(spark: SparkSession, sf_dir: str) -> Frame:

@@ -124,3 +124,7 @@ def test_lines_are_shuffled_and_sorted_once_to_be_classified(spark):
 def test_pages_reach_python_in_small_batches(spark):
     text = Q.html_sections_web(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in text and "ArrowEvalPython" not in text
+
+
+def test_answers_are_parsed_once_in_either_way(spark):
+    assert plan(Q.digest_payload_json(spark, SF)).lower().count("from_json") + plan(Q.digest_payload_json(spark, SF)).lower().count("jsontostructs") <= 2
