@@ -1,7 +1,8 @@
 """A provider cache that is filled once: answers are journalled by the tasks that get them and published by a commit.
 
 A put has two phases. Each task writes what a call has answered to a file of its own below `attempts`, call by call,
-under the lot of its keys; a task that is run again reads its lot's files first and asks only for the rest. Then one
+under the lot of its keys; a task that is run again reads its lot's files first and asks only for the rest. The files
+of a lot that is through become one, so that a commit reads as many files as there are lots, not calls. Then one
 job takes one value a key from all files and writes the next `put`; its marker, written last, publishes it.
 
 * A task lost between a call and its file asks again for that one batch: a provider that takes idempotency keys (`call`
@@ -16,6 +17,7 @@ address that pyarrow knows (file, hdfs, s3, gs), which every executor reaches.
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,34 +54,59 @@ def _uri(root: str) -> str:
     return "file:///" + root.removeprefix("file:").lstrip("/") if root.startswith("file:") else root.rstrip("/")
 
 
-def journalled(lot: str) -> dict[str, str]:
-    """Answers that the whole files of a lot hold; of several to a key the one that commits, the smallest."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    disk, path = _at(lot)
-    out: dict[str, str] = {}
-    for f in disk.get_file_info(fs.FileSelector(path, allow_not_found=True)):
-        if f.base_name.startswith("answers-"):
-            with disk.open_input_file(f.path) as g:
-                got = pq.read_table(g).to_pydict()
-            for k, v in zip(got["key"], got["value"], strict=True):
-                out[k] = min(v, out.get(k, v))
-    return out
+class Lot:
+    """The answers to a lot's keys, in files of a JSON object a line; `known` are those of its files, of several to a key the one that commits, the smallest."""
+
+    def __init__(self, address: str) -> None:
+        from pyarrow import fs
+
+        self.disk, self.path = _at(address)
+        self.known: dict[str, str] = {}
+        self.files: list[str] = []
+        for f in self.disk.get_file_info(fs.FileSelector(self.path, allow_not_found=True)):
+            if f.base_name.startswith("answers-"):
+                try:
+                    with self.disk.open_input_file(f.path) as g:
+                        text = g.read().decode()
+                except FileNotFoundError:
+                    continue  # a lost task that still runs has put it into its one file: at worst its keys are asked for again
+                self.files.append(f.path)
+                for line in text.split("\n")[:-1]:
+                    k, v = (x := json.loads(line))["key"], x["value"]
+                    self.known[k] = min(v, self.known.get(k, v))
+
+    def _write(self, answers: dict[str, str]) -> str:
+        """A new file has its name once it is whole."""
+        if not self.files:
+            self.disk.create_dir(self.path, recursive=True)
+        name = uuid.uuid4().hex
+        quoted = json.JSONEncoder(ensure_ascii=False).encode
+        lines = "".join(f'{{"key": {quoted(k)}, "value": {quoted(v)}}}\n' for k, v in answers.items())
+        with self.disk.open_output_stream(f"{self.path}/_{name}.tmp") as f:
+            f.write(lines.encode())
+        self.disk.move(f"{self.path}/_{name}.tmp", f"{self.path}/answers-{name}.json")
+        return f"{self.path}/answers-{name}.json"
+
+    def note(self, answers: dict[str, str]) -> None:
+        """The answers of a call as a file."""
+        self.files.append(self._write(answers))
+        self.known |= answers
+
+    def close(self) -> None:
+        """One file of all answers stands for those that were read or written."""
+        if len(self.files) > 1:
+            one = self._write(self.known)
+            for f in self.files:
+                try:
+                    self.disk.delete_file(f)
+                except FileNotFoundError:
+                    pass
+            self.files = [one]
 
 
 def note(lot: str, answers: dict[str, str]) -> None:
-    """Answers as a file of the lot: it has its name once it is whole."""
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-
-    disk, path = _at(lot)
-    disk.create_dir(path, recursive=True)
-    name = uuid.uuid4().hex
-    table = pa.table({"key": pa.array(list(answers), pa.string()), "value": pa.array(list(answers.values()), pa.string())})
-    with disk.open_output_stream(f"{path}/_{name}.tmp") as f:
-        pq.write_table(table, f)
-    disk.move(f"{path}/_{name}.tmp", f"{path}/answers-{name}.parquet")
+    """Answers as a file of the lot."""
+    Lot(lot).note(answers)
 
 
 def answered(call: Call, keys: list[str], prompts: list[str], attempts: int, wait: Callable[[float], None]) -> Iterator[tuple[dict[str, str], dict[str, str]]]:
@@ -112,20 +139,24 @@ def ask(todo: DataFrame, prompt: str, call: Call, root: str, batch: int = BATCH,
     top = f"{_uri(root)}/attempts"
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lot, known = None, {}
+        lot, own = None, None
         for frame in frames:
             failed: dict[str, str] = {}
             for number, rows in frame.groupby("lot", sort=True):
                 if number != lot:
-                    lot, known = number, journalled(f"{top}/lot={number:08d}")
-                rows = rows[~rows["key"].isin(list(known))]
-                for k in range(0, len(rows), batch):
-                    part = rows.iloc[k : k + batch]
-                    for values, errors in answered(call, part["key"].tolist(), part["prompt"].tolist(), attempts, wait):
+                    if own:
+                        own.close()
+                    lot, own = number, Lot(f"{top}/lot={number:08d}")
+                rows = rows[~rows["key"].isin(list(own.known))]
+                keys, prompts = rows["key"].tolist(), rows["prompt"].tolist()
+                for k in range(0, len(keys), batch):
+                    for values, errors in answered(call, keys[k : k + batch], prompts[k : k + batch], attempts, wait):
                         if values:
-                            note(f"{top}/lot={lot:08d}", values)
+                            own.note(values)
                         failed |= errors
             yield pd.DataFrame({"key": list(failed), "error": list(failed.values())}, dtype="object")
+        if own:
+            own.close()
 
     dealt = todo.withColumn("lot", F.pmod(F.xxhash64("key"), F.lit(lots)))
     dealt = dealt.repartition(min(lots, TASKS), "lot").sortWithinPartitions("lot", "key")
@@ -141,10 +172,13 @@ def _whole(spark: SparkSession, root: str) -> list[str]:
     return [f"{root}/{n}" for n in names[folds[-1] if folds else 0 :]]
 
 
+def _entries(spark: SparkSession, folders: list[str]) -> DataFrame:
+    return spark.read.schema(ENTRY).parquet(*folders) if folders else spark.range(0).selectExpr("cast(id as string) as key", "cast(id as string) as value")
+
+
 def store(spark: SparkSession, root: str) -> DataFrame:
     """(key, value) of all published puts; a key stands once."""
-    known = _whole(spark, root)
-    return spark.read.schema(ENTRY).parquet(*known) if known else spark.createDataFrame([], ENTRY)
+    return _entries(spark, _whole(spark, root))
 
 
 def _number(folder: str) -> int:
@@ -157,7 +191,7 @@ def commit(spark: SparkSession, root: str) -> None:
     disk = top.getFileSystem(spark._jsc.hadoopConfiguration())
     if disk.globStatus(top):
         before = _whole(spark, root)
-        found = spark.read.schema(ENTRY).option("pathGlobFilter", "answers-*").parquet(f"{root}/attempts/lot=*")
+        found = spark.read.schema(ENTRY).option("pathGlobFilter", "answers-*").json(f"{root}/attempts/lot=*", mode="FAILFAST")
         fresh = found.groupBy("key").agg(F.min("value").alias("value")).join(store(spark, root), "key", "left_anti")
         number = _number(before[-1]) + 1 if before else 0
         fresh.select("key", "value").write.mode("overwrite").parquet(f"{root}/put={number:012d}")
@@ -184,14 +218,16 @@ def put_once(
     without key or prompt gets an error of its own and is not asked for; a key that stays without an answer is asked for again by the next run."""
     spark = rows.sparkSession
     commit(spark, root)
-    known = stages.written(store(spark, root).select("key"))
+    fold(spark, root)
+    before = _whole(spark, root)
     whole = rows.where(F.col("key").isNotNull() & F.col(prompt).isNotNull())
-    todo = whole.groupBy("key").agg(F.min(prompt).alias(prompt)).join(known, "key", "left_anti")
+    todo = whole.groupBy("key").agg(F.min(prompt).alias(prompt)).join(_entries(spark, before).select("key"), "key", "left_anti")
     errors = ask(todo, prompt, call, root, batch, attempts, wait)
     commit(spark, root)
-    fold(spark, root)
     rows = rows.drop("value", "error", "cached")
-    out = rows.join(store(spark, root), "key", "left").join(errors, "key", "left")
-    out = out.join(known.withColumn("cached", F.lit(True)), "key", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
+    # A key stands in one put: those of this run tell what was cached, without another join.
+    paid = [_entries(spark, [p for p in _whole(spark, root) if (p in before) == old]).withColumn("cached", F.lit(old)) for old in (True, False)]
+    out = rows.join(paid[0].unionByName(paid[1]), "key", "left").join(errors, "key", "left")
+    out = out.select(*[c for c in out.columns if c != "cached"], F.coalesce("cached", F.lit(False)).alias("cached"))
     lacking = F.when(F.col("key").isNull(), "no key").when(F.col(prompt).isNull() & F.col("value").isNull(), "no prompt")
     return out.withColumn("error", F.coalesce("error", lacking))

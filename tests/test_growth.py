@@ -1,5 +1,7 @@
 """What the work of a query grows with: steps that are made once, and pairs that no shuffle carries."""
 
+import glob
+import json
 import random
 
 import corpus_pipeline as pipeline
@@ -8,6 +10,7 @@ from scriptorium.operators import abbrev as A
 from scriptorium.operators import layout as L
 from scriptorium.plans import base as B
 from scriptorium.plans import queries as Q
+from scriptorium.sinks import puts
 
 SF = "/root/testdata/sf0.001"
 
@@ -128,3 +131,27 @@ def test_pages_reach_python_in_small_batches(spark):
 
 def test_answers_are_parsed_once_in_either_way(spark):
     assert plan(Q.digest_payload_json(spark, SF)).lower().count("from_json") + plan(Q.digest_payload_json(spark, SF)).lower().count("jsontostructs") <= 2
+
+
+def test_a_lot_that_is_through_is_one_file(spark, tmp_path):
+    """A commit reads as many files as there are lots, whatever the number of calls; a task run again adds to what its lot has."""
+    odd = ['q"\\', "n\nr\r\u2028", "é😀", "", "\0"]
+    rows = spark.createDataFrame([(f"k{k}{odd[k % 5]}", f"p{k}{odd[k % 5]}") for k in range(300)], "key string, prompt string")
+    call = lambda prompts, keys: [f"<{p}>" for p in prompts]
+    for n in (200, 300):
+        puts.ask(rows.limit(n), "prompt", call, f"file://{tmp_path}/cache")
+        found = glob.glob(f"{tmp_path}/cache/attempts/lot=*/answers-*")
+        assert len(found) == 1
+        with open(found[0], newline="\n") as f:
+            assert len({json.loads(x)["key"] for x in f}) == n
+    got = puts.put_once(rows, "prompt", call, f"file://{tmp_path}/cache")
+    assert {(r.key, r.value, r.cached) for r in got.collect()} == {(r.key, f"<{r.prompt}>", True) for r in rows.collect()}
+
+
+def test_a_put_reads_its_answers_by_one_join(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x"), ("b", "y")], "key string, prompt string")
+    puts.put_once(rows.limit(1), "prompt", lambda p, k: p, f"file://{tmp_path}/cache")
+    got = puts.put_once(rows, "prompt", lambda p, k: p, f"file://{tmp_path}/cache")
+    assert {tuple(r) for r in got.select("key", "value", "cached").collect()} == {("a", "x", True), ("b", "y", False)}
+    # The other is that of the errors.
+    assert plan(got).count("Join") == 2
