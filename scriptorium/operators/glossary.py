@@ -187,23 +187,31 @@ def grams(text: Column, size: int) -> Column:
 
 #: A needle is met by as many of its characters, or by all of a shorter one.
 GRAM = 3
+#: So many needles are looked for in a text one by one, without its runs of characters.
+FEW_NEEDLES = 64
 
 
 def holding(rows: DataFrame, needles: DataFrame, text: str, needle: str, key: str = "sid", fold: bool = False) -> DataFrame:
     """Rows and the needles(…, needle) that their text holds as a substring, lower-cased if `fold`: an equi-join, no loop over pairs.
 
     Each needle is met by one of its runs of GRAM characters, that which fewest needles hold; then the text decides.
+    Of at most FEW_NEEDLES the text itself says which it holds, and only those make rows.
     Few needles are broadcast; many meet narrow rows of `key`, which identifies a row, and texts come back for what was met.
     Empty needles and null texts meet nothing."""
     low = F.lower if fold else (lambda c: c)
+    own_columns = [c for c in needles.columns if c not in rows.columns]
     given = needles.withColumn("__n", low(F.col(needle))).where("length(__n) > 0").withColumn("__size", F.least(F.length("__n"), F.lit(GRAM)))
+    small = needles.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    few = [r[0] for r in given.select("__n").distinct().limit(FEW_NEEDLES + 1).collect()] if small else []
+    if 0 < len(few) <= FEW_NEEDLES:
+        # The text is lower-cased in a step of its own, once for all needles.
+        asked = rows.withColumn("__t", low(F.col(text))).withColumn("__n", F.explode(F.array_compact(F.array(*[F.when(F.contains("__t", F.lit(n)), F.lit(n)) for n in sorted(few)]))))
+        return asked.join(F.broadcast(given.select("__n", *own_columns)), "__n").select(*rows.columns, *own_columns)
     own = reduce(lambda acc, k: F.when(F.col("__size") == k, grams(F.col("__n"), k)).otherwise(acc), range(1, GRAM), grams(F.col("__n"), GRAM))
     each = given.select("__n", "__size", own.alias("__own")).distinct().select("__n", "__size", F.explode("__own").alias("__g"))
     often = each.groupBy("__g").agg(F.count("*").alias("__often"))
     anchors = each.join(often, "__g").groupBy("__n").agg(F.min_by("__g", F.struct("__often", F.xxhash64("__g"))).alias("__g"))
     sizes = [r[0] for r in given.select("__size").distinct().orderBy("__size").collect()]
-    small = needles.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    own_columns = [c for c in needles.columns if c not in rows.columns]
     if not sizes:
         return rows.join(needles.select(*own_columns), F.lit(False))
     t = low(F.col(text))

@@ -7,6 +7,7 @@ import random
 import corpus_pipeline as pipeline
 from scriptorium.llm import mixing, pii, shard
 from scriptorium.operators import abbrev as A
+from scriptorium.operators import glossary as G
 from scriptorium.operators import layout as L
 from scriptorium.plans import base as B
 from scriptorium.plans import queries as Q
@@ -155,3 +156,18 @@ def test_a_put_reads_its_answers_by_one_join(spark, tmp_path):
     assert {tuple(r) for r in got.select("key", "value", "cached").collect()} == {("a", "x", True), ("b", "y", False)}
     # The other is that of the errors.
     assert plan(got).count("Join") == 2
+
+
+def test_few_terms_are_looked_for_without_runs_of_characters(spark, monkeypatch):
+    """A text's rows are the terms that it holds, not its runs; more terms meet by their runs, with the same result."""
+    for q in (Q.term_hits_web, Q.term_density):
+        assert "regexp_extract_all" not in plan(q(spark, SF))
+    terms = ["The", "the", "he", "a", "b c", "Über", "终于", "", "😀x", "a.b", "nowhere"]
+    rows = [(str(k), x) for k, x in enumerate(["The heath; aaaa", "über b c", "终于来到", "", None, "😀😀x the THE", "the", "the"])]
+    table = spark.createDataFrame([*rows, rows[0]], "sid string, src_text string")
+    want = sorted((s, t) for s, x in [*rows, rows[0]] for t in terms if t and x and t.lower() in x.lower())
+    for few in (G.FEW_NEEDLES, 3):
+        monkeypatch.setattr(G, "FEW_NEEDLES", few)
+        got = G.web_hits(table, G.terms_frame(spark, [{"term": t, "zh": "z"} for t in terms]))
+        assert sorted((r.sid, r.term) for r in got.collect()) == want
+    assert G.web_hits(table, G.terms_frame(spark, [{"term": "", "zh": "z"}])).count() == 0
