@@ -58,22 +58,28 @@ class Lot:
     """The answers to a lot's keys, in files of a JSON object a line; `known` are those of its files, of several to a key the one that commits, the smallest."""
 
     def __init__(self, address: str) -> None:
-        from pyarrow import fs
-
         self.disk, self.path = _at(address)
         self.known: dict[str, str] = {}
         self.files: list[str] = []
+        while not self._read():
+            self.known, self.files = {}, []
+
+    def _read(self) -> bool:
+        """False where a file has gone: a lost task that still runs has put it into its one file, which is there by then."""
+        from pyarrow import fs
+
         for f in self.disk.get_file_info(fs.FileSelector(self.path, allow_not_found=True)):
             if f.base_name.startswith("answers-"):
                 try:
                     with self.disk.open_input_file(f.path) as g:
                         text = g.read().decode()
                 except FileNotFoundError:
-                    continue  # a lost task that still runs has put it into its one file: at worst its keys are asked for again
+                    return False
                 self.files.append(f.path)
                 for line in text.split("\n")[:-1]:
                     k, v = (x := json.loads(line))["key"], x["value"]
                     self.known[k] = min(v, self.known.get(k, v))
+        return True
 
     def _write(self, answers: dict[str, str]) -> str:
         """A new file has its name once it is whole."""

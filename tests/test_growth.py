@@ -149,6 +149,32 @@ def test_a_lot_that_is_through_is_one_file(spark, tmp_path):
     assert {(r.key, r.value, r.cached) for r in got.collect()} == {(r.key, f"<{r.prompt}>", True) for r in rows.collect()}
 
 
+def test_a_lot_that_is_folded_while_it_is_read_is_read_again(tmp_path, monkeypatch):
+    lot, left = f"file://{tmp_path}/lot", []
+    first = puts.Lot(lot)
+    first.note({"a": "1"})
+    first.note({"b": "2"})
+    listed = puts._at
+
+    class Late:
+        def __init__(self, disk):
+            self.disk = disk
+
+        def __getattr__(self, name):
+            return getattr(self.disk, name)
+
+        def get_file_info(self, what):
+            found = self.disk.get_file_info(what)
+            if not left:
+                left.append(len(found))
+                first.close()
+            return found
+
+    monkeypatch.setattr(puts, "_at", lambda address: (Late(listed(address)[0]), listed(address)[1]))
+    second = puts.Lot(lot)
+    assert left == [2] and second.known == {"a": "1", "b": "2"} and len(second.files) == 1
+
+
 def test_a_put_reads_its_answers_by_one_join(spark, tmp_path):
     rows = spark.createDataFrame([("a", "x"), ("b", "y")], "key string, prompt string")
     puts.put_once(rows.limit(1), "prompt", lambda p, k: p, f"file://{tmp_path}/cache")
