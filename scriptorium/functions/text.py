@@ -63,9 +63,9 @@ def slug(title: Column, limit: int = 40) -> Column:
         return F.struct(F.when(fits, F.concat(acc["s"], a)).otherwise(acc["s"]).alias("s"), (~fits).alias("cut"))
 
     got = F.aggregate(atoms, F.struct(F.lit("").alias("s"), F.lit(False).alias("cut")), take)
-    flat = F.regexp_replace(F.regexp_replace(got["s"], "-+", "-"), "^-|-$", "")
-    back = F.when(got["cut"] & F.contains(flat, F.lit("-")), F.regexp_replace(flat, "-+[^-]*$", "")).otherwise(flat)
-    return F.when(F.length(back) > 0, back).otherwise(F.lit("sec"))
+    flat = let(got, lambda g: F.struct(F.regexp_replace(F.regexp_replace(g["s"], "-+", "-"), "^-|-$", "").alias("s"), g["cut"].alias("cut")))
+    back = let(flat, lambda g: F.when(g["cut"] & F.contains(g["s"], F.lit("-")), F.regexp_replace(g["s"], "-+[^-]*$", "")).otherwise(g["s"]))
+    return let(back, lambda b: F.when(F.length(b) > 0, b).otherwise(F.lit("sec")))
 
 
 def segment_id(doc_id: Column, path: Column, index: Column) -> Column:
@@ -84,7 +84,7 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 def squash(text: Column) -> Column:
     """Runs of any Unicode space to one space, trimmed."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def is_bold(font: Column, flags: Column) -> Column:
@@ -99,7 +99,19 @@ def font_family(font: Column) -> Column:
 def join_lines(lines: Column) -> Column:
     """Join layout lines; a word broken by one hyphen at a line's end is put together."""
     text = F.array_join(F.transform(lines, lambda t: F.trim(t)), "\n")
-    return squash(F.regexp_replace(F.regexp_replace(text, r"(?<!-)-\n", ""), "\n", " "))
+    # Most lines end on whole words and hold single spaces: patterns are left for the others.
+    whole = let(text, lambda t: F.replace(F.when(F.contains(t, F.lit("-\n")), F.regexp_replace(t, r"(?<!-)-\n", "")).otherwise(t), F.lit("\n"), F.lit(" ")))
+    uneven = lambda t: F.contains(t, F.lit("  ")) | F.startswith(t, F.lit(" ")) | F.endswith(t, F.lit(" ")) | t.rlike(r"(?U)[^\S ]")
+    return let(whole, lambda t: F.when(uneven(t), squash(t)).otherwise(t))
+
+
+def ends_sentence(text: Column) -> Column:
+    """A text's last character, closing quotes and brackets aside, is one that ends a sentence or opens a list."""
+    last = lambda t, *c: F.right(t, F.lit(1)).isin(*c)
+    bare, ends = F.rtrim(text, F.lit("\"”’)")), ("\n", "\r", "\x85", "\u2028", "\u2029")
+    # Before a line's end that closes the text `$` stands as well.
+    odd = last(text, *ends) | last(bare, *ends)
+    return F.when(odd, F.regexp_replace(text, "[\"”’)]+$", "").rlike(r"[.?!:]$")).otherwise(last(bare, ".", "?", "!", ":"))
 
 
 def strip_panel_letter(title: Column) -> Column:
@@ -411,6 +423,7 @@ def upper_median(values: Column) -> Column:
 
 
 def order_statistic(values: Column, share: float) -> Column:
-    """The element at int(n * share) of the sorted values."""
-    s = F.array_sort(values)
-    return F.get(s, F.floor(F.size(s) * share).cast("int"))
+    """The element at int(n * share) of the sorted values, nulls last."""
+    # sort_array() needs no comparator, but has nulls first.
+    nulls = F.size(values) - F.size(F.array_compact(values))
+    return F.get(F.sort_array(values), F.floor(F.size(values) * share).cast("int") + nulls)

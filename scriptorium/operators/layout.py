@@ -26,6 +26,8 @@ LABEL_STRINGS = ["glossary", "key points", "outstanding questions", "sections",
 TITLE_SKIP = r"(?i)^(nature reviews|nature\b|reviews?\b|primer|perspective|comment|news|review article|article|editorial|correspondence|check for updates)"
 CAPTION = r"(?i)^(Fig\.|Figure|Table|Box|Extended Data)\s*[0-9]"
 PANEL_LABEL = r"^[a-h]\s{2,}\S"
+THREE_LETTERS = r"[A-Za-z][^A-Za-z]*+[A-Za-z][^A-Za-z]*+[A-Za-z]"
+THREE_WORDS = r"(?U)\S++\s++\S++\s++\S"
 
 
 def region_rects(drawings: DataFrame, images: DataFrame) -> DataFrame:
@@ -40,24 +42,26 @@ def gather(spans: DataFrame) -> DataFrame:
     """Lines from spans(doc_id, page, line, seq, dir_x, dir_y, size, flags, font, text, x0, y0, x1): horizontal ones, without blanks and small superscripts."""
     rows = spans.where("dir_x = 1 and dir_y = 0 and length(trim(text)) > 0").where(~((F.col("flags").bitwiseAND(1) != 0) & (F.col("size") < 7.0)))
     rows = rows.withColumns({"bold": T.is_bold(F.col("font"), F.col("flags")), "family": T.font_family(F.col("font"))})
-    items = F.array_sort(F.collect_list(F.struct("seq", "text", "size", "bold", "family")))
+    items = F.sort_array(F.collect_list(F.struct("seq", "text", "size", "bold", "family")))
     # Spans go to their page at once: lines are put together there, and meet the page's rectangles there.
     lines = rows.repartition("doc_id", "page").groupBy("doc_id", "page", "line").agg(items.alias("i"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"))
     lead = F.aggregate(F.col("i"), F.struct(F.lit("").alias("t"), F.lit(True).alias("on")), lambda a, s: F.struct(F.when(a["on"] & s["bold"], F.concat(a["t"], s["text"])).otherwise(a["t"]).alias("t"), (a["on"] & s["bold"]).alias("on")))["t"]
     fonts = F.aggregate(F.col("i"), F.create_map().cast("map<string,int>"), lambda a, s: F.map_concat(F.map_filter(a, lambda k, v: k != s["family"]), F.create_map(s["family"], F.coalesce(F.try_element_at(a, s["family"]), F.lit(0)) + F.length(s["text"]))))
     # Most lines are one span, of which nothing need be put together.
     one, first = F.size("i") == 1, F.get("i", F.lit(0))
-    made = F.struct(
+    made = [
         F.when(one, first["text"]).otherwise(F.array_join(F.transform("i", lambda s: s["text"]), "")).alias("raw"), F.col("i.size").alias("sizes"), F.when(one, F.create_map(first["family"], F.length(first["text"]))).otherwise(fonts).alias("font_chars"),
         first["bold"].alias("bold"), F.when(one, first["bold"]).otherwise(F.forall("i", lambda s: s["bold"])).alias("all_bold"), F.when(one, F.when(first["bold"], first["text"]).otherwise("")).otherwise(lead).alias("lead"),
-    )
+    ]
+    lines = lines.select("doc_id", "page", "y0", "x0", "x1", *made)
     # What is read more than once below is a generator's value: a line's text is put together and cleaned once.
-    lines = lines.select("doc_id", "page", "y0", "x0", "x1", F.inline(F.array(made)))
     lines = lines.withColumn("text", F.explode(F.array(T.clean(F.col("raw")))))
     parts = {"head_text": F.trim("lead"), "rest_text": F.trim(F.substring("raw", F.length("lead") + 1, F.length("raw")))}
     lines = lines.withColumns(parts).select("doc_id", "page", "y0", "x0", "x1", "text", "raw", "sizes", "font_chars", "bold", "all_bold", "head_text", "rest_text")
-    skip = F.lower(F.trim("text")).isin(SKIP_STRINGS)
-    header = (F.col("y0") < 55) & F.lower(F.trim("text")).isin(*LABEL_STRINGS, *SKIP_STRINGS)
+    # Small letters are as many as the great ones or more: what is longer than all known strings is none of them.
+    brief, low = F.length("text") <= max(map(len, [*LABEL_STRINGS, *SKIP_STRINGS])), F.lower(F.trim("text"))
+    skip = brief & low.isin(SKIP_STRINGS)
+    header = (F.col("y0") < 55) & brief & low.isin(*LABEL_STRINGS, *SKIP_STRINGS)
     footer = (F.col("y0") > 750) & F.col("text").rlike(r"(?i)nature reviews|doi\.org|^[0-9]+$")
     return lines.where(~(skip | header | footer))
 
@@ -71,10 +75,10 @@ def dominant_font(chars: Column) -> Column:
 def in_rects(lines: DataFrame, rects: DataFrame) -> DataFrame:
     """Lines with in_rect: their middle lies in a rectangle of their page, two points aside."""
     x, y = (F.col("x0") + F.col("x1")) / 2, F.col("y0")
-    # The rectangles of a page come as one row to its lines: no line is joined with its own copy.
+    # The rectangles of a page come as one row to its lines: no line is joined with its own copy, and none is sorted for it.
     r = rects.where("doc_id is not null and page is not null").groupBy("doc_id", "page").agg(F.collect_set(F.struct("x0", "y0", "x1", "y1")).alias("__rects"))
     inside = F.exists("__rects", lambda b: x.between(b["x0"] - 2, b["x1"] + 2) & y.between(b["y0"] - 2, b["y1"] + 2))
-    return lines.join(r, ["doc_id", "page"], "left").withColumn("in_rect", F.coalesce(inside, F.lit(False))).select(*lines.columns, "in_rect")
+    return lines.join(r.hint("shuffle_hash"), ["doc_id", "page"], "left").withColumn("in_rect", F.coalesce(inside, F.lit(False))).select(*lines.columns, "in_rect")
 
 
 def measures(lines: DataFrame) -> DataFrame:
@@ -82,17 +86,26 @@ def measures(lines: DataFrame) -> DataFrame:
 
     `size`: characters by size; `font`: characters by a line's largest size and font; `edge`: lines of prose length by largest
     size, dominant font and left edge; `line`: one row for each document."""
-    n = F.length("text").cast("long")
+    # Lines alike are counted first: a document has few sizes, fonts and left edges. A line of one font has its characters
+    # added up, one of several keeps them with their fonts.
+    one, n = F.size("font_chars") == 1, F.length("text").cast("long")
+    counts = F.transform(F.array_sort(F.map_entries("font_chars")), lambda e: F.struct(e["key"].alias("font"), e["value"].cast("long").alias("n")))
+    fonts = F.when(one, F.array(F.struct(F.get(F.map_keys("font_chars"), F.lit(0)).alias("font"), F.lit(None).cast("long").alias("n")))).otherwise(counts)
+    prose = F.length("text") >= PROSE_MIN_LENGTH
+    alike = lines.select(
+        "doc_id", "sizes", fonts.alias("fonts"), F.coalesce(prose, F.lit(False)).alias("prose"), F.when(prose, dominant_font(F.col("font_chars"))).alias("font"), F.when(prose, F.col("x0")).alias("x0"),
+        n.alias("n"), F.when(one, F.get(F.map_values("font_chars"), F.lit(0)).cast("long")).alias("own"),
+    )
+    alike = alike.groupBy("doc_id", "sizes", "fonts", "prose", "font", "x0").agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.count("*").alias("times")).withColumn("top", F.array_max("sizes"))
 
     def row(what, n, size=F.lit(None), font=F.lit(None), x0=F.lit(None)):
         return F.struct(F.lit(what).alias("what"), size.cast("double").alias("size"), font.cast("string").alias("font"), x0.cast("double").alias("x0"), n.cast("long").alias("n"))
 
     none = F.array().cast("array<struct<what:string,size:double,font:string,x0:double,n:bigint>>")
-    sizes = F.transform(F.filter("sizes", lambda s: s.between(5.0, 16.0)), lambda s: row("size", F.col("__n"), F.round(s, 1)))
-    fonts = F.transform(F.map_entries("font_chars"), lambda e: row("font", e["value"], F.col("__top"), e["key"]))
-    edge = F.when(F.col("__n") >= PROSE_MIN_LENGTH, F.array(row("edge", F.lit(1), F.col("__top"), dominant_font(F.col("font_chars")), F.col("x0")))).otherwise(none)
-    rows = lines.select("doc_id", "x0", "sizes", "font_chars", n.alias("__n"), F.array_max("sizes").alias("__top"))
-    rows = rows.select("doc_id", F.inline(F.concat(F.array(row("line", F.lit(0))), F.coalesce(sizes, none), F.coalesce(fonts, none), edge)))
+    by_size = F.transform(F.filter("sizes", lambda s: s.between(5.0, 16.0)), lambda s: row("size", F.col("n"), F.round(s, 1)))
+    by_font = F.transform("fonts", lambda e: row("font", F.coalesce(e["n"] * F.col("times"), F.col("own")), F.col("top"), e["font"]))
+    edge = F.when(F.col("prose"), F.array(row("edge", F.col("times"), F.col("top"), F.col("font"), F.col("x0")))).otherwise(none)
+    rows = alike.select("doc_id", F.inline(F.concat(F.array(row("line", F.lit(0))), F.coalesce(by_size, none), F.coalesce(by_font, none), edge)))
     return rows.groupBy("doc_id", "what", "size", "font", "x0").agg(F.sum("n").alias("n"))
 
 
@@ -165,10 +178,11 @@ def marks(lines: DataFrame) -> DataFrame:
 
     `carry` is a bold line that a run-in heading may begin on; `lead` and `rest` are those of a line that may hold one."""
     t = F.col("text")
+    label = (F.length(F.trim(t)) <= max(map(len, LABEL_STRINGS))) | F.contains(t, F.lit(":"))
     may = F.col("bold") & ~F.col("all_bold") & (F.length("head_text") >= 8) & (F.length("rest_text") > 0)
     said = {
-        "sz": F.array_max("sizes"), "font": dominant_font(F.col("font_chars")), "is_label": F.regexp_replace(F.lower(F.trim(t)), "^:+|:+$", "").isin(LABEL_STRINGS),
-        "skips": (F.col("page") == 0) & F.trim(t).rlike(TITLE_SKIP), "few": F.regexp_count(t, F.lit("[A-Za-z]")) <= 2, "captions": t.rlike(CAPTION), "panel": t.rlike(PANEL_LABEL),
+        "sz": F.array_max("sizes"), "font": dominant_font(F.col("font_chars")), "is_label": label & F.regexp_replace(F.lower(F.trim(t)), "^:+|:+$", "").isin(LABEL_STRINGS),
+        "skips": (F.col("page") == 0) & F.trim(t).rlike(TITLE_SKIP), "few": ~t.rlike(THREE_LETTERS), "captions": t.rlike(CAPTION), "panel": t.rlike(PANEL_LABEL),
         "short": F.length(t) < 4, "may_run": may, "carry": F.when(F.col("bold") & ~F.rtrim("raw").rlike(r"[.!?:]$"), F.trim("raw")), "lead": F.when(may, F.trim("head_text")), "rest": F.when(may, F.trim("rest_text")),
     }
     return lines.withColumns({f"__{k}": v for k, v in said.items()})
@@ -180,7 +194,7 @@ def classify(lines: DataFrame, layouts: DataFrame) -> DataFrame:
     Caption continuations chain: after a caption, lines of the same size and font belong to it. The state
     runs over one page column at a time. Lines go to their document once: all windows, and reading_order(), share its order."""
     asked = lines if "__carry" in lines.columns else marks(lines)
-    rows = asked.repartition("doc_id").join(layouts, "doc_id").withColumns({"sz": F.col("__sz"), "font": F.col("__font"), "col": column_of(F.col("x0"))})
+    rows = asked.repartition("doc_id").join(layouts.hint("shuffle_hash"), "doc_id").withColumns({"sz": F.col("__sz"), "font": F.col("__font"), "col": column_of(F.col("x0"))})
     base = F.coalesce(F.get("bases", F.least("col", F.size("bases") - 1)), F.lit(40.0))
     rows = rows.withColumns({"aligned": F.abs(F.col("x0") - base) <= 3.0, "same_font": (F.col("body_font") == "") | (F.col("font") == F.col("body_font"))})
     bs, sz, bold = F.col("body_size"), F.col("sz"), F.col("bold")
@@ -217,18 +231,14 @@ def classify(lines: DataFrame, layouts: DataFrame) -> DataFrame:
     caption = F.max(F.when(alone == "figure", F.col("nth"))).over(per.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("chained", F.coalesce(caption >= opened, F.lit(False)))
     rows = rows.withColumn("kind", F.when(F.col("early").isNull() & F.col("chained"), "figure").otherwise(alone))
-    # Run-in headings that began on up to three whole bold lines before.
-    back = F.collect_list(F.struct(F.when(F.col("kind") == "other", F.col("__carry")).alias("c"))).over(per.rowsBetween(-3, -1))
-
-    def reach(acc: Column, p: Column) -> Column:
-        ok = acc["on"] & p["c"].isNotNull()
-        return F.struct(ok.alias("on"), F.when(ok, F.concat(F.array(p["c"]), acc["parts"])).otherwise(acc["parts"]).alias("parts"))
-
-    rows = rows.withColumn("back", back)
-    head = F.aggregate(F.reverse("back"), F.struct(F.lit(True).alias("on"), F.array("__lead").alias("parts")), reach)["parts"]
+    # Run-in headings that began on up to three whole bold lines before: as far up as these follow each other.
+    up = F.when(F.col("kind") == "other", F.col("__carry"))
+    rows = rows.withColumns({f"up{n}": F.lag(up, n).over(per) for n in (1, 2, 3)})
+    reached = [F.when(F.concat(*[F.col(f"up{k}") for k in range(1, n)], F.lit("")).isNotNull(), F.col(f"up{n}")) for n in (3, 2, 1)]
+    head = F.array_append(F.array_compact(F.array(*reached)), F.col("__lead"))
     rows = rows.withColumn("runin_head", F.when(F.col("kind") == "runin", T.join_lines(head)))
     rows = rows.withColumn("text", F.when(F.col("kind") == "runin", F.col("__rest")).otherwise(F.col("text")))
-    return rows.drop("back", "early", "late", "bound", "nth", "chained", *[c for c in asked.columns if c.startswith("__")])
+    return rows.drop("up1", "up2", "up3", "early", "late", "bound", "nth", "chained", *[c for c in asked.columns if c.startswith("__")])
 
 
 def reading_order(lines: DataFrame) -> DataFrame:
@@ -238,49 +248,61 @@ def reading_order(lines: DataFrame) -> DataFrame:
 
 def right_edge(lines: DataFrame) -> DataFrame:
     """Body lines with `edge`: the 85 % order statistic of the right ends of up to eleven neighbours in their column; null below five."""
-    body = lines.where(F.col("kind").isin("body", "runin"))
-    near = F.collect_list(F.struct("page", "col", "x1")).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-WINDOW, WINDOW))
-    body = body.withColumn("__near", near)
-    own = F.transform(F.filter("__near", lambda o: (o["page"] == F.col("page")) & (o["col"] == F.col("col"))), lambda o: o["x1"])
-    return body.withColumn("edge", F.when(F.size(own) >= MIN_WINDOW, T.order_statistic(own, 0.85))).drop("__near")
+    return with_edges(lines.where(is_body()))
+
+
+def is_body() -> Column:
+    return F.coalesce(F.col("kind").isin("body", "runin"), F.lit(False))
+
+
+def with_edges(lines: DataFrame) -> DataFrame:
+    """All lines, body lines with the `edge` of right_edge(): they stay where their document is."""
+    # Reading order keeps a column together: what is near a line is its column's body lines before and after it.
+    column = Window.partitionBy("doc_id", "page", "col", is_body()).orderBy("pos").rowsBetween(-WINDOW, WINDOW)
+    rows = lines.withColumn("__near", F.collect_list(F.struct("x1")).over(column))
+    known = is_body() & F.col("page").isNotNull() & F.col("col").isNotNull() & (F.size("__near") >= MIN_WINDOW)
+    return rows.withColumn("edge", F.when(known, T.order_statistic(F.col("__near.x1"), 0.85))).drop("__near")
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:
-    """Segments of classified lines in reading order: sections from headings, paragraphs by full lines, indents and unfinished sentences."""
-    edges = right_edge(lines).select("doc_id", "pos", "edge")
-    rows = lines.where(~F.col("kind").isin("title", "other", "figure", "region", "junk", "label")).join(edges, ["doc_id", "pos"], "left")
+    """Segments of classified lines in reading order: sections from headings, paragraphs by full lines, indents and unfinished sentences.
+
+    Lines are read once and, dealt by document, go to no other place: every window and group is one document's."""
+    base = F.coalesce(F.get("bases", F.least("col", F.size("bases") - 1)), F.lit(40.0))
+    rows = lines.where(~F.col("kind").isin("title", "other", "figure", "region", "junk", "label"))
+    rows = with_edges(rows.select("doc_id", "pos", "page", "col", "x1", "kind", "text", "runin_head", ((F.col("x0") - base) >= INDENT_MIN).alias("indented")))
     order = Window.partitionBy("doc_id").orderBy("pos")
     run = order.rowsBetween(Window.unboundedPreceding, 0)
-    is_head = F.col("kind").isin("h1", "h2", "runin")
+    above = order.rowsBetween(Window.unboundedPreceding, -1)
+    is_head, is_abstract = F.col("kind").isin("h1", "h2", "runin"), F.col("kind") == "abstract"
+    before = {f"p_{c}": F.lag(c).over(order) for c in ("kind", "edge", "x1", "text")}
+    rows = rows.withColumns(before | {"headed": F.max(is_head.cast("int")).over(above), "abstracts": F.sum(is_abstract.cast("int")).over(above)})
     # The first abstract line opens the section Abstract, a body line before any heading the front matter.
-    rows = rows.withColumn("prev_kind", F.lag("kind").over(order))
-    no_head = F.coalesce(F.max(is_head.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 0
-    first_abstract = (F.col("kind") == "abstract") & (F.coalesce(F.sum((F.col("kind") == "abstract").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 0)
-    first_body = (F.col("kind") == "body") & no_head & F.col("prev_kind").isNull()
+    first_abstract = is_abstract & (F.coalesce("abstracts", F.lit(0)) == 0)
+    first_body = (F.col("kind") == "body") & (F.coalesce("headed", F.lit(0)) == 0) & F.col("p_kind").isNull()
     rows = rows.withColumn("opens", is_head | first_abstract | first_body)
     rows = rows.withColumn("level", F.when(F.col("opens"), F.when(F.col("kind") == "h2", 2).when(F.col("kind") == "runin", 3).otherwise(1)))
-    heading = F.when(F.col("kind") == "abstract", "Abstract").when(F.col("kind") == "body", "(前置)").when(F.col("kind") == "runin", F.col("runin_head")).otherwise(F.col("text"))
+    heading = F.when(is_abstract, "Abstract").when(F.col("kind") == "body", "(前置)").when(F.col("kind") == "runin", F.col("runin_head")).otherwise(F.col("text"))
     rows = rows.withColumn("heading", F.when(F.col("opens"), T.strip_panel_letter(heading)))
-    rows = S.fill_forward(rows, ["doc_id"], ["pos"])
-    rows = rows.withColumn("sec_no", F.sum(F.col("opens").cast("int")).over(run))
-    current = F.last(F.when(F.col("opens"), F.struct("level", "heading", (F.col("page") + 1).alias("page"))), ignorenulls=True).over(run)
-    rows = rows.withColumn("sec", current)
-    path = F.array_join(F.array_compact(F.array(*[F.when((F.col("sec.level") >= n) & F.col(f"h{n}").isNotNull(), T.slug(F.col(f"h{n}"))) for n in (1, 2, 3)])), "/")
-    rows = rows.withColumn("base_path", path).where(~F.col("kind").isin("h1", "h2"))
-    flow = Window.partitionBy("doc_id", "sec_no").orderBy("pos")
-    base = F.coalesce(F.get("bases", F.least("col", F.size("bases") - 1)), F.lit(40.0))
-    indented = (F.col("x0") - base) >= INDENT_MIN
-    p_full = F.coalesce((F.lag("edge").over(flow) - F.lag("x1").over(flow)) <= RIGHT_TOLERANCE, F.lit(False))
-    p_open = ~F.regexp_replace(F.lag("text").over(flow), "[\"”’)]+$", "").rlike(r"[.?!:]$")
-    carries = F.coalesce(F.col("text").rlike("^[a-z]") & p_open, F.lit(False))
-    starts = F.when(F.lag("pos").over(flow).isNull(), True).when(F.col("kind") == "abstract", False).otherwise((~p_full | indented) & ~carries)
-    rows = rows.withColumns({"indented": indented, "starts": starts})
-    rows = rows.withColumn("para", F.sum(F.col("starts").cast("int")).over(flow.rowsBetween(Window.unboundedPreceding, 0)))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    segs = rows.groupBy("doc_id", "sec_no", "para").agg(
-        T.join_lines(F.transform(ordered, lambda x: x["text"])).alias("src_text"), F.first("sec").alias("sec"), F.first("base_path").alias("base_path"), F.min_by("indented", "pos").alias("indented"), F.min_by("col", "pos").alias("col"), (F.min_by("page", "pos") + 1).alias("page")
-    )
-    segs = segs.where(T.word_count(F.col("src_text")) >= 3)
+    # A heading's name in paths is made on its own line alone; the lines below carry it on.
+    rows = rows.withColumn("slug", F.when(F.col("opens") & F.col("heading").isNotNull(), T.slug(F.col("heading"))))
+    # A section's text begins on the line that opens it or, where that is a heading by itself, on the next.
+    first = F.col("opens") | F.coalesce(F.col("p_kind").isin("h1", "h2"), F.lit(True))
+    p_full = F.coalesce((F.col("p_edge") - F.col("p_x1")) <= RIGHT_TOLERANCE, F.lit(False))
+    carries = F.coalesce(F.col("text").rlike("^[a-z]") & ~T.ends_sentence(F.col("p_text")), F.lit(False))
+    rows = rows.withColumn("starts", F.when(first, True).when(is_abstract, False).otherwise((~p_full | F.col("indented")) & ~carries))
+    rows = rows.drop(*before, "edge", "x1", "headed", "abstracts", "runin_head")
+    rows = S.fill_forward(rows, ["doc_id"], ["pos"], heading="slug")
+    # Every section starts a paragraph, so paragraphs can be numbered through the document.
+    counted = {"sec_no": F.sum(F.col("opens").cast("int")).over(run), "para": F.sum(F.col("starts").cast("int")).over(run)}
+    rows = rows.withColumns(counted | {"sec": F.last(F.when(F.col("opens"), F.struct("level", "heading")), ignorenulls=True).over(run)})
+    rows = rows.where(~F.col("kind").isin("h1", "h2"))
+    texts = F.sort_array(F.collect_list(F.struct("pos", "text")))["text"]
+    opening = F.min_by(F.struct("sec", "h1", "h2", "h3", "indented", "col", (F.col("page") + 1).alias("page")), "pos")
+    segs = rows.groupBy("doc_id", "sec_no", "para").agg(T.join_lines(texts).alias("src_text"), opening.alias("o"))
+    segs = segs.where(F.col("src_text").rlike(THREE_WORDS)).select("doc_id", "sec_no", "para", "src_text", "o.*")
+    path = F.array_join(F.array_compact(F.array(*[F.when(F.col("sec.level") >= n, F.col(f"h{n}")) for n in (1, 2, 3)])), "/")
+    segs = segs.withColumn("base_path", path).drop("h1", "h2", "h3")
     segs = S.unique_paths(segs, ["doc_id"], "base_path", ["sec_no"])
     segs = S.with_ids(segs, ["sec_no", "para"])
     return segs.select("doc_id", "sid", "sec_path", F.col("sec.heading").alias("sec_heading"), F.col("sec.level").alias("sec_level"), "index", "seg_pos", "page", "src_text", T.word_count(F.col("src_text"), "pdf").alias("n_words"), "indented", "col", F.sha1("src_text").alias("src_hash"))
@@ -329,7 +351,7 @@ def span_titles(spans: DataFrame, drawings: DataFrame, images: DataFrame, pages:
 
 def segment_spans(spans: DataFrame, drawings: DataFrame, images: DataFrame, pages: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """The whole way from an extractor's spans to segments."""
-    return paragraphs(keep(classified(spans, drawings, images, pages, keep)[0]))
+    return paragraphs(classified(spans, drawings, images, pages, keep)[0])
 
 
 def inspect(lines: DataFrame, page: int | None = None, kinds: list[str] | None = None, col: int | None = None, grep: str | None = None) -> DataFrame:

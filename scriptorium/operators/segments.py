@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -157,11 +157,13 @@ def with_ids(rows: DataFrame, order: list[str], dialect: str = "html") -> DataFr
         sid = F.when(F.col("is_figure"), F.format_string("%s#%s#fig%02d", F.col("doc_id").cast("string"), "sec_path", F.col("index"))).otherwise(T.segment_id(F.col("doc_id"), F.col("sec_path"), F.col("index")))
     else:
         sid = T.segment_id(F.col("doc_id"), F.col("sec_path"), F.col("index"))
-    return deduplicated(rows.withColumn("sid", sid), "sid", ["seg_pos"])
+    # A path holds no `#`: such an id repeats in its own document alone, and rows stay where that is.
+    return deduplicated(rows.withColumn("sid", sid), "sid", ["seg_pos"], [] if dialect == "web" else ["doc_id"])
 
 
-def deduplicated(rows: DataFrame, sid: str, order: list[str]) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(sid).orderBy(*order))
+def deduplicated(rows: DataFrame, sid: str, order: list[str], scope: Sequence[str] = ()) -> DataFrame:
+    """An id that repeats (in its scope, if one is given) gets -dupN."""
+    n = F.row_number().over(Window.partitionBy(*scope, sid).orderBy(*order))
     return rows.withColumn("__n", n).withColumn(sid, F.when(F.col("__n") > 1, F.concat(F.col(sid), F.lit("-dup"), F.col("__n").cast("string"))).otherwise(F.col(sid))).drop("__n")
 
 
@@ -204,12 +206,13 @@ def fill_forward(rows: DataFrame, scope: list[str], order: list[str], heading: s
     """The heading of each level that is current at a row; a heading ends those of deeper levels."""
     run = Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     key = F.struct(*order)
-    out = rows
+    # All levels in one step: their windows share a pass over the rows.
+    found = {}
     for n in range(1, levels + 1):
         own = F.last(F.when(F.col(level) == n, F.struct(key.alias("at"), F.col(heading).alias("h"))), ignorenulls=True).over(run)
         above = F.last(F.when(F.col(level) < n, key), ignorenulls=True).over(run)
-        out = out.withColumn(f"h{n}", F.when(above.isNull() | (own["at"] > above), own["h"]))
-    return out
+        found[f"h{n}"] = F.when(above.isNull() | (own["at"] > above), own["h"])
+    return rows.withColumns(found)
 
 
 def first_in_section(segments: DataFrame) -> DataFrame:

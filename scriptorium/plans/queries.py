@@ -556,20 +556,20 @@ def example_line_title(spark: SparkSession, sf_dir: str) -> Frame:
 
 def line_layout(spark: SparkSession, sf_dir: str) -> Frame:
     """Body size and font, columns and their left edges of all documents, typeset."""
-    spans, _, _, pages = B.typeset(spark, sf_dir)
+    spans, _, _, pages = B.typeset(spark, sf_dir, K2.written)
     got = L.span_layouts(spans, pages, K2.written)
     return got.select("doc_id", "body_size", "body_font", F.col("n_columns").cast("int").alias("n_columns"), F.round("split_x", 4).alias("split_x"), F.array_join(F.transform("bases", lambda b: F.round(b, 2).cast("string")), ",").alias("bases"))
 
 
 def line_kinds(spark: SparkSession, sf_dir: str) -> Frame:
     """Kinds of all typeset lines: headings, run-in headings, captions and their continuations, boxed regions, junk."""
-    got, _ = L.classified(*B.typeset(spark, sf_dir), K2.written)
+    got, _ = L.classified(*B.typeset(spark, sf_dir, K2.written), K2.written)
     return got.select("doc_id", "page", "y0", "x0", "kind", F.col("pos").cast("int").alias("pos"), F.coalesce("runin_head", F.lit("")).alias("runin_head"))
 
 
 def line_segments(spark: SparkSession, sf_dir: str) -> Frame:
     """Segments of all typeset documents."""
-    got = L.segment_spans(*B.typeset(spark, sf_dir), K2.written)
+    got = L.segment_spans(*B.typeset(spark, sf_dir, K2.written), K2.written)
     return got.select("doc_id", "sid", "sec_heading", "sec_level", F.col("page").cast("int").alias("page"), F.md5("src_text").alias("md5"), "n_words", "indented", F.col("col").cast("int").alias("col"))
 
 
@@ -700,18 +700,18 @@ def sentences_zh(spark: SparkSession, sf_dir: str) -> Frame:
 
 def boxed_lines(spark: SparkSession, sf_dir: str) -> Frame:
     """Which typeset lines lie in a rectangle of their page."""
-    spans, drawings, images, _ = B.typeset(spark, sf_dir)
+    spans, drawings, images, _ = B.typeset(spark, sf_dir, K2.written)
     return L.in_rects(L.gather(spans), L.region_rects(drawings, images)).groupBy("doc_id", "page").agg(F.count_if("in_rect").alias("n_in"), F.count("*").alias("n"))
 
 
 def typeset_titles(spark: SparkSession, sf_dir: str) -> Frame:
     """Titles of typeset documents: their first heading, else their number."""
-    return L.span_titles(*B.typeset(spark, sf_dir), K2.written)
+    return L.span_titles(*B.typeset(spark, sf_dir, K2.written), K2.written)
 
 
 def typeset_kinds_top(spark: SparkSession, sf_dir: str) -> Frame:
     """The kinds of typeset lines, the most frequent first, of even pages and of lines that hold a capital."""
-    got, _ = L.classified(*B.typeset(spark, sf_dir), K2.written)
+    got, _ = L.classified(*B.typeset(spark, sf_dir, K2.written), K2.written)
     return L.kinds(L.inspect(got.where("page % 2 = 0"), grep="[A-Z]", kinds=["h1", "h2", "body", "figure", "region", "other"]))
 
 

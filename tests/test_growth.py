@@ -5,6 +5,9 @@ import json
 import random
 
 import corpus_pipeline as pipeline
+from pyspark.sql import functions as F
+
+from scriptorium.functions import text as T
 from scriptorium.llm import mixing, pii, shard
 from scriptorium.operators import abbrev as A
 from scriptorium.operators import glossary as G
@@ -125,6 +128,81 @@ def test_lines_are_shuffled_and_sorted_once_to_be_classified(spark):
     assert sorted((r["page"], r["y0"], r["x0"], r["kind"]) for r in got.collect()) == sorted(B.LINE_KINDS)
 
 
+def test_segments_are_made_where_their_document_is(spark):
+    """From classified lines to segments no line is joined, read twice or shuffled, and a heading is named on its own line."""
+    lines, rects, width = B.laid_out(spark)
+    how = L.layout(lines, width)
+    marked = L.marks(L.in_rects(lines, rects))
+    marked = spark.createDataFrame(marked.collect(), marked.schema)
+    got = L.paragraphs(L.reading_order(L.classify(marked, spark.createDataFrame(how.collect(), how.schema))))
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") + text.count("Exchange REPARTITION") <= 2
+    assert plan(got).count("Join") == 1 and plan(got).count("[‘’“”]") == 1
+    assert len({r["sid"] for r in got.collect()}) == len(B.LINE_SEGMENTS)
+
+
+def test_pages_are_made_of_all_texts_once(spark):
+    kept = []
+    spans, drawings, images, pages = B.typeset(spark, SF, lambda d: kept.append(d) or spark.createDataFrame(d.collect(), d.schema))
+    assert len(kept) == 1 and plan(spans).count("parquet") == 1
+    assert all("parquet" not in plan(d) for d in (drawings, images, pages))
+
+
+def test_lines_alike_are_counted_together(spark):
+    """Measures are those of each line by itself: lines of no, one and several fonts, sizes out of bounds, no text."""
+    long = "word " * 12
+    rows = [
+        ("d", 40.0, long, [9.0, 9.04], {"Serif": 50, "Sans": 9}), ("d", 40.0, long, [9.0, 9.04], {"Sans": 9, "Serif": 50}), ("d", 40.0, long, [9.0, 9.04], {"Sans": 50, "Serif": 9}), ("d", 40.0, long, [9.0], {"Serif": 7}),
+        ("d", 40.0, long + "more", [9.0], {"Serif": 11}), ("d", 41.0, "short", [9.0], {"Serif": 5}), ("d", 42.0, None, [9.0], {"Serif": 3}), ("d", 40.0, long, [40.0], {"Serif": 2}), ("e", 1.0, "x", [], {}), ("e", 1.0, "y", None, None),
+    ] * 2
+    lines = spark.createDataFrame(rows, "doc_id string, x0 double, text string, sizes array<double>, font_chars map<string,int>")
+    want = {}
+
+    def add(n, *key):
+        want[key] = None if n is None and want.get(key) is None else (want.get(key) or 0) + (n or 0)
+
+    for doc, x0, text, sizes, fonts in rows:
+        n, top = None if text is None else len(text), max(sizes) if sizes else None
+        add(0, doc, "line", None, None, None)
+        for s in sizes or []:
+            if 5 <= s <= 16:
+                add(n, doc, "size", round(s, 1), None, None)
+        for font, k in (fonts or {}).items():
+            add(k, doc, "font", top, font, None)
+        if (n or 0) >= L.PROSE_MIN_LENGTH:
+            add(1, doc, "edge", top, min(fonts, key=lambda f: (-fonts[f], f)), x0)
+    got = {tuple(r)[:5]: r["n"] for r in L.measures(lines).collect()}
+    assert got == want
+
+
+def test_lines_are_put_together_and_end_as_patterns_say(spark):
+    texts = ["ends.", "ends", "so?\")", "so\"?x", "a:’”", ")", "", "a.)\n", "a.\n)", "b)\r\n", "c.\u2028", "two  three", " x", "in\u00a0side", "hy-", "dash--", "end-\t", "-", None, "a\tb", "é…”", "no.\"\n\n"]
+    ends = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.ends_sentence(F.col("t")).alias("got"), F.regexp_replace("t", "[\"”’)]+$", "").rlike(r"[.?!:]$").alias("want"))
+    assert [r for r in ends.collect() if r["got"] != r["want"]] == []
+    r = random.Random(2)
+    lists = spark.createDataFrame([([r.choice(texts) for _ in range(r.randint(0, 5))],) for _ in range(400)], "a array<string>")
+    whole = F.array_join(F.transform("a", lambda t: F.trim(t)), "\n")
+    want = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(whole, r"(?<!-)-\n", ""), "\n", " "), r"(?U)\s+", " "), "^ | $", "")
+    assert [x for x in lists.select("a", T.join_lines(F.col("a")).alias("got"), want.alias("want")).collect() if x["got"] != x["want"]] == []
+
+
+def test_edges_and_few_letters(spark):
+    """A line's neighbours are those of its column, other kinds between them left out; three letters anywhere are more than few."""
+    r = random.Random(4)
+    rows = [(k % 3, n, n // 9, n // 5 % 2, r.choice([1.0, 2.5, 7.0, 9.0]), r.choice(["body", "runin", "h1", "figure"])) for k in range(3) for n in range(120)]
+    got = L.right_edge(spark.createDataFrame(rows, "doc_id int, pos int, page int, col int, x1 double, kind string")).collect()
+    want = set()
+    for doc in range(3):
+        own = [x for x in sorted(rows) if x[0] == doc and x[5] in ("body", "runin")]
+        for k, x in enumerate(own):
+            near = sorted(y[4] for y in own[max(0, k - L.WINDOW) : k + L.WINDOW + 1] if y[2:4] == x[2:4])
+            want.add((doc, x[1], near[int(len(near) * 0.85)] if len(near) >= L.MIN_WINDOW else None))
+    assert {(x["doc_id"], x["pos"], x["edge"]) for x in got} == want and len(got) == len(want)
+    texts = ["", "a", "a1b", "a1b2c", "abc", "....a....b", "终A于b", None, "é é é", "a\nb\nc"]
+    few = spark.createDataFrame([(t,) for t in texts], "t string").select(~F.col("t").rlike(L.THREE_LETTERS), F.regexp_count("t", F.lit("[A-Za-z]")) <= 2)
+    assert all(x[0] == x[1] for x in few.collect())
+
+
 def test_pages_reach_python_in_small_batches(spark):
     text = Q.html_sections_web(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in text and "ArrowEvalPython" not in text
