@@ -42,9 +42,14 @@ def gather(spans: DataFrame) -> DataFrame:
     """Lines from spans(doc_id, page, line, seq, dir_x, dir_y, size, flags, font, text, x0, y0, x1): horizontal ones, without blanks and small superscripts."""
     rows = spans.where("dir_x = 1 and dir_y = 0 and length(trim(text)) > 0").where(~((F.col("flags").bitwiseAND(1) != 0) & (F.col("size") < 7.0)))
     rows = rows.withColumns({"bold": T.is_bold(F.col("font"), F.col("flags")), "family": T.font_family(F.col("font"))})
-    items = F.sort_array(F.collect_list(F.struct("seq", "text", "size", "bold", "family")))
-    # Spans go to their page at once: lines are put together there, and meet the page's rectangles there.
-    lines = rows.repartition("doc_id", "page").groupBy("doc_id", "page", "line").agg(items.alias("i"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"))
+    # Spans go to their page once and are sorted there; a line is a run of its page's spans.
+    items = F.sort_array(F.collect_list(F.struct("line", "seq", "text", "size", "bold", "family", "x0", "y0", "x1")))
+    pages = rows.repartition("doc_id", "page").groupBy("doc_id", "page").agg(items.alias("s"))
+    of = lambda k: F.get("s", k)["line"]
+    pages = pages.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda k: (k == 0) | ~of(k).eqNullSafe(of(F.greatest(k - 1, F.lit(0))))))
+    runs = F.transform("at", lambda a, j: F.slice("s", a + 1, F.coalesce(F.get("at", j + 1), F.size("s")) - a))
+    lines = pages.select("doc_id", "page", F.explode(runs).alias("i"))
+    lines = lines.withColumns({"x0": F.array_min("i.x0"), "y0": F.array_min("i.y0"), "x1": F.array_max("i.x1")})
     lead = F.aggregate(F.col("i"), F.struct(F.lit("").alias("t"), F.lit(True).alias("on")), lambda a, s: F.struct(F.when(a["on"] & s["bold"], F.concat(a["t"], s["text"])).otherwise(a["t"]).alias("t"), (a["on"] & s["bold"]).alias("on")))["t"]
     fonts = F.aggregate(F.col("i"), F.create_map().cast("map<string,int>"), lambda a, s: F.map_concat(F.map_filter(a, lambda k, v: k != s["family"]), F.create_map(s["family"], F.coalesce(F.try_element_at(a, s["family"]), F.lit(0)) + F.length(s["text"]))))
     # Most lines are one span, of which nothing need be put together.
